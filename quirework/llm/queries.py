@@ -35,3 +35,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from quirework.llm.token_store import token_digest
 
     return token_digest(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from quirework.llm import rules
+
+    docs = table(spark, folder, "documents")
+    trusted = table(spark, folder, "labels").where("quality = 1")
+    return rules.judge(docs, rules.fit(docs, trusted))
