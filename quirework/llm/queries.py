@@ -44,3 +44,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     trusted = table(spark, folder, "labels").where("quality = 1")
     return rules.judge(docs, rules.fit(docs, trusted))
+
+
+@query("op1_media_columns")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from quirework.llm.media import media_digest
+
+    return media_digest(table(spark, folder, "documents"))
