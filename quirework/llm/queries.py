@@ -51,3 +51,19 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     from quirework.llm.media import media_digest
 
     return media_digest(table(spark, folder, "documents"))
+
+
+@query("op9_source_mixing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from quirework.llm.mix import mix_digest
+
+    return mix_digest(table(spark, folder, "documents"))
+
+
+def _chat() -> None:
+    from quirework.llm.chat import CHAT_SQL, chat_digest
+
+    query("op5_chat_formatting", CHAT_SQL)(lambda spark, folder: chat_digest(spark, table(spark, folder, "conversations")))
+
+
+_chat()
