@@ -136,12 +136,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Spans:
     return Spans(data, offsets, np.flatnonzero(opens), np.flatnonzero(closes) + 1)
 
 
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,!?;:|")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+
+
 def runs(data: np.ndarray, offsets: np.ndarray) -> Spans:
-    """Pieces that begin at a document's start or where white space begins: a word with what stands before it."""
+    """Pieces that begin at a document's start, where white space begins, or where a stop follows a letter or digit.
+
+    Letters are known as such in ASCII and in the Latin-1 block.
+    """
     n = len(data)
     space = SPACE[data]
     opens = space.copy()
     opens[1:] &= ~space[:-1]
+    letter = _ALNUM[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    opens[1:] |= _STOP[data[1:]] & letter[:-1]
     opens |= _document_starts(n, offsets)[:n]
     starts = np.flatnonzero(opens)
     return Spans(data, offsets, starts, np.append(starts[1:], n))

@@ -10,6 +10,7 @@ table gives an empty store. Extra columns of the input are not read.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from quirework.llm.scratch import new_path
 
 STORE = "doc_id long, part int, pos long, n_tokens long, ids array<int>"
 #: A worker forgets its encoded runs beyond this many.
-CACHE_RUNS = 400_000
+CACHE_RUNS = 2_000_000
 #: White space outside the ASCII class: the pre-tokeniser may join it to ASCII white space, so such texts are encoded whole.
 OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -34,8 +35,9 @@ OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x8
 class RunEncoder:
     """Encode each distinct run once.
 
-    Byte-level pre-tokenisation always breaks before a white-space run, so the ids of a text are those of
-    its runs, one after another. Runs repeat a lot; the tokeniser sees the distinct ones.
+    Byte-level pre-tokenisation always breaks before a white-space run and between a letter and a stop, so
+    the ids of a text are those of its runs, one after another. Runs repeat a lot; the tokeniser sees the
+    distinct ones, many at a time, with line ends between them.
     """
 
     def __init__(self, path: str):
@@ -43,27 +45,57 @@ class RunEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[int, list[int]] = {}
+        (self.line_end,) = self.encode(["\n"])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.int32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_runs(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of runs and their lengths."""
+        plain = [x[:1] not in b"\t\n\x0b\x0c\r" and x[:2] != b"  " and x != b" " and not x[:2].isspace() for x in raw]
+        joined = [x for x, ok in zip(raw, plain, strict=True) if ok]
+        groups = [b"\n".join(joined[k : k + 1000]).decode() for k in range(0, len(joined), 1000)]
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array([*row, self.line_end], np.int32) for row in self.encode(groups))])
+        ends = np.flatnonzero(ids == self.line_end)
+        lengths = np.zeros(len(raw), np.int64)
+        plain = np.array(plain, bool)
+        lengths[plain] = np.diff(ends, prepend=-1) - 1
+        ids = ids[ids != self.line_end]
+        others = [np.array(row, np.int32) for row in self.encode([x.decode() for x, ok in zip(raw, plain, strict=True) if not ok])]
+        lengths[~plain] = [len(row) for row in others]
+        flat = np.empty(int(lengths.sum()), np.int32)
+        of_plain = np.repeat(plain, lengths)
+        flat[of_plain] = ids
+        flat[~of_plain] = np.concatenate([np.zeros(0, np.int32), *others])
+        return flat, lengths
+
+    def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
+        flat, lengths = self._encode_runs(raw)
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts = np.insert(self.starts, at, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.lengths = np.insert(self.lengths, at, lengths)
+        self.flat = np.concatenate([self.flat, flat])
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number per document."""
         spans = text.runs(data, offsets)
         keys, first, which = np.unique(spans.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_RUNS:
-            self.known.clear()
-        keys = keys.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.known]
-        for k, ids in zip(new, self.encode([spans.text(first[k]).decode() for k in new]), strict=True):
-            self.known[keys[k]] = ids
-        rows = [self.known[key] for key in keys]
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((x for row in rows for x in row), np.int32, int(lengths.sum()))
-        each = lengths[which]
+        if len(self.keys) > CACHE_RUNS:
+            self.forget()
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+        if new.any():
+            self._learn(keys[new], [spans.text(k) for k in first[new]])
+        row = np.searchsorted(self.keys, keys)
+        each = self.lengths[row][which]
         counts = text.per_document(each, spans.bounds)
-        ids = text.ragged(flat, (np.cumsum(lengths) - lengths)[which], each)
+        ids = text.ragged(self.flat, self.starts[row][which], each)
         raw = data.tobytes()
         odd = sorted({int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in OTHER_SPACE.finditer(raw)})
         if odd:
@@ -74,6 +106,12 @@ class RunEncoder:
         return ids, counts
 
 
+@functools.cache
+def run_encoder(path: str) -> RunEncoder:
+    """One a worker process: later tasks find the runs of earlier ones."""
+    return RunEncoder(path)
+
+
 def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(ids, np.cumsum(counts), end_id).astype(np.int32), counts + 1
 
@@ -88,7 +126,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, en
         raise ValueError(f"encoding is dictionary or delta, not {encoding}")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, pos = RunEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, pos = run_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for rows, data, offsets in text.pieces(batches):
             ids, counts = _with_end(*encoder(data, offsets), end_id)
             n = rows.num_rows
