@@ -67,3 +67,10 @@ def _chat() -> None:
 
 
 _chat()
+
+
+@query("op7_sharding")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from quirework.llm.shards import shard_digest
+
+    return shard_digest(table(spark, folder, "documents"))
