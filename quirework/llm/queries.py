@@ -74,3 +74,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from quirework.llm.shards import shard_digest
 
     return shard_digest(table(spark, folder, "documents"))
+
+
+def _dedup() -> None:
+    from quirework.llm.fmindex import DEDUP_SQL, dedup_digest
+
+    query("op8_substring_dedup", DEDUP_SQL)(lambda spark, folder: dedup_digest(table(spark, folder, "documents")))
+
+
+_dedup()

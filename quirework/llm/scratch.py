@@ -58,3 +58,8 @@ def running_total(df: DataFrame, keys: list[str], block: str, order: list[Column
     within = Window.partitionBy(*spark_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
     return df.join(totals, same).withColumn(out, F.col("_before") + F.col("_within")).drop("_before", "_within", *[f"_k{n}" for n in range(len(spark_keys))])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps whose results are written: it waits for the driver's JVM to collect garbage."""
+    spark.sparkContext._jvm.System.gc()

@@ -27,7 +27,7 @@ from quirework.llm.scratch import new_path
 
 STORE = "doc_id long, part int, pos long, n_tokens long, ids array<int>"
 #: A worker forgets its encoded runs beyond this many.
-CACHE_RUNS = 2_000_000
+CACHE_RUNS = 1_500_000
 #: White space outside the ASCII class: the pre-tokeniser may join it to ASCII white space, so such texts are encoded whole.
 OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -59,8 +59,9 @@ class RunEncoder:
         """Flat ids of runs and their lengths."""
         plain = [x[:1] not in b"\t\n\x0b\x0c\r" and x[:2] != b"  " and x != b" " and not x[:2].isspace() for x in raw]
         joined = [x for x, ok in zip(raw, plain, strict=True) if ok]
-        groups = [b"\n".join(joined[k : k + 1000]).decode() for k in range(0, len(joined), 1000)]
-        ids = np.concatenate([np.zeros(0, np.int32), *(np.array([*row, self.line_end], np.int32) for row in self.encode(groups))])
+        # A few at a time: an encoding takes much more memory than its ids.
+        groups = (b"\n".join(joined[k : k + 1000]).decode() for k in range(0, len(joined), 1000))
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array([*self.encode([group])[0], self.line_end], np.int32) for group in groups)])
         ends = np.flatnonzero(ids == self.line_end)
         lengths = np.zeros(len(raw), np.int64)
         plain = np.array(plain, bool)
