@@ -83,3 +83,12 @@ def _dedup() -> None:
 
 
 _dedup()
+
+
+def _jaccard() -> None:
+    from quirework.llm.jaccard import JACCARD_SQL, components
+
+    query("op4_jaccard_join", JACCARD_SQL)(lambda spark, folder: components(table(spark, folder, "documents"), n=4, num=85, den=100))
+
+
+_jaccard()
