@@ -92,3 +92,10 @@ def _jaccard() -> None:
 
 
 _jaccard()
+
+
+@query("op2_piece_sampling")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from quirework.llm.pieces import sample_segmentations
+
+    return sample_segmentations(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
