@@ -99,3 +99,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     from quirework.llm.pieces import sample_segmentations
 
     return sample_segmentations(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from quirework.llm.quality_model import classify
+
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
