@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirework.llm.scratch import running_total, written
+from quirework.llm.scratch import if_small, running_total, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -132,3 +132,14 @@ def taken(size: str = "size", n: str = "n_copies") -> Column:
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     return mix(sizes(docs)).select("doc_id", "size", "source_size", "target", taken().alias("taken"))
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns."""
+    plan = mix(sizes(docs)).groupBy("doc_id").agg(F.max("n_copies").alias("_n")).where("_n > 0").withColumnRenamed("doc_id", "_d")
+    plan = written(plan, "plan")
+    rows = docs.join(if_small(plan, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_d")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
