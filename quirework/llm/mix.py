@@ -78,7 +78,8 @@ def _by_size(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)) - grade * _SALTS)
 
 
-_ORDER = [F.col("size").desc(), F.xxhash64("doc_id"), F.col("doc_id").asc_nulls_first()]
+def _order() -> list[Column]:
+    return [F.col("size").desc(), F.xxhash64("doc_id"), F.col("doc_id").asc_nulls_first()]
 
 
 def copies(rated: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def copies(rated: DataFrame) -> DataFrame:
     rated = rated.withColumn("_whole", F.floor(near)).withColumn("_part", F.greatest(near - F.floor(near), F.lit(0.0)))
     # A fixed-point share keeps the running sums exact in any order of adding.
     rated = rated.withColumn("_part", F.round(F.col("_part") * (1 << 30)).cast("long"))
-    rated = running_total(_by_size(rated), ["source"], "_block", _ORDER, F.col("_part"), "_sum")
+    rated = running_total(_by_size(rated), ["source"], "_block", _order(), F.col("_part"), "_sum")
     half = 1 << 29
     extra = F.floor((F.col("_sum") + F.col("_part") + half) / (1 << 30)) - F.floor((F.col("_sum") + half) / (1 << 30))
     return rated.withColumn("n_copies", (F.col("_whole") + extra).cast("long")).drop("_sum", "_block")
@@ -104,7 +105,7 @@ def mend(rows: DataFrame, cap: float = CAP) -> DataFrame:
         up = F.col("_gap") > 0
         fits = (F.col("_part") > 0) & (F.col("size") > 0) & (F.col("size") <= F.abs("_gap")) & F.when(up, F.col("n_copies") == F.col("_whole")).otherwise(F.col("n_copies") > F.col("_whole"))
         joined = rows.join(F.broadcast(gaps) if gaps.count() <= 100_000 else gaps, same, "left").withColumn("_fits", F.coalesce(fits, F.lit(False)))
-        some = running_total(_by_size(joined.where("_fits")), ["source"], "_block", _ORDER, F.col("size"), "_sum").drop("_block")
+        some = running_total(_by_size(joined.where("_fits")), ["source"], "_block", _order(), F.col("size"), "_sum").drop("_block")
         take = F.col("_sum") + F.col("size") <= F.abs("_gap")
         some = some.withColumn("n_copies", F.col("n_copies") + F.when(take, F.when(up, 1).otherwise(-1)).otherwise(0)).drop("_sum")
         rows = written(some.unionByName(joined.where("not _fits")).drop("_s", "_gap", "_fits"), "mended")
