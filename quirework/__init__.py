@@ -1,0 +1 @@
+"""Structure-aware document preprocessing on Spark DataFrames."""
