@@ -351,8 +351,8 @@ def _covered(spans: text.Spans, ranges: pa.Array, copies: np.ndarray) -> np.ndar
     return (np.cumsum(edges[:-1]) > 0) | np.repeat(copies & (spans.counts >= WINDOW), spans.counts)
 
 
-def _marked(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows of docs with their removals, for mapInArrow: text, ranges, is_copy and the named others."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, text, others) with their removals: the others, text, ranges, is_copy."""
     docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("text_key", F.xxhash64("text"))
     gone = removals(docs.select("doc_id", "text_key", "text"))
     n, total = gone.agg(F.count("*"), F.sum(F.size(F.coalesce("ranges", F.array().cast("array<int>"))))).first()
@@ -361,7 +361,7 @@ def _marked(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "ranges", "is_copy")
     rows = docs.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("text_key") == F.col("_t")), "left")
     others = [c for c in docs.columns if c not in ("text", "text_key")]
-    return rows.select(*others, "text", F.coalesce("ranges", F.array().cast("array<int>")).alias("ranges"), F.coalesce("is_copy", F.lit(False)).alias("is_copy")), others
+    return rows.select(*others, "text", F.coalesce("ranges", F.array().cast("array<int>")).alias("ranges"), F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
@@ -378,20 +378,20 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
                 kept.append(hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(spans.starts[stay].tolist(), spans.ends[stay].tolist(), strict=True)])).hexdigest())
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans.counts.astype(np.int64)), pa.array(text.per_document(gone, spans.bounds).astype(np.int64)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows, _ = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return rows.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without the words that go; each kept word keeps the white space before it. Texts left empty by this are dropped."""
-    rows, others = _marked(docs)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in others) + ", text string, was_emptied boolean"
+    # The other columns travel as one, so that their names can't clash with those added here.
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row")
+    rows = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", others))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(others)
         for part, data, offsets in text.pieces(batches):
             spans = text.words(data, offsets)
-            gone = _covered(spans, part.column(n + 1), part.column(n + 2).to_numpy(zero_copy_only=False))
+            gone = _covered(spans, part.column(3), part.column(4).to_numpy(zero_copy_only=False))
             lost = np.zeros(len(data) + 1, np.int64)
             before = np.append(0, spans.ends[:-1]) if len(spans.ends) else spans.ends
             before = np.maximum(before, np.repeat(offsets[:-1], spans.counts))
@@ -403,9 +403,11 @@ def dedup(docs: DataFrame) -> DataFrame:
             ends = np.cumsum(size).tolist()
             texts = [kept[a:b].decode() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             removed = text.per_document(gone, spans.bounds)
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n)), pa.array(texts, pa.string()), pa.array((removed > 0) & (removed == spans.counts))], [*others, "text", "was_emptied"])
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(texts, pa.string()), pa.array((removed > 0) & (removed == spans.counts))], ["row", "text", "was_emptied"])
 
-    return rows.mapInArrow(cut, schema).where("not was_emptied").drop("was_emptied")
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string, was_emptied boolean"
+    out = rows.mapInArrow(cut, schema).where("not was_emptied")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 #: Windows as lists of words, compared whole.

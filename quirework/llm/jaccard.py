@@ -2,10 +2,11 @@
 
 Documents with equal shingle sets form one class. Classes that can be linked share a shingle among the first of
 their sets, when sets are ordered from rare to frequent (a fixed-size count sketch gives the order; any order is
-exact). Classes chained by such shingles and compatible sizes make up a cell, and no link leaves a cell. Each cell
-gets a signature tree: leaves hold a few classes, nodes the OR of their token bitmaps and their range of sizes. A
-dual traversal goes down pairs of nodes and drops those whose largest possible overlap is too small, or whose
-classes are connected already; the pairs left at the leaves are compared exactly.
+exact). The classes under one shingle form a signature tree: leaves hold token bitmaps and sizes, nodes the OR of
+their bitmaps and their range of sizes. A dual traversal goes down pairs of nodes and drops those whose largest
+possible overlap is too small, or whose classes are connected already. What it leaves are candidate links; the
+classes they connect make up a cell, and no link leaves a cell. Within a cell, a tree over whole shingle sets is
+traversed in the same way, and the pairs left at its leaves are compared exactly.
 
 Large cells are cut into blocks of bounded size: blocks are traversed by themselves, then one class of each part
 found so far with the others of its cell, then the pairs of blocks that may still hold unknown connections.
@@ -31,7 +32,12 @@ from quirework.llm.scratch import if_small, release, written
 
 SKETCH, SKETCH_BLOCK = 1 << 18, 1 << 12
 BITS = 2048
+#: Bits of a class's own bitmap, by the size of its set.
+WIDTHS = ((512, 512), (2048, 2048), (1 << 62, 8192))
 LEAF = FAN = 8
+#: Classes under one shingle that one tree holds. More are chained in order of size, as far as sizes allow links: that
+#: loses none and only makes cells larger.
+BUCKET_ROWS = 1 << 14
 #: Shingles of a block of a cell.
 BLOCK_SHINGLES = 1 << 20
 BROADCAST_ROWS = 500_000
@@ -84,18 +90,28 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
+    bits = np.zeros((len(sets), width), bool)
+    for k, s in enumerate(sets):
+        bits[k, (s & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps as they would be with fewer bits."""
+    while bitmap.shape[1] > words:
+        half = bitmap.shape[1] // 2
+        bitmap = bitmap[:, :half] | bitmap[:, half:]
+    return bitmap
+
+
 class Tree:
-    """A signature tree over sets, in an order that puts similar ones together."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = np.array([len(s) for s in sets], np.int64)
-        bits = np.zeros((len(sets), BITS), bool)
-        for k, s in enumerate(sets):
-            bits[k, (s & np.uint64(BITS - 1)).astype(np.int64)] = True
-        bitmap = np.packbits(bits, axis=1).view(np.uint64)
-        excess = self.n - np.bitwise_count(bitmap).sum(1, dtype=np.int64)
+    """A signature tree over bitmaps and sizes, in an order that puts similar ones together."""
+
+    def __init__(self, bitmap: np.ndarray, n: np.ndarray):
+        excess = n - np.bitwise_count(bitmap).sum(1, dtype=np.int64)
         #: Per level: first set of each node and the end; bitmaps; least and most size; most shingles without a bit of their own.
-        self.levels = [(np.arange(len(sets) + 1), bitmap, self.n, self.n, excess)]
+        self.levels = [(np.arange(len(n) + 1), bitmap, n, n, excess)]
         width = LEAF
         while len(self.levels[-1][2]) > 1:
             first, bitmap, least, most, excess = self.levels[-1]
@@ -132,31 +148,35 @@ def connections(sets: list[np.ndarray], parts: np.ndarray, side: np.ndarray | No
 
     side: with two sides, only links between them are looked for. The result is a spanning set of links.
     """
-    out: list[tuple[int, int]] = []
     if len(sets) == 2:
-        if parts[0] != parts[1] and (side is None or side[0] != side[1]) and linked(sets[0], sets[1], num, den):
-            out.append((0, 1))
-        return out
+        return [(0, 1)] if parts[0] != parts[1] and (side is None or side[0] != side[1]) and linked(sets[0], sets[1], num, den) else []
     order = np.array(sorted(range(len(sets)), key=lambda k: (0 if side is None else side[k], sets[k][0], len(sets[k]))))
-    _, label = np.unique(parts[order], return_inverse=True)
     groups = [order] if side is None else [order[side[order] == s] for s in (0, 1)]
     if any(not len(g) for g in groups):
-        return out
-    trees = [Tree([sets[k] for k in g]) for g in groups]
-    base = [0, 0 if side is None else len(groups[0])]
+        return []
+    trees = [Tree(bitmaps([sets[k] for k in g], BITS), np.array([len(sets[k]) for k in g], np.int64)) for g in groups]
+    found = traverse(trees, parts[order], lambda p, q: linked(sets[order[p]], sets[order[q]], num, den), num, den)
+    return [(int(order[p]), int(order[q])) for p, q in found]
+
+
+def traverse(trees: list[Tree], parts: np.ndarray, joins, num: int, den: int) -> list[tuple[int, int]]:
+    """Dual traversal of one tree with itself, or of two trees whose sets are numbered on: pairs that connect parts and that joins accepts."""
+    out: list[tuple[int, int]] = []
+    _, label = np.unique(parts, return_inverse=True)
     a, b = trees[0], trees[-1]
+    base = [0, 0 if len(trees) == 1 else len(a.levels[0][2])]
     stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
     while stack:
         la, i, lb, j = stack.pop()
-        own = side is None and la == lb and i == j
+        own = len(trees) == 1 and la == lb and i == j
         x = slice(base[0] + a.levels[la][0][i], base[0] + a.levels[la][0][i + 1])
         y = slice(base[1] + b.levels[lb][0][j], base[1] + b.levels[lb][0][j + 1])
         if label[x.start] == label[y.start] and (label[x] == label[x.start]).all() and (label[y] == label[y.start]).all():
             continue
         if la == lb == 0:
-            p, q = x.start, y.start
-            if not own and linked(sets[order[p]], sets[order[q]], num, den):
-                out.append((int(order[p]), int(order[q])))
+            p, q = int(x.start), int(y.start)
+            if not own and joins(p, q):
+                out.append((p, q))
                 label[label == label[q]] = label[p]
             continue
         ca = a.children(la, i) if la and la >= lb else (i, i + 1)
@@ -172,6 +192,82 @@ def connections(sets: list[np.ndarray], parts: np.ndarray, side: np.ndarray | No
     return out
 
 
+def _pair_bound(bits: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """_may_link for pairs of single classes with bitmaps of their own widths."""
+    fits = (den * n[i] >= num * n[j]) & (den * n[j] >= num * n[i])
+    out = np.zeros(len(i), bool)
+    words = np.array([len(b) for b in bits])
+    for w in np.unique(np.minimum(words[i], words[j])):
+        at = np.flatnonzero(fits & (np.minimum(words[i], words[j]) == w))
+        if len(at):
+            x, y = (np.concatenate([folded(bits[k][None], w) for k in side[at].tolist()]) for side in (i, j))
+            common = np.bitwise_count(x & y).sum(1, dtype=np.int64)
+            ex, ey = (n[side[at]] - np.bitwise_count(z).sum(1, dtype=np.int64) for side, z in ((i, x), (j, y)))
+            most = np.minimum(np.minimum(n[i[at]], n[j[at]]), common + np.minimum(ex, ey))
+            out[at] = (num + den) * most >= num * (n[i[at]] + n[j[at]])
+    return out
+
+
+def _candidates(num: int, den: int):
+    """Candidate links under each shingle; rows in: token, node, n, bits, sorted by token and n."""
+
+    def under_one(nodes: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> list[tuple[int, int]]:
+        width = min(map(len, bits))
+        bitmap = np.concatenate([folded(b[None], width) for b in bits])
+        return traverse([Tree(bitmap, n)], np.arange(len(n)), lambda p, q: True, num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, long = None, None  # rows of a shingle that may go on; the shingle whose rows are chained
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not rows.num_rows:
+                continue
+            token = rows.column("token").to_numpy()
+            cut = int(np.searchsorted(token, token[-1]))
+            if cut:
+                yield emit(rows.slice(0, cut), long)
+                long = None
+            rest = rows.slice(cut)
+            if rest.num_rows > BUCKET_ROWS:
+                long = token[-1]
+                yield emit(rest, long)
+                rest = rest.slice(rest.num_rows - 1)
+        if rest is not None and rest.num_rows:
+            yield emit(rest, long)
+
+    def emit(rows: pa.Table, long: int | None) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        token, nodes, n = (rows.column(c).to_numpy() for c in ("token", "node", "n"))
+        bits = [np.frombuffer(b, np.uint64) for b in rows.column("bits").to_pylist()]
+        heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        ends = np.append(heads[1:], len(token))
+        size = ends - heads
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        of = np.repeat(ends, size)
+        chained = np.repeat(size > BUCKET_ROWS, size) | (False if long is None else token == long)
+        small = np.repeat(size <= LEAF, size) & ~chained
+        for d in range(1, LEAF):  # a leaf's pairs, those of all small buckets together
+            i = np.flatnonzero(small & (np.arange(len(token)) + d < of))
+            if len(i):
+                ok = _pair_bound(bits, n, i, i + d, num, den)
+                left.append(i[ok])
+                right.append(i[ok] + d)
+        i = np.flatnonzero(chained & (np.arange(len(token)) + 1 < of))
+        i = i[den * n[i] >= num * n[np.minimum(i + 1, len(n) - 1)]] if len(i) else i
+        left.append(i)
+        right.append(i + 1)
+        for a, b in zip(heads[size > LEAF].tolist(), ends[size > LEAF].tolist(), strict=True):
+            if not chained[a]:
+                pairs = under_one(nodes[a:b], n[a:b], bits[a:b])
+                left.append(np.array([p for p, _ in pairs], np.int64) + a)
+                right.append(np.array([q for _, q in pairs], np.int64) + a)
+        i, j = np.concatenate(left), np.concatenate(right)
+        pairs = np.unique(np.stack([np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
 def _find(n: int, num: int, den: int):
     """Edges between classes of each unit; rows in: unit, node, part, side, text, sorted by unit."""
 
@@ -226,16 +322,28 @@ def class_links(docs: DataFrame, n: int, num: int, den: int, block_shingles: int
             first = [s[np.lexsort((s, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:r]] for s, r in zip(sets, reach.tolist(), strict=True)]
             flat = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
             nodes = [_set_key(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(nodes, pa.int64()), text.list_column(flat, reach, pa.int64())], ["doc_id", "n_shingles", "node", "first"])
-
-    sets = written(docs.mapInArrow(prefixes, "doc_id long, n_shingles long, node long, first array<long>"), "sets")
+            widths = [next(w for most, w in WIDTHS if len(s) <= most) for s in sets]
+            bits: list[bytes | None] = [None] * len(sets)
+            for w in set(widths):
+                at = [k for k in range(len(sets)) if widths[k] == w]
+                for k, b in zip(at, bitmaps([sets[k] for k in at], w), strict=True):
+                    bits[k] = b.tobytes()
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(nodes, pa.int64()), text.list_column(flat, reach, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "node", "first", "bits"])
+
+    sets = written(docs.mapInArrow(prefixes, "doc_id long, n_shingles long, node long, first array<long>, bits binary"), "sets")
+    release(spark)
+    # Shingles under which several classes lie, with one row for each of them.
+    tokens = sets.where("n_shingles > 0").select(F.explode("first").alias("token"), "node")
+    by_token = Window.partitionBy("token")
+    once = F.coalesce(F.lag("node").over(by_token.orderBy("node")) != F.col("node"), F.lit(True))
+    shared = tokens.select("token", "node", once.alias("once"), F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi")).where("once and lo < hi").select("token", "node")
+    shared = written(shared, "shared")
     release(spark)
-    # A chain through all sets with a shingle in order of size; it breaks where sizes are too far apart to link.
-    tokens = sets.where("n_shingles > 0").select(F.explode("first").alias("token"), "node", "n_shingles")
-    by_size = Window.partitionBy("token").orderBy("n_shingles", "node")
-    chain = tokens.select("node", "n_shingles", F.lag("node").over(by_size).alias("before"), F.lag("n_shingles").over(by_size).alias("less"))
-    chain = chain.where(F.col("before").isNotNull() & (F.col("before") != F.col("node")) & (F.col("less") * den >= F.col("n_shingles") * num))
-    cells = written(connected(chain.select(F.col("before").alias("a"), F.col("node").alias("b"))), "cells")
+    bits = sets.where("n_shingles > 0").groupBy("node").agg(F.max(F.struct(F.col("n_shingles").alias("n"), "bits")).alias("s")).select(F.col("node").alias("_n"), "s.n", "s.bits")
+    rows = shared.join(bits, F.col("node") == F.col("_n")).select("token", "node", "n", "bits")
+    rows = rows.repartition("token").sortWithinPartitions("token", "n", "node")
+    pairs = rows.mapInArrow(_candidates(num, den), "a long, b long")
+    cells = written(connected(pairs), "cells")
     release(spark)
     classes = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     classes = classes.join(cells.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("doc_id", "node", "n", F.col("label").alias("cell"))
@@ -293,7 +401,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     """docs without the rows of a group but those with its smallest doc_id."""
     gone = components(docs, n, num, den).where("component_id < doc_id").select(F.col("doc_id").alias("_d")).distinct()
     gone = written(gone, "near-copies")
-    return docs.join(if_small(gone, BROADCAST_ROWS), F.col("doc_id") == F.col("_d"), "left_anti")
+    return docs.join(if_small(gone, BROADCAST_ROWS), docs["doc_id"] == gone["_d"], "left_anti")
 
 
 JACCARD_SQL = r"""

@@ -142,5 +142,6 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns."""
     plan = mix(sizes(docs)).groupBy("doc_id").agg(F.max("n_copies").alias("_n")).where("_n > 0").withColumnRenamed("doc_id", "_d")
     plan = written(plan, "plan")
-    rows = docs.join(if_small(plan, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_d")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    # The input's columns travel as one, so that their names can't clash with the plan's.
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id")).join(if_small(plan, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("_d")))
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy")).select("_row.*")
