@@ -11,9 +11,10 @@ from quirework.functions import strings as S
 from quirework.operators import drafts, edits, lines, sections
 from quirework.operators.split import pieces_of
 from quirework.plans.preprocess import preprocess, preprocess_results, raw_documents
-from quirework.plans.queries import ORACLES, QUERIES
+from quirework.plans import column_queries, queries
 from quirework.sources import files, statutes
 
+ORACLES, QUERIES = queries.ORACLES | column_queries.ORACLES, queries.QUERIES | column_queries.QUERIES
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
