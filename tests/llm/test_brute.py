@@ -182,16 +182,21 @@ def test_pieces(docs, rows):
     path = tokenizer_path("piece_bpe_32k.model")
     processor = sentencepiece.SentencePieceProcessor(model_file=path)
     out = pieces.sample_segmentations(docs, path).collect()
+
+    def plain(ids):
+        """The pieces' bytes without the space put before the text."""
+        raw = b"".join(bytes([int(p[3:5], 16)]) if processor.is_byte(i) else p.encode() for i, p in ((i, processor.id_to_piece(i)) for i in ids))
+        return raw.decode().replace("\u2581", " ")[1:]
+
     by_id = {}
     for r in out:
         by_id.setdefault(r.doc_id, []).append(r)
     for k, t in rows:
         samples = by_id[k]
         assert len({tuple(r.ids) for r in samples}) == len(samples)
-        whole = processor.decode(processor.encode(t or ""))
         for r in samples:
-            assert processor.decode(list(r.ids)) == whole and r.n_pieces == len(r.ids)
-            assert r.log_inclusion <= 1e-9 and r.decoded_crc32 == binascii.crc32(whole.encode())
+            assert plain(r.ids) == (t or "") and r.n_pieces == len(r.ids)
+            assert r.log_inclusion <= 1e-9 and r.decoded_crc32 == binascii.crc32((t or "").encode())
     assert sorted((r.doc_id, r.sample, tuple(r.ids)) for r in out) == sorted((r.doc_id, r.sample, tuple(r.ids)) for r in pieces.sample_segmentations(docs.repartition(5), path).collect())
 
 
