@@ -89,7 +89,7 @@ def test_edit_columns(spark):
     c = F.col("chunks")
     r = df.select(edits.delete(c, F.lit(1)).alias("d"), edits.delete(c, F.lit(9)).alias("bad"), edits.merge_next(c, F.lit(0)).alias("m"), edits.move_boundary(c, F.lit(1), F.lit(5)).alias("b"), edits.split_edited(F.lit("a@@@b")).alias("s")).first()
     assert (r.d, r.bad, r.m, r.b, r.s) == (["one ", "three"], ["one ", " two", "three"], ["one\n\ntwo", "three"], ["one ", " twothree"], ["a", "b"])
-    assert [x.index for x in edits.search(df, "TWO").collect()] == [1] and [x.index for x in edits.search(df, "#003").collect()] == [2]
+    assert [x["index"] for x in edits.search(df, "TWO").collect()] == [1] and [x["index"] for x in edits.search(df, "#003").collect()] == [2]
 
 
 def test_decoding():
