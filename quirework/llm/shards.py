@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation over equal texts.
 
 Documents with equal texts are linked; a link between two shards is a cut. Each round joins documents with the
-shard that holds most of their group and moves as many whole groups as the shards' quotas admit. Groups larger than
-a part of a shard are split beforehand by a hash, so none can overfill one. Documents without links then fill the
+shard that holds most of their group and moves as many whole groups as the running sum of their bytes lets in, until
+nothing moves. Groups larger than a part of a shard are split beforehand by a hash, and again into smaller parts where
+they fit nowhere, so none can overfill one. Documents without links, and copies that still fit nowhere, then fill the
 shards up to equal bytes, large ones first and the smallest last.
 
 Edge cases: a null text has size 8 and equals an empty one. Null and repeated doc_ids are rows like others. Fewer
@@ -18,9 +19,8 @@ from quirework.llm.scratch import running_total, written
 
 SHARDS = 24
 OVERHEAD = 8
-ROUNDS = 3
-#: A group is split into parts of at most about this share of a shard.
-GROUP_SHARE = 0.25
+#: A group is split into parts of at most about the first share of a shard; parts that fit nowhere are split again.
+GROUP_SHARES = (0.25, 0.05, 0.01)
 #: Documents above each share of a shard are placed before smaller ones.
 FILL_SHARES = (0.02, 0.002, 0.0)
 _SALTS, _SLOT_BLOCKS = 64, 1024
@@ -32,28 +32,43 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("text_key"))
 
 
-def propagate(linked: DataFrame, n_shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
-    """Move linked rows (doc_id, size, unit, ...) towards the shards of their units.
+def propagate(linked: DataFrame, room: list[float], loads: dict[int, float]) -> DataFrame:
+    """shard of linked rows (doc_id, size, unit, ...): the shard that holds most of their unit, where the whole unit fits.
 
-    unit is what should lie together. What leaves each round for the driver is at most n_shards rows.
+    Shards admit units by the running sum of their bytes, large ones first, until no unit moves; room and loads follow.
+    Units whose own shards are full go to any shard that has room; those that fit nowhere keep a null shard. What leaves
+    each round for the driver is at most one row a shard.
     """
-    linked = written(linked.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int")), "labels")
-    for k in range(rounds):
-        mass = linked.groupBy("unit", "shard").agg(F.sum("size").alias("_mass"))
-        # Equal masses: a hash decides, so that ties don't all go to one shard.
-        best = mass.groupBy("unit").agg(F.max(F.struct(F.col("_mass"), F.xxhash64("unit", "shard").alias("_tie"), F.col("shard").alias("_to")))["_to"].alias("_to"))
-        best = best.withColumnRenamed("unit", "_unit")
-        wants = written(linked.join(best, F.col("unit") == F.col("_unit")).drop("_unit"), "wants")
-        held = {r[0]: r[1] for r in wants.groupBy("shard").agg(F.sum("size")).collect()}
-        moving = {r[0]: r[1] for r in wants.where("shard <> _to").groupBy("_to").agg(F.sum("size")).collect()}
-        leaving = {r[0]: r[1] for r in wants.where("shard <> _to").groupBy("shard").agg(F.sum("size")).collect()}
-        if not moving:
+    n_shards = len(room)
+    mass = linked.groupBy("unit", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("label")).agg(F.sum("size").alias("_mass"))
+    # Equal masses: a hash decides, so that ties don't all go to one shard.
+    held = F.struct(F.col("_mass"), F.xxhash64("unit", "label").alias("_tie"), F.col("label"))
+    waiting = written(mass.groupBy("unit").agg(F.sum("_mass").alias("bytes"), F.collect_list(held).alias("labels")), "units")
+    settled, k = [], 0
+    while True:
+        free = F.array(*[F.lit(float(r)) for r in room])
+        own = F.array_max(F.filter("labels", lambda x: F.element_at(free, x["label"] + 1) >= F.col("bytes")))["label"]
+        others = F.filter(F.array(*[F.struct(F.xxhash64("unit", F.lit(s), F.lit(k)).alias("_tie"), F.lit(s).alias("label")) for s in range(n_shards)]), lambda x: F.element_at(free, x["label"] + 1) >= F.col("bytes"))
+        wants = waiting.withColumn("_to", F.coalesce(own, F.array_max(others)["label"]))
+        grade = F.floor(F.log2("bytes") * 8).cast("long")
+        wants = wants.where("_to is not null").withColumn("_block", F.pmod(F.xxhash64("unit"), F.lit(_SALTS)) - grade * _SALTS)
+        wants = running_total(wants, ["_to"], "_block", [F.xxhash64("unit", F.lit(k)), F.col("unit")], F.col("bytes"), "_sum").drop("_block")
+        wants = written(wants.withColumn("_in", F.col("_sum") + F.col("bytes") <= F.element_at(free, F.col("_to") + 1)).drop("_sum"), "wants")
+        moved = wants.where("_in").groupBy("_to").agg(F.sum("bytes")).collect()
+        if not moved:
             break
-        quota = [min(1.0, max(0.0, (capacity - held.get(s, 0) + 0.5 * leaving.get(s, 0)) / moving[s])) if s in moving else 0.0 for s in range(n_shards)]
-        share = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("_to") + 1)
-        draw = F.pmod(F.xxhash64("unit", F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
-        linked = written(wants.withColumn("shard", F.when(draw < share, F.col("_to")).otherwise(F.col("shard"))).drop("_to"), "labels")
-    return linked
+        for s, n in moved:
+            room[s] -= n
+            loads[s] = loads.get(s, 0) + n
+        settled.append(wants.where("_in").select(F.col("unit").alias("_unit"), F.col("_to").alias("shard")))
+        # A unit that fits nowhere now never will: rooms only shrink.
+        waiting, k = wants.where("not _in").drop("_to", "_in"), k + 1
+    if not settled:
+        return linked.withColumn("shard", F.lit(None).cast("int"))
+    found = settled[0]
+    for more in settled[1:]:
+        found = found.unionByName(more)
+    return linked.join(found, F.col("unit") == F.col("_unit"), "left").drop("_unit")
 
 
 def fill(rows: DataFrame, loads: dict[int, float], n_shards: int, capacity: float) -> DataFrame:
@@ -96,13 +111,25 @@ def assign(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     groups = base.groupBy("text_key").agg(F.count("*").alias("_n"), F.sum("size").alias("_bytes"))
     # Groups are joined back as they are; AQE splits a group that holds much of a partition.
     linked_keys = written(groups.where("_n > 1").withColumnRenamed("text_key", "_key"), "groups")
-    parts = F.greatest(F.ceil(F.col("_bytes") / F.lit(max(1.0, capacity * GROUP_SHARE))), F.lit(1))
-    linked = base.join(linked_keys, F.col("text_key") == F.col("_key"))
-    linked = linked.withColumn("unit", F.xxhash64("text_key", F.pmod(F.xxhash64("doc_id"), parts))).drop("_key", "_n", "_bytes")
-    linked = propagate(linked, n_shards, capacity).drop("unit")
-    loads = {r[0]: r[1] for r in linked.groupBy("shard").agg(F.sum("size")).collect()}
     alone = written(base.join(linked_keys, F.col("text_key") == F.col("_key"), "left_anti"), "alone")
-    return linked.unionByName(fill(alone, loads, n_shards, capacity)).drop("text_key")
+    loads: dict[int, float] = {}
+    large = F.col("size") > capacity * FILL_SHARES[0]
+    out = [fill(alone.where(large), loads, n_shards, capacity)]
+    rest = base.join(linked_keys, F.col("text_key") == F.col("_key")).drop("_key", "_n")
+    for share in GROUP_SHARES:
+        parts = F.greatest(F.ceil(F.col("_bytes") / F.lit(max(1.0, capacity * share))), F.lit(1))
+        rest = written(rest.withColumn("unit", F.xxhash64("text_key", F.pmod(F.xxhash64("doc_id"), parts))), "linked")
+        if rest.isEmpty():
+            break
+        room = [max(0.0, capacity - loads.get(s, 0)) for s in range(n_shards)]
+        rows = written(propagate(rest, room, loads), "labels").drop("unit")
+        out.append(rows.where("shard is not null").drop("_bytes"))
+        rest = rows.where("shard is null").drop("shard")
+    out.append(fill(alone.where(~large).unionByName(rest.drop("_bytes", "unit")), loads, n_shards, capacity))
+    done = out[0]
+    for rows in out[1:]:
+        done = done.unionByName(rows)
+    return done.drop("text_key")
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
