@@ -1,15 +1,17 @@
 """N-gram Jaccard join by signature trees.
 
 Documents with equal shingle sets form one class. Classes that can be linked share a shingle among the first of
-their sets, when sets are ordered from rare to frequent (a fixed-size count sketch gives the order; any order is
-exact). The classes under one shingle form a signature tree: leaves hold token bitmaps and sizes, nodes the OR of
+their sets, when sets are ordered from rare to frequent. The order is estimated from two count sketches of fixed
+size: the frequencies of a shingle's words, and its own where it stands out; any order is exact, a poor one only
+costs time. The classes under one shingle form a signature tree: leaves hold token bitmaps and sizes, nodes the OR of
 their bitmaps and their range of sizes. A dual traversal goes down pairs of nodes and drops those whose largest
 possible overlap is too small, or whose classes are connected already. What it leaves are candidate links; the
 classes they connect make up a cell, and no link leaves a cell. Within a cell, a tree over whole shingle sets is
 traversed in the same way, and the pairs left at its leaves are compared exactly.
 
-Large cells are cut into blocks of bounded size: blocks are traversed by themselves, then one class of each part
-found so far with the others of its cell, then the pairs of blocks that may still hold unknown connections.
+Large cells are dealt to blocks of bounded size, by grades of size and a hash. Blocks are traversed by themselves, then
+one class of each part found so far with the others of its cell. Links that are still missing have an end outside of
+the cell's main part: those classes meet all blocks of sizes they may be linked with.
 
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing. Texts shorter than a shingle
 have their whole word sequence as one. Rows with equal doc_ids are rows like others; a null doc_id is never the
@@ -24,31 +26,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quirework.llm import text
 from quirework.llm.components import connected
 from quirework.llm.scratch import if_small, release, written
 
+#: Counters of each sketch, whatever the input's size; they are summed and sent in blocks.
 SKETCH, SKETCH_BLOCK = 1 << 18, 1 << 12
 BITS = 2048
 #: Bits of a class's own bitmap, by the size of its set.
 WIDTHS = ((512, 512), (2048, 2048), (1 << 62, 8192))
 LEAF = FAN = 8
-#: Classes under one shingle that one tree holds. More are chained in order of size, as far as sizes allow links: that
-#: loses none and only makes cells larger.
-BUCKET_ROWS = 1 << 14
+#: Classes under one shingle that one tree holds. More are joined in one cell: that loses no link.
+BUCKET_ROWS = 1 << 12
 #: Shingles of a block of a cell.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 19
 BROADCAST_ROWS = 500_000
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each document."""
+def piece_shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[text.Spans, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a piece, their hashes, first words and hashes of its shingles, and their bounds by document."""
     spans = text.words(data, offsets)
     hashes = spans.hashes(text.LOWER_BYTE)
     at, grams = spans.windows(hashes, n)
-    bounds = np.searchsorted(at, spans.bounds)
+    return spans, hashes, at, grams, np.searchsorted(at, spans.bounds)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each document."""
+    spans, hashes, _, grams, bounds = piece_shingles(data, offsets, n)
     out = [np.unique(grams[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     for d in np.flatnonzero((spans.counts > 0) & (spans.counts < n)).tolist():
         out[d] = text.window_hash(hashes, spans.bounds[d : d + 1], int(spans.counts[d]))
@@ -61,16 +67,20 @@ def _set_key(grams: np.ndarray) -> int:
     return int(text.mix(total).view(np.int64)[0])
 
 
-def _sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How many documents hold a shingle, by hash: SKETCH counters whatever the input's size."""
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def _sketches(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often words and shingles occur, by hash: SKETCH counters each whatever the input's size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(2 * SKETCH, np.int64)
         for _, data, offsets in text.pieces(batches):
-            sets = shingle_sets(data, offsets, n)
-            if sets:
-                total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        yield emit(dict(enumerate(total.reshape(-1, SKETCH_BLOCK))))
+            _, hashes, _, grams, _ = piece_shingles(data, offsets, n)
+            total[:SKETCH] += np.bincount(_cell(hashes), minlength=SKETCH)
+            total[SKETCH:] += np.bincount(_cell(grams), minlength=SKETCH)
+        yield emit({k: block for k, block in enumerate(total.reshape(-1, SKETCH_BLOCK)) if block.any()})
 
     def emit(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([b.astype(np.int64).tobytes() for b in blocks.values()], pa.binary())], ["block", "counts"])
@@ -84,10 +94,30 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 
     schema = "block int, counts binary"
     summed = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
-    out = np.zeros(SKETCH, np.int64)
+    out = np.zeros(2 * SKETCH, np.int64)
     for k, raw in summed.collect():
         out[k * SKETCH_BLOCK : (k + 1) * SKETCH_BLOCK] = np.frombuffer(bytes(raw), np.int64)
-    return out
+    return out[:SKETCH], out[SKETCH:]
+
+
+class Frequency:
+    """Estimated frequencies of shingles: as if words were independent, or by its own counter where that is more.
+
+    A counter holds many shingles, so only what exceeds its expected sum by five deviations counts.
+    """
+
+    def __init__(self, words: np.ndarray, grams: np.ndarray):
+        total = max(1, int(words.sum()))
+        self.total, self.share = total, np.log(np.maximum(words, 1) / total)
+        mean = grams.mean()
+        self.excess = np.maximum(grams - mean - 5 * np.sqrt(mean), 0.0)
+
+    def __call__(self, hashes: np.ndarray, at: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
+        of_word = self.share[_cell(hashes)]
+        share = np.zeros(len(at))
+        for k in range(n):
+            share += of_word[at + k]
+        return np.maximum(np.exp(share) * self.total, self.excess[_cell(grams)])
 
 
 def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
@@ -217,7 +247,7 @@ def _candidates(num: int, den: int):
         return traverse([Tree(bitmap, n)], np.arange(len(n)), lambda p, q: True, num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, long = None, None  # rows of a shingle that may go on; the shingle whose rows are chained
+        rest = None  # rows of a shingle that may go on
         for batch in batches:
             rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             if not rows.num_rows:
@@ -225,42 +255,31 @@ def _candidates(num: int, den: int):
             token = rows.column("token").to_numpy()
             cut = int(np.searchsorted(token, token[-1]))
             if cut:
-                yield emit(rows.slice(0, cut), long)
-                long = None
+                yield emit(rows.slice(0, cut))
             rest = rows.slice(cut)
-            if rest.num_rows > BUCKET_ROWS:
-                long = token[-1]
-                yield emit(rest, long)
-                rest = rest.slice(rest.num_rows - 1)
         if rest is not None and rest.num_rows:
-            yield emit(rest, long)
+            yield emit(rest)
 
-    def emit(rows: pa.Table, long: int | None) -> pa.RecordBatch:
+    def emit(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         token, nodes, n = (rows.column(c).to_numpy() for c in ("token", "node", "n"))
-        bits = [np.frombuffer(b, np.uint64) for b in rows.column("bits").to_pylist()]
+        bits = [np.frombuffer(b.as_buffer(), np.uint64) for b in rows.column("bits")]
         heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         ends = np.append(heads[1:], len(token))
         size = ends - heads
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         of = np.repeat(ends, size)
-        chained = np.repeat(size > BUCKET_ROWS, size) | (False if long is None else token == long)
-        small = np.repeat(size <= LEAF, size) & ~chained
+        small = np.repeat(size <= LEAF, size)
         for d in range(1, LEAF):  # a leaf's pairs, those of all small buckets together
             i = np.flatnonzero(small & (np.arange(len(token)) + d < of))
             if len(i):
                 ok = _pair_bound(bits, n, i, i + d, num, den)
                 left.append(i[ok])
                 right.append(i[ok] + d)
-        i = np.flatnonzero(chained & (np.arange(len(token)) + 1 < of))
-        i = i[den * n[i] >= num * n[np.minimum(i + 1, len(n) - 1)]] if len(i) else i
-        left.append(i)
-        right.append(i + 1)
         for a, b in zip(heads[size > LEAF].tolist(), ends[size > LEAF].tolist(), strict=True):
-            if not chained[a]:
-                pairs = under_one(nodes[a:b], n[a:b], bits[a:b])
-                left.append(np.array([p for p, _ in pairs], np.int64) + a)
-                right.append(np.array([q for _, q in pairs], np.int64) + a)
+            pairs = under_one(nodes[a:b], n[a:b], bits[a:b])
+            left.append(np.array([p for p, _ in pairs], np.int64) + a)
+            right.append(np.array([q for _, q in pairs], np.int64) + a)
         i, j = np.concatenate(left), np.concatenate(right)
         pairs = np.unique(np.stack([np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -300,26 +319,32 @@ def _find(n: int, num: int, den: int):
 
 
 def _edges(docs: DataFrame, units: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """units: doc_id, unit, node, part, side."""
-    units = units.withColumnRenamed("doc_id", "_d")
-    rows = docs.join(if_small(units, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_d"))).select("unit", "node", "part", "side", "text")
-    rows = rows.repartition("unit").sortWithinPartitions("unit")
+    """Links between the classes of each unit. units: doc_id, text_key, unit, node, part, side."""
+    units = units.withColumnRenamed("doc_id", "_d").withColumnRenamed("text_key", "_k")
+    rows = docs.join(if_small(units, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")))
+    rows = rows.select("unit", "node", "part", "side", "text").repartition("unit").sortWithinPartitions("unit")
     return written(rows.mapInArrow(_find(n, num, den), "a long, b long"), "links")
 
 
-def class_links(docs: DataFrame, n: int, num: int, den: int, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """Of docs (doc_id, text): a row a document (doc_id, n_shingles, node), and links (a, b) that connect the classes."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = _sketch(docs, n)
+def shingle_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Of docs (doc_id, text, text_key): doc_id, text_key, n_shingles, node (the class), first shingles, bitmap."""
+    frequency = Frequency(*_sketches(docs, n))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text.pieces(batches):
-            sets = shingle_sets(data, offsets, n)
+            spans, hashes, at, grams, bounds = piece_shingles(data, offsets, n)
+            often = frequency(hashes, at, grams, n)
+            sets, first = [], []
+            for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                own, index = np.unique(grams[a:b], return_index=True)
+                if spans.counts[d] and a == b:
+                    own, index = text.window_hash(hashes, spans.bounds[d : d + 1], int(spans.counts[d])), None
+                sets.append(own)
+                # A linked set shares at least num/den of this one.
+                reach = len(own) - -(-num * len(own) // den) + 1 if len(own) else 0
+                first.append(own if index is None else own[np.lexsort((own, often[a:b][index]))[:reach]])
             size = np.array([len(s) for s in sets], np.int64)
-            # A linked set shares at least num/den of this one.
-            reach = np.where(size > 0, size - -(-num * size // den) + 1, 0)
-            first = [s[np.lexsort((s, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:r]] for s, r in zip(sets, reach.tolist(), strict=True)]
+            reach = np.array([len(f) for f in first], np.int64)
             flat = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
             nodes = [_set_key(s) if len(s) else None for s in sets]
             widths = [next(w for most, w in WIDTHS if len(s) <= most) for s in sets]
@@ -328,33 +353,72 @@ def class_links(docs: DataFrame, n: int, num: int, den: int, block_shingles: int
                 at = [k for k in range(len(sets)) if widths[k] == w]
                 for k, b in zip(at, bitmaps([sets[k] for k in at], w), strict=True):
                     bits[k] = b.tobytes()
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(nodes, pa.int64()), text.list_column(flat, reach, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "node", "first", "bits"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(size), pa.array(nodes, pa.int64()), text.list_column(flat, reach, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "text_key", "n_shingles", "node", "first", "bits"])
+
+    return docs.select("doc_id", "text", "text_key").mapInArrow(prefixes, "doc_id long, text_key long, n_shingles long, node long, first array<long>, bits binary")
+
+
+def _candidate_links(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate links (a, b) between classes (node, n, first, bits)."""
+    tokens = classes.select(F.explode("first").alias("token"), "node")
+    shared = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("held")).where("held > 1")
+    shared = written(shared.withColumnRenamed("token", "_t"), "shared")
+    release(classes.sparkSession)
+    rows = written(tokens.join(shared, F.col("token") == F.col("_t")).drop("_t"), "tokens")
+    release(classes.sparkSession)
+    # What very many classes share puts them into one cell: a star, which no task has to gather.
+    stars = rows.where((F.col("held") > BUCKET_ROWS) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    bits = classes.select(F.col("node").alias("_n"), "n", "bits")
+    rows = rows.where(F.col("held") <= BUCKET_ROWS).join(bits, F.col("node") == F.col("_n")).select("token", "node", "n", "bits")
+    rows = rows.repartition("token").sortWithinPartitions("token", "n", "node")
+    return rows.mapInArrow(_candidates(num, den), "a long, b long").union(stars)
 
-    sets = written(docs.mapInArrow(prefixes, "doc_id long, n_shingles long, node long, first array<long>, bits binary"), "sets")
-    release(spark)
-    # Shingles under which several classes lie, with one row for each of them.
-    tokens = sets.where("n_shingles > 0").select(F.explode("first").alias("token"), "node")
-    by_token = Window.partitionBy("token")
-    once = F.coalesce(F.lag("node").over(by_token.orderBy("node")) != F.col("node"), F.lit(True))
-    shared = tokens.select("token", "node", once.alias("once"), F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi")).where("once and lo < hi").select("token", "node")
-    shared = written(shared, "shared")
+
+def _dealt(rows: DataFrame, most: int, num: int, den: int, out: str) -> DataFrame:
+    """Deal rows (cell, n, node, ...) to blocks of about so many shingles: cells within that stay whole.
+
+    Larger ones are cut by grades of n, a grade's classes by a hash; all counts are plain sums.
+    """
+    grade = F.floor(F.log(F.col("n") + 0.5) / F.lit(float(np.log(den / num)))).cast("long")
+    rows = rows.withColumn("_grade", grade)
+    cells = rows.groupBy("cell").agg(F.sum("n").alias("_all")).where(F.col("_all") > most).select(F.col("cell").alias("_c"))
+    parts = rows.join(cells, F.col("cell") == F.col("_c")).groupBy("_c", F.col("_grade").alias("_g")).agg(F.ceil(F.sum("n") / most).alias("_parts"))
+    parts = if_small(written(parts, "parts"), BROADCAST_ROWS)
+    rows = rows.join(parts, (F.col("cell") == F.col("_c")) & (F.col("_grade") == F.col("_g")), "left")
+    block = F.when(F.col("_parts").isNull(), 0).otherwise(F.xxhash64("_grade", F.pmod(F.xxhash64("node"), F.col("_parts"))))
+    return rows.withColumn(out, block).drop("_grade", "_c", "_g", "_parts")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text: rows with equal doc_ids are told apart by it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("text_key", F.xxhash64("text"))
+
+
+def class_links(docs: DataFrame, n: int, num: int, den: int, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """Of docs: a row a document (doc_id, text_key, n_shingles, node), and links (a, b) that connect the classes."""
+    spark = docs.sparkSession
+    docs = keyed(docs)
+    sets = written(shingle_rows(docs, n, num, den), "sets")
+    held = sets.where("node is not null")
+    some = F.struct("doc_id", "text_key")
+    classes = held.groupBy("node").agg(F.min(some).alias("k"), F.first("n_shingles").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits"))
+    classes = written(classes.select("k.*", "node", "n", "first", "bits"), "classes")
     release(spark)
-    bits = sets.where("n_shingles > 0").groupBy("node").agg(F.max(F.struct(F.col("n_shingles").alias("n"), "bits")).alias("s")).select(F.col("node").alias("_n"), "s.n", "s.bits")
-    rows = shared.join(bits, F.col("node") == F.col("_n")).select("token", "node", "n", "bits")
-    rows = rows.repartition("token").sortWithinPartitions("token", "n", "node")
-    pairs = rows.mapInArrow(_candidates(num, den), "a long, b long")
-    cells = written(connected(pairs), "cells")
+    cells = written(connected(_candidate_links(classes, num, den)), "cells")
     release(spark)
-    classes = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    classes = classes.join(cells.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("doc_id", "node", "n", F.col("label").alias("cell"))
-    upto = Window.partitionBy("cell").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1)
-    classes = written(classes.withColumn("block", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / block_shingles)), "classes")
-    own = classes.select("doc_id", F.xxhash64("cell", "block").alias("unit"), "node", F.col("node").alias("part"), F.lit(-1).alias("side"))
-    links = _edges(docs, own, n, num, den)
-    wide = written(classes.groupBy("cell").agg(F.max("block").alias("most")).where("most > 0").select(F.col("cell").alias("_c")), "wide")
+    rows = classes.select("doc_id", "text_key", "node", "n").join(cells.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
+    rows = rows.select("doc_id", "text_key", "node", "n", F.col("label").alias("cell"))
+    rows = written(_dealt(written(rows, "celled"), block_shingles, num, den, "block"), "blocks")
+    own = rows.select("doc_id", "text_key", F.xxhash64("cell", "block").alias("unit"), "node", F.col("node").alias("part"), F.lit(-1).alias("side"))
+    repeated = held.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
+    texts = docs.dropDuplicates(["doc_id", "text_key"]) if repeated else docs
+    links = _edges(texts, own, n, num, den)
+    wide = written(rows.groupBy("cell").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi").select(F.col("cell").alias("_c")), "wide")
     if not wide.isEmpty():
-        links = links.union(_across(docs, classes.join(wide, F.col("cell") == F.col("_c")).drop("_c"), links, n, num, den, block_shingles))
-    return sets.select("doc_id", "n_shingles", "node"), links
+        rows = rows.join(if_small(wide, BROADCAST_ROWS), F.col("cell") == F.col("_c")).drop("_c")
+        links = links.union(_across(texts, rows, links, n, num, den, block_shingles))
+    return sets.select("doc_id", "text_key", "n_shingles", "node"), links
 
 
 def _parts(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -368,40 +432,66 @@ def _across(docs: DataFrame, classes: DataFrame, links: DataFrame, n: int, num:
     found = links
     rows = _parts(classes, found)
     # One class of each part in each block meets the others of its cell.
-    some = rows.groupBy("cell", "block", "part").agg(F.min(F.struct("n", "node", "doc_id")).alias("c")).select("cell", "part", "c.*")
-    upto = Window.partitionBy("cell").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1)
-    some = some.withColumn("bridge", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / block_shingles))
-    bridges = written(some.select("doc_id", F.xxhash64("cell", "bridge", F.lit("bridge")).alias("unit"), "node", "part", F.lit(-1).alias("side")), "bridges")
+    some = rows.groupBy("cell", "block", "part").agg(F.min(F.struct("n", "node", "doc_id", "text_key")).alias("c")).select("cell", "part", "c.*")
+    some = _dealt(written(some, "bridges"), block_shingles, num, den, "bridge")
+    bridges = written(some.select("doc_id", "text_key", F.xxhash64("cell", "bridge", F.lit("bridge")).alias("unit"), "node", "part", F.lit(-1).alias("side")), "bridges")
     more = _edges(docs, bridges, n, num, den)
     found = found.union(more)
     rows = _parts(classes, found)
-    blocks = written(rows.groupBy("cell", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("part").alias("p"), F.max("part").alias("q")), "blocks")
-    left, right = (blocks.select(F.col("cell").alias(f"c{k}"), F.col("block").alias(f"b{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}"), F.col("p").alias(f"p{k}"), F.col("q").alias(f"q{k}")) for k in (0, 1))
-    # Pairs of blocks of one cell whose sizes can link and that aren't one part already.
-    pairs = left.join(right, (F.col("c0") == F.col("c1")) & (F.col("b0") < F.col("b1")) & (F.col("hi0") * den >= F.col("lo1") * num))
-    pairs = pairs.where("NOT (p0 = q0 AND p1 = q1 AND p0 = p1)").withColumn("unit", F.xxhash64("c0", "b0", "b1", F.lit("pair")))
-    ends = pairs.select("unit", F.col("c0").alias("_c"), F.posexplode(F.array("b0", "b1")).alias("side", "_b"))
-    units = rows.join(ends, (F.col("cell") == F.col("_c")) & (F.col("block") == F.col("_b"))).select("doc_id", "unit", "node", "part", "side")
-    return more.union(_edges(docs, written(units, "pairs"), n, num, den))
+    # A missing link has an end outside of its cell's main part: those classes meet every block that sizes allow.
+    parts = rows.groupBy("cell", "part").agg(F.sum("n").alias("held"))
+    main = parts.groupBy("cell").agg(F.max(F.struct("held", "part"))["part"].alias("main")).withColumnRenamed("cell", "_c")
+    main = if_small(written(main, "main"), BROADCAST_ROWS)
+    outside = written(rows.join(main, (F.col("cell") == F.col("_c")) & (F.col("part") != F.col("main"))).drop("_c", "main"), "outside")
+    if outside.isEmpty():
+        return more
+    outside = written(_dealt(outside, block_shingles, num, den, "chunk"), "chunks")
+    ranges = [F.min("n").alias("lo"), F.max("n").alias("hi")]
+    chunks = outside.groupBy("cell", "chunk").agg(*ranges)
+    blocks = rows.groupBy(F.col("cell").alias("_c"), "block").agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"))
+    pairs = chunks.join(blocks, (F.col("cell") == F.col("_c")) & (F.col("hi") * den >= F.col("_lo") * num) & (F.col("_hi") * den >= F.col("lo") * num))
+    pairs = written(pairs.select(F.col("cell").alias("_c"), F.col("chunk").alias("_k"), F.col("block").alias("_b"), F.xxhash64("cell", "chunk", "block", F.lit("pair")).alias("unit")), "pairs")
+    columns = ["doc_id", "text_key", "unit", "node", "part"]
+    few = if_small(pairs, BROADCAST_ROWS)
+    one = outside.join(few, (F.col("cell") == F.col("_c")) & (F.col("chunk") == F.col("_k"))).select(*columns, F.lit(0).alias("side"))
+    other = rows.join(few, (F.col("cell") == F.col("_c")) & (F.col("block") == F.col("_b"))).select(*columns, F.lit(1).alias("side"))
+    return more.union(_edges(docs, written(one.union(other), "units"), n, num, den))
+
+
+def row_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, text_key, n_shingles, node and label (of the class's group, null without links) of every row."""
+    sets, links = class_links(docs, n, num, den, block_shingles)
+    labels = connected(links).withColumnRenamed("node", "_n")
+    return sets.join(labels, F.col("node") == F.col("_n"), "left").drop("_n").withColumn("label", F.coalesce("label", "node"))
 
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: links join documents with den * overlap >= num * union."""
-    sets, links = class_links(docs, n, num, den, block_shingles)
-    labels = connected(links).withColumnRenamed("node", "_n")
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(labels, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("label", "node").alias("label"), "least")
-    least = nodes.groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "_l")
-    nodes = nodes.join(least, F.col("label") == F.col("_l")).select(F.col("node").alias("_node"), "component_id")
-    rows = sets.join(nodes, F.col("node") == F.col("_node"), "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id"))
+    rows = written(row_components(docs, n, num, den, block_shingles), "rows")
+    least = rows.where("label is not null").groupBy(F.col("label").alias("_l")).agg(F.min("doc_id").alias("component_id"))
+    rows = rows.join(least, F.col("label") == F.col("_l"), "left")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the rows of a group but those with its smallest doc_id."""
-    gone = components(docs, n, num, den).where("component_id < doc_id").select(F.col("doc_id").alias("_d")).distinct()
-    gone = written(gone, "near-copies")
-    return docs.join(if_small(gone, BROADCAST_ROWS), docs["doc_id"] == gone["_d"], "left_anti")
+    """docs with one row of each group: that with its smallest doc_id (null only where all are; then the least hash of
+    the text decides). Rows without words are no group and stay."""
+    rows = written(row_components(docs, n, num, den).where("label is not null").select("doc_id", "text_key", "label"), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("unset"), "doc_id", "text_key")
+    least = rows.groupBy(F.col("label").alias("_l")).agg(F.min(place).alias("k"), F.count("*").alias("n")).where("n > 1")
+    least = written(least.select("_l", F.col("k.doc_id").alias("_d"), F.col("k.text_key").alias("_k")), "least")
+    grouped = rows.join(least, F.col("label") == F.col("_l"))
+    stays = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))
+    # Rows of one doc_id and text stay or go together; where several stay, one of them does.
+    marked = grouped.groupBy("doc_id", "text_key").agg(F.max(stays).alias("_stays"), F.count("*").alias("n"))
+    marked = written(marked.where("not _stays or n > 1").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "_stays"), "marked")
+    # The input's columns travel as one, so that their names can't clash.
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text"))
+    whole = whole.join(if_small(marked, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_k")), "left")
+    out = whole.where("_stays is null").select("_row.*")
+    if not marked.where("_stays").isEmpty():
+        out = out.unionByName(whole.where("_stays").dropDuplicates(["_id", "_text"]).select("_row.*"))
+    return out
 
 
 JACCARD_SQL = r"""
