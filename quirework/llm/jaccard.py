@@ -35,7 +35,7 @@ from quirework.llm.scratch import if_small, release, written
 SKETCH, SKETCH_BLOCK = 1 << 18, 1 << 12
 BITS = 2048
 #: Bits of a class's own bitmap, by the size of its set.
-WIDTHS = ((512, 512), (2048, 2048), (1 << 62, 8192))
+WIDTHS = ((512, 512), (2048, 2048), (8192, 8192), (1 << 62, 32768))
 LEAF = FAN = 8
 #: Classes under one shingle that one tree holds. More are joined in one cell: that loses no link.
 BUCKET_ROWS = 1 << 12
@@ -241,10 +241,11 @@ def _pair_bound(bits: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndar
 def _candidates(num: int, den: int):
     """Candidate links under each shingle; rows in: token, node, n, bits, sorted by token and n."""
 
-    def under_one(nodes: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> list[tuple[int, int]]:
+    def under_one(n: np.ndarray, bits: list[np.ndarray]) -> list[tuple[int, int]]:
+        # The tree's bitmaps are as wide as its narrowest; pairs at its leaves are held against their own.
         width = min(map(len, bits))
         bitmap = np.concatenate([folded(b[None], width) for b in bits])
-        return traverse([Tree(bitmap, n)], np.arange(len(n)), lambda p, q: True, num, den)
+        return traverse([Tree(bitmap, n)], np.arange(len(n)), lambda p, q: bool(_pair_bound(bits, n, np.array([p]), np.array([q]), num, den)[0]), num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # rows of a shingle that may go on
@@ -277,7 +278,7 @@ def _candidates(num: int, den: int):
                 left.append(i[ok])
                 right.append(i[ok] + d)
         for a, b in zip(heads[size > LEAF].tolist(), ends[size > LEAF].tolist(), strict=True):
-            pairs = under_one(nodes[a:b], n[a:b], bits[a:b])
+            pairs = under_one(n[a:b], bits[a:b])
             left.append(np.array([p for p, _ in pairs], np.int64) + a)
             right.append(np.array([q for _, q in pairs], np.int64) + a)
         i, j = np.concatenate(left), np.concatenate(right)
