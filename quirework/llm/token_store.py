@@ -11,6 +11,7 @@ table gives an empty store. Extra columns of the input are not read.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,9 @@ STORE = "doc_id long, part int, pos long, n_tokens long, ids array<int>"
 #: A worker forgets its encoded runs beyond this many.
 CACHE_RUNS = 1_500_000
 #: White space outside the ASCII class: the pre-tokeniser may join it to ASCII white space, so such texts are encoded whole.
-OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+OTHER_SPACE = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+#: Texts encoded at once: an encoding takes much more memory than its ids.
+BATCH_TEXTS = 64
 
 
 class RunEncoder:
@@ -37,15 +40,22 @@ class RunEncoder:
 
     Byte-level pre-tokenisation always breaks before a white-space run and between a letter and a stop, so
     the ids of a text are those of its runs, one after another. Runs repeat a lot; the tokeniser sees the
-    distinct ones, many at a time, with line ends between them.
+    distinct ones, many at a time, with line ends between them. Texts with other white space or with an added
+    token's string are encoded whole, as are all texts where the tokeniser's file names other steps.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        (self.line_end,) = self.encode(["\n"])[0]
+        steps = json.loads(self.tokenizer.to_str())
+        before = steps["pre_tokenizer"] or {}
+        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        line_end = self.encode(["\n"])[0]
+        self.by_runs = bool(byte_level and not steps["normalizer"] and not steps["post_processor"] and steps["model"]["type"] == "BPE" and not steps["model"].get("dropout") and len(line_end) == 1)
+        self.line_end = line_end[0] if line_end else -1
+        added = [re.escape(t["content"].encode()) for t in steps["added_tokens"]]
+        self.whole = re.compile(b"|".join([OTHER_SPACE, *added]))
         self.forget()
 
     def forget(self) -> None:
@@ -55,18 +65,24 @@ class RunEncoder:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _between_line_ends(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of runs and their lengths, encoded as one text."""
+        ids = np.array([*self.encode([b"\n".join(raw).decode()])[0], self.line_end], np.int32)
+        ends = np.flatnonzero(ids == self.line_end)
+        if len(ends) != len(raw):
+            each = self.encode([x.decode() for x in raw])
+            return np.array([i for row in each for i in row], np.int32), np.array([len(row) for row in each], np.int64)
+        return ids[ids != self.line_end], np.diff(ends, prepend=-1) - 1
+
     def _encode_runs(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of runs and their lengths."""
         plain = [x[:1] not in b"\t\n\x0b\x0c\r" and x[:2] != b"  " and x != b" " and not x[:2].isspace() for x in raw]
         joined = [x for x, ok in zip(raw, plain, strict=True) if ok]
-        # A few at a time: an encoding takes much more memory than its ids.
-        groups = (b"\n".join(joined[k : k + 1000]).decode() for k in range(0, len(joined), 1000))
-        ids = np.concatenate([np.zeros(0, np.int32), *(np.array([*self.encode([group])[0], self.line_end], np.int32) for group in groups)])
-        ends = np.flatnonzero(ids == self.line_end)
+        found = [self._between_line_ends(joined[k : k + 1000]) for k in range(0, len(joined), 1000)]
+        ids = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in found)])
         lengths = np.zeros(len(raw), np.int64)
         plain = np.array(plain, bool)
-        lengths[plain] = np.diff(ends, prepend=-1) - 1
-        ids = ids[ids != self.line_end]
+        lengths[plain] = np.concatenate([np.zeros(0, np.int64), *(x for _, x in found)])
         others = [np.array(row, np.int32) for row in self.encode([x.decode() for x, ok in zip(raw, plain, strict=True) if not ok])]
         lengths[~plain] = [len(row) for row in others]
         flat = np.empty(int(lengths.sum()), np.int32)
@@ -85,8 +101,16 @@ class RunEncoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number per document."""
+        whole = np.full(len(offsets) - 1, not self.by_runs)
+        raw = data.tobytes()
+        if self.by_runs:
+            for m in self.whole.finditer(raw):
+                # An added token's string may be one only across two documents: that costs nothing but time.
+                whole[int(np.searchsorted(offsets, m.start(), "right")) - 1] = True
         spans = text.runs(data, offsets)
-        keys, first, which = np.unique(spans.hashes(), return_index=True, return_inverse=True)
+        used = np.repeat(~whole, spans.counts)
+        keys, first, which = np.unique(spans.hashes()[used], return_index=True, return_inverse=True)
+        first = np.flatnonzero(used)[first]
         if len(self.keys) > CACHE_RUNS:
             self.forget()
         at = np.searchsorted(self.keys, keys)
@@ -94,15 +118,17 @@ class RunEncoder:
         if new.any():
             self._learn(keys[new], [spans.text(k) for k in first[new]])
         row = np.searchsorted(self.keys, keys)
-        each = self.lengths[row][which]
+        each = np.zeros(len(used), np.int64)
+        each[used] = self.lengths[row][which]
         counts = text.per_document(each, spans.bounds)
-        ids = text.ragged(self.flat, self.starts[row][which], each)
-        raw = data.tobytes()
-        odd = sorted({int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in OTHER_SPACE.finditer(raw)})
+        ids = text.ragged(self.flat, self.starts[row][which], each[used])
+        odd = np.flatnonzero(whole).tolist()
         if odd:
             parts = np.split(ids, np.cumsum(counts)[:-1])
-            for d, row in zip(odd, self.encode([raw[offsets[d] : offsets[d + 1]].decode() for d in odd]), strict=True):
-                parts[d] = np.array(row, np.int32)
+            for k in range(0, len(odd), BATCH_TEXTS):
+                some = odd[k : k + BATCH_TEXTS]
+                for d, found in zip(some, self.encode([raw[offsets[d] : offsets[d + 1]].decode() for d in some]), strict=True):
+                    parts[d] = np.array(found, np.int32)
             ids, counts = np.concatenate(parts), np.array([len(p) for p in parts])
         return ids, counts
 
