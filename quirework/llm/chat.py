@@ -1,19 +1,22 @@
 """Chat formatting: layouts found by fingerprint, a reversible template, and a loss mask.
 
-A layout is known by the hash of its nested field paths. Each known layout has a declarative mapping, a SQL
-expression that gives canonical turns ``array<struct<role, text>>``; no code looks at single records.
+A layout is known by the hash of its nested field paths, of those that any mapping names: other fields don't count.
+Each known layout has a declarative mapping, a SQL expression that gives canonical turns ``array<struct<role, text>>``;
+no code looks at single records.
 
 Template, per turn: ``<|turn|>role\\n`` text ``<|end|>\\n``. Inside texts and roles a backslash becomes ``\\e`` and
 ``<`` becomes ``\\l`` (in roles a line end becomes ``\\n``), so control strings occur only where the template puts
 them and each replacement can be undone by itself.
 
 Edge cases: a null role or text counts as empty. Turns with equal numbers are ordered by role and text, a null
-turn comes first, repeated rows stay repeated turns. Rows with a null conv_id form one conversation. A JSON record
-of an unknown layout, or one that isn't JSON, has null turns and a null layout. An empty table gives no rows.
+turn comes first, repeated rows stay repeated turns. Rows with a null conv_id form one conversation. A record
+of an unknown layout (or of two at once), or one that isn't JSON, has null turns and a null layout; a list without
+messages has no turns. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,53 +39,69 @@ LAYOUTS: dict[str, tuple[str, str]] = {
 }
 
 
-def _shape(kind: T.DataType) -> str:
-    """Nested field paths as text, leaf types left out; the fields of a record in order of name."""
-    if isinstance(kind, T.ArrayType):
-        return f"ARRAY<{_shape(kind.elementType)}>"
-    if isinstance(kind, T.StructType):
-        parts = [f"{f.name}: {s}" if (s := _shape(f.dataType)) else f.name for f in sorted(kind.fields, key=lambda f: f.name)]
-        return f"OBJECT<{', '.join(parts)}>"
-    return ""
+def _paths(kind: T.StructType) -> list[str]:
+    """Nested field paths of a record's schema: `field`, and `field[].name` within lists of records."""
+    out = []
+    for f in kind.fields:
+        out.append(f.name)
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            out += [f"{f.name}[].{g.name}" for g in f.dataType.elementType.fields]
+    return out
 
 
-def fingerprint(kind: T.DataType) -> str:
-    return hashlib.sha256(_shape(kind).encode()).hexdigest()
+def _schema(name: str) -> T.StructType:
+    return T.StructType.fromDDL(LAYOUTS[name][0])
+
+
+@functools.cache
+def _record() -> T.StructType:
+    """All fields that mappings name, in one record."""
+    return T.StructType(list({f.name: f for name in LAYOUTS for f in _schema(name).fields}.values()))
+
+
+def fingerprint(paths: list[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(p for p in set(paths) if p in _paths(_record()))).encode()).hexdigest()
 
 
 def _known() -> dict[str, str]:
-    return {fingerprint(T.StructType.fromDDL(schema)): name for name, (schema, _) in LAYOUTS.items()}
+    known = {}
+    for name in LAYOUTS:
+        paths = _paths(_schema(name))
+        known[fingerprint(paths)] = name
+        # A list without messages has no paths within.
+        known.setdefault(fingerprint([p for p in paths if "[]" not in p]), name)
+    return known
+
+
+def _mapped(name: str) -> Column:
+    return F.expr(f"CAST({LAYOUTS[name][1]} AS {TURNS})")
 
 
 def canonical_turns(records: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, layout and turns of typed records; the other columns' fingerprint selects the mapping."""
+    """keys, layout and turns of typed records; the other columns' fingerprint selects the mapping, for all rows alike."""
     kind = T.StructType([f for f in records.schema.fields if f.name not in keys])
-    name = _known().get(fingerprint(kind))
-    if name is None:
-        raise ValueError(f"no mapping for the layout {_shape(kind)}")
-    return records.select(*keys, F.lit(name).alias("layout"), F.expr(f"CAST({LAYOUTS[name][1]} AS {TURNS})").alias("turns"))
+    name = _known().get(fingerprint(_paths(kind)))
+    layout, turns = (F.lit(None).cast("string"), F.lit(None).cast(TURNS)) if name is None else (F.lit(name), _mapped(name))
+    return records.select(*keys, layout.alias("layout"), turns.alias("turns"))
 
 
 def canonical_turns_json(records: DataFrame, keys: list[str], column: str) -> DataFrame:
     """keys, layout and turns of JSON records of any mix of layouts; each record's own fingerprint selects its mapping."""
-    value = F.try_parse_json(column)
-    shape = F.regexp_replace(F.schema_of_variant(value), r": (STRING|VOID|BOOLEAN|BIGINT|DOUBLE|DECIMAL\([^)]*\))", "")
-    rows = records.select(*keys, F.col(column).alias("_json"), F.sha2(shape, 256).alias("_mark"))
+    lists = [f.name for f in _record().fields if isinstance(f.dataType, T.ArrayType)]
+    options = {"maxStringLen": str((1 << 31) - 1)}
+    json = F.col("_json")
+    raw = F.from_json(json, ", ".join(f"`{n}` array<string>" for n in lists), options)
+    within = [F.transform(F.array_distinct(F.flatten(F.coalesce(F.transform(raw[n], lambda m: F.coalesce(F.json_object_keys(m), F.array().cast("array<string>"))), F.array().cast("array<array<string>>")))), lambda k, n=n: F.concat(F.lit(f"{n}[]."), k)) for n in lists]
+    paths = F.concat(F.json_object_keys(json), *within)
+    named = F.array_sort(F.array_distinct(F.filter(paths, lambda p: p.isin(_paths(_record())))))
+    rows = records.select(F.struct(*keys).alias("_keys"), F.col(column).cast("string").alias("_json"))
+    rows = rows.select("_keys", F.sha2(F.array_join(named, "\n"), 256).alias("_mark"), F.from_json(json, _record(), options).alias("_record"))
+    rows = rows.select("_keys", "_mark", "_record.*")
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for mark, name in _known().items():
-        schema, mapping = LAYOUTS[name]
-        mapped = F.expr(f"transform(array(from_json(_json, '{schema}')), r -> CAST({_within_record(mapping, schema)} AS {TURNS}))[0]")
         layout = F.when(F.col("_mark") == mark, F.lit(name)).otherwise(layout)
-        turns = F.when(F.col("_mark") == mark, mapped).otherwise(turns)
-    return rows.select(*keys, layout.alias("layout"), turns.alias("turns"))
-
-
-def _within_record(mapping: str, schema: str) -> str:
-    """The mapping with a record's fields written as r.field."""
-    import re
-
-    names = "|".join(f.name for f in T.StructType.fromDDL(schema).fields)
-    return re.sub(rf"(?<![\w.'`])({names})(?![\w'`])", r"r.\1", mapping)
+        turns = F.when(F.col("_mark") == mark, _mapped(name)).otherwise(turns)
+    return rows.select("_keys.*", F.when(turns.isNotNull(), layout).alias("layout"), turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -136,18 +155,44 @@ def read_loss(parsed: Column, mask: Column) -> Column:
     return F.array_join(F.zip_with(parsed, mask, lambda t, m: unescape(F.substring(t["part"], (m["lead"] + 1).cast("int"), m["loss"].cast("int")))), "")
 
 
-def conversation_records(rows: DataFrame) -> DataFrame:
-    """Rows by turn to one record a conversation in the messages layout."""
+def conversation_turns(rows: DataFrame) -> DataFrame:
+    """Rows by turn to one row a conversation: conv_id and turns."""
     message = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
     # A null turn sorts last in array_sort, so turns are ordered by (is set, turn).
     keyed = F.struct(F.col("turn").isNotNull().alias("set"), message.alias("m"))
     gathered = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(keyed)).alias("all"))
-    return gathered.select("conv_id", F.transform("all", lambda x: F.struct(x["m"]["role"].alias("role"), x["m"]["content"].alias("content"))).alias("messages"))
+    return gathered.select("conv_id", F.transform("all", lambda x: F.struct(x["m"]["role"].alias("role"), x["m"]["content"].alias("text"))).alias("turns"))
+
+
+#: Records as public sets have them: a layout for question and answer, one after a system prompt, two for longer talks.
+_TWO = [("prompt", "completion"), ("prompt", "response"), ("question", "answer"), ("instruction", "output"), ("instruction", "output", "input")]
+
+
+def mixed_records(rows: DataFrame) -> DataFrame:
+    """Rows by turn to one JSON record a conversation (conv_id, record), in a layout that its roles and key select."""
+    turns = conversation_turns(rows)
+    roles = F.transform("turns", lambda t: t["role"])
+
+    def said(k: int) -> Column:
+        return F.col("turns")[k]["text"]
+
+    key = F.pmod(F.xxhash64("conv_id"), F.lit(len(_TWO)))
+    kept = F.col("conv_id").alias("id")
+    messages = F.to_json(F.struct(kept, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
+    names = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"))
+    talks = F.to_json(F.struct(kept, F.transform("turns", lambda t: F.struct(F.coalesce(F.try_element_at(names, t["role"]), t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations")))
+    record = F.when((F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0) | F.arrays_overlap(roles, F.array(F.lit("human"), F.lit("gpt"))), messages).otherwise(talks)
+    for k, (ask, answer, *more) in enumerate(_TWO):
+        one = F.to_json(F.struct(kept, said(0).alias(ask), said(1).alias(answer), *[F.lit("").alias(m) for m in more]))
+        record = F.when((roles == F.array(F.lit("user"), F.lit("assistant"))) & (key == k), one).otherwise(record)
+    told = F.to_json(F.struct(kept, said(0).alias("system"), said(1).alias("prompt"), said(2).alias("completion")))
+    record = F.when(roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), told).otherwise(record)
+    return turns.select("conv_id", record.alias("record"))
 
 
-def format_conversations(records: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, layout, formatted text and loss mask of typed records."""
-    return canonical_turns(records, keys).select(*keys, "layout", format_turns(F.col("turns")).alias("formatted"), loss_mask(F.col("turns")).alias("mask"))
+def format_conversations(canonical: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, layout, formatted text and loss mask of canonical turns; null where the layout is unknown."""
+    return canonical.select(*keys, "layout", format_turns(F.col("turns")).alias("formatted"), loss_mask(F.col("turns")).alias("mask"))
 
 
 #: A conversation whose texts imitate control strings.
@@ -155,9 +200,10 @@ HOSTILE = "SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, r AS
 
 
 def chat_digest(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Format all conversations and the hostile one, and digest what is read back from the formatted texts."""
+    """Land all conversations and the hostile one as records of mixed layouts, format what their fingerprints give, and
+    digest what is read back from the formatted texts."""
     rows = rows.select("conv_id", "turn", "role", "text").unionByName(spark.sql(HOSTILE))
-    out = format_conversations(conversation_records(rows), ["conv_id"])
+    out = format_conversations(canonical_turns_json(mixed_records(rows), ["conv_id"], "record"), ["conv_id"])
     read = out.withColumn("turns", parse_turns(F.col("formatted")))
     read = read.select("conv_id", "turns", F.length("formatted").cast("long").alias("formatted_chars"), read_loss(F.col("turns"), F.col("mask")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
