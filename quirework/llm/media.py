@@ -30,6 +30,8 @@ TIMESCALE, FRAME_TICKS = 24000, 1000
 KEYFRAME_EVERY = 12
 FRAMES_PER_CHUNK = 64
 PAD = b"\xff"
+#: Boxes nest no deeper in a sound file.
+MOST_DEPTH = 16
 _CONTAINERS = {b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"mvex", b"moof", b"traf", b"mfra", b"udta"}
 
 
@@ -150,10 +152,14 @@ def _tables(data: bytes, tables: dict[bytes, tuple[int, int]], track: Track) ->
             break
     if b"stsz" in tables:
         size, n = struct.unpack_from(">II", data, tables[b"stsz"][0] + 4)
+        if size and n > len(data) // size:
+            raise ValueError("samples lie beyond the file")
         track.sizes = np.full(n, size, np.int64) if size else numbers(b"stsz", 12, ">u4").astype(np.int64)
     elif b"stz2" in tables:
         start, end = tables[b"stz2"]
         bits, n = data[start + 7], struct.unpack_from(">I", data, start + 8)[0]
+        if bits not in (4, 8, 16):
+            raise ValueError(f"stz2 has fields of {bits} bits")
         if bits == 16:
             track.sizes = numbers(b"stz2", 12, ">u2").astype(np.int64)
         else:
@@ -177,7 +183,8 @@ def _tables(data: bytes, tables: dict[bytes, tuple[int, int]], track: Track) ->
         before = np.concatenate([[0], np.cumsum(track.sizes)])[:-1]
         heads = np.cumsum(each) - each
         track.offsets = np.repeat(at - before[np.minimum(heads, n - 1)], each) + before
-        if ((track.offsets + track.sizes) > len(data)).any():
+        if ((track.offsets < 0) | (track.offsets > len(data) - track.sizes)).any():
+            track.offsets = np.zeros(0, np.int64)
             raise ValueError("samples lie beyond the file")
     if len(track.offsets):
         track.keyframes = np.arange(n) if b"stss" not in tables else numbers(b"stss", 8, ">u4").astype(np.int64) - 1
@@ -194,6 +201,8 @@ def describe(data: bytes | None) -> Info:
         return info
 
     def walk(start: int, end: int, track: Track | None, depth: int) -> None:
+        if depth > MOST_DEPTH:
+            raise ValueError("boxes lie too deep")
         tables: dict[bytes, tuple[int, int]] = {}
         for kind, body, stop, fault in boxes(data, start, end):
             if fault:
@@ -203,7 +212,7 @@ def describe(data: bytes | None) -> Info:
             elif kind == b"trak":
                 info.tracks.append(Track())
                 walk(body, stop, info.tracks[-1], depth + 1)
-            elif kind in _CONTAINERS and depth < 16:
+            elif kind in _CONTAINERS:
                 walk(body, stop, track, depth + 1)
             elif track is not None and kind == b"mdhd":
                 long = data[body] == 1
