@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quirework.llm import text
 from quirework.llm.components import connected
@@ -361,18 +362,24 @@ def shingle_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 def _candidate_links(classes: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate links (a, b) between classes (node, n, first, bits)."""
-    tokens = classes.select(F.explode("first").alias("token"), "node")
-    shared = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("held")).where("held > 1")
+    tokens = classes.select(F.explode("first").alias("token"), "node", F.col("n").cast("int").alias("n"))
+    shared = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").cast("int").alias("held")).where("held > 1")
     shared = written(shared.withColumnRenamed("token", "_t"), "shared")
     release(classes.sparkSession)
-    rows = written(tokens.join(shared, F.col("token") == F.col("_t")).drop("_t"), "tokens")
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    less, more = (F.coalesce(step("n").over(by_size), F.lit(0)) for step in (F.lag, F.lead))
+    near = (den * less >= num * F.col("n")) | ((more > 0) & (den * F.col("n") >= num * more))
+    # Both sides grow with the input, so they are joined in one way at every size.
+    rows = tokens.join(shared.where(F.col("held") <= BUCKET_ROWS).hint("merge"), F.col("token") == F.col("_t"))
+    kept = written(rows.withColumn("_near", near).where("_near").select("token", "node", "n"), "tokens")
     release(classes.sparkSession)
     # What very many classes share puts them into one cell: a star, which no task has to gather.
-    stars = rows.where((F.col("held") > BUCKET_ROWS) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    bits = classes.select(F.col("node").alias("_n"), "n", "bits")
-    rows = rows.where(F.col("held") <= BUCKET_ROWS).join(bits, F.col("node") == F.col("_n")).select("token", "node", "n", "bits")
-    rows = rows.repartition("token").sortWithinPartitions("token", "n", "node")
-    return rows.mapInArrow(_candidates(num, den), "a long, b long").union(stars)
+    wide = shared.where(F.col("held") > BUCKET_ROWS)
+    stars = tokens.join(if_small(wide, BROADCAST_ROWS), (F.col("token") == F.col("_t")) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    bits = classes.select(F.col("node").alias("_n"), "bits")
+    pairs = kept.join(bits.hint("merge"), F.col("node") == F.col("_n")).select("token", "node", F.col("n").cast("long").alias("n"), "bits")
+    pairs = pairs.repartition("token").sortWithinPartitions("token", "n", "node")
+    return pairs.mapInArrow(_candidates(num, den), "a long, b long").union(stars)
 
 
 def _dealt(rows: DataFrame, most: int, num: int, den: int, out: str) -> DataFrame:
