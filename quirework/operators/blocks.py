@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirework.functions import headings as H
 from quirework.functions import strings as S
 
 
@@ -16,16 +15,19 @@ def list_ordinals(blocks: DataFrame) -> DataFrame:
     The counter of a depth is reset by any block that isn't a list item, by an item of a lesser depth, and by an
     unordered item of its own.
     """
-    by = Window.partitionBy("doc_id").orderBy("order", "block_id").rowsBetween(Window.unboundedPreceding, 0)
     item = F.col("kind") == "list-item"
     depth = F.greatest(F.coalesce("depth", F.lit(0)), F.lit(0))
-    rows = blocks.withColumn("_d", F.when(item, depth).otherwise(-1)).withColumn("_on", item & F.coalesce("ordered", F.lit(False)))
-    rows = rows.withColumn("_pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("order", "block_id")))
-    # Of each depth up to 8, the last place that resets it.
-    last = [F.max(F.when((F.col("_d") < k) | ((F.col("_d") == k) & ~F.col("_on")), F.col("_pos"))).over(by) for k in range(9)]
-    rows = rows.withColumn("_reset", F.coalesce(F.element_at(F.array(*[F.coalesce(x, F.lit(0)) for x in last]), F.least(F.greatest(F.col("_d"), F.lit(0)), F.lit(8)) + 1), F.lit(0)))
-    run = Window.partitionBy("doc_id", "_d", "_reset").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("ordinal", F.when(F.col("_on"), F.sum(F.col("_on").cast("int")).over(run))).drop("_d", "_on", "_pos", "_reset")
+    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("order", "block_id"))
+    rows = blocks.withColumn("_d", F.when(item, depth).otherwise(-1)).withColumn("_on", item & F.coalesce("ordered", F.lit(False))).withColumn("_pos", pos)
+    # Each depth that a document numbers sees the blocks at or above it; those that aren't its own ordered items reset it.
+    levels = rows.where("_on").select("doc_id", F.col("_d").alias("_level")).distinct()
+    seen = rows.select("doc_id", "_pos", "_d", "_on").join(levels, "doc_id").where("_d <= _level")
+    own = (F.col("_d") == F.col("_level")) & F.col("_on")
+    upto = Window.partitionBy("doc_id", "_level").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumn("_own", own).withColumn("_run", F.count_if(~F.col("_own")).over(upto))
+    run = Window.partitionBy("doc_id", "_level", "_run").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = seen.withColumn("ordinal", F.count_if("_own").over(run)).where("_own").select("doc_id", "_pos", "ordinal")
+    return rows.join(numbered, ["doc_id", "_pos"], "left").select(*blocks.columns, "ordinal")
 
 
 def render_item(text: Column, depth: Column, ordered: Column, ordinal: Column) -> Column:
@@ -47,19 +49,3 @@ def claim_mismatches(expected: DataFrame, consumed: DataFrame) -> DataFrame:
     c = consumed.groupBy("doc_id", "source_id").agg(F.count("*").alias("c"))
     both = e.join(c, ["doc_id", "source_id"], "full").na.fill(0, ["e", "c"])
     return both.where("e <> c or e > 1 or c > 1").groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
-def contents_start(blocks: DataFrame) -> DataFrame:
-    """doc_id, toc_order, start_order: where a list of articles ends and the articles themselves begin.
-
-    The first repeated article key of a document is the start if three keys came before it, three of the headings from
-    there on repeat keys, and the list before is dense.
-    """
-    rows = blocks.where(~F.col("kind").isin("table", "raw-text")).select("doc_id", "order", H.article_key(F.col("text")).alias("key")).where("key is not null")
-    by = Window.partitionBy("doc_id").orderBy("order")
-    rows = rows.withColumn("i", F.row_number().over(by) - 1).withColumn("seen", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("order")) > 1)
-    rows = rows.withColumn("distinct_before", F.sum((~F.col("seen")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("ahead", F.sum(F.col("seen").cast("int")).over(by.rowsBetween(0, 11))).withColumn("first", F.first("order").over(by))
-    dense = F.col("i") / F.greatest(F.col("order") - F.col("first"), F.lit(1)) >= 0.6
-    found = rows.where(F.col("seen") & (F.col("distinct_before") >= 3) & (F.col("ahead") >= 3) & dense)
-    return found.groupBy("doc_id").agg(F.min("first").alias("toc_order"), F.min("order").alias("start_order"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions import strings as S
+from quirework.operators.blocks import claim_mismatches
 from quirework.operators.split import split_text
 
 
@@ -59,6 +60,12 @@ def result_issues(m: dict[str, Column] | None = None) -> Column:
 COUNTERS = ["chunk_count", "longest_chunk", "processed_length", "over_safe_limit", "over_consumer_limit", "empty_chunks", "unresolved_collisions", "source_collisions"]
 
 
+def provenance_issues(expected: DataFrame, consumed: DataFrame) -> DataFrame:
+    """Issues of documents whose drafts don't account for each source (doc_id, source_id) exactly once."""
+    bad = claim_mismatches(expected, consumed)
+    return bad.select("doc_id", F.lit("source-block-consumption-mismatch").alias("code"), F.lit("error").alias("severity"), F.col("n"))
+
+
 def results(docs: DataFrame, chunks: DataFrame, issues: DataFrame | None = None) -> DataFrame:
     """One row a document of docs (doc_id): counters, issues, status and can_download; issues (doc_id, code, severity, n) come first."""
     rows = docs.select("doc_id").distinct().join(measures(chunks), "doc_id", "left").na.fill(0, COUNTERS)

@@ -63,7 +63,7 @@ def mark_decoration(lines: DataFrame) -> DataFrame:
 
 def may_have_pages(text: Column) -> Column:
     """Whether any line may be a page number: documents without one pass untouched, without windows."""
-    return text.rlike(r"(?imu)^\s*(?:\d+\s*[-–—]\s*\d+|[-–—]\s*\d+\s*[-–—]|(?:page|페이지)\s*\d+(?:\s*(?:/|of)\s*\d+)?)\s*$")
+    return text.rlike(r"(?imu)^[ \t]*(?:\d+\s*[-–—]\s*\d+|[-–—]\s*\d+\s*[-–—]|(?:page|페이지)\s*\d+(?:\s*(?:/|of)\s*\d+)?)[ \t]*$")
 
 
 def prepare(docs: DataFrame) -> DataFrame:

@@ -44,18 +44,21 @@ def compose_header(rows: Column) -> Column:
 
 
 def sheet_tables(sheets: DataFrame) -> DataFrame:
-    """Rows with number (of the table in its sheet), title (a row above its header, '' if none) and merged (rows of a continued table).
+    """Rows with number (of the table in its sheet), titles (rows above its header) and merged (rows of a continued table).
 
-    A region without a title that starts with data continues the table before it, if that has the same width and its
+    A region without titles that starts with data continues the table before it, if that has the same width and its
     header isn't data. Once one region fails, those after it do too, up to the next region with a header.
     """
     keyed = sheets.withColumn("table_no", F.col("sheet_no"))
     rows = T.regions(keyed)
-    place = Window.partitionBy(*SHEET, "region").orderBy("place")
-    rows = rows.withColumn("_p", populated(F.col("cells"))).withColumn("_titled", (F.first("_p").over(place) == 1) & F.coalesce(F.max(F.when(F.col("place") == 1, F.col("_p"))).over(place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) >= 2, F.lit(False)))
-    rows = rows.withColumn("title", F.when(F.col("_titled"), header_line(F.first("cells").over(place))).otherwise("")).where("not (_titled and place = 0)")
-    heads = rows.groupBy(*SHEET, "region", "title").agg(F.min_by("cells", "place").alias("head"), F.count("*").alias("n"))
-    heads = heads.withColumn("data", is_data_row(F.col("head"))).withColumn("opens", ~F.col("data") | (F.col("title") != ""))
+    region = Window.partitionBy(*SHEET, "region")
+    # Rows before the first one with several filled cells are titles, however many there are.
+    head = F.min(F.when(populated(F.col("cells")) >= 2, F.col("place"))).over(region)
+    rows = rows.withColumn("_title", F.col("place") < F.coalesce(head, F.lit(0)))
+    above = F.array_sort(F.collect_list(F.when(F.col("_title"), F.struct("place", header_line(F.col("cells")).alias("line")))).over(region))
+    rows = rows.withColumn("titles", F.transform(above, lambda x: x["line"])).where("not _title")
+    heads = rows.groupBy(*SHEET, "region", "titles").agg(F.min_by("cells", "place").alias("head"), F.count("*").alias("n"))
+    heads = heads.withColumn("data", is_data_row(F.col("head"))).withColumn("opens", ~F.col("data") | (F.size("titles") > 0))
     in_sheet = Window.partitionBy(*SHEET).orderBy("region").rowsBetween(Window.unboundedPreceding, 0)
     heads = heads.withColumn("_g", F.sum(F.col("opens").cast("int")).over(in_sheet))
     group = Window.partitionBy(*SHEET, "_g").orderBy("region").rowsBetween(Window.unboundedPreceding, 0)
@@ -63,16 +66,16 @@ def sheet_tables(sheets: DataFrame) -> DataFrame:
     fits = F.col("opens") | (lead["opens"] & ~lead["data"] & (lead["n"] >= 2) & (F.size("head") == lead["w"]))
     heads = heads.withColumn("_fits", fits).withColumn("merged", ~F.col("opens") & F.min("_fits").over(group))
     heads = heads.withColumn("number", F.sum((~F.col("merged")).cast("int")).over(in_sheet))
-    own = F.first("title").over(Window.partitionBy(*SHEET, "number").orderBy("region"))
-    heads = heads.select(*SHEET, "region", "number", "merged", own.alias("title"))
-    return rows.drop("title", "_p", "_titled", "table_no").join(heads, [*SHEET, "region"])
+    own = F.first("titles").over(Window.partitionBy(*SHEET, "number").orderBy("region"))
+    heads = heads.select(*SHEET, "region", "number", "merged", own.alias("titles"))
+    return rows.drop("titles", "_title", "table_no").join(heads, [*SHEET, "region"])
 
 
 def workbook_drafts(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drafts and issues of sheet tables; tables of different sheets or regions never share a chunk."""
     rows = cut(sheet_tables(sheets), "sheet-rows").withColumn("table_no", F.col("sheet_no") * 1_000_000 + F.col("number"))
     lines = F.array(F.concat(F.lit("[파일] "), "name"), F.concat(F.lit("[시트] "), "sheet"))
-    context = F.concat(lines, F.when(F.col("title") != "", F.array(F.concat(F.lit("[머리행] "), "title"))).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit("[표] "), F.col("number").cast("string"))))
+    context = F.concat(lines, F.transform("titles", lambda x: F.concat(F.lit("[머리행] "), x)), F.array(F.concat(F.lit("[표] "), F.col("number").cast("string"))))
     tables = rows.select("doc_id", "table_no", context.alias("context")).distinct()
     lengths = tables.select("doc_id", "table_no", (S.u16_length(F.array_join("context", "\n")) + 1).alias("context_length"))
     packed = cut(T.table_drafts(rows.select("doc_id", "table_no", "row_no", "cells"), lengths).join(tables, ["doc_id", "table_no"]), "sheet-drafts")

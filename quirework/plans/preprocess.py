@@ -2,32 +2,86 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions import strings as S
+from quirework.operators import contracts, delegation, sections
 from quirework.operators import drafts as D
 from quirework.operators import lines as L
-from quirework.operators import sections
 from quirework.operators.storage import cut
 
 CHUNKERS = {"general": sections.general_drafts, "law": sections.law_drafts, "manual": sections.manual_drafts}
+#: The one source of a flat text.
+RAW_SOURCE = "raw-text-1"
 
 
-def raw_documents(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str | None = None) -> DataFrame:
-    """doc_id, name, text of flat texts; without a name the default one."""
+def raw_documents(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str | None = None, kind: str | None = None) -> DataFrame:
+    """doc_id, name, text[, kind] of flat texts; without a name the default one. kind names a column of document types."""
     named = F.coalesce(F.nullif(S.trim(F.col(name)), F.lit("")), F.lit(S.DEFAULT_NAME)) if name else F.lit(S.DEFAULT_NAME)
-    return rows.select(F.col(doc_id).alias("doc_id"), named.alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    more = [S.doc_type(F.coalesce(F.col(kind), F.lit("general"))).alias("kind")] if kind else []
+    return rows.select(F.col(doc_id).alias("doc_id"), named.alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
+
+
+def _drafted(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Drafts and issues of several routes; their draft numbers are one struct<pos, region, place, part>."""
+    number = F.struct(*[F.col(f"draft_no.{k}").cast("int").alias(k) for k in ("pos", "region", "place", "part")])
+    drafts = [d.select("doc_id", number.alias("draft_no"), "context", "body") for d, _ in parts]
+    return reduce(DataFrame.unionByName, drafts), reduce(DataFrame.unionByName, [i for _, i in parts])
+
+
+def route_drafts(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drafts and issues of prepared docs (doc_id, name, text, kind): delegation rules first, then each row by its type.
+
+    Sheets come as tables (operators.workbook, operators.cells), not as text; a text of that type is read as general.
+    """
+    rules, issues, ids = delegation.delegation_drafts(prepared.where("kind <> 'excel'").select("doc_id", "name", "text"))
+    parts = [(rules, issues)]
+    rest = prepared.join(ids, "doc_id", "left_anti")
+    kind = F.when(F.col("kind").isin(list(CHUNKERS)), F.col("kind")).otherwise("general")
+    for name, chunker in CHUNKERS.items():
+        own = rest.where(kind == name).select("doc_id", "name", "text")
+        if not own.isEmpty():
+            parts.append(chunker(own))
+    return _drafted(parts)
 
 
 def preprocess(docs: DataFrame, kind: str = "general") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """chunks (doc_id, draft_no, piece, chunk, n_collisions), issues (doc_id, code, severity, n) and the prepared docs."""
+    """chunks (doc_id, draft_no, piece, chunk, n_collisions), issues (doc_id, code, severity, n) and the prepared docs.
+
+    docs may have a column kind, which routes each row; without it all are of the one kind.
+    """
     prepared = cut(L.prepare(docs), "prepared")
-    drafts, issues = CHUNKERS[kind](prepared.select("doc_id", "name", "text"))
+    drafts, issues = route_drafts(prepared) if "kind" in docs.columns else CHUNKERS[kind](prepared.select("doc_id", "name", "text"))
     removed = prepared.where("n_removed > 0").select("doc_id", F.lit("page-decoration-removed").alias("code"), F.lit("warning").alias("severity"), F.col("n_removed").alias("n"))
     return cut(D.finalize(drafts), "chunks"), removed.unionByName(issues), prepared
 
 
 def preprocess_results(docs: DataFrame, kind: str = "general") -> DataFrame:
-    chunks, issues, _ = preprocess(docs, kind)
-    return D.results(docs, chunks, issues)
+    """One row a document; a text none of whose drafts takes it up is blocked."""
+    chunks, issues, prepared = preprocess(docs, kind)
+    expected = prepared.where(~S.is_blank(F.col("text"))).select("doc_id", F.lit(RAW_SOURCE).alias("source_id")).distinct()
+    # The first draft claims the text, so a document with chunks consumes it once.
+    consumed = chunks.select("doc_id", F.lit(RAW_SOURCE).alias("source_id")).distinct()
+    lost = D.provenance_issues(expected, consumed.join(expected.select("doc_id"), "doc_id", "left_semi"))
+    return D.results(docs, chunks, issues.unionByName(lost))
+
+
+def preprocess_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """chunks and results of structured general documents (operators.contracts' blocks): contracts, else sections of their text."""
+    blocks = cut(blocks, "blocks")
+    drafts, issues, claims = contracts.contract_drafts(blocks)
+    drafts, claims = cut(drafts, "contracts"), cut(claims, "claims")
+    ids = claims.select("doc_id").distinct()
+    rest = contracts.rendered(blocks.join(ids, "doc_id", "left_anti").where(contracts.has_source(F.col("kind"), F.col("text"), F.col("rows"))))
+    line = F.when(F.col("kind") == "heading", F.concat(F.lit("# "), "shown")).otherwise(F.col("shown"))
+    texts = rest.groupBy("doc_id", "name").agg(F.array_sort(F.collect_list(F.struct("order", "block_id", line.alias("line")))).alias("l"))
+    texts = texts.select("doc_id", "name", F.array_join(F.transform("l", lambda x: x["line"]), "\n\n").alias("text"))
+    both, all_issues = _drafted([(drafts, issues), sections.general_drafts(L.prepare(texts).select("doc_id", "name", "text"))])
+    chunks = cut(D.finalize(both), "chunks")
+    # Every block that a contract keeps is expected once.
+    kept = contracts.articles(blocks).join(ids, "doc_id", "left_semi").select("doc_id", F.col("block_id").alias("source_id"))
+    lost = D.provenance_issues(kept, claims.select("doc_id", "source_id"))
+    return chunks, D.results(blocks, chunks, all_issues.unionByName(lost))

@@ -83,18 +83,20 @@ def file_routes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "nation").select("n_nationkey", S.file_route(F.concat("n_name", F.lit("."), ext)).alias("route"))
 
 
-LAW_SQL = """SELECT r_regionkey AS doc_id, '[위치] 제' || (r_regionkey + 1) || '편 ' || r_name || ' > 제' || (n_nationkey + 1) || '장 ' || n_name || ' > 제' || c_custkey || '조(' || c_name || ')' AS location,
+LAW_SQL = """SELECT c_custkey // 40 AS doc_id, '[위치] 제' || (r_regionkey + 1) || '편 ' || r_name || ' > 제' || (n_nationkey + 1) || '장 ' || n_name || ' > 제' || c_custkey || '조(' || c_name || ')' AS location,
 c_mktsegment || ' 고객' AS body FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
 
 @query(LAW_SQL)
 def law_articles(spark: SparkSession, folder: str) -> DataFrame:
-    """One statute a region: nations are chapters, customers are articles."""
+    """A statute for each forty customers, who are its articles; regions are parts, nations are chapters."""
     region, nation, customer = (table(spark, folder, t) for t in ("region", "nation", "customer"))
-    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    article = rows.select(F.col("n_regionkey").alias("doc_id"), F.struct(F.col("n_nationkey").cast("long").alias("a"), F.col("c_custkey").cast("long").alias("b")).alias("k"), F.concat(F.lit("제"), F.col("c_custkey").cast("string"), F.lit("조("), "c_name", F.lit(") "), "c_mktsegment", F.lit(" 고객")).alias("line"))
-    chapter = nation.select(F.col("n_regionkey").alias("doc_id"), F.struct(F.col("n_nationkey").cast("long").alias("a"), F.lit(-1).cast("long").alias("b")).alias("k"), F.concat(F.lit("제"), (F.col("n_nationkey") + 1).cast("string"), F.lit("장 "), "n_name").alias("line"))
-    part = region.select(F.col("r_regionkey").alias("doc_id"), F.struct(F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b")).alias("k"), F.concat(F.lit("제"), (F.col("r_regionkey") + 1).cast("string"), F.lit("편 "), "r_name").alias("line"))
+    rows = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.withColumn("doc_id", F.floor(F.col("c_custkey") / 40).cast("long"))
+    key = lambda *parts: F.struct(*[F.coalesce(F.col(p), F.lit(-1)).cast("long").alias(f"k{i}") if p else F.lit(-1).cast("long").alias(f"k{i}") for i, p in enumerate(parts)]).alias("k")
+    article = rows.select("doc_id", key("r_regionkey", "n_nationkey", "c_custkey"), F.concat(F.lit("제"), F.col("c_custkey").cast("string"), F.lit("조("), "c_name", F.lit(") "), "c_mktsegment", F.lit(" 고객")).alias("line"))
+    chapter = rows.select("doc_id", key("r_regionkey", "n_nationkey", None), F.concat(F.lit("제"), (F.col("n_nationkey") + 1).cast("string"), F.lit("장 "), "n_name").alias("line")).distinct()
+    part = rows.select("doc_id", key("r_regionkey", None, None), F.concat(F.lit("제"), (F.col("r_regionkey") + 1).cast("string"), F.lit("편 "), "r_name").alias("line")).distinct()
     docs = raw_documents(text_of(article.unionByName(chapter).unionByName(part), F.col("line")))
     drafts, _ = sections.law_drafts(docs)
     return drafts.select("doc_id", F.col("context")[1].alias("location"), "body")
@@ -110,14 +112,27 @@ def general_sections(spark: SparkSession, folder: str) -> DataFrame:
     return drafts.select("doc_id", F.col("context")[1].alias("section"), "body")
 
 
-@query("""SELECT o_orderpriority AS section, CAST(count(*) + 1 AS BIGINT) AS n_lines FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey AS doc_id, o_orderpriority AS section, '※ 주의' || chr(10) || string_agg('주문 ' || o_orderkey || ' 처리한다.', chr(10) ORDER BY o_orderkey) AS body FROM orders GROUP BY 1, 2""")
 def manual_steps(spark: SparkSession, folder: str) -> DataFrame:
-    """One manual: order priorities are sections, orders are steps; a safety line opens each section."""
-    orders = table(spark, folder, "orders")
-    step = orders.select(F.lit(1).alias("doc_id"), F.struct("o_orderpriority", F.col("o_orderkey").cast("long").alias("n")).alias("k"), F.concat(F.lit("주문 "), F.col("o_orderkey").cast("string"), F.lit(" 처리한다.")).alias("line"))
-    head = orders.select("o_orderpriority").distinct().select(F.lit(1).alias("doc_id"), F.struct("o_orderpriority", F.lit(-1).cast("long").alias("n")).alias("k"), F.concat(F.lit("# "), "o_orderpriority", F.lit("\n※ 주의")).alias("line"))
+    """A manual for each customer: order priorities are sections, orders are steps; a safety line opens each section."""
+    orders = table(spark, folder, "orders").withColumnRenamed("o_custkey", "doc_id")
+    key = lambda n: F.struct("o_orderpriority", n.cast("long").alias("n")).alias("k")
+    step = orders.select("doc_id", key(F.col("o_orderkey")), F.concat(F.lit("주문 "), F.col("o_orderkey").cast("string"), F.lit(" 처리한다.")).alias("line"))
+    head = orders.select("doc_id", "o_orderpriority").distinct().select("doc_id", key(F.lit(-1)), F.concat(F.lit("# "), "o_orderpriority", F.lit("\n※ 주의")).alias("line"))
     drafts, _ = sections.manual_drafts(raw_documents(text_of(step.unionByName(head), F.col("line"))))
-    return drafts.groupBy(F.regexp_replace(F.col("context")[1], r"^\[섹션\] ", "").alias("section")).agg(F.sum(F.size(F.split("body", "\n", -1))).alias("n_lines"))
+    return drafts.select("doc_id", F.regexp_replace(F.col("context")[1], r"^\[섹션\] ", "").alias("section"), "body")
+
+
+@query("""SELECT s_suppkey AS doc_id, '[문서] 텍스트 문서.txt' || chr(10) || CASE s_suppkey % 4 WHEN 0 THEN '[위치] 제' || s_suppkey || '조(목적)' || chr(10) || '본문 ' || s_name WHEN 1 THEN '[섹션] 절차' || chr(10) || s_name || ' 처리한다.' WHEN 2 THEN '[섹션] 머리' || chr(10) || 'plain ' || s_name ELSE '[섹션] 전문' || chr(10) || 'memo ' || s_name END AS chunk FROM supplier""")
+def routed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of four document types in one table, each row by its own chunker."""
+    supplier = table(spark, folder, "supplier")
+    kind = F.pmod("s_suppkey", F.lit(4))
+    law = F.concat(F.lit("제"), F.col("s_suppkey").cast("string"), F.lit("조(목적) 본문 "), "s_name")
+    text = F.when(kind == 0, law).when(kind == 1, F.concat(F.lit("# 절차\n"), "s_name", F.lit(" 처리한다."))).when(kind == 2, F.concat(F.lit("## 머리\nplain "), "s_name")).otherwise(F.concat(F.lit("memo "), "s_name"))
+    of = F.when(kind == 0, "law").when(kind == 1, "research_paper").when(kind == 2, "general").otherwise("letter")
+    docs = raw_documents(supplier.select("s_suppkey", text.alias("text"), of.alias("type")), "s_suppkey", kind="type")
+    return preprocess(docs)[0].select("doc_id", "chunk")
 
 
 @query("""SELECT s_nationkey AS doc_id, CAST(CASE WHEN count(*) < 2 THEN 0 ELSE count(*) + greatest(count(*) - 2, 0) END AS BIGINT) AS n_removed FROM supplier GROUP BY 1""")
@@ -129,21 +144,21 @@ def page_decoration(spark: SparkSession, folder: str) -> DataFrame:
     return L.prepare(docs).select("doc_id", "n_removed")
 
 
-@query("""SELECT p_brand AS sheet, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_type) AS BIGINT) AS number, CAST(count(*) + 1 AS BIGINT) AS n_rows, p_type AS title FROM part GROUP BY p_brand, p_type""")
+@query("""SELECT p_partkey // 500 AS doc_id, p_brand AS sheet, CAST(dense_rank() OVER (PARTITION BY p_partkey // 500, p_brand ORDER BY p_type) AS BIGINT) AS number, CAST(count(*) + 1 AS BIGINT) AS n_rows, p_type || '/of ' || p_brand AS titles FROM part GROUP BY 1, p_brand, p_type""")
 def sheet_regions(spark: SparkSession, folder: str) -> DataFrame:
-    """One workbook: brands are sheets, types are tables with a title row, an empty row lies between them."""
-    part = table(spark, folder, "part")
+    """A workbook for each 500 parts: brands are sheets, types are tables with two title rows, an empty row lies between them."""
+    part = table(spark, folder, "part").withColumn("doc", F.floor(F.col("p_partkey") / 500).cast("long"))
     from pyspark.sql.window import Window
 
-    place = Window.partitionBy("p_brand").orderBy("p_type", "o", "p_partkey")
-    data = part.select("p_brand", "p_type", F.lit(3).alias("o"), "p_partkey", F.array(F.concat(F.lit("name "), "p_name"), F.concat(F.lit("size "), F.col("p_size").cast("string"))).alias("cells"))
-    brands = part.select("p_brand", "p_type").distinct()
-    extra = brands.select("p_brand", "p_type", F.explode(F.array(
-        F.struct(F.lit(0).alias("o"), F.array(F.lit(""), F.lit("")).alias("cells")), F.struct(F.lit(1).alias("o"), F.array(F.col("p_type"), F.lit("")).alias("cells")), F.struct(F.lit(2).alias("o"), F.array(F.lit("name"), F.lit("size")).alias("cells")),
-    )).alias("x")).select("p_brand", "p_type", "x.o", F.lit(-1).cast(part.schema["p_partkey"].dataType).alias("p_partkey"), "x.cells")
+    place = Window.partitionBy("doc", "p_brand").orderBy("p_type", "o", "p_partkey")
+    data = part.select("doc", "p_brand", "p_type", F.lit(4).alias("o"), "p_partkey", F.array(F.concat(F.lit("name "), "p_name"), F.concat(F.lit("size "), F.col("p_size").cast("string"))).alias("cells"))
+    brands = part.select("doc", "p_brand", "p_type").distinct()
+    extra = brands.select("doc", "p_brand", "p_type", F.explode(F.array(
+        F.struct(F.lit(0).alias("o"), F.array(F.lit(""), F.lit("")).alias("cells")), F.struct(F.lit(1).alias("o"), F.array(F.col("p_type"), F.lit("")).alias("cells")), F.struct(F.lit(2).alias("o"), F.array(F.lit(""), F.concat(F.lit("of "), "p_brand")).alias("cells")), F.struct(F.lit(3).alias("o"), F.array(F.lit("name"), F.lit("size")).alias("cells")),
+    )).alias("x")).select("doc", "p_brand", "p_type", "x.o", F.lit(-1).cast(part.schema["p_partkey"].dataType).alias("p_partkey"), "x.cells")
     sheets = data.unionByName(extra).withColumn("row_no", F.row_number().over(place))
-    sheets = sheets.select(F.lit(1).alias("doc_id"), F.lit("parts.xlsx").alias("name"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("sheet_no"), F.col("p_brand").alias("sheet"), "row_no", "cells")
-    return workbook.sheet_tables(sheets).groupBy("sheet", F.col("number").cast("long").alias("number"), "title").agg(F.count("*").alias("n_rows")).select("sheet", "number", "n_rows", "title")
+    sheets = sheets.select(F.col("doc").alias("doc_id"), F.lit("parts.xlsx").alias("name"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("sheet_no"), F.col("p_brand").alias("sheet"), "row_no", "cells")
+    return workbook.sheet_tables(sheets).groupBy("doc_id", "sheet", F.col("number").cast("long").alias("number"), F.array_join("titles", "/").alias("titles")).agg(F.count("*").alias("n_rows"))
 
 
 @query("""SELECT c_nationkey AS doc_id, CAST(count(*) AS BIGINT) AS n_rows, true AS all_fit FROM customer GROUP BY 1""")
@@ -160,12 +175,20 @@ def table_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.groupBy("doc_id").agg(F.sum(F.size(F.split("body", "\n", -1)) - 2).alias("n_rows"), F.min(S.u16_length(F.col("body")) <= S.CHUNK_LIMIT - 40).alias("all_fit"))
 
 
-@query("""SELECT l_orderkey AS doc_id, l_linenumber AS block_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS ordinal FROM lineitem""")
+@query("""WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem)
+SELECT doc_id, CAST(2 * k AS INT) AS block_id, CAST(k // 3 AS BIGINT) AS ordinal FROM l WHERE k % 3 = 0
+UNION ALL SELECT doc_id, CAST(2 * k AS INT), CAST(CASE k % 3 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) FROM l WHERE k % 3 <> 0
+UNION ALL SELECT doc_id, CAST(2 * k + 1 AS INT), CAST(1 AS BIGINT) FROM l""")
 def list_ordinals(spark: SparkSession, folder: str) -> DataFrame:
-    """One list an order, its lines as ordered items."""
-    lines = table(spark, folder, "lineitem")
-    blocks = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("block_id"), F.col("l_linenumber").alias("order"), F.lit("list-item").alias("kind"), F.lit(0).alias("depth"), F.lit(True).alias("ordered"))
-    return B.list_ordinals(blocks).select("doc_id", "block_id", F.col("ordinal").cast("long").alias("ordinal"))
+    """Lists of three depths, the deepest below ten others: a shallower item starts the numbers under it anew."""
+    from pyspark.sql.window import Window
+
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), k.alias("k"))
+    top = lines.select("doc_id", (F.col("k") * 2).alias("block_id"), F.when(F.col("k") % 3 == 0, 0).otherwise(9).alias("depth"))
+    deep = lines.select("doc_id", (F.col("k") * 2 + 1).alias("block_id"), F.lit(12).alias("depth"))
+    blocks = top.unionByName(deep).withColumn("order", F.col("block_id")).withColumn("kind", F.lit("list-item")).withColumn("ordered", F.lit(True))
+    return B.list_ordinals(blocks).select("doc_id", "block_id", "ordinal")
 
 
 @query("""SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_suppkey AS doc_id, l_partkey, count(*) AS c FROM lineitem GROUP BY 1, 2) WHERE c > 1 GROUP BY 1""")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -87,42 +88,98 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def workbook_rows(raw: bytes) -> list[dict]:
-    """Rows of an OOXML workbook as stored text: shared and inline strings, numbers as written, covered cells blank."""
+CELLS = "sheet_no int, sheet string, cells array<struct<row:int,col:int,value:string,formula:string,comment:boolean>>, merges array<struct<merge_no:int,top:int,left:int,bottom:int,right:int>>, titles array<string>"
+
+
+def _place(address: str) -> tuple[int, int]:
+    """Row and column, from 1, of an address such as B7."""
+    m = re.fullmatch(r"\$?([A-Z]+)\$?(\d+)", address)
+    if not m:
+        return 0, 0
+    column = 0
+    for letter in m[1]:
+        column = column * 26 + ord(letter) - 64
+    return int(m[2]), column
+
+
+def workbook_parts(raw: bytes) -> list[dict]:
+    """Sheets of an OOXML workbook: cells with stored values (numbers as written), formulas and comments; merges; print titles."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_M}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        read = lambda name: ElementTree.fromstring(z.read(name)) if name in names else None
+        strings = read("xl/sharedStrings.xml")
+        shared = [] if strings is None else ["".join(t.text or "" for t in si.iter(f"{_M}t")) for si in strings]
+        targets = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
+        book = read("xl/workbook.xml")
+        named = [(n.get("localSheetId"), n.text or "") for n in book.iter(f"{_M}definedName") if n.get("name") == "_xlnm.Print_Titles"]
         out = []
-        for k, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_M}sheet"), 1):
+        for k, sheet in enumerate(book.iter(f"{_M}sheet"), 1):
             target = targets[sheet.get(f"{_R}id")].lstrip("/")
-            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            cells: dict[tuple[int, int], str] = {}
+            path = target if target.startswith("xl/") else f"xl/{target}"
+            root = read(path)
+            cells: dict[tuple[int, int], dict] = {}
             for c in root.iter(f"{_M}c"):
-                m = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r", ""))
-                if not m:
-                    continue
-                column = 0
-                for letter in m[1]:
-                    column = column * 26 + ord(letter) - 64
-                value = c.find(f"{_M}v")
-                text = "".join(t.text or "" for t in c.iter(f"{_M}t")) if c.get("t") == "inlineStr" else (value.text or "" if value is not None else "")
+                at = _place(c.get("r", ""))
+                value, formula = c.find(f"{_M}v"), c.find(f"{_M}f")
+                text = "".join(t.text or "" for t in c.iter(f"{_M}t")) if c.get("t") == "inlineStr" else value.text if value is not None else None
                 if c.get("t") == "s" and text:
                     text = shared[int(text)]
-                if c.get("t") == "b":
+                if c.get("t") == "b" and text is not None:
                     text = "TRUE" if text == "1" else "FALSE"
-                if text or c.find(f"{_M}f") is not None:
-                    cells[int(m[2]), column] = text
-            if not cells:
-                continue
-            top, left = min(r for r, _ in cells), min(c for _, c in cells)
-            bottom, right = max(r for r, _ in cells), max(c for _, c in cells)
-            out += [{"sheet_no": k, "sheet": sheet.get("name"), "row_no": r - top, "cells": [cells.get((r, c), "") for c in range(left, right + 1)]} for r in range(top, bottom + 1)]
+                if at[0] and (text is not None or formula is not None):
+                    cells[at] = {"value": text, "formula": None if formula is None else formula.text or "", "comment": False}
+            folder, file = path.rsplit("/", 1)
+            links = read(f"{folder}/_rels/{file}.rels")
+            for link in [] if links is None else links:
+                if link.get("Type", "").endswith("/comments"):
+                    notes = read(posixpath.normpath(posixpath.join(folder, link.get("Target", ""))))
+                    for note in [] if notes is None else notes.iter(f"{_M}comment"):
+                        at = _place(note.get("ref", ""))
+                        cells.setdefault(at, {"value": None, "formula": None})["comment"] = True
+            merges = []
+            for m in root.iter(f"{_M}mergeCell"):
+                ends = [_place(x) for x in m.get("ref", "").split(":")]
+                merges.append({"merge_no": len(merges), "top": ends[0][0], "left": ends[0][1], "bottom": ends[-1][0], "right": ends[-1][1]})
+            titles = [ref for scope, ref in named if scope is None or scope == str(k - 1)]
+            listed = [{"row": r, "col": c, **cells[r, c]} for r, c in sorted(cells) if r]
+            out.append({"sheet_no": k, "sheet": sheet.get("name"), "cells": listed, "merges": merges, "titles": titles})
         return out
 
 
+def workbook_parts_of(df: DataFrame, content: str = "content") -> DataFrame:
+    """doc_id, name, sheet_no, sheet, cells, merges, titles of workbooks (doc_id, name, content)."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                parts = workbook_parts(bytes(row.content))
+                yield pd.DataFrame([{"doc_id": row.doc_id, "name": row.name, **p} for p in parts], columns=["doc_id", "name", "sheet_no", "sheet", "cells", "merges", "titles"])
+
+    rows = df.select("doc_id", "name", F.col(content).alias("content"))
+    return rows.mapInPandas(parse, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, name string, {CELLS}")
+
+
+def workbook_tables(parts: DataFrame) -> dict[str, DataFrame]:
+    """cells, merges, names and sheets of written workbook parts, as operators.cells takes them."""
+    keys = ["doc_id", "sheet_no"]
+    return {
+        "cells": parts.select(*keys, F.inline("cells")), "merges": parts.select(*keys, F.inline("merges")), "sheets": parts.select(*keys, "name", "sheet"),
+        "names": parts.select(*keys, F.lit("_xlnm.Print_Titles").alias("name"), F.posexplode("titles").alias("name_no", "ref")),
+    }
+
+
+def workbook_rows(raw: bytes) -> list[dict]:
+    """Rows of an OOXML workbook's used ranges, without its layout."""
+    out = []
+    for part in workbook_parts(raw):
+        held = {(c["row"], c["col"]): c["value"] or "" for c in part["cells"] if c["value"] is not None or c["formula"] is not None}
+        if held:
+            rows, columns = [r for r, _ in held], [c for _, c in held]
+            for r in range(min(rows), max(rows) + 1):
+                out.append({"sheet_no": part["sheet_no"], "sheet": part["sheet"], "row_no": r - min(rows), "cells": [held.get((r, c), "") for c in range(min(columns), max(columns) + 1)]})
+    return out
+
+
 def workbook_sheets(df: DataFrame, content: str = "content") -> DataFrame:
     """Sheet rows of workbooks (doc_id, name, content)."""
 
@@ -134,6 +191,21 @@ def workbook_sheets(df: DataFrame, content: str = "content") -> DataFrame:
     return df.select("doc_id", "name", F.inline(parse(content)))
 
 
+def word_grid(table, text_of) -> list[list[str]]:
+    """Rows of a table as wide as its widest: a cell across several columns or rows has its text at its first place."""
+    rows = []
+    for row in table.findall(f"{_W}tr"):
+        cells: list[str] = []
+        for cell in row.findall(f"{_W}tc"):
+            wide, down = cell.find(f"{_W}tcPr/{_W}gridSpan"), cell.find(f"{_W}tcPr/{_W}vMerge")
+            goes_on = down is not None and down.get(f"{_W}val") != "restart"
+            text = "" if goes_on else "\n".join(filter(None, (text_of(p) for p in cell.iter(f"{_W}p"))))
+            cells += [text, *[""] * (int(wide.get(f"{_W}val", 1)) - 1 if wide is not None else 0)]
+        rows.append(cells)
+    width = max((len(r) for r in rows), default=0)
+    return [r + [""] * (width - len(r)) for r in rows]
+
+
 def word_blocks(raw: bytes) -> list[dict]:
     """Headings, paragraphs, list items and tables of an OOXML text document, in order."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -157,8 +229,7 @@ def word_blocks(raw: bytes) -> list[dict]:
             kind = "heading" if level else "list-item" if depth is not None else "paragraph"
             out.append({"order": len(out), "kind": kind, "level": int(level[1]) if level else int(depth.get(f"{_W}val", 0)) if depth is not None else None, "text": text, "rows": None})
         elif node.tag == f"{_W}tbl":
-            rows = [["\n".join(filter(None, (text_of(p) for p in cell.iter(f"{_W}p")))) for cell in row.findall(f"{_W}tc")] for row in node.findall(f"{_W}tr")]
-            out.append({"order": len(out), "kind": "table", "level": None, "text": None, "rows": rows})
+            out.append({"order": len(out), "kind": "table", "level": None, "text": None, "rows": word_grid(node, text_of)})
     return out
 
 

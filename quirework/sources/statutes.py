@@ -47,3 +47,42 @@ def statute_text(rows: DataFrame, json: str = "json") -> DataFrame:
     appendices = _filled(F.transform(_list(F.col("v"), "$.법령.별표.별표단위"), lambda b: F.coalesce(F.nullif(_text(b, "$.별표내용"), F.lit("")), _text(b, "$.별표제목"))))
     name = _text(F.col("v"), "$.법령.기본정보.법령명_한글")
     return body.select("doc_id", name.alias("name"), _entities(F.array_join(F.concat(articles, addenda, appendices), "\n")).alias("text"))
+
+
+def appendix_warnings(rows: DataFrame, json: str = "json") -> DataFrame:
+    """doc_id, n, titles: appendices of statute payloads that have a title but no text; their title stands for it."""
+    items = rows.select("doc_id", F.posexplode(_list(F.try_parse_json(json), "$.법령.별표.별표단위")).alias("k", "v"))
+    bare = items.select("doc_id", "k", _text(F.col("v"), "$.별표제목").alias("title"), _text(F.col("v"), "$.별표내용").alias("body")).where("body = ''")
+    return bare.groupBy("doc_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]).alias("titles"))
+
+
+# Fields of a search result, and the size of its pages.
+SEARCH_FIELDS = {
+    "mst": "법령일련번호", "law_id": "법령ID", "name": "법령명한글", "law_type": "법령구분명", "ministry": "소관부처명", "promulgation_date": "공포일자",
+    "promulgation_number": "공포번호", "effective_date": "시행일자", "revision_type": "제개정구분명",
+}
+PAGE_SIZE = 20
+
+
+def search_pages(payloads: DataFrame, json: str = "json") -> DataFrame:
+    """doc_id, total, page, page_size, error of search answers (doc_id, json); an answer with another code than 00 is an error."""
+    v = F.col("_v")
+    code = _text(v, "$.LawSearch.resultCode")
+    rows = payloads.select("doc_id", F.try_parse_json(json).alias("_v"))
+    number = lambda key, default: F.coalesce(F.expr(f"try_cast(try_variant_get(_v, '$.LawSearch.{key}', 'string') AS INT)"), F.lit(default))
+    error = F.when(v.isNull(), "not JSON").when((code != "") & (code != "00"), F.concat(F.lit("code "), code))
+    return rows.select("doc_id", number("totalCnt", 0).alias("total"), number("page", 1).alias("page"), number("numOfRows", PAGE_SIZE).alias("page_size"), error.alias("error"))
+
+
+def search_items(payloads: DataFrame, json: str = "json") -> DataFrame:
+    """doc_id, place and the fields of each law found; those without number, name or effective date are left out."""
+    good = payloads.join(search_pages(payloads, json).where("error is null").select("doc_id"), "doc_id", "left_semi")
+    rows = good.select("doc_id", F.posexplode(_list(F.try_parse_json(json), "$.LawSearch.law")).alias("place", "v"))
+    items = rows.select("doc_id", "place", *[_text(F.col("v"), f"$.{path}").alias(name) for name, path in SEARCH_FIELDS.items()])
+    return items.where("mst <> '' and name <> '' and effective_date <> ''")
+
+
+def next_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, page: the pages of a search that follow the one at hand."""
+    last = F.ceil(F.col("total") / F.greatest(F.col("page_size"), F.lit(1))).cast("int")
+    return pages.where(F.col("error").isNull() & (last > F.col("page"))).select("doc_id", F.explode(F.sequence(F.col("page") + 1, last)).alias("page"))
