@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.scratch import written
+from quirework.llm.scratch import discard, written
 
 #: Rounds grow with the logarithm of the longest path; more than these mean an error, never a partial result.
 MAX_ROUNDS = 200
@@ -35,7 +35,8 @@ def connected(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if _is_done(edges):
             break
-        edges = written(_star(_star(edges, True), False), "edges")
+        edges, before = written(_star(_star(edges, True), False), "edges"), edges
+        discard(before)
     else:
         raise RuntimeError(f"components are not connected after {MAX_ROUNDS} rounds")
     labelled = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from quirework.llm import text
 from quirework.llm.components import connected
-from quirework.llm.scratch import if_small, release, written
+from quirework.llm.scratch import discard, if_small, release, written
 
 #: Counters of each sketch, whatever the input's size; they are summed and sent in blocks.
 SKETCH, SKETCH_BLOCK = 1 << 18, 1 << 12
@@ -407,19 +407,23 @@ def class_links(docs: DataFrame, n: int, num: int, den: int, block_shingles: int
     """Of docs: a row a document (doc_id, text_key, n_shingles, node), and links (a, b) that connect the classes."""
     spark = docs.sparkSession
     docs = keyed(docs)
-    sets = written(shingle_rows(docs, n, num, den), "sets")
-    held = sets.where("node is not null")
+    wide = written(shingle_rows(docs, n, num, den), "wide-sets")
+    sets = written(wide.select("doc_id", "text_key", "n_shingles", "node"), "sets")
+    held = wide.where("node is not null")
     some = F.struct("doc_id", "text_key")
     classes = held.groupBy("node").agg(F.min(some).alias("k"), F.first("n_shingles").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits"))
     classes = written(classes.select("k.*", "node", "n", "first", "bits"), "classes")
+    discard(wide)
     release(spark)
     cells = written(connected(_candidate_links(classes, num, den)), "cells")
     release(spark)
     rows = classes.select("doc_id", "text_key", "node", "n").join(cells.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
     rows = rows.select("doc_id", "text_key", "node", "n", F.col("label").alias("cell"))
-    rows = written(_dealt(written(rows, "celled"), block_shingles, num, den, "block"), "blocks")
+    rows = written(rows, "celled")
+    discard(classes)
+    rows = written(_dealt(rows, block_shingles, num, den, "block"), "blocks")
     own = rows.select("doc_id", "text_key", F.xxhash64("cell", "block").alias("unit"), "node", F.col("node").alias("part"), F.lit(-1).alias("side"))
-    repeated = held.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
+    repeated = sets.where("node is not null").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
     texts = docs.dropDuplicates(["doc_id", "text_key"]) if repeated else docs
     links = _edges(texts, own, n, num, den)
     wide = written(rows.groupBy("cell").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi").select(F.col("cell").alias("_c")), "wide")

@@ -15,9 +15,11 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (a local session), a temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one, in local sessions only."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="quirework-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -36,7 +38,17 @@ def written(df: DataFrame, name: str, codec: str = "snappy", **options: object)
     for key, value in options.items():
         writer = writer.option(key.replace("_", "."), str(value))
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; what was derived from them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def if_small(df: DataFrame, rows: int) -> DataFrame:

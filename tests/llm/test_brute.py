@@ -79,6 +79,13 @@ def test_jaccard(docs, rows, n, num, block):
     assert got == brute_components(rows, n, num, 100)
 
 
+def test_jaccard_shared_widely(docs, rows, monkeypatch):
+    """Shingles of more classes than a tree may hold, and cells of many blocks."""
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(docs, 4, 85, 100, 200).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+
+
 def brute_dedup(rows):
     first = {}
     words = {k: WORD.findall(t or "") for k, t in rows}
