@@ -15,11 +15,13 @@ _own: list[str] = []
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the folder in spark.checkpoint.dir and read it again: later steps plan and run on files.
 
-    In a session without that setting a temporary folder of this process is used.
+    A local session without that setting uses a temporary folder of this process.
     """
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="quirework-lines-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
