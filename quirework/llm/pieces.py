@@ -36,7 +36,7 @@ THETA = 1.0
 SEED = 20240601
 UNKNOWN = -25.0
 #: Edges of the segments a worker keeps between pieces of text.
-KEPT_EDGES = 5_000_000
+KEPT_EDGES = 1_000_000
 _U = np.uint64
 _SALTS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 _MARK = "▁"
@@ -252,14 +252,49 @@ class Sampler:
             flat[base[who] + k] = e
         return flat, counts, logp
 
-    def _other(self, arrays: tuple, start: int, length: int, draws: list[float], barred: list[tuple[int, ...]]) -> tuple[int, ...] | None:
-        """A segmentation of one segment outside barred, drawn from what is left of the lattice.
+    def _left(self, arrays: tuple, at: int, end: int, depth: int, barred: list[tuple[int, ...]]) -> tuple[float, list[tuple[int, float]]]:
+        """Probability, from a node on, of what isn't barred, and its parts by edge. barred share their first depth edges.
 
-        It leaves the first barred one at an edge drawn by the mass that leaves there. If it is another barred one,
-        the next draws are used; None when they are used up.
+        Sums of positive terms only, so that nothing is lost to rounding however little is left.
         """
         first, _, logq, step, _ = arrays
-        old = barred[0]
+        if at >= end:
+            return 0.0, []
+        parts = []
+        for e in range(int(first[at]), int(first[at + 1])):
+            under = [b for b in barred if b[depth] == e]
+            q = math.exp(logq[e])
+            parts.append((e, q * self._left(arrays, at + int(step[e]), end, depth + 1, under)[0] if under else q))
+        return sum(w for _, w in parts), parts
+
+    def _other(self, arrays: tuple, start: int, length: int, draws: list[float], barred: list[tuple[int, ...]]) -> tuple[int, ...] | None:
+        """A segmentation of one segment outside barred, drawn by what is left of the lattice; None if nothing is."""
+        first, _, logq, step, _ = arrays
+        out: list[int] = []
+        at, end, under = start, start + length, barred
+        while at < end:
+            if under:
+                total, parts = self._left(arrays, at, end, len(out), under)
+                parts = [p for p in parts if p[1] > 0]
+                if not parts:
+                    return None
+            else:
+                lo, hi = int(first[at]), int(first[at + 1])
+                parts = [(e, math.exp(w)) for e, w in zip(range(lo, hi), logq[lo:hi].tolist(), strict=True)]
+                total = sum(w for _, w in parts)
+            x, n = draws[len(out)] * total, 0
+            while n < len(parts) - 1 and x > parts[n][1]:
+                x -= parts[n][1]
+                n += 1
+            e = parts[n][0]
+            under = [b for b in under if b[len(out)] == e]
+            out.append(e)
+            at += int(step[e])
+        return tuple(out)
+
+    def _leave(self, arrays: tuple, start: int, length: int, draws: list[float], old: tuple[int, ...]) -> tuple[int, ...] | None:
+        """As _other with one barred segmentation, which is left at an edge drawn by the mass that leaves there."""
+        first, _, logq, step, _ = arrays
         steps, logs = step[list(old)].tolist(), logq[list(old)].tolist()
         leave, ahead, nodes, at = [], 0.0, [], start
         for w, n in zip(logs, steps, strict=True):
@@ -267,30 +302,28 @@ class Sampler:
             ahead += w
             nodes.append(at)
             at += n
-        total = sum(leave)
-        for k in range(0, len(draws) - length - 1, length + 2):
-            x, j = draws[k] * total, 0
-            while j < len(old) - 1 and x > leave[j]:
-                x -= leave[j]
-                j += 1
-            while leave[j] <= 0:  # rounding has passed the last edge that can be left
-                j -= 1
-            out, at, skip, t = list(old[:j]), nodes[j], old[j], k + 1
-            while at < start + length:
-                lo, hi = int(first[at]), int(first[at + 1])
-                edges = [e for e in range(lo, hi) if e != skip]
-                weights = [math.exp(w) for e, w in zip(range(lo, hi), logq[lo:hi].tolist(), strict=True) if e != skip]
-                x = draws[t] * sum(weights)
-                n = 0
-                while n < len(edges) - 1 and x > weights[n]:
-                    x -= weights[n]
-                    n += 1
-                out.append(edges[n])
-                at += int(step[edges[n]])
-                skip, t = -1, t + 1
-            if tuple(out) not in barred:
-                return tuple(out)
-        return None
+        if not any(leave):
+            return None
+        x, j = draws[0] * sum(leave), 0
+        while j < len(old) - 1 and x > leave[j]:
+            x -= leave[j]
+            j += 1
+        while leave[j] <= 0:  # rounding has passed the last edge that can be left
+            j -= 1
+        out, at, skip, t = list(old[:j]), nodes[j], old[j], 1
+        while at < start + length:
+            lo, hi = int(first[at]), int(first[at + 1])
+            edges = [e for e in range(lo, hi) if e != skip]
+            weights = [math.exp(w) for e, w in zip(range(lo, hi), logq[lo:hi].tolist(), strict=True) if e != skip]
+            x = draws[t] * sum(weights)
+            n = 0
+            while n < len(edges) - 1 and x > weights[n]:
+                x -= weights[n]
+                n += 1
+            out.append(edges[n])
+            at += int(step[edges[n]])
+            skip, t = -1, t + 1
+        return tuple(out)
 
     def sample(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
         """Document, sample number, flat ids, their number, log probability, perturbed score and log inclusion of all samples."""
@@ -329,25 +362,29 @@ class Sampler:
             hit = np.flatnonzero((opens == score[document]) & going[document])
             at = hit[np.unique(document[hit], return_index=True)[1]]
             edges = [np.concatenate([[0], np.cumsum(r[1])]) for r in rounds]
-            tries = 1 if path == 1 else 50
             own: dict[int, tuple[int, ...]] = {}
             for g in at.tolist():
                 d, m = int(document[g]), int(of[document[g]])
                 old = tuple(rounds[m][0][edges[m][g] : edges[m][g + 1]].tolist())
                 taken = barred.setdefault((m, g), [old])
-                found, more = None, 0
-                while found is None and more < 200:
-                    n = (int(length[g]) + 2) * tries
-                    draws = _draw(np.repeat(keys[d : d + 1], n) + np.arange(n, dtype=np.uint64), path, np.full(n, local[g]), (1 << 20) + more).tolist()
-                    found, more = self._other(arrays, int(start[g]), int(length[g]), draws, taken), more + 1
+                n = int(length[g]) + 2
+                draws = _draw(np.repeat(keys[d : d + 1], n) + np.arange(n, dtype=np.uint64), path, np.full(n, local[g]), 1 << 20).tolist()
+                if len(taken) == 1:
+                    found = self._leave(arrays, int(start[g]), int(length[g]), draws, old)
+                else:
+                    found = self._other(arrays, int(start[g]), int(length[g]), draws, taken)
                 if found is None:
+                    # Rounding alone left mass here: the document's next round takes its next largest subtree.
                     going[d] = False
                     rounds[m][5][g] = -np.inf
                     continue
                 own[g] = found
                 taken.append(found)
-                left = 1.0 - sum(math.exp(arrays[2][list(x)].sum()) for x in taken)
-                place = np.array([rounds[m][3][g] + math.log(left) if left > 1e-12 else -np.inf])
+                if k > 2:
+                    left, _ = self._left(arrays, int(start[g]), int(start[g] + length[g]), 0, taken)
+                else:
+                    left = 1.0 - sum(math.exp(arrays[2][list(x)].sum()) for x in taken)
+                place = np.array([rounds[m][3][g] + math.log(left) if left > 0 else -np.inf])
                 rounds[m][5][g] = _below(place, score[d : d + 1], _draw(keys[d : d + 1], path, local[g : g + 1], 1 << 28))[0]
             branch = np.full(len(keys), np.iinfo(np.int64).max)
             branch[document[list(own)]] = list(own)
@@ -389,7 +426,7 @@ class Sampler:
         """Gumbel maxima, below bound, of each segment's other segmentations."""
         rest = -np.expm1(np.minimum(logp, 0.0))
         with np.errstate(divide="ignore"):
-            mass = ahead + np.where(rest > 1e-12, np.log(rest), -np.inf)
+            mass = ahead + np.where(rest > 0, np.log(rest), -np.inf)
         return _below(mass, bound, _draw(key, path, local, 1 << 29))
 
     def _ids(self, arrays: tuple, edges: np.ndarray, data: np.ndarray, segments: text.Spans, document: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
