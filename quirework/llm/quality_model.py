@@ -1,10 +1,14 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows; the unlabelled sample is the whole corpus. A linear score over counts of a text
-minimises the non-negative unbiased risk: prior * (loss of positives) + max(0, loss of the unlabelled as negatives
+Trusted positives are labelled rows; the unlabelled sample is the whole corpus. A linear score over a text's words and
+its counts minimises the non-negative unbiased risk: prior * (loss of positives) + max(0, loss of the unlabelled as negatives
 - prior * loss of positives as negatives), with the logistic loss. The class prior is estimated from a first
 classifier of positives against the corpus: the least ratio of corpus to positives in its top scores.
 
+Words enter through hashed 1- and 2-grams: their log ratios between one half of the positives (by a hash of the id) and
+the corpus, as a text's mean and as the shares of its n-grams that speak strongly for or against it. The other half fits
+the score, so that no row is judged by ratios that it shaped. The remaining features are rates of counts.
+
 Features are computed once, from whole texts; every fitting step is a pass over the feature table that returns sums.
 No label, language, source or id is a feature.
 
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm import rules, text
@@ -42,13 +46,13 @@ def _of(characters: bytes) -> np.ndarray:
 
 
 _CLASSES = {"upper": _of(bytes(range(65, 91))), "lower": _of(bytes(range(97, 123))), "digit": _of(b"0123456789"), "stop": _of(b".,;:?"), "bang": _of(b"!"), "bar": _of(b"|"), "symbol": _of(b"#*$%&<>@=~^+_\\/"), "line": _of(b"\n"), "high": _of(bytes(range(128, 256)))}
-N_FEATURES = 16
+N_COUNTS, N_FEATURES = 16, 19
+#: A log ratio beyond this is a strong one.
+STRONG = 0.5
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def features(data: np.ndarray, offsets: np.ndarray, spans: text.Spans, hashes: np.ndarray) -> np.ndarray:
     """Rates and logarithms of counts, a row a document."""
-    spans = text.words(data, offsets)
-    hashes = spans.hashes()
     base = rules.counts(spans, hashes)
     count = {k: text.per_document(t[data], offsets) for k, t in _CLASSES.items()}
     n = np.maximum(spans.counts, 1).astype(float)
@@ -68,20 +72,38 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ], 1)
 
 
+def word_features(spans: text.Spans, hashes: np.ndarray, ratios: rules.Ratios) -> np.ndarray:
+    """Mean log ratio of each document's n-grams, and the shares of strong ones for and against it."""
+    grams, document = rules._grams(spans, hashes)
+    value = np.clip(ratios.values[rules._buckets(grams, ratios.n_buckets)] / rules._FIXED, -3.0, 3.0)
+    n = np.maximum(np.bincount(document, minlength=len(spans.counts)), 1)
+    # Fixed-point sums: equal texts have equal features wherever they lie.
+    mean = np.bincount(document, weights=np.round(value * 2**20), minlength=len(n)) / 2**20 / n
+    strong = [np.bincount(document[on], minlength=len(n)) / n for on in (value > STRONG, value < -STRONG)]
+    return np.stack([mean, *strong], 1)
+
+
+def _fold(column: Column, n: int) -> Column:
+    return F.pmod(F.crc32(F.encode(F.coalesce(column.cast("string"), F.lit("")), "UTF-8")), F.lit(n))
+
+
 def feature_table(docs: DataFrame, positives: DataFrame) -> DataFrame:
-    """doc_id, held_out, is_pos, x of every row; positives (doc_id) mark rows outside the held-out fold."""
+    """doc_id, held_out, is_pos, x of every row; positives (doc_id) mark rows outside the held-out fold that fit the score."""
+    known = positives.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
+    known = written(known.where(_fold(F.col("_id"), FOLDS) != 0).withColumn("_half", F.pmod(F.xxhash64("_id"), F.lit(2))), "positives")
+    ratios = rules.fit(docs, known.where("_half = 0").select(F.col("_id").alias("doc_id")), rules.BROADCAST_BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text.pieces(batches):
-            x = features(data, offsets)
+            spans = text.words(data, offsets)
+            hashes = spans.hashes()
+            x = np.concatenate([features(data, offsets, spans, hashes), word_features(spans, hashes, ratios)], 1)
             yield pa.RecordBatch.from_arrays([rows.column(0), text.list_column(x.ravel().astype(np.float32), np.full(len(x), x.shape[1]), pa.float32())], ["doc_id", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<float>")
-    fold = F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(FOLDS))
-    rows = rows.withColumn("held_out", fold == 0)
-    known = positives.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
-    rows = rows.join(if_small(known, BROADCAST_ROWS), F.col("doc_id") == F.col("_id"), "left")
-    return written(rows.select("doc_id", "held_out", (F.col("_id").isNotNull() & ~F.col("held_out")).alias("is_pos"), "x"), "features")
+    rows = rows.withColumn("held_out", _fold(F.col("doc_id"), FOLDS) == 0)
+    rows = rows.join(if_small(known.where("_half = 1"), BROADCAST_ROWS), F.col("doc_id") == F.col("_id"), "left")
+    return written(rows.select("doc_id", "held_out", F.col("_id").isNotNull().alias("is_pos"), "x"), "features")
 
 
 def _sums(table: DataFrame, step) -> np.ndarray:
@@ -113,23 +135,35 @@ def _sigmoid(f: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
 
 
+def risk_sums(w: np.ndarray, mean: np.ndarray, scale: np.ndarray):
+    """What risk_of needs of some rows, as one vector of sums."""
+
+    def step(x, pos):
+        z = _design(x, mean, scale)
+        f = z @ w
+        p = _sigmoid(f)
+        loss = np.logaddexp(0, f)  # of a negative; that of a positive is loss - f
+        return np.concatenate([[len(x), pos.sum(), loss.sum(), loss[pos].sum(), f[pos].sum()], z.T @ p, z[pos].T @ p[pos], z[pos].sum(0), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+
+    return step
+
+
+def risk_of(s: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray, np.ndarray]:
+    """Non-negative risk with its ridge, the part that is kept from falling below 0, the gradients of the unclipped risk
+    and of that part, and the curvature."""
+    d = len(w)
+    n, m = s[0], max(s[1], 1)
+    gu, gp, zp, h = s[5 : 5 + d] / n, s[5 + d : 5 + 2 * d] / m, s[5 + 2 * d : 5 + 3 * d] / m, s[5 + 3 * d :].reshape(d, d) / n
+    positive, negative = prior * (s[3] - s[4]) / m, s[2] / n - prior * s[3] / m
+    return positive + max(0.0, negative) + RIDGE / 2 * w[1:] @ w[1:], negative, gu - prior * zp, gu - prior * gp, h
+
+
 def _fit(table: DataFrame, mean: np.ndarray, scale: np.ndarray, prior: float) -> np.ndarray:
     """Newton steps on the non-negative risk; where its negative part falls below 0, a step that raises it."""
     d = len(mean) + 1
 
     def risk(w):
-        def step(x, pos):
-            z = _design(x, mean, scale)
-            f = z @ w
-            p = _sigmoid(f)
-            loss = np.logaddexp(0, f)  # of a negative; that of a positive is loss - f
-            return np.concatenate([[len(x), pos.sum(), loss.sum(), loss[pos].sum(), f[pos].sum()], z.T @ p, z[pos].T @ p[pos], z[pos].sum(0), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
-
-        s = _sums(table, step)
-        n, m = s[0], max(s[1], 1)
-        gu, gp, zp, h = s[5 : 5 + d] / n, s[5 + d : 5 + 2 * d] / m, s[5 + 2 * d : 5 + 3 * d] / m, s[5 + 3 * d :].reshape(d, d) / n
-        positive, negative = prior * (s[3] - s[4]) / m, s[2] / n - prior * s[3] / m
-        return positive + max(0.0, negative) + RIDGE / 2 * w[1:] @ w[1:], negative, gu - prior * zp, gu - prior * gp, h
+        return risk_of(_sums(table, risk_sums(w, mean, scale)), w, prior)
 
     w, best, least = np.zeros(d), np.zeros(d), np.inf
     ridge = np.diag([1e-9, *[RIDGE] * (d - 1)])

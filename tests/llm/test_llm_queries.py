@@ -35,3 +35,34 @@ def test_pipeline(spark):
             assert 0 < kept.count() <= before
     out = corpus_pipeline.run(spark, FOLDER)
     assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_against_brute_force(spark):
+    """Rules, near duplicates and shared passages of a small table, by plain Python on what the stage before kept."""
+    import hashlib
+
+    import corpus_pipeline
+
+    from quirework.llm import rules
+    from tests.llm.test_brute import brute_components, brute_dedup, corpus
+
+    rows = corpus(120, seed=5)
+    words = {k: rules_words(t) for k, t in rows}
+    docs = spark.createDataFrame([(k, t, "en", f"s{k % 3}", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+    groups = brute_components(rows, 5, 80, 100)
+    expected = {k for k, t in rows if not words[k] or groups[k][1] == k}
+    assert {r.doc_id for r in kept.collect()} == expected
+    left = [(k, t) for k, t in rows if k in expected]
+    out = {r.doc_id: r.text for r in corpus_pipeline.shared_passages(spark, kept, FOLDER).collect()}
+    plain = brute_dedup(left)
+    assert {k: hashlib.md5(" ".join(rules_words(t)).encode()).hexdigest() for k, t in out.items()} == {k: hashlib.md5(t.encode()).hexdigest() for k, (n, gone, t) in plain.items() if gone == 0 or gone < n}
+    trusted = docs.where("doc_id % 2 = 0")
+    judged = {r.doc_id for r in rules.judge(docs, rules.fit(docs, trusted)).where("kept").collect()}
+    assert {r.doc_id for r in rules.keep_good(docs, rules.fit(docs, trusted)).collect()} == judged
+
+
+def rules_words(t):
+    import re
+
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")

@@ -21,3 +21,18 @@ def test_balance_of_copies(spark, alone):
     spread = out.groupBy("text_crc32").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("shards")).where("n between 2 and 20")
     assert spread.where("shards > 1").count() <= 0.25 * spread.count()
     out.unpersist()
+
+
+def test_equal_texts_lie_together(spark):
+    """Groups of two to six copies, far below a shard's room, aren't cut; sizes stay near equal, slots gapless."""
+    rows = [(k, f"text {k % 700} " + "v" * (k % 700 % 90)) for k in range(2600)] + [(9000, None), (9001, ""), (None, "no id"), (5, "text 5 " + "v" * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = shards.shard_digest(docs).cache()
+    assert out.count() == len(rows)
+    cut = out.groupBy("text_crc32").agg(F.countDistinct("shard").alias("n"), F.count("*").alias("rows"))
+    assert cut.where("n > 1").count() <= 0.02 * cut.where("rows > 1").count()
+    loads = out.groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.countDistinct("slot").alias("d")).collect()
+    capacity = sum(r.s for r in loads) / shards.SHARDS
+    assert len(loads) == shards.SHARDS and all(0.95 * capacity < r.s < 1.05 * capacity for r in loads)
+    assert all((r.a, r.b, r.d) == (0, r.n - 1, r.n) for r in loads)
+    out.unpersist()
