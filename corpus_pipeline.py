@@ -5,6 +5,11 @@
 3. shared_passages: words of passages that start in an earlier document go; n_chars is counted anew.
 4. mix: sources come to their target weights; a document appears as often as the mix takes it, or not at all.
 5. pieces: two distinct sampled segmentations of each text.
+
+Edge cases: null, empty and blank texts fail the rules, so they end there. Rows that share a doc_id are rows of their
+own in every stage: near_duplicates keeps one row of a group whatever its ids, mix takes them separately. A null doc_id
+is never trusted by the rules and neither loses nor takes passages. Empty tables give empty results. Extra columns are
+carried to the mix; pieces returns its own columns.
 """
 
 from __future__ import annotations
