@@ -35,7 +35,7 @@ MEND_ROUNDS = 3
 LANGUAGE_GROUPS = 64
 RIDGE = 0.05
 MOST_MU = 3.0
-BALANCE_STEPS, BALANCE_TOLERANCE = 12, 1e-5
+BALANCE_STEPS, BALANCE_TOLERANCE = 10, 1e-4
 #: Rows of one source and size that a task orders at most, about.
 _BLOCK_ROWS = 1 << 18
 
@@ -115,11 +115,12 @@ def balance(cells: DataFrame, targets: DataFrame, cap: float = CAP) -> dict[int,
         # A source all of whose cells are full can't rise; a little curvature keeps its step finite.
         sources = written(sources.withColumn("gap", F.col("_t") - F.col("g")).withColumn("d", F.greatest("h", F.col("_t") * 1e-6)), "sources")
         # The groups' gradient and Hessian after the sources are eliminated: sums over pairs of a source's groups.
-        one = sources.select(F.explode("by_group").alias("x"), "by_group", "gap", "d")
-        first = one.groupBy(F.col("x.group").alias("i")).agg(F.sum("x.rate"), F.sum("x.free"), F.sum(F.col("x.free") * F.col("gap") / F.col("d")))
+        one = sources.select(F.explode("by_group").alias("x"), "by_group", "gap", "d", (F.abs("gap") / F.col("_t")).alias("off"))
+        first = one.groupBy(F.col("x.group").alias("i")).agg(F.sum("x.rate"), F.sum("x.free"), F.sum(F.col("x.free") * F.col("gap") / F.col("d")), F.max("off"))
         rate, free, shift = np.zeros(len(groups)), np.zeros(len(groups)), np.zeros(len(groups))
-        for i, a, b, c in first.collect():
-            rate[place[i]], free[place[i]], shift[place[i]] = a, b, c
+        far = 0.0
+        for i, a, b, c, off in first.collect():
+            rate[place[i]], free[place[i]], shift[place[i]], far = a, b, c, max(far, off)
         both = one.where("x.free > 0").select(F.col("x.group").alias("i"), F.col("x.free").alias("f"), "d", F.explode("by_group").alias("y"))
         hessian = np.diag(free + RIDGE * total)
         for i, j, v in both.where("y.free > 0").groupBy("i", F.col("y.group").alias("j")).agg(F.sum(F.col("f") * F.col("y.free") / F.col("d"))).collect():
@@ -131,7 +132,6 @@ def balance(cells: DataFrame, targets: DataFrame, cap: float = CAP) -> dict[int,
         steps = {g: float(step[k]) for g, k in place.items()}
         pull = F.aggregate("by_group", F.lit(0.0), lambda s, x: s + x["free"] * _of_group(steps, x["group"]))
         change = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("gap") - pull) / F.col("d")))
-        far = sources.agg(F.max(F.abs("gap") / F.col("_t"))).first()[0] or 0.0
         if np.abs(step).max() <= BALANCE_TOLERANCE and far <= BALANCE_TOLERANCE:
             break
         lam = written(sources.select("_s", "_t", (F.col("lam") + F.when(F.col("h") > 0, change).otherwise(F.when(F.col("gap") < 0, -0.5).otherwise(0.0))).alias("lam")), "dual")
