@@ -93,11 +93,15 @@ def mark_tables(lines: DataFrame) -> DataFrame:
 
 def mark_siblings(lines: DataFrame, number: Column, family: Column) -> DataFrame:
     """Add `sibling`: numbered lines whose next or previous filled line has the next or previous number of one family."""
-    filled = lines.where(~S.is_blank(F.col("line"))).select("doc_id", "pos", number.alias("_n"), family.alias("_f"))
-    later, earlier = F.lead(F.struct("_n", "_f")).over(by_pos()), F.lag(F.struct("_n", "_f")).over(by_pos())
-    same = ((later["_n"] == F.col("_n") + 1) & (later["_f"] == F.col("_f"))), ((earlier["_n"] == F.col("_n") - 1) & (earlier["_f"] == F.col("_f")))
-    marks = filled.select("doc_id", "pos", (F.coalesce(same[0], F.lit(False)) | F.coalesce(same[1], F.lit(False))).alias("sibling")).where("sibling")
-    return lines.join(marks, ["doc_id", "pos"], "left").withColumn("sibling", F.coalesce("sibling", F.lit(False)))
+    # Blank lines carry no value, so the last value before a line, in either direction, is its filled neighbour's.
+    filled = ~S.is_blank(F.col("line"))
+    lines = lines.withColumn("_v", F.when(filled, F.struct(number.alias("n"), family.alias("f"))))
+    back = in_doc().orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    later, earlier = F.last("_v", True).over(back), F.last("_v", True).over(before())
+    own = F.col("_v")
+    next_one = (later["n"] == own["n"] + 1) & (later["f"] == own["f"])
+    previous = (earlier["n"] == own["n"] - 1) & (earlier["f"] == own["f"])
+    return lines.withColumn("sibling", F.coalesce(next_one, F.lit(False)) | F.coalesce(previous, F.lit(False))).drop("_v")
 
 
 def arabic_number(line: Column) -> Column:
