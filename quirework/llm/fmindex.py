@@ -37,7 +37,7 @@ _CHOICES = WINDOW - ANCHOR + 1
 #: Windows around an anchor in more documents than this are dealt one by one.
 HOT_ANCHOR = 2000
 #: Words of an index; a shard's passages are indexed in runs of about so many.
-INDEX_WORDS = 1 << 19
+INDEX_WORDS = 1 << 18
 #: Rows of removals that are broadcast at most, and the ranges they hold; beyond that texts are shuffled.
 BROADCAST_ROWS, BROADCAST_RANGES = 400_000, 3_000_000
 _ORDER = 16

@@ -1,6 +1,6 @@
 """Vectorised word work on Arrow string columns.
 
-A task sees its texts as one byte array per piece of about one megabyte. Words, runs and windows are
+A task sees its texts as one byte array per piece of about a quarter megabyte. Words, runs and windows are
 found and hashed with numpy over the whole piece, so no Python code runs per word. White space is the
 ASCII class ``[\\x20\\x09-\\x0D]``; its bytes never occur inside a multi-byte UTF-8 character, which
 makes byte positions safe to cut at.
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
