@@ -35,14 +35,6 @@ def header_line(cells: Column) -> Column:
     return F.array_join(F.filter(filled, lambda c: c != ""), " | ")
 
 
-def compose_header(rows: Column) -> Column:
-    """Column titles from several header rows: the filled segments of each column, adjacent repeats removed, joined by ' > '."""
-    width = F.array_max(F.transform(rows, F.size))
-    column = lambda i: F.filter(F.transform(rows, lambda r: S.trim(F.coalesce(F.get(r, i), F.lit("")))), lambda c: c != "")
-    once = lambda a: F.filter(a, lambda c, k: (k == 0) | (c != F.get(a, k - 1)))
-    return F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.array_join(once(column(i)), " > "))
-
-
 def sheet_tables(sheets: DataFrame) -> DataFrame:
     """Rows with number (of the table in its sheet), titles (rows above its header) and merged (rows of a continued table).
 
