@@ -106,3 +106,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from quirework.llm.quality_model import classify
 
     return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def _middle() -> None:
+    from quirework.llm.middle import MIDDLE_SQL, middle_digest
+
+    query("op13_fill_in_middle", MIDDLE_SQL)(lambda spark, folder: middle_digest(table(spark, folder, "documents")))
+
+
+_middle()
