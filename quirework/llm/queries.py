@@ -115,3 +115,10 @@ def _middle() -> None:
 
 
 _middle()
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from quirework.llm.whiten import whiten
+
+    return whiten(table(spark, folder, "embeddings"))
