@@ -122,3 +122,10 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     from quirework.llm.whiten import whiten
 
     return whiten(table(spark, folder, "embeddings"))
+
+
+@query("op11_private_data")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from quirework.llm.private import private_digest
+
+    return private_digest(table(spark, folder, "documents"))
