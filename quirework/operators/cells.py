@@ -23,15 +23,16 @@ ITEM_LABEL = r"(?i)^(?:item|항목)\s*[:：]\s*(.+)\z"
 
 
 def column_label(col: Column) -> Column:
-    """A, B, ... Z, AA, ... of columns counted from 1, up to three letters."""
-    n = (col - 1).cast("int")
-    letter = lambda k: F.char(65 + k)
-    two, three = n - 26, n - 702
-    return (
-        F.when(n < 26, letter(n))
-        .when(n < 702, F.concat(letter(F.floor(two / 26)), letter(two % 26)))
-        .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26)))
-    )
+    """A, B, ... Z, AA, ... of columns counted from 1."""
+    start = F.struct(col.cast("long").alias("n"), F.lit("").alias("label"))
+
+    def digit(done: Column, _: Column) -> Column:
+        n = done["n"] - 1
+        more = F.struct(F.floor(n / 26).cast("long").alias("n"), F.concat(F.char(65 + n % 26), done["label"]).alias("label"))
+        return F.when(done["n"] > 0, more).otherwise(done)
+
+    # Fourteen letters hold any long.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, digit, lambda d: d["label"])
 
 
 def address(row: Column, col: Column) -> Column:

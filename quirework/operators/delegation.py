@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirework.functions import strings as S
+from quirework.operators import claims as C
 from quirework.operators import lines as L
 from quirework.operators import tables as T
 from quirework.operators.split import greedy_groups, split_text
@@ -29,16 +30,6 @@ def plain_table(rows: Column) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(line(rule)), F.slice(lines, 2, F.size(rows))), "\n")).otherwise("")
 
 
-def piece_sources(pieces: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, piece_no, source_id: the sources whose characters lie in a piece. Both have start and end, past-the-end.
-
-    An empty span lies in no piece. The join is by document; the ranges only filter within it.
-    """
-    p, s = pieces.alias("p"), spans.alias("s")
-    meets = (F.col("p.doc_id") == F.col("s.doc_id")) & (F.col("s.start") < F.col("p.end")) & (F.col("s.end") > F.col("p.start")) & (F.col("s.start") < F.col("s.end"))
-    return p.join(s, meets).select("p.doc_id", "p.piece_no", "s.source_id").distinct()
-
-
 def delegation_lines(docs: DataFrame) -> DataFrame:
     """Lines (doc_id, name, pos, line, table_no) of the documents (doc_id, name, text) that count, with `_title` (the
     title's place) and `category` (0 before the first)."""
@@ -74,24 +65,33 @@ def delegation_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     lines = lines.withColumn("_seg", F.sum(F.when(c("table_no").eqNullSafe(F.lag("table_no").over(group)), 0).otherwise(1)).over(group))
     keys = ["doc_id", "_group", "prefix"]
     room = F.lit(S.CHUNK_LIMIT) - F.when(c("prefix") == "", 0).otherwise(S.u16_length(c("prefix")) + 1)
-    text = lines.where("table_no is null").groupBy(*keys, "_seg").agg(F.min("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("t"))
-    fits = S.u16_length(c("t")) <= room
-    text = text.where(fits).withColumn("_p", F.array("t")).unionByName(text.where(~fits).withColumn("_p", split_text(c("t"), F.greatest(F.lit(1), room).cast("int"))))
+    line = F.struct("pos", "line", (~S.is_blank(c("line"))).alias("filled"))
+    text = lines.where("table_no is null").groupBy(*keys, "_seg").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(line)).alias("_l"))
+    own = F.transform(F.filter("_l", lambda x: x["filled"]), lambda x: x["pos"])
+    text = text.select(*keys, "pos", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("body"), own.alias("sources"))
     zero = F.lit(0)
-    text = text.select(*keys, c("pos").cast("int").alias("pos"), zero.alias("region"), zero.alias("place"), F.posexplode("_p").alias("part", "body"))
+    place = [c("pos").cast("int").alias("pos"), zero.alias("region"), zero.alias("place")]
+    fits = S.u16_length(c("body")) <= room
+    short = text.where(fits).select(*keys, *place, zero.alias("part"), "body", "sources")
+    long = cut(text.where(~fits).withColumn("parts", split_text(c("body"), F.greatest(F.lit(1), room).cast("int"))), "delegation-parts")
+    held = C.split_sources(long.where("size(sources) > 0"), ["doc_id", "pos"])
+    long = long.select(*keys, "pos", F.posexplode("parts").alias("part", "body")).join(held.withColumnRenamed("piece_no", "part"), ["doc_id", "pos", "part"], "left")
+    text = short.unionByName(long.select(*keys, *place, "part", "body", F.coalesce("sources", C.no_sources()).alias("sources")))
     rows = T.markdown_rows(lines.where("table_no is not null"))
     owners = lines.where("pos = table_no").select("table_no", *keys)
     lengths = owners.select("doc_id", "table_no", (S.u16_length(c("prefix")) + 1).alias("context_length"))
     packed = cut(T.table_drafts(rows, lengths), "delegation-tables")
     issues = T.table_issues(rows).select("doc_id", "code", F.lit("warning").alias("severity"), "n")
     issues = issues.unionByName(packed.where("blocked").select("doc_id", F.lit("TABLE_FRAMING_EXCEEDS_LIMIT").alias("code"), F.lit("error").alias("severity"), F.lit(1).cast("long").alias("n")))
-    tables = packed.where("not blocked").join(owners, ["doc_id", "table_no"]).select(*keys, c("table_no").cast("int").alias("pos"), *[c(k).cast("int").alias(k) for k in ("region", "place", "part")], "body")
+    tables = packed.where("not blocked").join(owners, ["doc_id", "table_no"]).select(*keys, c("table_no").cast("int").alias("pos"), *[c(k).cast("int").alias(k) for k in ("region", "place", "part")], "body", T.line_numbers(c("table_no"), c("row_nos")).alias("sources"))
     # A category without content is its title alone.
-    heads = _bare_categories(marks, lines).select("doc_id", "_group", F.lit("").alias("prefix"), c("pos").cast("int").alias("pos"), zero.alias("region"), zero.alias("place"), zero.alias("part"), c("prefix").alias("body"))
+    heads = _bare_categories(marks, lines).select("doc_id", "_group", F.lit("").alias("prefix"), c("pos").cast("int").alias("pos"), zero.alias("region"), zero.alias("place"), zero.alias("part"), c("prefix").alias("body"), C.no_sources().alias("sources"))
     pieces = text.where(F.when(c("_group") == 0, ~S.is_blank(c("body"))).otherwise(c("body") != "")).unionByName(tables)
     drafts = _joined(pieces).unionByName(heads)
     context = F.when(c("prefix") == "", F.array().cast("array<string>")).otherwise(F.array("prefix"))
-    drafts = drafts.select("doc_id", F.struct("pos", "region", "place", "part").alias("draft_no"), context.alias("context"), "body")
+    drafts = cut(drafts.select("doc_id", F.struct("pos", "region", "place", "part").alias("draft_no"), context.alias("context"), "body", "sources"), "delegation-drafts")
+    blocked = packed.where("blocked").select("doc_id", "table_no").distinct()
+    issues = issues.unionByName(C.lost_issues(L.expected_lines(lines.where(~S.is_blank(c("line"))), blocked), drafts))
     return drafts, issues, lines.select("doc_id").distinct()
 
 
@@ -106,9 +106,9 @@ def _joined(pieces: DataFrame) -> DataFrame:
     """Pieces of a category joined by line ends as long as they fit one chunk under its title; others stay as they are."""
     c = F.col
     order = F.struct("pos", "region", "place", "part")
-    own = pieces.where("_group > 0").groupBy("doc_id", "_group", "prefix").agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), S.u16_length(c("body")).alias("n"), c("body").alias("t")))).alias("r"))
+    own = pieces.where("_group > 0").groupBy("doc_id", "_group", "prefix").agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), S.u16_length(c("body")).alias("n"), c("body").alias("t"), "sources"))).alias("r"))
     own = own.withColumn("g", greedy_groups(F.transform("r", lambda x: (x["n"] + 1).cast("int")), (F.lit(S.CHUNK_LIMIT) - S.u16_length(c("prefix"))).cast("int")))
     own = own.select("doc_id", "_group", "prefix", F.explode(F.arrays_zip("r", "g")).alias("x"))
     own = own.groupBy("doc_id", "_group", "prefix", c("x.g").alias("g")).agg(F.array_sort(F.collect_list("x.r")).alias("r"))
-    own = own.select("doc_id", "_group", "prefix", c("r")[0]["k"].alias("k"), F.array_join(F.transform("r", lambda x: x["t"]), "\n").alias("body"))
-    return own.select("doc_id", "_group", "prefix", "k.*", "body").unionByName(pieces.where("_group <= 0").select("doc_id", "_group", "prefix", "pos", "region", "place", "part", "body"))
+    own = own.select("doc_id", "_group", "prefix", c("r")[0]["k"].alias("k"), F.array_join(F.transform("r", lambda x: x["t"]), "\n").alias("body"), F.flatten(F.transform("r", lambda x: x["sources"])).alias("sources"))
+    return own.select("doc_id", "_group", "prefix", "k.*", "body", "sources").unionByName(pieces.where("_group <= 0").select("doc_id", "_group", "prefix", "pos", "region", "place", "part", "body", "sources"))

@@ -86,9 +86,10 @@ def mark_tables(lines: DataFrame) -> DataFrame:
     lines = lines.withColumn("_pipe", S.is_pipe_line(F.col("line"))).withColumn("_sep", S.is_separator_line(F.col("line")))
     lines = lines.withColumn("_run", F.sum(F.when(F.col("_pipe"), 0).otherwise(1)).over(upto()))
     lines = lines.withColumn("_head", F.col("_pipe") & F.coalesce(F.lead("_sep").over(by_pos()), F.lit(False)))
-    run = Window.partitionBy("doc_id", "_run")
-    start = F.min(F.when(F.col("_head"), F.col("pos"))).over(run)
-    return lines.withColumn("table_no", F.when(F.col("_pipe") & (F.col("pos") >= start), start)).drop("_pipe", "_sep", "_run", "_head")
+    # The newest run with a table, and the first place in it where one begins: all windows share one order.
+    start = F.max(F.when(F.col("_head"), F.struct("_run", (-F.col("pos")).alias("at")))).over(upto())
+    lines = lines.withColumn("_start", start)
+    return lines.withColumn("table_no", F.when(F.col("_pipe") & (F.col("_start._run") == F.col("_run")), -F.col("_start.at"))).drop("_pipe", "_sep", "_run", "_head", "_start")
 
 
 def mark_siblings(lines: DataFrame, number: Column, family: Column) -> DataFrame:
@@ -96,12 +97,24 @@ def mark_siblings(lines: DataFrame, number: Column, family: Column) -> DataFrame
     # Blank lines carry no value, so the last value before a line, in either direction, is its filled neighbour's.
     filled = ~S.is_blank(F.col("line"))
     lines = lines.withColumn("_v", F.when(filled, F.struct(number.alias("n"), family.alias("f"))))
-    back = in_doc().orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    later, earlier = F.last("_v", True).over(back), F.last("_v", True).over(before())
-    own = F.col("_v")
+    order = "IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY pos)"
+    lines = lines.withColumn("_later", F.expr(f"lead(_v) {order}")).withColumn("_earlier", F.expr(f"lag(_v) {order}"))
+    own, later, earlier = F.col("_v"), F.col("_later"), F.col("_earlier")
     next_one = (later["n"] == own["n"] + 1) & (later["f"] == own["f"])
     previous = (earlier["n"] == own["n"] - 1) & (earlier["f"] == own["f"])
-    return lines.withColumn("sibling", F.coalesce(next_one, F.lit(False)) | F.coalesce(previous, F.lit(False))).drop("_v")
+    return lines.withColumn("sibling", F.coalesce(next_one, F.lit(False)) | F.coalesce(previous, F.lit(False))).drop("_v", "_later", "_earlier")
+
+
+def expected_lines(filled: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """doc_id, sources of filled body lines (doc_id, pos, line, table_no).
+
+    Of tables, separator lines and empty rows aren't expected in a draft, nor are the lines of blocked ones (doc_id, table_no).
+    """
+    row = F.col("table_no").isNull() | (F.coalesce(F.col("line").rlike(r"[^|\s]"), F.lit(False)) & (F.col("pos") != F.col("table_no") + 1))
+    rows = filled.where(row).select("doc_id", "pos", "table_no")
+    if blocked is not None:
+        rows = rows.join(blocked, ["doc_id", "table_no"], "left_anti")
+    return rows.groupBy("doc_id").agg(F.collect_list(F.col("pos").cast("int")).alias("sources"))
 
 
 def arabic_number(line: Column) -> Column:

@@ -1,7 +1,7 @@
-"""Section recognition on line tables: general, legal and manual documents to drafts.
+"""Section recognition on line tables: general and legal documents to drafts.
 
 All state that a reader would carry from line to line (the open heading, levels that reset each other, pending titles)
-is a window over the document's lines.
+is a window over the document's lines. Drafts carry `sources`, the filled lines whose text they hold (operators.claims).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quirework.functions import headings as H
 from quirework.functions import strings as S
+from quirework.operators import claims as C
 from quirework.operators import lines as L
 from quirework.operators import tables as T
 from quirework.operators.split import greedy_groups, split_text
@@ -33,37 +34,55 @@ def _trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A(?:{space}*\n)+|(?:\n{space}*)+\z", "")
 
 
-def _context(name: Column, label: str, path: Column, none: str) -> Column:
+def context_lines(name: Column, label: str, path: Column, none: str) -> Column:
     return F.array(F.concat(F.lit("[문서] "), name), F.concat(F.lit(f"[{label}] "), F.when(F.size(path) > 0, F.array_join(path, " > ")).otherwise(none)))
 
 
-def _units(lines: DataFrame) -> DataFrame:
+def with_units(lines: DataFrame) -> DataFrame:
     """Add `unit`, which changes with each section and at the edges of tables, from columns section, table_no."""
     same = (F.col("section") == F.lag("section").over(L.by_pos())) & F.col("table_no").eqNullSafe(F.lag("table_no").over(L.by_pos()))
     return lines.withColumn("unit", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(L.upto()))
 
 
 def _text_drafts(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """doc_id, keys, unit, pos, body of the text units; `body_line` null marks a line that gives none."""
-    rows = lines.where("table_no is null").groupBy("doc_id", *keys, "unit").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.when(F.col("body_line").isNotNull(), F.struct("pos", "body_line")))).alias("_l"))
-    return rows.withColumn("body", _trimmed(F.array_join(F.transform("_l", lambda x: x["body_line"]), "\n"))).drop("_l")
+    """doc_id, keys, unit, pos, body, sources of the text units; `body_line` null marks a line that gives none."""
+    line = F.struct("pos", "body_line", (~S.is_blank(F.col("body_line"))).alias("filled"))
+    rows = lines.where("table_no is null").groupBy("doc_id", *keys, "unit").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.when(F.col("body_line").isNotNull(), line))).alias("_l"))
+    own = F.transform(F.filter("_l", lambda x: x["filled"]), lambda x: x["pos"])
+    return rows.withColumn("body", _trimmed(F.array_join(F.transform("_l", lambda x: x["body_line"]), "\n"))).withColumn("sources", own).drop("_l")
 
 
-def _drafts_with_tables(lines: DataFrame, text: DataFrame, context: Column, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Drafts (doc_id, pos, region, place, part, kind, context, body) of text units and tables, and the tables' issues."""
+def drafts_with_tables(lines: DataFrame, text: DataFrame, context: Column, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drafts (doc_id, pos, region, place, part, kind, context, body, sources) of text units and tables, the tables' issues, and the blocked tables (doc_id, table_no).
+
+    text: doc_id, keys, pos, body, sources[, part].
+    """
+    number = ["pos", "region", "place", "part"]
     tables = lines.where("pos = table_no").select("doc_id", "table_no", *keys).withColumn("context", context)
     rows = T.markdown_rows(lines)
     lengths = tables.select("doc_id", "table_no", (S.u16_length(F.array_join("context", "\n")) + 1).alias("context_length"))
     packed = cut(T.table_drafts(rows, lengths), "table-drafts").join(tables.select("doc_id", "table_no", "context"), ["doc_id", "table_no"])
     issues = T.table_issues(rows).select("doc_id", "code", F.lit("warning").alias("severity"), "n")
     issues = issues.unionByName(packed.where("blocked").select("doc_id", F.lit("TABLE_FRAMING_EXCEEDS_LIMIT").alias("code"), F.lit("error").alias("severity"), F.lit(1).cast("long").alias("n")))
-    packed = packed.where("not blocked").select("doc_id", F.col("table_no").cast("int").alias("pos"), "region", F.col("place").cast("int").alias("place"), "part", F.lit("table").alias("kind"), "context", "body")
-    text = text.withColumn("context", context).select("doc_id", F.col("pos").cast("int").alias("pos"), F.lit(0).cast("int").alias("region"), F.lit(0).alias("place"), F.lit(0).alias("part"), F.lit("text").alias("kind"), "context", "body")
-    return text.unionByName(packed.withColumn("region", F.col("region").cast("int"))), issues
+    drafts = packed.select("doc_id", F.col("table_no").alias("pos"), "region", "place", "part", F.lit("table").alias("kind"), "context", "body", T.line_numbers(F.col("table_no"), F.col("row_nos")).alias("sources"))
+    text = text if "part" in text.columns else text.withColumn("part", F.lit(0))
+    text = text.withColumn("context", context).withColumns({"region": F.lit(0), "place": F.lit(0), "kind": F.lit("text")}).select(*drafts.columns)
+    both = text.unionByName(drafts.where(F.col("body").isNotNull()))
+    return both.select("doc_id", *[F.col(k).cast("int").alias(k) for k in number], "kind", "context", "body", "sources"), issues, packed.where("blocked").select("doc_id", "table_no")
+
 
+def numbered(drafts: DataFrame) -> DataFrame:
+    return drafts.select("doc_id", F.struct("pos", "region", "place", "part").alias("draft_no"), "context", "body", "sources")
 
-def _numbered(drafts: DataFrame) -> DataFrame:
-    return drafts.select("doc_id", F.struct("pos", "region", "place", "part").alias("draft_no"), "context", "body")
+
+def lost_issues(lines: DataFrame, drafts: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Issues of documents whose finished drafts don't hold each filled body line of lines (doc_id, pos, line, table_no, body_line) once.
+
+    blocked: doc_id, table_no of tables without drafts, which are issues of their own.
+    """
+    body = F.when(F.col("table_no").isNull(), F.col("body_line")).otherwise(F.col("line"))
+    filled = lines.where(body.isNotNull() & ~S.is_blank(body))
+    return C.lost_issues(L.expected_lines(filled, blocked), drafts)
 
 
 def general_lines(lines: DataFrame) -> DataFrame:
@@ -109,8 +128,8 @@ def general_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.array().cast("array<string>")
     plain = docs.where(~structured & F.col("text").isNotNull()).withColumn("body", _trimmed(F.col("text"))).where(~S.is_blank(F.col("body")))
     zero = F.lit(0)
-    plain = plain.select("doc_id", zero.alias("pos"), zero.alias("region"), zero.alias("place"), zero.alias("part"), _context(F.col("name"), "섹션", none, NO_PATH).alias("context"), "body")
-    lines = cut(_units(general_lines(L.explode_lines(docs.where(structured), ["name"]))), "general-lines")
+    plain = plain.select("doc_id", zero.alias("pos"), zero.alias("region"), zero.alias("place"), zero.alias("part"), context_lines(F.col("name"), "섹션", none, NO_PATH).alias("context"), "body", F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1).alias("sources"))
+    lines = cut(with_units(general_lines(L.explode_lines(docs.where(structured), ["name"]))), "general-lines")
     keys = ["name", "section", "path"]
     text = _text_drafts(lines, [*keys, "roman"])
     # Of a section without text, one unit keeps the title, unless a table follows it at once.
@@ -118,9 +137,12 @@ def general_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tabled = lines.groupBy("doc_id", "section").agg(F.min("table_no").alias("_table"), F.max(F.col("table_no").isNull() & F.coalesce(~S.is_blank(F.col("body_line")), F.lit(False))).alias("_texts"))
     text = text.withColumn("_first", first).join(tabled, ["doc_id", "section"])
     text = text.where(~S.is_blank(F.col("body")) | (F.col("_first") & (F.col("section") > 0) & ~F.col("roman") & F.col("_table").isNull() & ~F.col("_texts")))
-    drafts, issues = _drafts_with_tables(lines, text, _context(F.col("name"), "섹션", F.col("path"), NO_PATH), keys)
+    drafts, issues, blocked = drafts_with_tables(lines, text, context_lines(F.col("name"), "섹션", F.col("path"), NO_PATH), keys)
     drafts = fold_titles(drafts.withColumn("title", F.regexp_replace(F.col("context")[1], r"^\[섹션\] ", ""))).drop("title", "kind")
-    return cut(_numbered(plain.unionByName(drafts.select(*plain.columns))), "general-drafts"), issues
+    done = cut(numbered(plain.unionByName(drafts.select(*plain.columns))), "general-drafts")
+    # Texts without structure are one draft, so only line tables are held against their drafts.
+    lost = lost_issues(lines, done.join(lines.select("doc_id").distinct(), "doc_id", "left_semi"), blocked)
+    return done, issues.unionByName(lost)
 
 
 LEVELS = ["part", "chapter", "section", "subsection"]
@@ -153,7 +175,7 @@ def law_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("body_line", F.when(heading, F.nullif(F.col("_h.inline"), F.lit(""))).otherwise(F.col("line"))).drop("_h", *[f"_{k}" for k in [*LEVELS, "root", "article"]])
 
 
-#: Starts of 항, 호 and 목, the levels at which a long article breaks.
+# Starts of 항, 호 and 목, the levels at which a long article breaks.
 BREAKS = [r"(?m)(?=^[①-⑳]\s*)", r"(?m)(?=^\d+[.)]\s*)", r"(?m)(?=^[가-힣][.)]\s*)"]
 
 
@@ -168,18 +190,23 @@ def split_article(drafts: DataFrame, limit: int = S.CHUNK_LIMIT) -> DataFrame:
     long = long.select("*", F.posexplode("_p").alias("_i", "_x"))
     small = long.where(S.u16_length(F.col("_x")) <= F.col("_room")).withColumn("_s", F.array("_x"))
     large = long.where(S.u16_length(F.col("_x")) > F.col("_room")).withColumn("_s", split_text(F.col("_x"), F.col("_room")))
-    keys = [c for c in drafts.columns if c not in ("part", "body")]
+    keys = [c for c in drafts.columns if c not in ("part", "body", "sources")]
+    first = ["doc_id", "pos", "region", "place"]
+    whole = long.select(*first, "body", "sources")
     all_ = small.unionByName(large).select(*keys, "_room", "_i", F.posexplode("_s").alias("_j", "_t"))
     packed = all_.groupBy(*keys, "_room").agg(F.array_sort(F.collect_list(F.struct("_i", "_j", "_t"))).alias("r"))
     packed = packed.withColumn("g", greedy_groups(F.transform("r", lambda x: S.u16_length(x["_t"]).cast("int")), F.col("_room")))
     packed = packed.select(*keys, F.posexplode(F.arrays_zip("r", "g")).alias("k", "x")).groupBy(*keys, F.col("x.g").alias("part")).agg(F.array_sort(F.collect_list(F.struct("k", F.col("x.r._t").alias("t")))).alias("r"))
-    packed = packed.withColumn("body", F.array_join(F.transform("r", lambda x: x["t"]), ""))
+    packed = cut(packed.withColumn("body", F.array_join(F.transform("r", lambda x: x["t"]), "")).drop("r", "_room"), "article-parts")
+    parts = packed.groupBy(*first).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "body"))), lambda x: x["body"]).alias("parts"))
+    held = C.split_sources(whole.join(parts, first), first).withColumnRenamed("piece_no", "part")
+    packed = packed.join(held, [*first, "part"], "left").withColumn("sources", F.coalesce("sources", C.no_sources()))
     return short.select(*drafts.columns).unionByName(packed.select(*drafts.columns))
 
 
 def law_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One draft an article or special root of prepared docs; blank ones fold into later drafts of their location."""
-    lines = cut(_units(law_lines(L.explode_lines(docs, ["name"]))), "law-lines")
+    lines = cut(with_units(law_lines(L.explode_lines(docs, ["name"]))), "law-lines")
     keys = ["name", "section", "location", "opened_by"]
     text = _text_drafts(lines, keys)
     strong = F.col("opened_by").isin("article", *ROOTS)
@@ -187,8 +214,8 @@ def law_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tabled = lines.groupBy("doc_id", "section").agg(F.min("table_no").alias("_table"), F.max(F.col("table_no").isNull() & F.coalesce(~S.is_blank(F.col("body_line")), F.lit(False))).alias("_texts"))
     text = text.withColumn("_first", first).join(tabled, ["doc_id", "section"])
     text = text.where(~S.is_blank(F.col("body")) | (F.col("_first") & strong & F.col("_table").isNull() & ~F.col("_texts")))
-    context = _context(F.col("name"), "위치", F.col("location"), NO_PATH)
-    drafts, issues = _drafts_with_tables(lines, text, context, keys)
+    context = context_lines(F.col("name"), "위치", F.col("location"), NO_PATH)
+    drafts, issues, blocked = drafts_with_tables(lines, text, context, keys)
     drafts = cut(drafts, "law-units").withColumn("_loc", F.col("context")[1])
     order = Window.partitionBy("doc_id").orderBy("pos", "region", "place", "part")
     after = F.lead("_loc").over(order)
@@ -202,68 +229,5 @@ def law_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     drafts = drafts.withColumn("_later", later).where("not (_blank and coalesce(_later > pos, false))")
     plain = drafts.where("kind = 'text'").drop("kind", "_loc", "_blank", "_near", "_leaf", "_later")
     rest = drafts.where("kind = 'table'").select(*plain.columns)
-    return cut(_numbered(split_article(plain).unionByName(rest)), "law-drafts"), issues
-
-
-def manual_lines(lines: DataFrame) -> DataFrame:
-    """Line table with class, accepted sections and their paths.
-
-    A dotted title of depth d counts if its parent number is the open one of depth d - 1; depth 1 always does.
-    """
-    lines = L.mark_tables(lines).withColumn("class", H.manual_class(F.col("line"))).withColumn("_d", H.dotted_heading(F.col("line")))
-    ordinal = H.ordinal(F.col("line"))
-    listed = F.col("class").isin("section", "step")
-    lines = L.mark_siblings(lines, F.when(listed, ordinal["value"]), F.when(listed, ordinal["family"]))
-    free = F.col("table_no").isNull()
-    # Sibling runs are lists, whether dotted or not.
-    lines = lines.withColumn("_dot", F.when(free & ~F.col("sibling") & (F.col("class") != "safety"), F.col("_d"))).drop("_d")
-    for depth in (1, 2, 3, 4):
-        prefix = F.col("_dot.prefix")
-        here = F.col("_dot.depth") == depth
-        if depth > 1:
-            parent = F.array_join(F.slice(F.split(prefix, "[.]"), 1, depth - 1), ".")
-            here = here & (F.col(f"_open{depth - 1}.prefix") == parent)
-        mine = F.when(here, F.struct("pos", prefix.alias("prefix"), S.trim(F.col("line")).alias("text")))
-        lines = lines.withColumn(f"_own{depth}", mine)
-        opened = F.last(f"_own{depth}", True).over(L.upto())
-        if depth > 1:
-            opened = F.when(opened["pos"] > F.col(f"_open{depth - 1}.pos"), opened)
-        lines = lines.withColumn(f"_open{depth}", opened)
-    dotted = F.coalesce(*[F.col(f"_own{k}.pos") for k in (1, 2, 3, 4)]).isNotNull()
-    mark = F.regexp_extract("line", r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*\z", 1)
-    other = free & (F.col("class") == "section") & ~F.col("sibling") & ~dotted & F.col("_dot").isNull()
-    title = F.when(mark != "", mark).otherwise(S.trim(F.col("line")))
-    lines = lines.withColumn("_plain", F.last(F.when(other, F.struct("pos", title.alias("text"))), True).over(L.upto()))
-    path = F.filter(F.array(*[F.col(f"_open{k}.text") for k in (1, 2, 3, 4)]), lambda x: x.isNotNull())
-    newest = F.coalesce(F.greatest(*[F.col(f"_open{k}.pos") for k in (1, 2, 3, 4)]), F.lit(-1))
-    path = F.when(F.coalesce(F.col("_plain.pos"), F.lit(-1)) > newest, F.array("_plain.text")).otherwise(path)
-    heading = dotted | other
-    lines = lines.withColumn("heading", heading).withColumn("path", path).withColumn("section", F.sum(F.col("heading").cast("int")).over(L.upto()))
-    return lines.withColumn("body_line", F.when(~F.col("heading"), F.col("line"))).drop("_dot", "_plain", *[f"_{w}{k}" for w in ("own", "open") for k in (1, 2, 3, 4)])
-
-
-def manual_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Drafts of prepared docs by section; a safety line stays with the step before it, or else the one after.
-
-    Steps are packed up to the limit; a step that is longer is split by the finalizer.
-    """
-    lines = cut(_units(manual_lines(L.explode_lines(docs, ["name"]))), "manual-lines")
-    keys = ["name", "section", "path"]
-    context = _context(F.col("name"), "섹션", F.col("path"), "전체")
-    filled = lines.where(F.col("table_no").isNull() & F.col("body_line").isNotNull() & ~S.is_blank(F.col("body_line")))
-    in_unit = Window.partitionBy("doc_id", "unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    # Safety lines before the first step count with it.
-    step = F.greatest(F.sum((F.col("class") != "safety").cast("int")).over(in_unit), F.lit(1))
-    steps = filled.withColumn("step", step).groupBy("doc_id", *keys, "unit", "step").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "body_line", "class"))).alias("_l"))
-    steps = steps.withColumn("text", F.array_join(F.transform("_l", lambda x: x["body_line"]), "\n")).withColumn("lone", ~F.exists("_l", lambda x: x["class"] != "safety"))
-    steps = steps.withColumn("context", context)
-    packed = steps.groupBy("doc_id", *keys, "unit", "context").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("r"))
-    room = F.lit(S.CHUNK_LIMIT) - S.u16_length(F.array_join("context", "\n"))
-    packed = packed.withColumn("g", greedy_groups(F.transform("r", lambda x: (S.u16_length(x["text"]) + 1).cast("int")), room.cast("int")))
-    packed = packed.select("doc_id", *keys, "unit", F.explode(F.arrays_zip("r", "g")).alias("x"))
-    packed = packed.groupBy("doc_id", *keys, "unit", F.col("x.g").alias("g")).agg(F.min("x.r.pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list("x.r")), lambda x: x["text"]), "\n").alias("body"))
-    drafts, issues = _drafts_with_tables(lines, packed.select("doc_id", *keys, "pos", "body"), context, keys)
-    tabled = lines.where("table_no is not null").select("doc_id", "section").distinct().withColumn("_tabled", F.lit(True))
-    alone = steps.where("lone").join(tabled, ["doc_id", "section"], "left").where("_tabled is null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    issues = issues.unionByName(alone.select("doc_id", F.lit("manual-safety-without-adjacent-instruction").alias("code"), F.lit("warning").alias("severity"), "n"))
-    return cut(_numbered(drafts), "manual-drafts"), issues
+    done = cut(numbered(split_article(plain).unionByName(rest)), "law-drafts")
+    return done, issues.unionByName(lost_issues(lines, done, blocked))

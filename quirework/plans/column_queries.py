@@ -102,15 +102,15 @@ def page_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _order_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, chunks: a nation's suppliers as its chunks, in order."""
-    rows = table(spark, folder, "supplier").groupBy(F.col("s_nationkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("l"))
+    """doc_id, chunks: twelve suppliers as the chunks of a document, in order."""
+    rows = table(spark, folder, "supplier").groupBy(F.floor(F.col("s_suppkey") / 12).cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("l"))
     return rows.select("doc_id", F.transform("l", lambda x: x["s_name"]).alias("chunks"))
 
 
-_CHUNKS = "WITH c AS (SELECT s_nationkey AS doc_id, list(s_name ORDER BY s_suppkey) AS chunks FROM supplier GROUP BY 1) "
+_CHUNKS = "WITH c AS (SELECT s_suppkey // 12 AS doc_id, list(s_name ORDER BY s_suppkey) AS chunks FROM supplier GROUP BY 1) "
 
 
-@query("""SELECT doc_id, CAST(i AS INT) AS index, s_name AS chunk FROM (SELECT s_nationkey AS doc_id, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier)
+@query("""SELECT doc_id, CAST(i AS INT) AS index, s_name AS chunk FROM (SELECT s_suppkey // 12 AS doc_id, s_name, row_number() OVER (PARTITION BY s_suppkey // 12 ORDER BY s_suppkey) - 1 AS i FROM supplier)
 WHERE contains(lower(s_name), '7') OR contains('#' || CASE WHEN i < 999 THEN lpad(CAST(i + 1 AS VARCHAR), 3, '0') ELSE CAST(i + 1 AS VARCHAR) END, '7')""")
 def chunk_search(spark: SparkSession, folder: str) -> DataFrame:
     return edits.search(_order_chunks(spark, folder), "7")
@@ -148,11 +148,11 @@ def list_items(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", B.render_item(text, F.pmod(n, F.lit(3)).cast("int"), n % 2 == 0, n).alias("item"))
 
 
-@query("""SELECT s_nationkey AS doc_id, CAST(count(*) FILTER (s_suppkey % 4 = 0) AS BIGINT) AS n FROM supplier GROUP BY 1 HAVING count(*) FILTER (s_suppkey % 4 = 0) > 0""")
+@query("""SELECT s_suppkey // 40 AS doc_id, CAST(count(*) FILTER (s_suppkey % 4 = 0) AS BIGINT) AS n FROM supplier GROUP BY 1 HAVING count(*) FILTER (s_suppkey % 4 = 0) > 0""")
 def irregular_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Delimited records narrower than the first one."""
     line = F.when(F.col("s_suppkey") % 4 == 0, F.concat_ws(",", "s_suppkey", "s_name")).otherwise(F.concat_ws(",", "s_suppkey", "s_name", F.lit('"x, y"')))
-    text = text_of(table(spark, folder, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("k"), "s_suppkey", "s_name"), line)
+    text = text_of(table(spark, folder, "supplier").select(F.floor(F.col("s_suppkey") / 40).cast("long").alias("doc_id"), F.col("s_suppkey").alias("k"), "s_suppkey", "s_name"), line)
     rows = files.csv_sheets(text.select("doc_id", F.lit("s.csv").alias("name"), F.concat(F.lit("key,name,note\n"), "text").alias("text")))
     return files.irregular_records(rows).select("doc_id", "n")
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions import strings as S
-from quirework.operators import contracts, delegation, sections
+from quirework.operators import contracts, delegation, manuals, sections
 from quirework.operators import drafts as D
 from quirework.operators import lines as L
 from quirework.operators.storage import cut
 
-CHUNKERS = {"general": sections.general_drafts, "law": sections.law_drafts, "manual": sections.manual_drafts}
+CHUNKERS = {"general": sections.general_drafts, "law": sections.law_drafts, "manual": manuals.manual_drafts}
 #: The one source of a flat text.
 RAW_SOURCE = "raw-text-1"
 

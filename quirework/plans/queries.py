@@ -15,7 +15,7 @@ from quirework.functions import strings as S
 from quirework.operators import blocks as B
 from quirework.operators import drafts as D
 from quirework.operators import lines as L
-from quirework.operators import sections, tables, workbook
+from quirework.operators import manuals, sections, tables, workbook
 from quirework.plans import reports
 from quirework.plans.preprocess import preprocess, preprocess_results, raw_documents
 from quirework.sources import files, statutes
@@ -112,18 +112,18 @@ def general_sections(spark: SparkSession, folder: str) -> DataFrame:
     return drafts.select("doc_id", F.col("context")[1].alias("section"), "body")
 
 
-@query("""SELECT o_custkey AS doc_id, o_orderpriority AS section, '※ 주의' || chr(10) || string_agg('주문 ' || o_orderkey || ' 처리한다.', chr(10) ORDER BY o_orderkey) AS body FROM orders GROUP BY 1, 2""")
+@query("""SELECT o_custkey AS doc_id, '# ' || o_orderpriority AS section, '※ 주의' || chr(10) || string_agg('주문 ' || o_orderkey || ' 처리한다.', chr(10) ORDER BY o_orderkey) AS body FROM orders GROUP BY 1, 2""")
 def manual_steps(spark: SparkSession, folder: str) -> DataFrame:
     """A manual for each customer: order priorities are sections, orders are steps; a safety line opens each section."""
     orders = table(spark, folder, "orders").withColumnRenamed("o_custkey", "doc_id")
     key = lambda n: F.struct("o_orderpriority", n.cast("long").alias("n")).alias("k")
     step = orders.select("doc_id", key(F.col("o_orderkey")), F.concat(F.lit("주문 "), F.col("o_orderkey").cast("string"), F.lit(" 처리한다.")).alias("line"))
     head = orders.select("doc_id", "o_orderpriority").distinct().select("doc_id", key(F.lit(-1)), F.concat(F.lit("# "), "o_orderpriority", F.lit("\n※ 주의")).alias("line"))
-    drafts, _ = sections.manual_drafts(raw_documents(text_of(step.unionByName(head), F.col("line"))))
+    drafts, _ = manuals.manual_drafts(raw_documents(text_of(step.unionByName(head), F.col("line"))))
     return drafts.select("doc_id", F.regexp_replace(F.col("context")[1], r"^\[섹션\] ", "").alias("section"), "body")
 
 
-@query("""SELECT s_suppkey AS doc_id, '[문서] 텍스트 문서.txt' || chr(10) || CASE s_suppkey % 4 WHEN 0 THEN '[위치] 제' || s_suppkey || '조(목적)' || chr(10) || '본문 ' || s_name WHEN 1 THEN '[섹션] 절차' || chr(10) || s_name || ' 처리한다.' WHEN 2 THEN '[섹션] 머리' || chr(10) || 'plain ' || s_name ELSE '[섹션] 전문' || chr(10) || 'memo ' || s_name END AS chunk FROM supplier""")
+@query("""SELECT s_suppkey AS doc_id, '[문서] 텍스트 문서.txt' || chr(10) || CASE s_suppkey % 4 WHEN 0 THEN '[위치] 제' || s_suppkey || '조(목적)' || chr(10) || '본문 ' || s_name WHEN 1 THEN '[섹션] # 절차' || chr(10) || s_name || ' 처리한다.' WHEN 2 THEN '[섹션] 머리' || chr(10) || 'plain ' || s_name ELSE '[섹션] 전문' || chr(10) || 'memo ' || s_name END AS chunk FROM supplier""")
 def routed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of four document types in one table, each row by its own chunker."""
     supplier = table(spark, folder, "supplier")
@@ -135,12 +135,12 @@ def routed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return preprocess(docs)[0].select("doc_id", "chunk")
 
 
-@query("""SELECT s_nationkey AS doc_id, CAST(CASE WHEN count(*) < 2 THEN 0 ELSE count(*) + greatest(count(*) - 2, 0) END AS BIGINT) AS n_removed FROM supplier GROUP BY 1""")
+@query("""SELECT s_suppkey // 40 AS doc_id, CAST(CASE WHEN count(*) < 2 THEN 0 ELSE count(*) + greatest(count(*) - 2, 0) END AS BIGINT) AS n_removed FROM supplier GROUP BY 1""")
 def page_decoration(spark: SparkSession, folder: str) -> DataFrame:
-    """One paged text a nation: suppliers are pages with one header and their number."""
+    """A paged text for each forty suppliers, who are pages with one header and their number."""
     supplier = table(spark, folder, "supplier")
     page = F.concat(F.lit("Supplier report\n"), "s_name", F.lit(" delivers.\n- "), F.col("s_suppkey").cast("string"), F.lit(" -"))
-    docs = raw_documents(text_of(supplier.select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("k"), "s_name", "s_suppkey"), page))
+    docs = raw_documents(text_of(supplier.select(F.floor(F.col("s_suppkey") / 40).cast("long").alias("doc_id"), F.col("s_suppkey").alias("k"), "s_name", "s_suppkey"), page))
     return L.prepare(docs).select("doc_id", "n_removed")
 
 
@@ -161,18 +161,21 @@ def sheet_regions(spark: SparkSession, folder: str) -> DataFrame:
     return workbook.sheet_tables(sheets).groupBy("doc_id", "sheet", F.col("number").cast("long").alias("number"), F.array_join("titles", "/").alias("titles")).agg(F.count("*").alias("n_rows"))
 
 
-@query("""SELECT c_nationkey AS doc_id, CAST(count(*) AS BIGINT) AS n_rows, true AS all_fit FROM customer GROUP BY 1""")
+# Rows of equal length, so that the place of each chunk's end is plain arithmetic.
+@query("""WITH r AS (SELECT c_custkey // 200 AS doc_id, c_custkey, row_number() OVER (PARTITION BY c_custkey // 200 ORDER BY c_custkey) - 1 AS i FROM customer)
+SELECT doc_id, '| name | segment |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || ' | ' || repeat('s', 80) || ' |', chr(10) ORDER BY c_custkey) AS body
+FROM r GROUP BY doc_id, i // ((3800 - 40 - 34) // 98)""")
 def table_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """One table a nation with its customers as rows, packed into chunks under a repeated header."""
+    """A table for each 200 customers, who are its rows, packed into chunks under a repeated header."""
     from pyspark.sql.window import Window
 
-    customer = table(spark, folder, "customer")
-    rows = customer.select(F.col("c_nationkey").alias("doc_id"), F.lit(0).alias("table_no"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("row_no"), F.array("c_name", "c_mktsegment").alias("cells"))
-    head = customer.select(F.col("c_nationkey").alias("doc_id")).distinct().select("doc_id", F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), F.array(F.lit("name"), F.lit("segment")).alias("cells"))
-    rows = rows.unionByName(head)
+    doc = F.floor(F.col("c_custkey") / 200).cast("long").alias("doc_id")
+    customer = table(spark, folder, "customer").select(doc, "c_custkey")
+    cells = F.array(F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")), F.lit("s" * 80))
+    rows = customer.select("doc_id", F.lit(0).alias("table_no"), F.row_number().over(Window.partitionBy("doc_id").orderBy("c_custkey")).alias("row_no"), cells.alias("cells"))
+    head = customer.select("doc_id").distinct().select("doc_id", F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), F.array(F.lit("name"), F.lit("segment")).alias("cells"))
     lengths = head.select("doc_id", "table_no", F.lit(40).alias("context_length"))
-    packed = tables.table_drafts(rows, lengths)
-    return packed.groupBy("doc_id").agg(F.sum(F.size(F.split("body", "\n", -1)) - 2).alias("n_rows"), F.min(S.u16_length(F.col("body")) <= S.CHUNK_LIMIT - 40).alias("all_fit"))
+    return tables.table_drafts(rows.unionByName(head), lengths).select("doc_id", "body")
 
 
 @query("""WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem)
@@ -217,13 +220,14 @@ def statute_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return statutes.statute_text(rows.select(F.col("r_regionkey").alias("doc_id"), json.alias("json")))
 
 
-@query("""SELECT s_nationkey AS doc_id, CAST(count(*) + 1 AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_columns FROM supplier GROUP BY 1""")
+@query("""SELECT s_suppkey // 40 AS doc_id, CAST(row_number() OVER (PARTITION BY s_suppkey // 40 ORDER BY s_suppkey) AS INT) AS row_no, s_suppkey || '|' || s_name || '|a' || chr(10) || '"b", ' || s_name AS cells FROM supplier
+UNION ALL SELECT DISTINCT s_suppkey // 40, 0, 'key|name|note' FROM supplier""")
 def csv_records(spark: SparkSession, folder: str) -> DataFrame:
-    """One delimited text a nation with quoted line ends, read as sheet rows."""
+    """A delimited text for each forty suppliers, with quoted line ends, read as sheet rows."""
     line = F.concat_ws(",", "s_suppkey", "s_name", F.concat(F.lit('"a\n""b"", '), "s_name", F.lit('"')))
-    text = text_of(table(spark, folder, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("k"), "s_suppkey", "s_name"), line)
+    text = text_of(table(spark, folder, "supplier").select(F.floor(F.col("s_suppkey") / 40).cast("long").alias("doc_id"), F.col("s_suppkey").alias("k"), "s_suppkey", "s_name"), line)
     rows = files.csv_sheets(text.select("doc_id", F.lit("s.csv").alias("name"), F.concat(F.lit("key,name,note\n"), "text").alias("text")))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).cast("long").alias("n_columns"))
+    return rows.select("doc_id", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
 @query("""SELECT item_id, CAST(length(text) AS BIGINT) AS longest_chunk, CAST(0 AS BIGINT) AS over_safe_limit, 'ready' AS status FROM benchmark""")
