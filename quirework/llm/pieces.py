@@ -252,42 +252,51 @@ class Sampler:
             flat[base[who] + k] = e
         return flat, counts, logp
 
-    def _left(self, arrays: tuple, at: int, end: int, depth: int, barred: list[tuple[int, ...]]) -> tuple[float, list[tuple[int, float]]]:
-        """Probability, from a node on, of what isn't barred, and its parts by edge. barred share their first depth edges.
+    def _left(self, arrays: tuple, start: int, barred: list[tuple[int, ...]]) -> tuple[list[dict[int, int]], list[float]]:
+        """The barred segmentations as a trie (children by edge; the root is 0), and the probability of what isn't barred under each of its nodes.
 
-        Sums of positive terms only, so that nothing is lost to rounding however little is left.
+        One pass over the nodes from the last made to the first: each lies behind its parent. Sums of positive terms
+        only, so that nothing is lost to rounding however little is left.
         """
         first, _, logq, step, _ = arrays
-        if at >= end:
-            return 0.0, []
-        parts = []
-        for e in range(int(first[at]), int(first[at + 1])):
-            under = [b for b in barred if b[depth] == e]
-            q = math.exp(logq[e])
-            parts.append((e, q * self._left(arrays, at + int(step[e]), end, depth + 1, under)[0] if under else q))
-        return sum(w for _, w in parts), parts
+        children: list[dict[int, int]] = [{}]
+        at = [start]
+        for path in barred:
+            node = 0
+            for e in path:
+                child = children[node].get(e)
+                if child is None:
+                    child = children[node][e] = len(children)
+                    children.append({})
+                    at.append(at[node] + int(step[e]))
+                node = child
+        left = [0.0] * len(children)
+        for node in range(len(children) - 1, -1, -1):
+            under = children[node]
+            if under:
+                lo, hi = int(first[at[node]]), int(first[at[node] + 1])
+                left[node] = sum(math.exp(w) * (left[under[e]] if e in under else 1.0) for e, w in zip(range(lo, hi), logq[lo:hi].tolist(), strict=True))
+        return children, left
 
     def _other(self, arrays: tuple, start: int, length: int, draws: list[float], barred: list[tuple[int, ...]]) -> tuple[int, ...] | None:
         """A segmentation of one segment outside barred, drawn by what is left of the lattice; None if nothing is."""
         first, _, logq, step, _ = arrays
+        children, left = self._left(arrays, start, barred)
         out: list[int] = []
-        at, end, under = start, start + length, barred
+        at, end, node = start, start + length, 0
         while at < end:
-            if under:
-                total, parts = self._left(arrays, at, end, len(out), under)
-                parts = [p for p in parts if p[1] > 0]
-                if not parts:
-                    return None
-            else:
-                lo, hi = int(first[at]), int(first[at + 1])
-                parts = [(e, math.exp(w)) for e, w in zip(range(lo, hi), logq[lo:hi].tolist(), strict=True)]
-                total = sum(w for _, w in parts)
-            x, n = draws[len(out)] * total, 0
+            lo, hi = int(first[at]), int(first[at + 1])
+            under = children[node] if node is not None else {}
+            parts = [(e, math.exp(w) * (left[under[e]] if e in under else 1.0)) for e, w in zip(range(lo, hi), logq[lo:hi].tolist(), strict=True)]
+            parts = [p for p in parts if p[1] > 0]
+            if not parts:
+                return None
+            x, n = draws[len(out)] * sum(w for _, w in parts), 0
             while n < len(parts) - 1 and x > parts[n][1]:
                 x -= parts[n][1]
                 n += 1
             e = parts[n][0]
-            under = [b for b in under if b[len(out)] == e]
+            node = under.get(e)
             out.append(e)
             at += int(step[e])
         return tuple(out)
@@ -364,24 +373,34 @@ class Sampler:
             edges = [np.concatenate([[0], np.cumsum(r[1])]) for r in rounds]
             own: dict[int, tuple[int, ...]] = {}
             for g in at.tolist():
-                d, m = int(document[g]), int(of[document[g]])
-                old = tuple(rounds[m][0][edges[m][g] : edges[m][g + 1]].tolist())
-                taken = barred.setdefault((m, g), [old])
-                n = int(length[g]) + 2
-                draws = _draw(np.repeat(keys[d : d + 1], n) + np.arange(n, dtype=np.uint64), path, np.full(n, local[g]), 1 << 20).tolist()
-                if len(taken) == 1:
-                    found = self._leave(arrays, int(start[g]), int(length[g]), draws, old)
-                else:
-                    found = self._other(arrays, int(start[g]), int(length[g]), draws, taken)
-                if found is None:
-                    # Rounding alone left mass here: the document's next round takes its next largest subtree.
-                    going[d] = False
+                d = int(document[g])
+                lo, hi = int(bounds[d]), int(bounds[d + 1])
+                while True:
+                    m = int(of[d])
+                    old = tuple(rounds[m][0][edges[m][g] : edges[m][g + 1]].tolist())
+                    taken = barred.setdefault((m, g), [old])
+                    n = int(length[g]) + 2
+                    draws = _draw(np.repeat(keys[d : d + 1], n) + np.arange(n, dtype=np.uint64), path, np.full(n, local[g]), 1 << 20).tolist()
+                    if len(taken) == 1:
+                        found = self._leave(arrays, int(start[g]), int(length[g]), draws, old)
+                    else:
+                        found = self._other(arrays, int(start[g]), int(length[g]), draws, taken)
+                    if found is not None:
+                        break
+                    # Rounding alone left mass here: the document's next largest subtree takes its place.
                     rounds[m][5][g] = -np.inf
+                    tops = [r[5][lo:hi].max() for r in rounds]
+                    of[d], score[d] = int(np.argmax(tops)), max(tops)
+                    if score[d] == -np.inf:
+                        going[d] = False
+                        break
+                    g = lo + int(rounds[of[d]][5][lo:hi].argmax())
+                if found is None:
                     continue
                 own[g] = found
                 taken.append(found)
                 if k > 2:
-                    left, _ = self._left(arrays, int(start[g]), int(start[g] + length[g]), 0, taken)
+                    left = self._left(arrays, int(start[g]), taken)[1][0]
                 else:
                     left = 1.0 - sum(math.exp(arrays[2][list(x)].sum()) for x in taken)
                 place = np.array([rounds[m][3][g] + math.log(left) if left > 0 else -np.inf])

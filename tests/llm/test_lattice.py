@@ -106,3 +106,21 @@ def test_second_sample_is_drawn_without_the_first(model):
     for a, b in itertools.permutations(known, 2):
         p = math.exp(known[a]) * math.exp(known[b]) / (1 - math.exp(known[a]))
         assert abs(pairs.get((a, b), 0) / 6000 - p) < 5 * math.sqrt(p * (1 - p) / 6000) + 1e-3
+
+
+@pytest.mark.parametrize(("n", "k"), [(3_000, 3), (20_000, 5)])
+def test_long_unbroken_texts(model, n, k):
+    """Thousands of letters without a space: k distinct samples, in falling order of their perturbed scores."""
+    raw = bytes(97 + (i * i) % 11 for i in range(n))
+    rows = drawn(model, raw, np.array([7, 8], np.uint64), k)
+    for samples in rows.values():
+        assert [m for m, *_ in samples] == list(range(1, k + 1)) and len({ids for _, ids, *_ in samples}) == k
+        assert all(a[3] >= b[3] for a, b in zip(samples, samples[1:]))
+
+
+def test_rounding_never_costs_a_sample(model):
+    """Segments whose lattices are all but certain: as many samples as there are segmentations."""
+    for raw in (b"the of and", b"a b", b"of"):
+        count = len(every(model, raw))
+        k = min(count, 12)
+        assert all(len(samples) == k for samples in drawn(model, raw, np.arange(20, dtype=np.uint64), k).values())
