@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from quirework.functions import strings as S
 from quirework.operators import tables as T
 from quirework.operators.storage import cut
-from quirework.operators.workbook import SHEET, populated
+from quirework.operators.workbook import SHEET, blocked_issues, populated
 
 # Rows in which a header is looked for, and addresses that a summary of comments names.
 HEADER_ROWS, COMMENT_PLACES = 20, 20
@@ -118,7 +118,10 @@ def _header_of(rows: Column, top: Column, left: Column, merges: Column) -> Colum
 
 def header_rows(ranges: DataFrame, rows: DataFrame, names: DataFrame, cells: DataFrame) -> DataFrame:
     """doc_id, sheet_no, first, last, source of each sheet's header: print titles, else detected, else its first formula's row."""
-    early = rows.where(F.col("row_no") < 3 * HEADER_ROWS).groupBy(*SHEET).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x["cells"]).alias("rows"))
+    # Rows that a band may reach: the first ones, and as far down as a merge that begins there goes, and one more.
+    reach = F.array_max(F.transform(F.filter("merges", lambda m: m["top"] - F.col("top") < HEADER_ROWS), lambda m: m["bottom"] - F.col("top") + 2))
+    far = ranges.select(*SHEET, F.greatest(F.lit(HEADER_ROWS), F.coalesce(reach, F.lit(0))).alias("_far"))
+    early = rows.join(far, SHEET).where("row_no < _far").groupBy(*SHEET).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x["cells"]).alias("rows"))
     formula = cells.where("formula is not null").groupBy(*SHEET).agg(F.min("row").cast("int").alias("_f"))
     titles = print_titles(names, ranges).select(*SHEET, F.struct("first", "last").alias("_p"))
     found = ranges.join(early, SHEET).join(formula, SHEET, "left").join(titles, SHEET, "left")
@@ -193,12 +196,12 @@ def context_line(cells: Column) -> Column:
     return F.nullif(line, F.lit(""))
 
 
-def layout_tables(ranges: DataFrame, rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """Sheets with a header as tables: doc_id, sheet_no, section, item, context (lines above the header), header, row_no, cells.
+def layout_heads(ranges: DataFrame, rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """Sheets with a header: doc_id, sheet_no, _z (its last row), context (lines above it), header, complex (several header
+    rows, or merges that meet them), header_merges, bare (columns without a title).
 
     Title rows (one filled cell, fuller rows below) leave the header, however many there are. Header rows are joined by
-    column, merged ones read at their first cell. Empty rows and item labels cut the data; a label holds until the next.
-    A sheet without data has one row with null cells.
+    column, merged ones read at their first cell.
     """
     c = F.col
     span = ranges.join(headers, SHEET).select(*SHEET, "top", "left", "merges", "first", "last", "source")
@@ -234,7 +237,20 @@ def layout_tables(ranges: DataFrame, rows: DataFrame, headers: DataFrame) -> Dat
     heads = heads.withColumn("header", F.transform(F.sequence(F.lit(0), width - 1), title)).where(F.exists("header", lambda x: x != ""))
     lines = F.concat(F.filter("h", lambda x: x["row_no"] < c("_a")), c("_titles"))
     heads = heads.withColumn("context", F.filter(F.transform(lines, lambda x: context_line(x["cells"])), lambda x: x.isNotNull()))
-    heads = cut(heads.select(*SHEET, "_z", "context", "header"), "sheet-headers")
+    meets = F.filter("merges", lambda m: (m["bottom"] >= c("first")) & (m["top"] <= c("last")))
+    bare = F.filter(F.transform("header", lambda x, i: F.when(x == "", (i + c("left")).cast("int"))), lambda i: i.isNotNull())
+    heads = heads.withColumn("header_merges", meets).withColumn("bare", bare).withColumn("complex", (F.size("_used") > 1) | (F.size("header_merges") > 0))
+    return cut(heads.select(*SHEET, "_z", "context", "header", "complex", "header_merges", "bare"), "sheet-headers")
+
+
+def layout_tables(ranges: DataFrame, rows: DataFrame, headers: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Sheets with a header as tables: doc_id, sheet_no, section, item, context (lines above the header), header, row_no, cells.
+
+    Empty rows and item labels cut the data; a label holds until the next. A sheet without data has one row with null
+    cells.
+    """
+    c = F.col
+    heads = (layout_heads(ranges, rows, headers) if heads is None else heads).select(*SHEET, "_z", "context", "header")
     data = rows.join(heads.select(*SHEET, "_z"), SHEET).where("row_no > _z")
     upto = Window.partitionBy(*SHEET).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     data = data.withColumn("_item", item_label(c("cells"))).withColumn("_cut", (T.is_empty_row(c("cells")) | c("_item").isNotNull()))
@@ -244,14 +260,28 @@ def layout_tables(ranges: DataFrame, rows: DataFrame, headers: DataFrame) -> Dat
     return out.withColumn("section", F.coalesce("section", F.lit(1))).select(*SHEET, "section", "item", "context", "header", "row_no", "cells")
 
 
-def layout_drafts(tables: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Drafts (doc_id, draft_no, context, body) of layout tables; sheets: doc_id, sheet_no, name, sheet."""
+def layout_drafts(tables: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drafts (doc_id, draft_no, context, body) and issues of layout tables; sheets: doc_id, sheet_no, name, sheet."""
     c = F.col
-    keyed = tables.join(sheets, SHEET).withColumn("table_no", c("sheet_no").cast("long") * 1_000_000 + c("section"))
+    keyed = tables.join(sheets, SHEET).withColumn("table_no", F.struct("sheet_no", "section"))
     lines = F.concat(F.array(F.concat(F.lit("[파일] "), "name"), F.concat(F.lit("[시트] "), "sheet")), F.transform("context", lambda x: F.concat(F.lit("[머리행] "), x)), F.array(F.coalesce(F.concat(F.lit("[항목] "), "item"), F.concat(F.lit("[표] "), c("section").cast("string")))))
     keyed = cut(keyed.withColumn("_lines", lines), "layout-rows")
     framed = keyed.groupBy("doc_id", "table_no").agg(F.first("_lines").alias("context"), F.first("header").alias("cells"))
     rows = framed.select("doc_id", "table_no", F.lit(-1).alias("row_no"), "cells").unionByName(keyed.where("cells is not null").select("doc_id", "table_no", c("row_no").cast("int").alias("row_no"), "cells"))
     lengths = framed.select("doc_id", "table_no", (S.u16_length(F.array_join("context", "\n")) + 1).alias("context_length"))
-    packed = T.table_drafts(rows, lengths).join(framed.select("doc_id", "table_no", "context"), ["doc_id", "table_no"])
-    return packed.where("not blocked").select("doc_id", F.struct(c("table_no").alias("pos"), "region", "place", "part").alias("draft_no"), "context", "body")
+    packed = cut(T.table_drafts(rows, lengths), "layout-drafts").join(framed.select("doc_id", "table_no", "context"), ["doc_id", "table_no"])
+    number = F.struct(c("table_no.sheet_no").alias("pos"), c("table_no.section").alias("region"), "place", "part")
+    return packed.where("not blocked").select("doc_id", number.alias("draft_no"), "context", "body"), blocked_issues(packed)
+
+
+def layout_issues(heads: DataFrame, sheets: DataFrame) -> DataFrame:
+    """doc_id, code, severity, n, locations of layout heads: headers of several rows or with merges, and columns without a title."""
+    c = F.col
+    named = heads.join(sheets.select(*SHEET, "sheet"), SHEET)
+    corner = lambda row, col: F.concat(column_label(col), row.cast("string"))
+    areas = F.transform("header_merges", lambda m: F.concat("sheet", F.lit("!"), corner(m["top"], m["left"]), F.lit(":"), corner(m["bottom"], m["right"])))
+    columns = F.transform("bare", lambda k: F.concat("sheet", F.lit("!"), column_label(k), F.lit(":"), column_label(k)))
+    warning = F.lit("warning").alias("severity")
+    own = F.when(F.size("header_merges") > 0, areas).otherwise(F.array("sheet"))
+    odd = named.where("complex").select("doc_id", F.lit("COMPLEX_EXCEL_HEADER").alias("code"), warning, F.nullif(F.size("header_merges"), F.lit(0)).cast("long").alias("n"), own.alias("locations"))
+    return odd.unionByName(named.where(F.size("bare") > 0).select("doc_id", F.lit("EMPTY_EXCEL_HEADER").alias("code"), warning, F.size("bare").cast("long").alias("n"), columns.alias("locations")))

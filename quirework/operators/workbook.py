@@ -1,6 +1,8 @@
 """Workbook sheets to chunks: regions between empty rows, titles, continuations, and tables numbered by sheet.
 
-A sheet table has (doc_id, name, sheet_no, sheet, row_no, cells).
+A sheet table has (doc_id, name, sheet_no, sheet, row_no, cells). Texts of workbooks are cut into segments first: prose
+and Markdown tables in their order, or one delimited table. Several tables of a text lie on one sheet, so sheet_no tells
+them apart and their numbers run on.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirework.functions import strings as S
+from quirework.operators import claims as C
+from quirework.operators import lines as L
 from quirework.operators import tables as T
 from quirework.operators.storage import cut
 
@@ -63,16 +67,91 @@ def sheet_tables(sheets: DataFrame) -> DataFrame:
     return rows.drop("titles", "_title", "table_no").join(heads, [*SHEET, "region"])
 
 
+DRAFT = ["pos", "region", "place", "part"]
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows of sheet_tables with numbers that run on over the tables of one sheet name, in order of sheet_no."""
+    last = rows.groupBy("doc_id", "sheet", "sheet_no").agg(F.max("number").alias("_n"))
+    before = Window.partitionBy("doc_id", "sheet").orderBy("sheet_no").rowsBetween(Window.unboundedPreceding, -1)
+    base = last.select("doc_id", "sheet_no", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return rows.join(base, SHEET).withColumn("number", F.col("number") + F.col("_base")).drop("_base")
+
+
 def workbook_drafts(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Drafts and issues of sheet tables; tables of different sheets or regions never share a chunk."""
-    rows = cut(sheet_tables(sheets), "sheet-rows").withColumn("table_no", F.col("sheet_no") * 1_000_000 + F.col("number"))
+    """Drafts (doc_id, draft_no, context, body, row_nos) and issues of sheet tables; tables of different sheets or regions never share a chunk."""
+    rows = cut(numbered(sheet_tables(sheets)), "sheet-rows").withColumn("table_no", F.struct("sheet_no", "number"))
     lines = F.array(F.concat(F.lit("[파일] "), "name"), F.concat(F.lit("[시트] "), "sheet"))
     context = F.concat(lines, F.transform("titles", lambda x: F.concat(F.lit("[머리행] "), x)), F.array(F.concat(F.lit("[표] "), F.col("number").cast("string"))))
-    tables = rows.select("doc_id", "table_no", context.alias("context")).distinct()
+    tables = rows.groupBy("doc_id", "table_no").agg(F.first(context).alias("context"))
     lengths = tables.select("doc_id", "table_no", (S.u16_length(F.array_join("context", "\n")) + 1).alias("context_length"))
-    packed = cut(T.table_drafts(rows.select("doc_id", "table_no", "row_no", "cells"), lengths).join(tables, ["doc_id", "table_no"]), "sheet-drafts")
-    drafts = packed.where("not blocked").select("doc_id", F.struct(F.col("table_no").alias("pos"), "region", "place", "part").alias("draft_no"), "context", "body")
-    regions = rows.groupBy(*SHEET).agg(F.max("number").cast("long").alias("n"), F.countDistinct(F.when(F.col("merged"), F.col("region"))).alias("m"))
-    issues = regions.where("n > 1").select("doc_id", F.lit("MULTIPLE_TABLES").alias("code"), F.lit("warning").alias("severity"), "n")
-    issues = issues.unionByName(regions.where("m > 0").select("doc_id", F.lit("TABLE_CONTINUATION_MERGED").alias("code"), F.lit("warning").alias("severity"), F.col("m").alias("n")))
-    return drafts, issues.unionByName(packed.where("blocked").select("doc_id", F.lit("TABLE_FRAMING_EXCEEDS_LIMIT").alias("code"), F.lit("error").alias("severity"), F.lit(1).cast("long").alias("n")))
+    table_rows = rows.select("doc_id", "table_no", "row_no", "cells")
+    packed = cut(T.table_drafts(table_rows, lengths).join(tables, ["doc_id", "table_no"]), "sheet-drafts")
+    drafts = packed.where("not blocked").select("doc_id", F.struct(F.col("table_no.sheet_no").alias("pos"), F.col("table_no.number").alias("region"), "place", "part").alias("draft_no"), "context", "body", "row_nos")
+    regions = rows.groupBy(*SHEET).agg(F.countDistinct("number").alias("n"), F.countDistinct(F.when(F.col("merged"), F.col("region"))).alias("m"))
+    warning = lambda found, code, n: found.select("doc_id", F.lit(code).alias("code"), F.lit("warning").alias("severity"), F.col(n).cast("long").alias("n"))
+    issues = warning(regions.where("n > 1"), "MULTIPLE_TABLES", "n").unionByName(warning(regions.where("m > 0"), "TABLE_CONTINUATION_MERGED", "m"))
+    issues = issues.unionByName(warning(T.table_issues(table_rows).where("code = 'IRREGULAR_COLUMNS'"), "IRREGULAR_COLUMNS", "n"))
+    return drafts, issues.unionByName(blocked_issues(packed))
+
+
+def blocked_issues(packed: DataFrame) -> DataFrame:
+    """An error for each table whose frame leaves no space for its rows."""
+    return packed.where("blocked").select("doc_id", F.lit("TABLE_FRAMING_EXCEEDS_LIMIT").alias("code"), F.lit("error").alias("severity"), F.lit(1).cast("long").alias("n"))
+
+
+#: A pipe line before a line of dashes: texts without one hold no Markdown table.
+_MAY_HOLD_TABLE = r"(?m)\|[^\n]*\n[^\n]*---"
+
+
+def segment_lines(docs: DataFrame) -> DataFrame:
+    """Lines (doc_id, name, pos, line) of texts with segment and table_no (the table's first line; null in prose).
+
+    A table is a whole run of pipe lines whose second line is a separator; other runs are prose.
+    """
+    c = F.col
+    lines = L.explode_lines(docs, ["name"]).withColumn("_pipe", S.is_pipe_line(c("line"))).withColumn("_sep", c("_pipe") & S.is_separator_line(c("line")))
+    lines = lines.withColumn("_open", c("_pipe") & ~F.coalesce(F.lag("_pipe").over(L.by_pos()), F.lit(False))).withColumn("_next", F.coalesce(F.lead("_sep").over(L.by_pos()), F.lit(False)))
+    lines = lines.withColumn("_run", F.last(F.when(c("_open"), F.struct("pos", "_next")), True).over(L.upto()))
+    lines = lines.withColumn("table_no", F.when(c("_pipe") & c("_run._next"), c("_run.pos")))
+    same = c("table_no").eqNullSafe(F.lag("table_no").over(L.by_pos())) & (c("pos") > 0)
+    return lines.withColumn("segment", F.sum(F.when(same, 0).otherwise(1)).over(L.upto())).drop("_pipe", "_sep", "_open", "_next", "_run")
+
+
+def prose_drafts(lines: DataFrame) -> DataFrame:
+    """Drafts of the prose between tables: the lines of a segment under their file and sheet, which bears the file's name."""
+    row = F.struct("pos", "line", (~S.is_blank(F.col("line"))).alias("filled"))
+    rows = lines.where("table_no is null").groupBy("doc_id", "name", "segment").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(row)).alias("_l"))
+    body = S.trim(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"))
+    own = F.transform(F.filter("_l", lambda x: x["filled"]), lambda x: x["pos"])
+    context = F.array(F.concat(F.lit("[파일] "), "name"), F.concat(F.lit("[시트] "), "name"))
+    rows = rows.select("doc_id", F.struct("pos", *[F.lit(0).alias(k) for k in DRAFT[1:]]).alias("draft_no"), context.alias("context"), body.alias("body"), own.alias("sources"))
+    return rows.where(~S.is_blank(F.col("body")))
+
+
+def delimited_rows(docs: DataFrame) -> DataFrame:
+    """Sheet rows of delimited texts, all as wide as the widest; a text whose cells are all empty has none."""
+    from quirework.sources.files import csv_sheets
+
+    rows = csv_sheets(docs).withColumn("sheet", F.col("name")).withColumn("sheet_no", F.lit(0))
+    doc = Window.partitionBy("doc_id")
+    rows = rows.withColumn("_w", F.max(F.size("cells")).over(doc)).withColumn("_any", F.max(F.exists("cells", lambda x: x != "")).over(doc)).where("_any")
+    return rows.withColumn("cells", F.concat("cells", F.array_repeat(F.lit(""), F.col("_w") - F.size("cells")))).select("doc_id", "name", "sheet_no", "sheet", "row_no", "cells")
+
+
+def text_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drafts and issues of workbook texts (doc_id, name, text): Markdown tables with the prose between them, else one delimited table."""
+    may = F.coalesce(F.col("text").rlike(_MAY_HOLD_TABLE), F.lit(False))
+    lines = cut(segment_lines(docs.where(may)), "segment-lines")
+    tabled = lines.where("table_no is not null").select("doc_id").distinct()
+    rows = T.markdown_rows(lines).join(lines.where("pos = table_no").select("doc_id", "table_no", "name"), T.TABLE)
+    marked = rows.select("doc_id", "name", F.col("table_no").alias("sheet_no"), F.col("name").alias("sheet"), F.col("row_no").cast("int").alias("row_no"), "cells")
+    flat = docs.where(~S.is_blank(F.col("text"))).join(tabled, "doc_id", "left_anti")
+    drafts, issues = workbook_drafts(marked.unionByName(delimited_rows(flat)))
+    sources = T.line_numbers(F.col("draft_no.pos"), F.col("row_nos"))
+    # Rows of delimited texts aren't lines.
+    drafts = drafts.join(tabled.withColumn("_lines", F.lit(True)), "doc_id", "left").withColumn("sources", F.when(F.col("_lines"), sources).otherwise(C.no_sources()))
+    place = F.struct(*[F.col(f"draft_no.{k}").cast("int").alias(k) for k in DRAFT]).alias("draft_no")
+    prose = prose_drafts(lines.join(tabled, "doc_id", "left_semi"))
+    both = prose.unionByName(drafts.select(*prose.columns))
+    return cut(both.select("doc_id", place, "context", "body", "sources"), "workbook-drafts"), issues

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions import strings as S
-from quirework.operators import contracts, delegation, manuals, sections
+from quirework.operators import claims as C
+from quirework.operators import contracts, delegation, manuals, sections, workbook
 from quirework.operators import drafts as D
 from quirework.operators import lines as L
 from quirework.operators.storage import cut
 
-CHUNKERS = {"general": sections.general_drafts, "law": sections.law_drafts, "manual": manuals.manual_drafts}
+CHUNKERS = {"general": sections.general_drafts, "law": sections.law_drafts, "manual": manuals.manual_drafts, "excel": workbook.text_drafts}
 #: The one source of a flat text.
 RAW_SOURCE = "raw-text-1"
 
@@ -28,23 +29,26 @@ def raw_documents(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", n
 def _drafted(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """Drafts and issues of several routes; their draft numbers are one struct<pos, region, place, part>."""
     number = F.struct(*[F.col(f"draft_no.{k}").cast("int").alias(k) for k in ("pos", "region", "place", "part")])
-    drafts = [d.select("doc_id", number.alias("draft_no"), "context", "body") for d, _ in parts]
+    drafts = [d.select("doc_id", number.alias("draft_no"), "context", "body", F.col("sources") if "sources" in d.columns else C.no_sources().alias("sources")) for d, _ in parts]
     return reduce(DataFrame.unionByName, drafts), reduce(DataFrame.unionByName, [i for _, i in parts])
 
 
-def route_drafts(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Drafts and issues of prepared docs (doc_id, name, text, kind): delegation rules first, then each row by its type.
+def route_drafts(prepared: DataFrame, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Drafts and issues of prepared docs (doc_id, name, text[, kind]), each row by its kind, or all by the one given.
 
-    Sheets come as tables (operators.workbook, operators.cells), not as text; a text of that type is read as general.
+    Texts of every kind but excel are tried as delegation rules first.
     """
-    rules, issues, ids = delegation.delegation_drafts(prepared.where("kind <> 'excel'").select("doc_id", "name", "text"))
-    parts = [(rules, issues)]
-    rest = prepared.join(ids, "doc_id", "left_anti")
-    kind = F.when(F.col("kind").isin(list(CHUNKERS)), F.col("kind")).otherwise("general")
-    for name, chunker in CHUNKERS.items():
-        own = rest.where(kind == name).select("doc_id", "name", "text")
-        if not own.isEmpty():
-            parts.append(chunker(own))
+    docs = prepared if kind is None else prepared.withColumn("kind", F.lit(kind))
+    own = F.when(F.col("kind").isin(list(CHUNKERS)), F.col("kind")).otherwise("general")
+    docs = docs.select("doc_id", "name", "text", own.alias("kind"))
+    parts, rest = [], docs
+    may = docs.where((F.col("kind") != "excel") & F.contains("text", F.lit(delegation.TITLE)))
+    if not may.isEmpty():
+        rules, issues, ids = delegation.delegation_drafts(may.select("doc_id", "name", "text"))
+        parts.append((rules, issues))
+        rest = docs.join(ids, "doc_id", "left_anti")
+    kinds = [kind if kind in CHUNKERS else "general"] if kind else [k for k in CHUNKERS if not rest.where(F.col("kind") == k).isEmpty()]
+    parts += [CHUNKERS[k](rest.where(F.col("kind") == k).select("doc_id", "name", "text")) for k in kinds or ["general"]]
     return _drafted(parts)
 
 
@@ -54,7 +58,7 @@ def preprocess(docs: DataFrame, kind: str = "general") -> tuple[DataFrame, DataF
     docs may have a column kind, which routes each row; without it all are of the one kind.
     """
     prepared = cut(L.prepare(docs), "prepared")
-    drafts, issues = route_drafts(prepared) if "kind" in docs.columns else CHUNKERS[kind](prepared.select("doc_id", "name", "text"))
+    drafts, issues = route_drafts(prepared, None if "kind" in docs.columns else kind)
     removed = prepared.where("n_removed > 0").select("doc_id", F.lit("page-decoration-removed").alias("code"), F.lit("warning").alias("severity"), F.col("n_removed").alias("n"))
     return cut(D.finalize(drafts), "chunks"), removed.unionByName(issues), prepared
 

@@ -11,6 +11,7 @@ from quirework.functions import strings as S
 from quirework.operators import cells as C
 from quirework.operators import claims, contracts, delegation, documents, drafts, sections, spans
 from quirework.plans.queries import table, text_of
+from quirework.plans import workbooks
 from quirework.plans.preprocess import preprocess, raw_documents
 from quirework.sources import statutes
 
@@ -196,7 +197,53 @@ def layout_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The same sheets as drafts under their file, sheet, titles and item."""
     tables = C.layout_tables(*_items(spark, folder))
     sheets = table(spark, folder, "supplier").select(F.floor(F.col("s_suppkey") / 50).cast("long").alias("doc_id"), F.lit(1).alias("sheet_no"), F.lit("s.xlsx").alias("name"), F.lit("one").alias("sheet")).distinct()
-    return C.layout_drafts(tables, sheets).select("doc_id", F.array_join("context", "\n").alias("context"), "body")
+    return C.layout_drafts(tables, sheets)[0].select("doc_id", F.array_join("context", "\n").alias("context"), "body")
+
+
+_TEXT = """WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 3 AS k, c_name AS n, c_mktsegment AS g, '[파일] b.xlsx' || chr(10) || '[시트] b.xlsx' || chr(10) AS f, '| --- | --- |' || chr(10) AS r FROM customer) """
+
+
+@query(_TEXT + """SELECT doc_id, f || '설명 ' || n AS chunk FROM c WHERE k = 0 UNION ALL SELECT doc_id, f || '[표] 1' || chr(10) || '| k | v |' || chr(10) || r || '| ' || n || ' | ' || g || ' |' FROM c WHERE k = 0
+UNION ALL SELECT doc_id, f || '끝 ' || n || chr(10) || '| one run |' FROM c WHERE k = 0
+UNION ALL SELECT doc_id, f || '[표] 1' || chr(10) || '| name | note |' || chr(10) || r || '| ' || n || ' | a,b |' || chr(10) || '| last |  |' FROM c WHERE k = 1
+UNION ALL SELECT doc_id, f || '[표] 1' || chr(10) || '| k | v |' || chr(10) || r || '| ' || n || ' | x |' FROM c WHERE k = 2
+UNION ALL SELECT doc_id, f || '[표] 2' || chr(10) || '| q | r |' || chr(10) || r || '| z | ' || n || ' |' FROM c WHERE k = 2""")
+def workbook_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of workbooks: tables with the prose around them in order, a delimited table, and tables whose numbers run on."""
+    k = F.pmod("c_custkey", F.lit(3))
+    rule = "\n| --- | --- |\n"
+    mixed = F.concat(F.lit("설명 "), "c_name", F.lit("\n\n| k | v |" + rule + "| "), "c_name", F.lit(" | "), "c_mktsegment", F.lit(" |\n\n끝 "), "c_name", F.lit("\n| one run |"))
+    flat = F.concat(F.lit("name,note\n"), "c_name", F.lit(',"a,b"\nlast'))
+    two = F.concat(F.lit("| k | v |" + rule + "| "), "c_name", F.lit(" | x |\n\n| q | r |" + rule + "| z | "), "c_name", F.lit(" |"))
+    text = F.when(k == 0, mixed).when(k == 1, flat).otherwise(two)
+    docs = raw_documents(table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"), F.lit("b.xlsx").alias("name")), name="name")
+    return preprocess(docs, "excel")[0].select("doc_id", "chunk")
+
+
+@query(_SHEET + """SELECT doc_id, '[파일] suppliers.xlsx' || chr(10) || '[시트] S' || sheet_no || chr(10) || '[표] 1' || chr(10) || '| Suppliers > name | Suppliers > key | Suppliers > place | Suppliers |' || chr(10) || '| --- | --- | --- | --- |' || chr(10)
+|| string_agg('| ' || s_name || ' | ' || s_suppkey || ' | ' || CASE WHEN k % 2 = 1 THEN k || ' ' ELSE '' END || '(수식: =ROW()-4) |  |', chr(10) ORDER BY k) AS chunk FROM s GROUP BY doc_id, sheet_no""")
+def workbook_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Workbooks from their cells to chunks: used ranges, merged headers found and joined, formulas noted."""
+    parts = _parts(spark, folder)
+    found, _ = workbooks.workbook_drafts(parts, formulas=True)
+    return drafts.finalize(found).select("doc_id", "chunk")
+
+
+@query(_SHEET + """SELECT doc_id, 'COMPLEX_EXCEL_HEADER' AS code, CAST(1 AS BIGINT) AS n, 'S' || sheet_no || '!B3:E3' AS places FROM s GROUP BY doc_id, sheet_no UNION ALL SELECT doc_id, 'MERGED_CELLS', 1, 'S' || sheet_no || '!B3:E3' FROM s GROUP BY doc_id, sheet_no
+UNION ALL SELECT doc_id, 'FORMULA_RESULT_MISSING', count(*), string_agg('S' || sheet_no || '!D' || (k + 4), ',' ORDER BY sheet_no, k) FROM s WHERE k % 2 = 0 GROUP BY doc_id""")
+def workbook_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    """What a workbook's reader and its layout warn of, with all places; comments are another query's."""
+    _, issues = workbooks.workbook_drafts(_parts(spark, folder))
+    return issues.where("code <> 'EXCEL_CELL_COMMENTS_UNSUPPORTED'").select("doc_id", "code", "n", F.array_join("locations", ",").alias("places"))
+
+
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The sheets of _sheet as a workbook reader gives them, without print titles."""
+    cells, merges = _sheet(spark, folder)
+    keys = ["doc_id", "sheet_no"]
+    own = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "col", "value", "formula", "comment"))).alias("cells"))
+    areas = merges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("merge_no", "top", "left", "bottom", "right"))).alias("merges"))
+    return own.join(areas, keys).join(_sheet_names(spark, folder), keys).withColumn("titles", F.array().cast("array<string>"))
 
 
 # --- spans, contracts, delegation rules ---

@@ -130,7 +130,7 @@ def test_each_row_by_its_type(spark):
     docs = raw_documents(spark.createDataFrame(rows, "doc_id long, text string, type string"), kind="type")
     chunks, _, _ = preprocess(docs)
     first = {r.doc_id: r.chunk for r in chunks.orderBy(F.desc("draft_no")).collect()}
-    assert "[위치] 제1조(목적)" in first[1] and first[2] == "앞 글" and "[섹션]" in first[3] and "[섹션] 절" in first[4]
+    assert "[위치] 제1조(목적)" in first[1] and first[2] == "앞 글" and first[3].startswith("[파일] 텍스트 문서.txt\n[시트] 텍스트 문서.txt\n") and "[섹션] 절" in first[4]
 
 
 def test_wrapped_headings(spark):
@@ -183,7 +183,7 @@ def test_workbook_layout(spark):
     assert tuple(heads.first()) == (1, 1, 2, 3, "print-titles")
     bare = cells.header_rows(ranges, shown, t["names"].limit(0), t["cells"])
     assert tuple(bare.first()) == (1, 1, 2, 3, "detected")
-    out = cells.layout_drafts(cells.layout_tables(ranges, shown, heads), t["sheets"]).orderBy("draft_no").collect()
+    out = cells.layout_drafts(cells.layout_tables(ranges, shown, heads), t["sheets"])[0].orderBy("draft_no").collect()
     assert [(r.context, r.body.split("\n")[0], r.body.split("\n")[2:]) for r in out] == [
         (["[파일] b.xlsx", "[시트] S1", "[머리행] 제목", "[표] 1"], "| 품목 | 단가 > 하한 | 단가 > 상한 |", ["| 펌프 | (수식: =1+1) | 3 |"]),
         (["[파일] b.xlsx", "[시트] S1", "[머리행] 제목", "[항목] 밸브"], "| 품목 | 단가 > 하한 | 단가 > 상한 |", ["| 볼 | 2 (수식: =B4) |  |"]),
