@@ -59,8 +59,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches into pieces of about PIECE_BYTES (or one longer document)."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut batches into pieces of about size bytes (or one longer document)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -68,7 +68,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         _, offsets = text_bytes(batch.column(k))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             part = batch.slice(at, to - at)
             yield part, *text_bytes(part.column(k))
             at = to

@@ -31,6 +31,8 @@ STORE = "doc_id long, part int, pos long, n_tokens long, ids array<int>"
 CACHE_RUNS = 1_500_000
 #: White space outside the ASCII class: the pre-tokeniser may join it to ASCII white space, so such texts are encoded whole.
 OTHER_SPACE = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+#: Texts looked up at once: long enough that most runs of a piece repeat within it.
+ENCODED_BYTES = 1 << 20
 #: Texts encoded at once: an encoding takes much more memory than its ids.
 BATCH_TEXTS = 64
 
@@ -56,6 +58,9 @@ class RunEncoder:
         self.line_end = line_end[0] if line_end else -1
         added = [re.escape(t["content"].encode()) for t in steps["added_tokens"]]
         self.whole = re.compile(b"|".join([OTHER_SPACE, *added]))
+        #: Bytes with which such a string may begin.
+        self.begins = np.zeros(256, bool)
+        self.begins[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, *(t["content"].encode()[0] for t in steps["added_tokens"])]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -99,14 +104,21 @@ class RunEncoder:
         self.lengths = np.insert(self.lengths, at, lengths)
         self.flat = np.concatenate([self.flat, flat])
 
+    def _odd_places(self, raw: bytes, data: np.ndarray) -> Iterator[int]:
+        """Where strings begin whose texts are encoded whole: only bytes that may begin one are tried, unless they are many."""
+        places = np.flatnonzero(self.begins[data])
+        if len(places) * 16 > len(data):
+            return (m.start() for m in self.whole.finditer(raw))
+        return (at for at in places.tolist() if self.whole.match(raw, at))
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number per document."""
         whole = np.full(len(offsets) - 1, not self.by_runs)
         raw = data.tobytes()
         if self.by_runs:
-            for m in self.whole.finditer(raw):
-                # An added token's string may be one only across two documents: that costs nothing but time.
-                whole[int(np.searchsorted(offsets, m.start(), "right")) - 1] = True
+            # An added token's string may be one only across two documents: that costs nothing but time.
+            for at in self._odd_places(raw, data):
+                whole[int(np.searchsorted(offsets, at, "right")) - 1] = True
         spans = text.runs(data, offsets)
         used = np.repeat(~whole, spans.counts)
         keys, first, which = np.unique(spans.hashes()[used], return_index=True, return_inverse=True)
@@ -117,7 +129,7 @@ class RunEncoder:
         new = np.ones(len(keys), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] != keys
         if new.any():
             self._learn(keys[new], [spans.text(k) for k in first[new]])
-        row = np.searchsorted(self.keys, keys)
+        row = np.searchsorted(self.keys, keys) if new.any() else at
         each = np.zeros(len(used), np.int64)
         each[used] = self.lengths[row][which]
         counts = text.per_document(each, spans.bounds)
@@ -154,7 +166,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, en
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, pos = run_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for rows, data, offsets in text.pieces(batches):
+        for rows, data, offsets in text.pieces(batches, size=ENCODED_BYTES):
             ids, counts = _with_end(*encoder(data, offsets), end_id)
             n = rows.num_rows
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), pa.array(counts.astype(np.int64)), text.list_column(ids, counts, pa.int32())], ["doc_id", "part", "pos", "n_tokens", "ids"])
