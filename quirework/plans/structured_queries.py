@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions import strings as S
 from quirework.operators import cells as C
-from quirework.operators import claims, contracts, delegation, documents, drafts, sections, spans
+from quirework.operators import claims, contracts, delegation, documents, drafts, sections, spans, stored
 from quirework.plans.queries import table, text_of
 from quirework.plans import workbooks
 from quirework.plans.preprocess import preprocess, raw_documents
@@ -241,9 +241,41 @@ def _parts(spark: SparkSession, folder: str) -> DataFrame:
     """The sheets of _sheet as a workbook reader gives them, without print titles."""
     cells, merges = _sheet(spark, folder)
     keys = ["doc_id", "sheet_no"]
-    own = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "col", "value", "formula", "comment"))).alias("cells"))
+    # Numbers are stored under a style that shows them as they are.
+    kind = F.when(F.col("value").rlike(r"^\d+\z"), "n").otherwise("s").alias("kind")
+    own = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "col", "value", "formula", "comment", kind, F.lit(0).alias("style"), F.lit(None).cast("int").alias("shared")))).alias("cells"))
     areas = merges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("merge_no", "top", "left", "bottom", "right"))).alias("merges"))
-    return own.join(areas, keys).join(_sheet_names(spark, folder), keys).withColumn("titles", F.array().cast("array<string>"))
+    return own.join(areas, keys).join(_sheet_names(spark, folder), keys).withColumns({"titles": F.array().cast("array<string>"), "formats": F.array(F.struct(F.lit(0).alias("style"), F.lit("0").alias("code"))), "epoch": F.lit(1900)})
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, '=SUM($A$1:B' || (l_linenumber + 7) || ')*C$2+''A1 x''!D' || (l_linenumber + 5) || '&"A1"&LOG10(E' || (l_linenumber + 4) || ')' AS down,
+'=SUM($A$1:' || chr(CAST(66 + l_linenumber AS INT)) || '7)*' || chr(CAST(67 + l_linenumber AS INT)) || '$2+''A1 x''!' || chr(CAST(68 + l_linenumber AS INT)) || '5&"A1"&LOG10(' || chr(CAST(69 + l_linenumber AS INT)) || '4)' AS across FROM lineitem""")
+def shared_formulas(spark: SparkSession, folder: str) -> DataFrame:
+    """A group's formula in a cell below and in one to the right of its first cell: an order's line number is the distance."""
+    lines = table(spark, folder, "lineitem")
+    first = "=SUM($A$1:B7)*C$2+'A1 x'!D5&\"A1\"&LOG10(E4)"
+    # A sheet for each line: the group's first cell has the text, two others have none.
+    place = F.explode(F.array(*[F.struct(r.cast("int").alias("row"), k.cast("int").alias("col"), F.lit(f).alias("formula")) for r, k, f in ((F.lit(10), F.lit(10), first), (F.col("l_linenumber") + 10, F.lit(10), ""), (F.lit(10), F.col("l_linenumber") + 10, ""))])).alias("x")
+    keyed = lines.withColumn("_id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
+    cells = keyed.select(F.col("_id").alias("doc_id"), F.lit(1).alias("sheet_no"), place).select("doc_id", "sheet_no", "x.*", F.lit(1).alias("shared"))
+    rows = stored.share_formulas(cells).where("row > 10 or col > 10").groupBy("doc_id").agg(F.max(F.when(F.col("row") > 10, F.col("formula"))).alias("down"), F.max(F.when(F.col("col") > 10, F.col("formula"))).alias("across"))
+    return rows.select("doc_id.l_orderkey", "doc_id.l_linenumber", "doc_id.l_partkey", "doc_id.l_suppkey", "down", "across")
+
+
+_CODES = {0: "0", 1: "#,##0", 2: "0.00", 3: "0%", 4: "yyyy-mm-dd", 5: "#,##0;(#,##0)", 6: "[h]:mm", 7: "General"}
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, o_orderkey % 100000 AS n FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN CAST(n AS VARCHAR) WHEN 1 THEN format('{:,}', n) WHEN 2 THEN n || '.00' WHEN 3 THEN n || '00%' WHEN 4 THEN strftime(DATE '1899-12-30' + CAST(n + 100 AS INT), '%Y-%m-%d')
+WHEN 5 THEN '(' || format('{:,}', n + 1) || ')' WHEN 6 THEN (24 * n + 12) || ':00' ELSE n || '.5' END AS shown FROM o""")
+def displayed_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored numbers under eight format codes, as their cells show them."""
+    k, n = F.pmod("o_orderkey", F.lit(8)), F.col("o_orderkey") % 100_000
+    value = F.when(k == 4, (n + 100).cast("string")).when(k == 5, F.concat(F.lit("-"), (n + 1).cast("string"))).when(k.isin(6, 7), F.concat(n.cast("string"), F.lit(".5"))).otherwise(n.cast("string"))
+    cells = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("sheet_no"), F.lit(1).alias("row"), F.lit(1).alias("col"), value.alias("value"), F.lit(None).cast("string").alias("formula"), F.lit(False).alias("comment"), F.lit("n").alias("kind"), k.cast("int").alias("style"))
+    codes = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
+    formats = cells.select("doc_id", "sheet_no", F.lit(1900).alias("epoch"), codes.alias("codes"))
+    return stored.display_cells(cells, formats).select(F.col("doc_id").alias("o_orderkey"), F.col("value").alias("shown"))
 
 
 # --- spans, contracts, delegation rules ---

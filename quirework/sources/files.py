@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirework.functions import strings as S
+from quirework.functions.formats import BUILT_IN
+from quirework.operators.stored import display_cells, share_formulas
 
 DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType()), T.StructField("n_replaced", T.LongType())])
 ROWS = T.ArrayType(T.StructType([T.StructField("sheet_no", T.IntegerType()), T.StructField("sheet", T.StringType()), T.StructField("row_no", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))]))
@@ -88,7 +90,10 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-CELLS = "sheet_no int, sheet string, cells array<struct<row:int,col:int,value:string,formula:string,comment:boolean>>, merges array<struct<merge_no:int,top:int,left:int,bottom:int,right:int>>, titles array<string>"
+CELLS = (
+    "sheet_no int, sheet string, cells array<struct<row:int,col:int,value:string,formula:string,comment:boolean,kind:string,style:int,shared:int>>, "
+    "merges array<struct<merge_no:int,top:int,left:int,bottom:int,right:int>>, titles array<string>, formats array<struct<style:int,code:string>>, epoch int"
+)
 
 
 def _place(address: str) -> tuple[int, int]:
@@ -103,7 +108,7 @@ def _place(address: str) -> tuple[int, int]:
 
 
 def workbook_parts(raw: bytes) -> list[dict]:
-    """Sheets of an OOXML workbook: cells with stored values (numbers as written), formulas and comments; merges; print titles."""
+    """Sheets of an OOXML workbook: cells as they are stored (values, formulas or the group of a shared one, style), comments; merges; print titles; format codes by style."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = set(z.namelist())
         read = lambda name: ElementTree.fromstring(z.read(name)) if name in names else None
@@ -111,6 +116,8 @@ def workbook_parts(raw: bytes) -> list[dict]:
         shared = [] if strings is None else ["".join(t.text or "" for t in si.iter(f"{_M}t")) for si in strings]
         targets = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
         book = read("xl/workbook.xml")
+        formats = cell_formats(read("xl/styles.xml"))
+        epoch = 1904 if any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_M}workbookPr")) else 1900
         named = [(n.get("localSheetId"), n.text or "") for n in book.iter(f"{_M}definedName") if n.get("name") == "_xlnm.Print_Titles"]
         out = []
         for k, sheet in enumerate(book.iter(f"{_M}sheet"), 1):
@@ -127,7 +134,12 @@ def workbook_parts(raw: bytes) -> list[dict]:
                 if c.get("t") == "b" and text is not None:
                     text = "TRUE" if text == "1" else "FALSE"
                 if at[0] and (text is not None or formula is not None):
-                    cells[at] = {"value": text, "formula": None if formula is None else formula.text or "", "comment": False}
+                    kind = c.get("t", "n")
+                    shared = formula.get("si") if formula is not None and formula.get("t") == "shared" else None
+                    cells[at] = {
+                        "value": text, "formula": None if formula is None else formula.text or "", "comment": False,
+                        "kind": kind if kind in "nbe" else "s", "style": int(c.get("s", 0)), "shared": None if shared is None else int(shared),
+                    }
             folder, file = path.rsplit("/", 1)
             links = read(f"{folder}/_rels/{file}.rels")
             for link in [] if links is None else links:
@@ -135,17 +147,27 @@ def workbook_parts(raw: bytes) -> list[dict]:
                     notes = read(posixpath.normpath(posixpath.join(folder, link.get("Target", ""))))
                     for note in [] if notes is None else notes.iter(f"{_M}comment"):
                         at = _place(note.get("ref", ""))
-                        cells.setdefault(at, {"value": None, "formula": None})["comment"] = True
+                        cells.setdefault(at, {"value": None, "formula": None, "kind": None, "style": None, "shared": None})["comment"] = True
             merges = []
             for m in root.iter(f"{_M}mergeCell"):
                 ends = [_place(x) for x in m.get("ref", "").split(":")]
                 merges.append({"merge_no": len(merges), "top": ends[0][0], "left": ends[0][1], "bottom": ends[-1][0], "right": ends[-1][1]})
             titles = [ref for scope, ref in named if scope is None or scope == str(k - 1)]
             listed = [{"row": r, "col": c, **cells[r, c]} for r, c in sorted(cells) if r]
-            out.append({"sheet_no": k, "sheet": sheet.get("name"), "cells": listed, "merges": merges, "titles": titles})
+            out.append({"sheet_no": k, "sheet": sheet.get("name"), "cells": listed, "merges": merges, "titles": titles, "formats": formats, "epoch": epoch})
         return out
 
 
+def cell_formats(styles) -> list[dict]:
+    """Format codes of a workbook's cell styles; those without one are General."""
+    if styles is None:
+        return []
+    own = {int(n.get("numFmtId")): n.get("formatCode") or "General" for n in styles.iter(f"{_M}numFmt")}
+    cells = styles.find(f"{_M}cellXfs")
+    numbers = [int(x.get("numFmtId") or 0) for x in (cells if cells is not None else [])]
+    return [{"style": k, "code": own.get(n, BUILT_IN.get(n, "General"))} for k, n in enumerate(numbers)]
+
+
 def workbook_parts_of(df: DataFrame, content: str = "content") -> DataFrame:
     """doc_id, name, sheet_no, sheet, cells, merges, titles of workbooks (doc_id, name, content)."""
 
@@ -153,23 +175,25 @@ def workbook_parts_of(df: DataFrame, content: str = "content") -> DataFrame:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 parts = workbook_parts(bytes(row.content))
-                yield pd.DataFrame([{"doc_id": row.doc_id, "name": row.name, **p} for p in parts], columns=["doc_id", "name", "sheet_no", "sheet", "cells", "merges", "titles"])
+                yield pd.DataFrame([{"doc_id": row.doc_id, "name": row.name, **p} for p in parts], columns=["doc_id", "name", "sheet_no", "sheet", "cells", "merges", "titles", "formats", "epoch"])
 
     rows = df.select("doc_id", "name", F.col(content).alias("content"))
     return rows.mapInPandas(parse, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, name string, {CELLS}")
 
 
 def workbook_tables(parts: DataFrame) -> dict[str, DataFrame]:
-    """cells, merges, names and sheets of written workbook parts, as operators.cells takes them."""
+    """cells, merges, names and sheets of written workbook parts, as operators.cells takes them: shared formulas written out, values as displayed."""
     keys = ["doc_id", "sheet_no"]
+    stored = parts.select(*keys, F.inline("cells"))
+    formats = parts.select(*keys, "epoch", F.map_from_entries(F.transform("formats", lambda x: F.struct(x["style"], x["code"]))).alias("codes"))
     return {
-        "cells": parts.select(*keys, F.inline("cells")), "merges": parts.select(*keys, F.inline("merges")), "sheets": parts.select(*keys, "name", "sheet"),
+        "cells": display_cells(share_formulas(stored), formats), "merges": parts.select(*keys, F.inline("merges")), "sheets": parts.select(*keys, "name", "sheet"),
         "names": parts.select(*keys, F.lit("_xlnm.Print_Titles").alias("name"), F.posexplode("titles").alias("name_no", "ref")),
     }
 
 
 def workbook_rows(raw: bytes) -> list[dict]:
-    """Rows of an OOXML workbook's used ranges, without its layout."""
+    """Rows of an OOXML workbook's used ranges as they are stored, without its layout and formats."""
     out = []
     for part in workbook_parts(raw):
         held = {(c["row"], c["col"]): c["value"] or "" for c in part["cells"] if c["value"] is not None or c["formula"] is not None}
