@@ -105,7 +105,7 @@ class Model:
 
 
 class Lattices:
-    """Lattices of segments, flat: a node for each byte position, its edges from the likeliest on.
+    """Lattices of segments, flat: a node for each byte position, its edges from the longest on.
 
     first[node]: its first edge; cum: probability of the edges of a node up to this one; step: bytes; piece: id, or
     minus the bytes of a character that is written in bytes; logq: log probability.
@@ -153,16 +153,22 @@ class Lattices:
         beta = np.append(beta, 0.0)  # the last place stands for every segment's end
         target = np.where(source + step == end[source], n + 1, source + step)
         left = end[source] - source
-        order = np.lexsort((source, left))
+        # No two edges have one source and step, so the order, and with it every sum, depends on the segment alone.
+        most = int(step.max(initial=0)) + 1
+        order = np.argsort((left * (n + 1) + source) * most + step)
         source, step, piece, weight, target, left = (x[order] for x in (source, step, piece, weight, target, left))
         cuts = np.flatnonzero(np.append(True, left[1:] != left[:-1])) if len(left) else np.zeros(0, np.int64)
+        first = np.append(True, source[1:] != source[:-1]) if len(source) else np.zeros(0, bool)
         score = np.empty(len(source))
         for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(left)).tolist(), strict=True):
-            score[a:b] = weight[a:b] + beta[target[a:b]]
-            heads = np.flatnonzero(np.append(True, source[a + 1 : b] != source[a : b - 1]))
-            beta[source[a:b][heads]] = np.logaddexp.reduceat(score[a:b], heads)
+            own = np.add(weight[a:b], beta[target[a:b]], out=score[a:b])
+            heads = np.flatnonzero(first[a:b])
+            top = np.maximum.reduceat(own, heads)
+            sums = np.add.reduceat(np.exp(own - np.repeat(top, np.diff(np.append(heads, b - a)))), heads)
+            beta[source[a + heads]] = top + np.log(sums)
         logq = score - beta[source]
-        order = np.lexsort((-logq, source))
+        # Longer steps first: they are mostly the likelier ones.
+        order = np.argsort(source * most + (most - 1 - step))
         source, step, piece, logq = source[order], step[order], piece[order], logq[order]
         heads = np.flatnonzero(np.append(True, source[1:] != source[:-1])) if len(source) else np.zeros(0, np.int64)
         q = np.exp(logq)
