@@ -1,10 +1,14 @@
 """Sharding by balanced label propagation over equal texts.
 
-Documents with equal texts are linked; a link between two shards is a cut. Each round joins documents with the
-shard that holds most of their group and moves as many whole groups as the running sum of their bytes lets in, until
-nothing moves. Groups larger than a part of a shard are split beforehand by a hash, and again into smaller parts where
-they fit nowhere, so none can overfill one. Documents without links, and copies that still fit nowhere, then fill the
-shards up to equal bytes, large ones first and the smallest last.
+Documents are nodes, each with a label, the shard it stands for. Equal texts are linked by an edge table: the documents
+of a group, or of a part of a group too large for one shard, are linked to one of them, its hub, and hubs of one group
+to each other, so no group gives all its pairs. A link between two labels is a cut.
+
+Each round joins the edges to the labels. Hubs that aren't settled see their neighbours' labels and take the one that
+holds most bytes, if its shard's quota lets in the whole star; shards admit stars by running sums, large ones first.
+Documents then take the label of their hub, and the cuts are counted: they fall from round to round. Once nothing moves,
+stars that fit nowhere are taken apart into smaller ones. Documents without links, and copies that still fit nowhere,
+then fill the shards up to equal bytes, large ones first and the smallest last.
 
 Edge cases: a null text has size 8 and equals an empty one. Null and repeated doc_ids are rows like others. Fewer
 rows than shards leave shards empty. An empty table gives no rows. Extra columns are not read.
@@ -23,35 +27,68 @@ OVERHEAD = 8
 GROUP_SHARES = (0.25, 0.05, 0.01)
 #: Documents above each share of a shard are placed before smaller ones.
 FILL_SHARES = (0.02, 0.002, 0.0)
-_SALTS, _SLOT_BLOCKS = 64, 1024
+#: Rows of a block in which running sums are ordered; the number of blocks grows with the rows.
+_BLOCK_ROWS = 1 << 17
+
+
+def _blocks(rows: int) -> int:
+    return 64 + rows // _BLOCK_ROWS
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and a key of equal texts."""
+    """doc_id, size, text_crc32, a key of equal texts, and a number of the row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("text_key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("text_key"), F.monotonically_increasing_id().alias("row"))
+
+
+def edges_of(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (src, dst) of linked rows (row, doc_id, text_key, unit, size): from each to its unit's hub, and from hubs to
+    the first of their group; and the stars (unit, hub, bytes)."""
+    first = F.min(F.struct(F.xxhash64("doc_id", "text_key").alias("_h"), "row"))["row"]
+    hubs = written(linked.groupBy("text_key", "unit").agg(first.alias("hub"), F.sum("size").alias("bytes")), "hubs")
+    tops = hubs.groupBy("text_key").agg(F.min(F.struct(F.xxhash64("unit").alias("_h"), "hub"))["hub"].alias("top"), F.count("*").alias("_n")).where("_n > 1")
+    between = hubs.join(tops, "text_key").where("hub <> top").select(F.col("hub").alias("src"), F.col("top").alias("dst"))
+    stars = linked.join(hubs.select(F.col("unit").alias("_u"), "hub"), F.col("unit") == F.col("_u")).where("row <> hub").select(F.col("row").alias("src"), F.col("hub").alias("dst"))
+    return written(stars.unionByName(between), "edges"), hubs.select("unit", "hub", "bytes")
+
+
+def count_cuts(edges: DataFrame, labels: DataFrame) -> int:
+    """Links whose ends have different labels."""
+    one = labels.select(F.col("row").alias("_a"), F.col("label").alias("_la"))
+    other = labels.select(F.col("row").alias("_b"), F.col("label").alias("_lb"))
+    ends = edges.join(one, F.col("src") == F.col("_a")).join(other, F.col("dst") == F.col("_b"))
+    return ends.where("_la <> _lb").count()
 
 
-def propagate(linked: DataFrame, room: list[float], loads: dict[int, float]) -> DataFrame:
-    """shard of linked rows (doc_id, size, unit, ...): the shard that holds most of their unit, where the whole unit fits.
+def propagate(linked: DataFrame, edges: DataFrame, stars: DataFrame, room: list[float], loads: dict[int, float], cuts: list[int] | None = None) -> DataFrame:
+    """shard of linked rows (row, doc_id, size, unit, ...), null for those whose star fits no quota; room and loads follow.
 
-    Shards admit units by the running sum of their bytes, large ones first, until no unit moves; room and loads follow.
-    Units whose own shards are full go to any shard that has room; those that fit nowhere keep a null shard. What leaves
-    each round for the driver is at most one row a shard.
+    What leaves each round for the driver is at most one row a shard, and the number of cuts, which cuts takes.
     """
     n_shards = len(room)
-    mass = linked.groupBy("unit", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("label")).agg(F.sum("size").alias("_mass"))
-    # Equal masses: a hash decides, so that ties don't all go to one shard.
-    held = F.struct(F.col("_mass"), F.xxhash64("unit", "label").alias("_tie"), F.col("label"))
-    waiting = written(mass.groupBy("unit").agg(F.sum("_mass").alias("bytes"), F.collect_list(held).alias("labels")), "units")
-    settled, k = [], 0
+    labels = written(linked.select("row", "unit", "size", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("label"), F.lit(False).alias("settled")), "labels")
+    waiting = stars
+    n_blocks = _blocks(labels.count())
+    if cuts is not None:
+        cuts.append(count_cuts(edges, labels))
+    k = 0
     while True:
         free = F.array(*[F.lit(float(r)) for r in room])
-        own = F.array_max(F.filter("labels", lambda x: F.element_at(free, x["label"] + 1) >= F.col("bytes")))["label"]
-        others = F.filter(F.array(*[F.struct(F.xxhash64("unit", F.lit(s), F.lit(k)).alias("_tie"), F.lit(s).alias("label")) for s in range(n_shards)]), lambda x: F.element_at(free, x["label"] + 1) >= F.col("bytes"))
-        wants = waiting.withColumn("_to", F.coalesce(own, F.array_max(others)["label"]))
+        # A hub's own label counts with those of its neighbours; settled hubs of its group pull with all of their star.
+        heavy = stars.select(F.col("hub").alias("_h"), F.col("bytes").alias("_star"))
+        pulls = labels.join(heavy, F.col("row") == F.col("_h"), "left").select(F.col("row").alias("_r"), "label", F.when(F.col("settled"), F.coalesce("_star", "size")).otherwise(F.col("size")).alias("pull"))
+        near = edges.select(F.col("dst").alias("_w"), F.col("src").alias("_o")).unionByName(edges.select(F.col("src").alias("_w"), F.col("dst").alias("_o"))).unionByName(waiting.select(F.col("hub").alias("_w"), F.col("hub").alias("_o")))
+        seen = near.join(waiting.select("hub", "unit"), F.col("hub") == F.col("_w")).join(pulls, F.col("_o") == F.col("_r"))
+        votes = seen.groupBy("unit", "label").agg(F.sum("pull").alias("_mass"))
+        # Equal masses: a hash decides, so that ties don't all go to one shard.
+        held = F.struct(F.col("_mass"), F.xxhash64("unit", "label").alias("_tie"), F.col("label"))
+        wants = waiting.join(votes.groupBy("unit").agg(F.collect_list(held).alias("labels")), "unit", "left")
+        fits = lambda x: F.element_at(free, x["label"] + 1) >= F.col("bytes")
+        own = F.array_max(F.filter("labels", fits))["label"]
+        others = F.filter(F.array(*[F.struct(F.xxhash64("unit", F.lit(s), F.lit(k)).alias("_tie"), F.lit(s).alias("label")) for s in range(n_shards)]), fits)
+        wants = wants.withColumn("_to", F.coalesce(own, F.array_max(others)["label"])).drop("labels").where("_to is not null")
         grade = F.floor(F.log2("bytes") * 8).cast("long")
-        wants = wants.where("_to is not null").withColumn("_block", F.pmod(F.xxhash64("unit"), F.lit(_SALTS)) - grade * _SALTS)
+        wants = wants.withColumn("_block", F.pmod(F.xxhash64("unit"), F.lit(n_blocks)) - grade * n_blocks)
         wants = running_total(wants, ["_to"], "_block", [F.xxhash64("unit", F.lit(k)), F.col("unit")], F.col("bytes"), "_sum").drop("_block")
         wants = written(wants.withColumn("_in", F.col("_sum") + F.col("bytes") <= F.element_at(free, F.col("_to") + 1)).drop("_sum"), "wants")
         moved = wants.where("_in").groupBy("_to").agg(F.sum("bytes")).collect()
@@ -60,20 +97,23 @@ def propagate(linked: DataFrame, room: list[float], loads: dict[int, float]) ->
         for s, n in moved:
             room[s] -= n
             loads[s] = loads.get(s, 0) + n
-        settled.append(wants.where("_in").select(F.col("unit").alias("_unit"), F.col("_to").alias("shard")))
-        # A unit that fits nowhere now never will: rooms only shrink.
+        # Documents take the label of the hub that their edge leads to.
+        came = wants.where("_in").select(F.col("hub").alias("_hub"), F.col("unit").alias("_u"), F.col("_to"))
+        along = edges.join(came, F.col("dst") == F.col("_hub")).select(F.col("src").alias("_row"), "_u", "_to").unionByName(came.select(F.col("_hub").alias("_row"), "_u", "_to"))
+        new = labels.join(along, (F.col("row") == F.col("_row")) & (F.col("unit") == F.col("_u")), "left")
+        labels = written(new.select("row", "unit", "size", F.coalesce("_to", "label").alias("label"), (F.col("settled") | F.col("_to").isNotNull()).alias("settled")), "labels")
+        if cuts is not None:
+            cuts.append(count_cuts(edges, labels))
+        # A star that fits nowhere now never will: rooms only shrink.
         waiting, k = wants.where("not _in").drop("_to", "_in"), k + 1
-    if not settled:
-        return linked.withColumn("shard", F.lit(None).cast("int"))
-    found = settled[0]
-    for more in settled[1:]:
-        found = found.unionByName(more)
-    return linked.join(found, F.col("unit") == F.col("_unit"), "left").drop("_unit")
+    shard = labels.select(F.col("row").alias("_row"), F.when(F.col("settled"), F.col("label")).alias("shard"))
+    return linked.join(shard, F.col("row") == F.col("_row")).drop("_row")
 
 
 def fill(rows: DataFrame, loads: dict[int, float], n_shards: int, capacity: float) -> DataFrame:
     """Give unlinked rows shards so that all loads come to capacity: large rows first, each level mends the one before."""
     out, above = [], None
+    n_blocks = _blocks(rows.count())
     for share in FILL_SHARES:
         level = rows.where(F.col("size") > capacity * share)
         if above is not None:
@@ -89,7 +129,7 @@ def fill(rows: DataFrame, loads: dict[int, float], n_shards: int, capacity: floa
             end += r * scale if scale else total / n_shards
             ends.append(end)
         grade = F.floor(F.log2("size") * 8).cast("long")
-        level = level.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)) - grade * _SALTS)
+        level = level.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)) - grade * n_blocks)
         level = running_total(level, [], "_block", [F.xxhash64("doc_id"), F.col("doc_id").asc_nulls_first(), F.col("text_key")], F.col("size"), "_sum")
         middle = F.col("_sum") + F.col("size") / 2
         level = level.withColumn("shard", F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= middle)).cast("int") if ends else F.lit(0))
@@ -103,8 +143,8 @@ def fill(rows: DataFrame, loads: dict[int, float], n_shards: int, capacity: floa
     return done
 
 
-def assign(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, shard of every row."""
+def assign(docs: DataFrame, n_shards: int = SHARDS, cuts: list[int] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard of every row. cuts takes the number of cut links before and after each round."""
     base = written(sized(docs), "sized")
     total = base.agg(F.sum("size")).first()[0] or 0
     capacity = total / n_shards
@@ -122,19 +162,21 @@ def assign(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
         if rest.isEmpty():
             break
         room = [max(0.0, capacity - loads.get(s, 0)) for s in range(n_shards)]
-        rows = written(propagate(rest, room, loads), "labels").drop("unit")
+        edges, stars = edges_of(rest)
+        rows = written(propagate(rest, edges, stars, room, loads, cuts), "placed").drop("unit")
         out.append(rows.where("shard is not null").drop("_bytes"))
         rest = rows.where("shard is null").drop("shard")
     out.append(fill(alone.where(~large).unionByName(rest.drop("_bytes", "unit")), loads, n_shards, capacity))
     done = out[0]
     for rows in out[1:]:
         done = done.unionByName(rows)
-    return done.drop("text_key")
+    return done.drop("text_key", "row")
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
     """slot: the row's place in its shard, counted over blocks of a hash."""
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(_SLOT_BLOCKS)))
+    n_blocks = _blocks(rows.count())
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
     return running_total(rows, ["shard"], "_block", [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")], F.lit(1), "slot").drop("_block").withColumn("slot", F.col("slot").cast("long"))
 
 
