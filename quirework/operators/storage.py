@@ -3,19 +3,38 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Paths written within the open scopes, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are cut within, at the end: what is derived from them must be written by then."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the folder in spark.checkpoint.dir and read it again: later steps plan and run on files.
 
-    A local session without that setting uses a temporary folder of this process.
+    A local session without that setting uses a temporary folder of this process. Within `temporary` the table goes
+    when the scope ends; elsewhere it stays as long as the folder does.
     """
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
@@ -27,5 +46,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         folder = f"file://{_own[0]}"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,11 +12,9 @@ from quirework.operators import claims as C
 from quirework.operators import contracts, delegation, manuals, sections, workbook
 from quirework.operators import drafts as D
 from quirework.operators import lines as L
-from quirework.operators.storage import cut
+from quirework.operators.storage import cut, temporary
 
 CHUNKERS = {"general": sections.general_drafts, "law": sections.law_drafts, "manual": manuals.manual_drafts, "excel": workbook.text_drafts}
-#: The one source of a flat text.
-RAW_SOURCE = "raw-text-1"
 
 
 def raw_documents(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str | None = None, kind: str | None = None) -> DataFrame:
@@ -64,13 +62,18 @@ def preprocess(docs: DataFrame, kind: str = "general") -> tuple[DataFrame, DataF
 
 
 def preprocess_results(docs: DataFrame, kind: str = "general") -> DataFrame:
-    """One row a document; a text none of whose drafts takes it up is blocked."""
-    chunks, issues, prepared = preprocess(docs, kind)
-    expected = prepared.where(~S.is_blank(F.col("text"))).select("doc_id", F.lit(RAW_SOURCE).alias("source_id")).distinct()
-    # The first draft claims the text, so a document with chunks consumes it once.
-    consumed = chunks.select("doc_id", F.lit(RAW_SOURCE).alias("source_id")).distinct()
-    lost = D.provenance_issues(expected, consumed.join(expected.select("doc_id"), "doc_id", "left_semi"))
-    return D.results(docs, chunks, issues.unionByName(lost))
+    """One row a document; a text that is taken up by no draft, or a line that is lost or doubled, blocks it."""
+    chunks, issues, _ = preprocess(docs, kind)
+    return D.results(docs, chunks, issues)
+
+
+def write_results(docs: DataFrame, out: str, kind: str = "general") -> None:
+    """Write chunks, results and serialized texts of docs under out; intermediate tables are deleted."""
+    with temporary(docs.sparkSession):
+        chunks, issues, _ = preprocess(docs, kind)
+        chunks.write.mode("overwrite").parquet(f"{out}/chunks")
+        D.results(docs, chunks, issues).write.mode("overwrite").parquet(f"{out}/results")
+        D.serialize(chunks).write.mode("overwrite").parquet(f"{out}/texts")
 
 
 def preprocess_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from quirework.operators import claims, contracts, delegation, documents, drafts
 from quirework.plans.queries import table, text_of
 from quirework.plans import workbooks
 from quirework.plans.preprocess import preprocess, raw_documents
-from quirework.sources import statutes
+from quirework.sources import markup, statutes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -375,6 +375,23 @@ def piece_sources(spark: SparkSession, folder: str) -> DataFrame:
     return claims.piece_sources(pieces, lines.withColumn("start", F.col("end") - F.col("n")), bucket=64)
 
 
+# --- web pages ---
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS x FROM pages),
+b AS (SELECT page_id, 0 AS k, 'heading' AS kind, regexp_extract(x, '<h1>(.*?)</h1>', 1, 's') AS t FROM a
+  UNION ALL SELECT page_id, k, 'paragraph', regexp_replace(part, '</p>.*', '', 's') FROM (SELECT page_id, unnest(string_split(x, '<p>')[2:]) AS part, generate_subscripts(string_split(x, '<p>')[2:], 1) AS k FROM a)),
+c AS (SELECT page_id, k, kind, replace(replace(replace(replace(replace(regexp_replace(replace(t, '<br>', chr(10)), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, k, kind, trim(regexp_replace(regexp_replace(t, '[ 	]+', ' ', 'g'), ' *
+ *', chr(10), 'g'), ' ' || chr(10)) AS t FROM c)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INT) AS place, kind, t AS text, first_value(t) OVER (PARTITION BY page_id ORDER BY k) AS path FROM d WHERE t <> ''""")
+def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings and paragraphs of all web pages, with the heading above each; paragraphs often lack their end."""
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    rows = markup.html_blocks(pages)
+    return rows.select(F.col("doc_id").alias("page_id"), F.col("order").alias("place"), "kind", "text", F.array_join("heading_path", " > ").alias("path"))
+
+
 # --- manuals: what safety labels go with; lines and the drafts that hold them ---
 
 _ORDERS = "WITH o AS (SELECT o_custkey, o_orderkey, 'order ' || o_orderkey AS t, o_orderkey % 6 AS kind FROM orders) "

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quirework.operators.storage import temporary
 from quirework.plans.preprocess import preprocess, raw_documents
 
 
@@ -17,8 +18,10 @@ def chunk_stream(docs: DataFrame, out: str, checkpoint: str, kind: str = "genera
     """Chunks of a stream of docs (doc_id, text) as Parquet, partitioned by batch; a repeated batch replaces its folder."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunks, _, _ = preprocess(raw_documents(batch), kind)
-        chunks.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        # A batch's own tables go with it, so an endless stream fills no disk.
+        with temporary(batch.sparkSession):
+            chunks, _, _ = preprocess(raw_documents(batch), kind)
+            chunks.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
