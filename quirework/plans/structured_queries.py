@@ -13,7 +13,7 @@ from quirework.operators import claims, contracts, delegation, documents, drafts
 from quirework.plans.queries import table, text_of
 from quirework.plans import workbooks
 from quirework.plans.preprocess import preprocess, raw_documents
-from quirework.sources import markup, statutes
+from quirework.sources import delimited, markup, statutes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -375,6 +375,21 @@ def piece_sources(spark: SparkSession, folder: str) -> DataFrame:
     return claims.piece_sources(pieces, lines.withColumn("start", F.col("end") - F.col("n")), bucket=64)
 
 
+# --- delimited text ---
+
+
+@query("""WITH s AS (SELECT s_suppkey // 40 AS doc_id, s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 1 ELSE 2 END AS n_lines FROM supplier),
+p AS (SELECT *, 2 + coalesce(sum(n_lines) OVER (PARTITION BY doc_id ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM s)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n, string_agg('row ' || CAST(line AS BIGINT), ',' ORDER BY line) AS places FROM p WHERE s_suppkey % 4 = 0 GROUP BY doc_id""")
+def irregular_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Records narrower than the header, named by the line at which they begin: others hold a line end in quotes."""
+    line = F.when(F.col("s_suppkey") % 4 == 0, F.concat_ws(",", "s_suppkey", "s_name")).otherwise(F.concat_ws(",", "s_suppkey", "s_name", F.lit('"x,\n""y"""')))
+    text = text_of(table(spark, folder, "supplier").select(F.floor(F.col("s_suppkey") / 40).cast("long").alias("doc_id"), F.col("s_suppkey").alias("k"), "s_suppkey", "s_name"), line)
+    lines = delimited.text_lines(text.select("doc_id", F.concat(F.lit("key,name,note\n"), "text").alias("text")))
+    found = delimited.irregular_records(delimited.records(lines))
+    return found.select("doc_id", "n", F.array_join("locations", ",").alias("places"))
+
+
 # --- web pages ---
 
 
