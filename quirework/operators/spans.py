@@ -75,6 +75,12 @@ def grid_rows(placed: DataFrame) -> DataFrame:
     return rows.withColumn("_m", own).select("doc_id", "table_no", "row_no", cells.alias("cells"))
 
 
+def grid_issues(placed: DataFrame) -> DataFrame:
+    """An error for each document with tables whose grid would be too large: they give no rows."""
+    found = placed.where("placed is null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return found.select("doc_id", F.lit("DOCX_TABLE_LIMIT").alias("code"), F.lit("error").alias("severity"), "n")
+
+
 def grid_merges(placed: DataFrame) -> DataFrame:
     """doc_id, table_no, merge_no, top, left, bottom, right (from 1) of the cells that span more than one place."""
     cells = placed.where("placed is not null").select("doc_id", "table_no", F.posexplode("placed").alias("merge_no", "c"))

@@ -13,6 +13,7 @@ from quirework.operators import contracts, delegation, manuals, sections, workbo
 from quirework.operators import drafts as D
 from quirework.operators import lines as L
 from quirework.operators.storage import cut, temporary
+from quirework.sources import files
 
 CHUNKERS = {"general": sections.general_drafts, "law": sections.law_drafts, "manual": manuals.manual_drafts, "excel": workbook.text_drafts}
 
@@ -76,8 +77,11 @@ def write_results(docs: DataFrame, out: str, kind: str = "general") -> None:
         D.serialize(chunks).write.mode("overwrite").parquet(f"{out}/texts")
 
 
-def preprocess_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """chunks and results of structured general documents (operators.contracts' blocks): contracts, else sections of their text."""
+def preprocess_blocks(blocks: DataFrame, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """chunks and results of structured general documents (operators.contracts' blocks): contracts, else sections of their text.
+
+    found: further issues (doc_id, code, severity, n), as of a reader.
+    """
     blocks = cut(blocks, "blocks")
     drafts, issues, claims = contracts.contract_drafts(blocks)
     drafts, claims = cut(drafts, "contracts"), cut(claims, "claims")
@@ -91,4 +95,11 @@ def preprocess_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Every block that a contract keeps is expected once.
     kept = contracts.articles(blocks).join(ids, "doc_id", "left_semi").select("doc_id", F.col("block_id").alias("source_id"))
     lost = D.provenance_issues(kept, claims.select("doc_id", "source_id"))
-    return chunks, D.results(blocks, chunks, all_issues.unionByName(lost))
+    issues = all_issues.unionByName(lost)
+    return chunks, D.results(blocks, chunks, issues if found is None else issues.unionByName(found))
+
+
+def preprocess_word(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """chunks and results of word-processor files (doc_id, name, content); a table too large for a grid blocks its document."""
+    blocks, issues = files.placed_blocks(cut(files.document_blocks(docs), "word-blocks"))
+    return preprocess_blocks(blocks.select("doc_id", "name", "block_id", "order", "kind", "depth", "ordered", "text", "rows"), issues)

@@ -21,11 +21,20 @@ from pyspark.sql import types as T
 
 from quirework.functions import strings as S
 from quirework.functions.formats import BUILT_IN
+from quirework.operators import spans
+from quirework.operators.cells import merge_ranges
+from quirework.operators.storage import cut
 from quirework.operators.stored import display_cells, share_formulas
 
 DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType()), T.StructField("n_replaced", T.LongType())])
 ROWS = T.ArrayType(T.StructType([T.StructField("sheet_no", T.IntegerType()), T.StructField("sheet", T.StringType()), T.StructField("row_no", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))]))
-BLOCKS = T.ArrayType(T.StructType([T.StructField("order", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))]))
+CELL = T.StructType([T.StructField("text", T.StringType()), T.StructField("rowspan", T.IntegerType()), T.StructField("colspan", T.IntegerType())])
+BLOCKS = T.ArrayType(
+    T.StructType([
+        T.StructField("order", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("depth", T.IntegerType()),
+        T.StructField("ordered", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("cells", T.ArrayType(T.ArrayType(CELL))),
+    ])
+)
 
 
 def files(spark: SparkSession, path: str, route: str) -> DataFrame:
@@ -215,50 +224,158 @@ def workbook_sheets(df: DataFrame, content: str = "content") -> DataFrame:
     return df.select("doc_id", "name", F.inline(parse(content)))
 
 
-def word_grid(table, text_of) -> list[list[str]]:
-    """Rows of a table as wide as its widest: a cell across several columns or rows has its text at its first place."""
-    rows = []
+_V = f"{_W}val"
+#: Elements whose text isn't the paragraph's own: deleted and moved text, field codes, drawings, readings, notes.
+_NO_TEXT = {f"{_W}{n}" for n in ("del", "moveFrom", "instrText", "delText", "drawing", "pict", "object", "rt", "pPr", "rPr", "footnoteReference", "endnoteReference", "commentReference")}
+_AS_TEXT = {f"{_W}br": "\n", f"{_W}cr": "\n", f"{_W}tab": "\t", f"{_W}ptab": "\t", f"{_W}noBreakHyphen": "-"}
+
+
+def word_text(node) -> str:
+    """Text of a paragraph with its links and insertions; white space as a block shows it."""
+    parts: list[str] = []
+
+    def walk(x) -> None:
+        for child in x:
+            if child.tag in _NO_TEXT or child.tag.endswith("}AlternateContent"):
+                continue
+            if child.tag == f"{_W}t":
+                parts.append(child.text or "")
+            elif child.tag in _AS_TEXT:
+                parts.append("" if child.get(f"{_W}type") in ("page", "column") else _AS_TEXT[child.tag])
+            else:
+                walk(child)
+
+    walk(node)
+    return re.sub(r" *\n *", "\n", re.sub(r"[^\S\n]+", " ", "".join(parts))).strip()
+
+
+def inherited(styles: dict[str, dict], start: str | None, key: str):
+    """A property of a style, or of the first style it is based on that has it; a circle of styles ends the search."""
+    seen: set[str] = set()
+    while start in styles and start not in seen:
+        seen.add(start)
+        if styles[start].get(key) is not None:
+            return styles[start][key]
+        start = styles[start]["based"]
+    return None
+
+
+def _numbering(p) -> tuple[str | None, int] | None:
+    """numId and level of paragraph properties that name a list; None where they name none."""
+    numbers = p.find(f"{_W}numPr") if p is not None else None
+    if numbers is None:
+        return None
+    own, level = numbers.find(f"{_W}numId"), numbers.find(f"{_W}ilvl")
+    return None if own is None else own.get(_V), int(level.get(_V, 0)) if level is not None else 0
+
+
+def word_styles(root) -> dict[str, dict]:
+    """based, level (of its outline or its name) and numbering of each style."""
+    out = {}
+    for style in root.iter(f"{_W}style") if root is not None else []:
+        p, name, based = style.find(f"{_W}pPr"), style.find(f"{_W}name"), style.find(f"{_W}basedOn")
+        outline = p.find(f"{_W}outlineLvl") if p is not None else None
+        named = re.fullmatch(r"(?i)heading\s*([1-6])", (name.get(_V) if name is not None else style.get(f"{_W}styleId")) or "")
+        level = int(named[1]) if named else int(outline.get(_V, 9)) + 1 if outline is not None else None
+        out[style.get(f"{_W}styleId")] = {"based": based.get(_V) if based is not None else None, "level": level, "numbers": _numbering(p)}
+    return out
+
+
+def ordered_levels(root) -> dict[tuple[str, int], bool]:
+    """Whether a list (numId) counts at a level, by its abstract numbering and its own overrides."""
+    if root is None:
+        return {}
+    abstract, linked = {}, {}
+    for a in root.iter(f"{_W}abstractNum"):
+        key = a.get(f"{_W}abstractNumId")
+        abstract[key] = {int(v.get(f"{_W}ilvl", 0)): v.find(f"{_W}numFmt") for v in a.findall(f"{_W}lvl")}
+        link, own = a.find(f"{_W}numStyleLink"), a.find(f"{_W}styleLink")
+        if link is not None:
+            linked[key] = link.get(_V)
+        if own is not None:
+            abstract[("style", own.get(_V))] = abstract[key]
+    out = {}
+    for n in root.iter(f"{_W}num"):
+        of = n.find(f"{_W}abstractNumId")
+        key = of.get(_V) if of is not None else None
+        levels = dict(abstract.get(("style", linked[key])) or {}) if key in linked else dict(abstract.get(key) or {})
+        for o in n.findall(f"{_W}lvlOverride"):
+            if (v := o.find(f"{_W}lvl")) is not None and v.find(f"{_W}numFmt") is not None:
+                levels[int(o.get(f"{_W}ilvl", 0))] = v.find(f"{_W}numFmt")
+        for level, kind in levels.items():
+            out[n.get(f"{_W}numId"), level] = kind is not None and kind.get(_V) not in ("bullet", "none")
+    return out
+
+
+def word_spans(table) -> list[list[dict]]:
+    """Rows of a table's cells with the rows and columns they span; a cell that goes on from above is part of it."""
+    rows, open_ = [], {}
     for row in table.findall(f"{_W}tr"):
-        cells: list[str] = []
+        cells, col, still = [], 0, {}
+        skipped = row.find(f"{_W}trPr/{_W}gridBefore")
+        col += int(skipped.get(_V, 0)) if skipped is not None else 0
+        if col:
+            cells.append({"text": "", "rowspan": 1, "colspan": col})
         for cell in row.findall(f"{_W}tc"):
-            wide, down = cell.find(f"{_W}tcPr/{_W}gridSpan"), cell.find(f"{_W}tcPr/{_W}vMerge")
-            goes_on = down is not None and down.get(f"{_W}val") != "restart"
-            text = "" if goes_on else "\n".join(filter(None, (text_of(p) for p in cell.iter(f"{_W}p"))))
-            cells += [text, *[""] * (int(wide.get(f"{_W}val", 1)) - 1 if wide is not None else 0)]
+            across, down = cell.find(f"{_W}tcPr/{_W}gridSpan"), cell.find(f"{_W}tcPr/{_W}vMerge")
+            wide = max(1, int(across.get(_V, 1))) if across is not None else 1
+            goes_on = down is not None and down.get(_V) != "restart" and col in open_
+            if goes_on:
+                open_[col]["rowspan"] += 1
+                still[col] = open_[col]
+            else:
+                one = {"text": "\n".join(filter(None, (word_text(p) for p in cell.findall(f".//{_W}p")))), "rowspan": 1, "colspan": wide}
+                cells.append(one)
+                if down is not None:
+                    still[col] = one
+            col += wide
+        open_ = still
         rows.append(cells)
-    width = max((len(r) for r in rows), default=0)
-    return [r + [""] * (width - len(r)) for r in rows]
+    return rows
 
 
 def word_blocks(raw: bytes) -> list[dict]:
     """Headings, paragraphs, list items and tables of an OOXML text document, in order."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        names = set(z.namelist())
+        read = lambda name: ElementTree.fromstring(z.read(name)) if name in names else None
+        body = read("word/document.xml").find(f"{_W}body")
+        styles, lists = word_styles(read("word/styles.xml")), ordered_levels(read("word/numbering.xml"))
     out: list[dict] = []
 
-    def text_of(node) -> str:
-        parts = []
-        for x in node.iter():
-            parts.append(x.text or "" if x.tag == f"{_W}t" else "\n" if x.tag == f"{_W}br" else "\t" if x.tag == f"{_W}tab" else "")
-        return "".join(parts)
-
-    for node in body if body is not None else []:
-        if node.tag == f"{_W}p":
-            style = node.find(f"{_W}pPr/{_W}pStyle")
-            level = re.fullmatch(r"(?i)heading\s*([1-6])", style.get(f"{_W}val", "")) if style is not None else None
-            depth = node.find(f"{_W}pPr/{_W}numPr/{_W}ilvl")
-            text = text_of(node)
-            if not text.strip():
-                continue
-            kind = "heading" if level else "list-item" if depth is not None else "paragraph"
-            out.append({"order": len(out), "kind": kind, "level": int(level[1]) if level else int(depth.get(f"{_W}val", 0)) if depth is not None else None, "text": text, "rows": None})
-        elif node.tag == f"{_W}tbl":
-            out.append({"order": len(out), "kind": "table", "level": None, "text": None, "rows": word_grid(node, text_of)})
+    def paragraph(node) -> None:
+        p = node.find(f"{_W}pPr")
+        style = p.find(f"{_W}pStyle") if p is not None else None
+        name = style.get(_V, "") if style is not None else None
+        outline = p.find(f"{_W}outlineLvl") if p is not None else None
+        bare = re.fullmatch(r"(?i)heading\s*([1-6])", name or "")
+        level = int(outline.get(_V, 9)) + 1 if outline is not None else inherited(styles, name, "level") or (int(bare[1]) if bare and name not in styles else None)
+        number = _numbering(p) or inherited(styles, name, "numbers")
+        if number and number[0] is None:
+            number = ((inherited(styles, name, "numbers") or (None,))[0], number[1])
+        text = word_text(node)
+        if not text:
+            return
+        heading = level is not None and 1 <= level <= 6
+        item = not heading and number is not None and number[0] not in (None, "0")
+        kind = "heading" if heading else "list-item" if item else "paragraph"
+        out.append({"order": len(out), "kind": kind, "level": level if heading else None, "depth": number[1] if item else None, "ordered": lists.get(number, False) if item else None, "text": text, "cells": None})
+
+    def walk(nodes) -> None:
+        for node in nodes if nodes is not None else []:
+            if node.tag == f"{_W}p":
+                paragraph(node)
+            elif node.tag == f"{_W}tbl":
+                out.append({"order": len(out), "kind": "table", "level": None, "depth": None, "ordered": None, "text": None, "cells": word_spans(node)})
+            elif node.tag in (f"{_W}sdt", f"{_W}sdtContent", f"{_W}ins", f"{_W}moveTo"):
+                walk(node)
+
+    walk(body)
     return out
 
 
 def document_blocks(df: DataFrame, content: str = "content") -> DataFrame:
-    """Blocks of text documents (doc_id, name, content)."""
+    """doc_id, name, order, kind, level, depth, ordered, text, cells (rows of struct<text, rowspan, colspan>) of text documents (doc_id, name, content)."""
 
     @F.pandas_udf(BLOCKS)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -268,9 +385,21 @@ def document_blocks(df: DataFrame, content: str = "content") -> DataFrame:
     return df.select("doc_id", "name", F.inline(parse(content)))
 
 
+def placed_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks (as document_blocks gives them) with rows and merges of their tables and block_id, and issues of tables whose grid is too large."""
+    c = F.col
+    tables = blocks.where("kind = 'table'").select("doc_id", c("order").alias("table_no"), c("cells").alias("rows"))
+    placed = cut(spans.placed_cells(tables), "placed")
+    grid = spans.grid_rows(placed).groupBy("doc_id", "table_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x["cells"]).alias("rows"))
+    merges = merge_ranges(spans.grid_merges(placed)).groupBy("doc_id", "table_no").agg(F.array_sort(F.collect_list(F.struct("merge_no", "range"))).alias("_m"))
+    own = grid.join(merges, ["doc_id", "table_no"], "left").select("doc_id", c("table_no").alias("order"), "rows", F.transform("_m", lambda m: m["range"]).alias("merges"))
+    out = blocks.drop("cells").join(own, ["doc_id", "order"], "left").withColumn("block_id", F.concat(F.lit("docx-block-"), (c("order") + 1).cast("string")))
+    return out.where("kind <> 'table' or rows is not null"), spans.grid_issues(placed)
+
+
 def blocks_to_text(blocks: DataFrame) -> DataFrame:
-    """doc_id, name, text: headings as Markdown, list items with marks, tables as Markdown tables."""
+    """doc_id, name, text of placed blocks: headings as Markdown, list items with marks, tables as Markdown tables."""
     table = F.concat(S.render_table_start(F.col("rows")[0]), F.array_join(F.transform(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), lambda r: F.concat(F.lit("\n"), S.render_row(r))), ""))
-    line = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text")).when(F.col("kind") == "list-item", F.concat(F.repeat(F.lit("  "), F.col("level")), F.lit("- "), "text")).when(F.col("kind") == "table", table).otherwise(F.col("text"))
+    line = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text")).when(F.col("kind") == "list-item", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.when(F.col("ordered"), "1. ").otherwise("- "), "text")).when(F.col("kind") == "table", table).otherwise(F.col("text"))
     rows = blocks.select("doc_id", "name", "order", line.alias("line")).groupBy("doc_id", "name").agg(F.array_sort(F.collect_list(F.struct("order", "line"))).alias("l"))
     return rows.select("doc_id", "name", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))

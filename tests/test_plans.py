@@ -131,7 +131,7 @@ def test_word_blocks(spark):
     df = spark.createDataFrame([(1, "a.docx", bytearray(raw.getvalue()))], "doc_id long, name string, content binary")
     blocks = files.document_blocks(df)
     assert [r.kind for r in blocks.orderBy("order").collect()] == ["heading", "paragraph", "table"]
-    assert files.blocks_to_text(blocks).first().text.split("\n")[:2] == ["# Top", "text"]
+    assert files.blocks_to_text(files.placed_blocks(blocks)[0]).first().text.split("\n")[:2] == ["# Top", "text"]
 
 
 def test_statute_members_may_be_objects_or_lists(spark):

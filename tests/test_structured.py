@@ -192,14 +192,64 @@ def test_workbook_layout(spark):
     assert issues == {"MERGED_CELLS": (2, ["S1!B2:C2", "S1!A2:A3"]), "FORMULA_RESULT_MISSING": (1, ["S1!B4"]), "EXCEL_CELL_COMMENTS_UNSUPPORTED": (2, ["S1!B4", "S1!A9"])}
 
 
-def test_word_table_spans():
-    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    cell = lambda text, more="": f"<w:tc><w:tcPr>{more}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
-    table = f'<w:tbl><w:tr>{cell("a", "<w:vMerge w:val=&quot;restart&quot;/>".replace("&quot;", chr(34)))}{cell("b", "<w:gridSpan w:val=" + chr(34) + "2" + chr(34) + "/>")}</w:tr><w:tr>{cell("x", "<w:vMerge/>")}{cell("c")}{cell("d")}</w:tr></w:tbl>'
+W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+
+def docx(body, **parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{table}</w:body></w:document>')
-    assert files.word_blocks(out.getvalue())[0]["rows"] == [["a", "b", ""], ["", "c", "d"]]
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{W}"><w:body>{body}</w:body></w:document>')
+        for name, xml in parts.items():
+            z.writestr(f"word/{name}.xml", f'<w:{name} xmlns:w="{W}">{xml}</w:{name}>')
+    return out.getvalue()
+
+
+def para(text, props=""):
+    return f"<w:p><w:pPr>{props}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
+
+
+def tc(text, more=""):
+    return f"<w:tc><w:tcPr>{more}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+
+
+def word(spark, *raws):
+    return spark.createDataFrame([(k, "a.docx", bytearray(r)) for k, r in enumerate(raws)], "doc_id long, name string, content binary")
+
+
+def test_word_table_spans(spark):
+    down, on, two = '<w:vMerge w:val="restart"/>', "<w:vMerge/>", '<w:gridSpan w:val="2"/>'
+    table = f"<w:tbl><w:tr>{tc('a', down)}{tc('b', two)}</w:tr><w:tr>{tc('x', on)}{tc('c')}{tc('d')}</w:tr><w:tr>{tc('y', on)}{tc('e', two)}</w:tr></w:tbl>"
+    wide = "<w:tbl>" + "".join(f"<w:tr>{tc('z')}</w:tr>" for _ in range(5001)) + "</w:tbl>"
+    blocks, issues = files.placed_blocks(files.document_blocks(word(spark, docx(table), docx(wide + para("text")))))
+    rows = {(r.doc_id, r.kind): (r.rows, r.merges) for r in blocks.collect()}
+    assert rows == {(0, "table"): ([["a", "b", ""], ["", "c", "d"], ["", "e", ""]], ["A1:A3", "B1:C1", "B3:C3"]), (1, "paragraph"): (None, None)}
+    assert [(r.doc_id, r.code, r.severity, r.n) for r in issues.collect()] == [(1, "DOCX_TABLE_LIMIT", "error", 1)]
+
+
+def test_word_styles_and_lists(spark):
+    style = lambda key, based="", more="", name="x": f'<w:style w:styleId="{key}"><w:name w:val="{name}"/>' + (f'<w:basedOn w:val="{based}"/>' if based else "") + f"<w:pPr>{more}</w:pPr></w:style>"
+    number = lambda n, level=0: f'<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{n}"/></w:numPr>'
+    styles = style("Top", more='<w:outlineLvl w:val="0"/>') + style("Own", "Top") + style("Deep", "Own", '<w:outlineLvl w:val="2"/>') + style("A", "B") + style("B", "A") + style("Named", name="heading 2") + style("Li", more=number(1)) + style("LiKid", "Li")
+    level = lambda k, kind: f'<w:lvl w:ilvl="{k}"><w:numFmt w:val="{kind}"/></w:lvl>'
+    numbering = f'<w:abstractNum w:abstractNumId="5">{level(0, "decimal")}{level(1, "bullet")}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="5"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="5"/><w:lvlOverride w:ilvl="0">{level(0, "bullet")}</w:lvlOverride></w:num>'
+    styled = lambda key: f'<w:pStyle w:val="{key}"/>'
+    link = '<w:p><w:r><w:t xml:space="preserve">see </w:t></w:r><w:hyperlink><w:r><w:t>link</w:t></w:r></w:hyperlink><w:ins><w:r><w:t xml:space="preserve">  new</w:t></w:r></w:ins><w:del><w:r><w:delText>old</w:delText></w:r></w:del><w:r><w:br/><w:t>next</w:t><w:instrText>PAGE</w:instrText></w:r></w:p>'
+    body = para("one", styled("Own")) + para("three", styled("Deep")) + para("two", styled("Named")) + para("circle", styled("A")) + para("n1", number(1)) + para("b1", number(1, 1)) + para("b2", number(2)) + para("n2", styled("LiKid")) + para("none", styled("LiKid") + number(0)) + para("no heading", styled("Own") + '<w:outlineLvl w:val="9"/>') + link + f"<w:sdt><w:sdtContent>{para('inside')}</w:sdtContent></w:sdt>" + para("  ")
+    rows = files.document_blocks(word(spark, docx(body, styles=styles, numbering=numbering))).orderBy("order").collect()
+    assert [(r.kind, r.text, r.level, r.depth, r.ordered) for r in rows] == [
+        ("heading", "one", 1, None, None), ("heading", "three", 3, None, None), ("heading", "two", 2, None, None), ("paragraph", "circle", None, None, None), ("list-item", "n1", None, 0, True), ("list-item", "b1", None, 1, False),
+        ("list-item", "b2", None, 0, False), ("list-item", "n2", None, 0, True), ("paragraph", "none", None, None, None), ("paragraph", "no heading", None, None, None), ("paragraph", "see link new\nnext", None, None, None), ("paragraph", "inside", None, None, None),
+    ]
+
+
+def test_word_documents_end_to_end(spark):
+    from quirework.plans.preprocess import preprocess_word
+
+    good = docx(para("Top", '<w:pStyle w:val="Heading1"/>') + para("text") + f"<w:tbl><w:tr>{tc('a')}{tc('b')}</w:tr><w:tr>{tc('c')}{tc('d')}</w:tr></w:tbl>")
+    large = docx(para("text") + "<w:tbl>" + "".join(f"<w:tr>{tc('z')}</w:tr>" for _ in range(5001)) + "</w:tbl>")
+    chunks, results = preprocess_word(word(spark, good, large))
+    assert [r.chunk for r in chunks.where("doc_id = 0").orderBy("draft_no").collect()] == ["[문서] a.docx\n[섹션] Top\ntext", "[문서] a.docx\n[섹션] Top\n| a | b |\n| --- | --- |\n| c | d |"]
+    assert {r.doc_id: (r.status, [i.code for i in r.issues]) for r in results.collect()} == {0: ("ready", []), 1: ("blocked", ["DOCX_TABLE_LIMIT"])}
 
 
 GOOD = {"version": 1, "fileName": "a.txt", "sourceFormat": "txt", "extractionMethod": "local-text", "warnings": [], "blocks": [{"id": "b", "kind": "paragraph", "order": 0, "headingPath": [], "text": "글"}]}
