@@ -8,9 +8,10 @@ with a smaller doc_id. Three steps keep the index to text that can matter:
 2. What is left are passages: the words of the windows around one shared anchor. Equal passages are merged (with
    the least doc_id) before they are shuffled, and dealt to shards by their anchor; windows around an anchor that
    very many documents hold are dealt one by one, by their own hash.
-3. Each shard builds an FM-index over its passages (symbols are words): a word-level Burrows-Wheeler transform in a
-   wavelet matrix, ordered by the first 16 words. Backward search streams all passages through it in step, and
-   gives each window's interval and the least doc_id in it.
+3. Each shard builds a compressed FM-index over its passages (symbols are words): a word-level Burrows-Wheeler transform
+   in a wavelet matrix, ordered by the first 16 words, with runs of equal windows as bit vectors. Backward search streams
+   all passages through it in step, and gives each window's interval and the least doc_id in it; neighbouring windows
+   that an earlier document holds are reported as intervals of words.
 
 Edge cases: null, empty and blank texts have no words; texts under 13 words lose none. A null doc_id is neither
 smaller nor larger than another, so such rows neither lose words nor make others lose any; rows with equal doc_ids
@@ -27,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quirework.llm import text
-from quirework.llm.scratch import if_small, release, written
+from quirework.llm.scratch import discard, if_small, release, written
 
 WINDOW, ANCHOR = 13, 6
 _CHOICES = WINDOW - ANCHOR + 1
@@ -43,31 +43,47 @@ BROADCAST_ROWS, BROADCAST_RANGES = 400_000, 3_000_000
 _ORDER = 16
 
 
+class BitVector:
+    """Packed bits with ranks: counts of 16 bits a word within blocks of 1,023 words, and one of 32 bits a block."""
+
+    _WORDS = 1023
+
+    def __init__(self, bits: np.ndarray):
+        n = len(bits)
+        packed = np.zeros((n // 64 + 1) * 8, np.uint8)
+        raw = np.packbits(bits, bitorder="little")
+        packed[: len(raw)] = raw
+        self.words = packed.view(np.uint64)
+        count = np.bitwise_count(self.words).astype(np.int64)
+        before = np.cumsum(count) - count
+        self.blocks = before[:: self._WORDS].astype(np.uint32)
+        self.within = (before - np.repeat(before[:: self._WORDS], self._WORDS)[: len(before)]).astype(np.uint16)
+        self.ones = int(count.sum())
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before i."""
+        word, bit = i >> 6, (i & 63).astype(np.uint64)
+        before = self.blocks[word // self._WORDS].astype(np.int64) + self.within[word]
+        return before + np.bitwise_count(self.words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+
+
 class WaveletMatrix:
-    """Ranks of symbols in a sequence: one packed bit vector for each bit of a symbol."""
+    """Ranks of symbols in a sequence: one bit vector for each bit of a symbol."""
 
     def __init__(self, seq: np.ndarray, top: int):
         n = len(seq)
-        self.bits, self.before, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         self.levels = range(max(1, int(top).bit_length()) - 1, -1, -1)
         for level in self.levels:
-            b = ((seq >> level) & 1).astype(np.uint8)
-            packed = np.zeros((n // 64 + 1) * 8, np.uint8)
-            raw = np.packbits(b, bitorder="little")
-            packed[: len(raw)] = raw
-            packed = packed.view(np.uint64)
-            count = np.bitwise_count(packed).astype(np.int64)
-            self.bits.append(packed)
-            self.before.append(np.cumsum(count) - count)
-            self.zeros.append(n - int(count.sum()))
-            on = b.astype(bool)
+            on = ((seq >> level) & 1).astype(bool)
+            self.bits.append(BitVector(on))
+            self.zeros.append(n - self.bits[-1].ones)
             seq = np.concatenate([seq[~on], seq[on]])
-        self.first = self.position(np.arange(top + 1), np.zeros(top + 1, np.int64))
+        self.first = self.position(np.arange(top + 1), np.zeros(top + 1, np.int64)).astype(np.int32)
 
     def position(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k, level in enumerate(self.levels):
-            word, bit = i >> 6, (i & 63).astype(np.uint64)
-            ones = self.before[k][word] + np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << bit) - np.uint64(1)))
+            ones = self.bits[k].rank(i)
             i = np.where((symbol >> level) & 1, self.zeros[k] + ones, i - ones)
         return i
 
@@ -79,7 +95,9 @@ class WaveletMatrix:
 class FMIndex:
     """Backward search over passages of symbols from 1 on; 0 ends each passage.
 
-    Suffixes are in order of their first 16 symbols, which is all that patterns of up to 16 can tell apart.
+    Suffixes are in order of their first 16 symbols, which is all that patterns of up to 16 can tell apart. What is kept
+    is the transform as a wavelet matrix, where runs of rows with equal first 13 and 12 symbols begin as two bit
+    vectors, one owner for each run of the first kind and one place for each of the second: a few bits a word.
     """
 
     def __init__(self, symbols: np.ndarray, owners: np.ndarray):
@@ -93,28 +111,29 @@ class FMIndex:
             h *= 2
         suffix = np.argsort(ranks[_ORDER], kind="stable")
 
-        def same(depths: list[tuple[int, int]]) -> np.ndarray:
-            """Whether each row equals the one before it in all ranks (length, offset)."""
-            equal = np.ones(max(0, n - 1), bool)
+        def opens(depths: list[tuple[int, int]]) -> np.ndarray:
+            """Whether each row differs from the one before it in any rank (length, offset)."""
+            out = np.zeros(n, bool)
+            out[:1] = True
             for length, offset in depths:
                 at = suffix + offset
                 r = np.where(at < n, ranks[length][np.minimum(at, n - 1)], 0)
-                equal &= r[1:] == r[:-1]
-            return equal
-
-        def classes(equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            starts = np.concatenate([[0], np.flatnonzero(~equal) + 1]) if n else np.zeros(0, np.int64)
-            return starts, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+                out[1:] |= r[1:] != r[:-1]
+            return out
 
-        starts, self.row_class = classes(same([(8, 0), (4, 8), (1, 12)]))
-        self.least = np.minimum.reduceat(owners[suffix], starts) if n else owners
-        starts, row = classes(same([(8, 0), (4, 8)]))
-        self.parent_lo, self.parent_hi = starts[row], np.append(starts[1:], n)[row]
+        whole, parent = opens([(8, 0), (4, 8), (1, 12)]), opens([(8, 0), (4, 8)])
+        self.windows_open, self.parents_open = BitVector(whole), BitVector(parent)
+        self.least = np.minimum.reduceat(owners[suffix], np.flatnonzero(whole)) if n else owners
+        self.parents = np.append(np.flatnonzero(parent), n).astype(np.int32)
         top = int(symbols.max(initial=0))
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=top + 1))])
         self.bwt = WaveletMatrix(symbols[suffix - 1], top)
         self.n = n
 
+    def nbytes(self) -> int:
+        vectors = [*self.bwt.bits, self.windows_open, self.parents_open]
+        return sum(v.words.nbytes + v.within.nbytes + v.blocks.nbytes for v in vectors) + self.least.nbytes + self.parents.nbytes + self.smaller.nbytes + self.bwt.first.nbytes
+
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals after a symbol is put before the pattern; a symbol below 1 or unknown empties it."""
         known = (symbol > 0) & (symbol < len(self.smaller) - 1)
@@ -146,8 +165,9 @@ class FMIndex:
             lo, hi = self.step(flat[starts[lanes] + at], lo, hi)
             found = lo < hi
             row = np.minimum(lo, self.n - 1)
-            yield lanes, at, np.where(found, self.least[self.row_class[row]], -1)
-            lo, hi = np.where(found, self.parent_lo[row], 0), np.where(found, self.parent_hi[row], 0)
+            yield lanes, at, np.where(found, self.least[self.windows_open.rank(row + 1) - 1], -1)
+            run = self.parents_open.rank(row + 1)
+            lo, hi = np.where(found, self.parents[run - 1], 0), np.where(found, self.parents[run], 0)
 
 
 def _anchors(spans: text.Spans, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,9 +339,12 @@ def removals(docs: DataFrame) -> DataFrame:
     marks = later.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"))
     firsts = rows.join(if_small(marks, BROADCAST_ROWS), (F.col("doc_id") == F.col("_d")) & (F.col("text_key") == F.col("_t")), "left_anti")
 
-    pairs = firsts.select("doc_id", "text").mapInArrow(_emit_anchors, "anchor long, doc_id long")
-    shared = pairs.withColumn("n", F.count("*").over(Window.partitionBy("anchor")).cast("int")).where("n > 1")
+    pairs = written(firsts.select("doc_id", "text").mapInArrow(_emit_anchors, "anchor long, doc_id long"), "anchor-rows")
+    # Counted first and joined back, so that an anchor of very many documents is no single task's rows.
+    often = pairs.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    shared = pairs.join(often.hint("merge"), F.col("anchor") == F.col("_a"))
     shared = written(shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "n")).alias("anchors")), "anchors")
+    discard(pairs)
     release(spark)
     found = firsts.join(shared.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d")).select("doc_id", "text_key", "text", "anchors")
     passages = found.mapInArrow(_emit_passages, "key long, pid long, doc_id long, text_key long, start int, passage binary")
@@ -341,6 +364,18 @@ def removals(docs: DataFrame) -> DataFrame:
     return out
 
 
+def intervals(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, start, end: the intervals of words of docs (doc_id, text) that lie in windows which start in earlier documents.
+
+    A copy of an earlier document is one interval of all its words, past-the-end null.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    gone = removals(rows)
+    pair = F.explode(F.transform(F.sequence(F.lit(0), (F.size("ranges") / 2 - 1).cast("int")), lambda k: F.struct(F.get("ranges", (2 * k).cast("int")).alias("start"), F.get("ranges", (2 * k + 1).cast("int")).alias("end")))).alias("x")
+    found = gone.where("not is_copy and size(ranges) > 0").select("doc_id", "text_key", pair).select("doc_id", "text_key", "x.*")
+    return found.unionByName(gone.where("is_copy").select("doc_id", "text_key", F.lit(0).alias("start"), F.lit(None).cast("int").alias("end")))
+
+
 def _covered(spans: text.Spans, ranges: pa.Array, copies: np.ndarray) -> np.ndarray:
     """Whether each word goes."""
     edges = np.zeros(len(spans.starts) + 1, np.int64)

@@ -222,3 +222,28 @@ def test_quality_held_out(spark):
     held = [(r.score, good[r.doc_id]) for r in rows if r.held_out]
     pairs = [(a > b) + (a == b) / 2 for a, x in held for b, y in held if x and not y]
     assert sum(pairs) / len(pairs) > 0.95
+
+
+def test_bit_vectors_and_index_size():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 63, 64, 65, 1000, 64 * 1023, 200_000):
+        bits = rng.random(n) < 0.3
+        v = fmindex.BitVector(bits)
+        at = rng.integers(0, n + 1, 200)
+        assert (v.rank(at) == np.concatenate([[0], np.cumsum(bits)])[at]).all()
+    words = rng.integers(1, 5000, 100_000)
+    words[rng.integers(0, len(words), 3000)] = 0
+    index = fmindex.FMIndex(np.append(words, 0), rng.integers(0, 10**6, len(words) + 1))
+    # An owner for each distinct window and a place for each distinct parent, and under 4 bytes a word for the rest.
+    assert index.nbytes() - index.least.nbytes - index.parents.nbytes - index.smaller.nbytes - index.bwt.first.nbytes < 4 * len(words)
+
+
+def test_intervals(spark, rows, docs):
+    """Intervals of words hold the same words as those that brute force removes."""
+    plain = brute_dedup(rows)
+    got = {}
+    for r in fmindex.intervals(docs.select("doc_id", "text")).collect():
+        n = len(WORD.findall(dict(rows)[r.doc_id] or ""))
+        got.setdefault(r.doc_id, set()).update(range(r.start, n if r.end is None else r.end) if r.end is not None or n >= 13 else ())
+    for k, (_, gone, _) in plain.items():
+        assert len(got.get(k, ())) == gone
