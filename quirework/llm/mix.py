@@ -153,6 +153,8 @@ def solve(cells: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
         off = F.when((F.col("h") == 0) & (gap >= 0), 0.0).otherwise(F.abs(gap) / F.greatest(F.col("_t"), F.lit(1e-300)))
         done = (F.col("_t") <= 0) | (off <= TOLERANCE)
         lam = written(sums.select("_s", "_t", F.when(done, F.col("lam")).otherwise(F.col("lam") + step).alias("lam"), F.when(done, 0.0).otherwise(off).alias("off")), "dual")
+    else:
+        raise ArithmeticError(f"{lam.where(F.col('off') > TOLERANCE).count()} sources are off their targets after {MAX_STEPS} steps")
     return lam.select(F.col("_s").alias("source"), "lam")
 
 
