@@ -119,5 +119,10 @@ def safe_file_name(name: Column) -> Column:
     return F.when(value == "", "document.txt").otherwise(value)
 
 
+def ordered_distinct(items: Column) -> Column:
+    """Filled items once each, in the order of their first places."""
+    return F.array_distinct(F.filter(items, lambda x: F.coalesce(x, F.lit("")) != ""))
+
+
 def severity_status(issues: Column) -> Column:
     return F.when(F.exists(issues, lambda x: x["severity"] == "error"), "blocked").when(F.size(issues) > 0, "review").otherwise("ready")

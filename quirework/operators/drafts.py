@@ -83,6 +83,17 @@ def serialize(chunks: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform("_c", lambda x: x["chunk"]), S.JOINER).alias("processed_text"))
 
 
+def write_texts(chunks: DataFrame, names: DataFrame, path: str) -> None:
+    """One text file a document (names: doc_id, name) under path/document=<name>; a rerun replaces the documents it holds.
+
+    A document's folder takes the source's name without its extension, and its id, so that equal names don't meet.
+    """
+    stem = F.regexp_replace(S.safe_file_name(F.col("name")), r"\.[^.]*\z", "")
+    rows = serialize(chunks).join(names.select("doc_id", F.concat(stem, F.lit("-"), F.col("doc_id").cast("string")).alias("document")), "doc_id")
+    writer = rows.select("document", F.col("processed_text").alias("value")).repartition("document").write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("document").text(path)
+
+
 def revalidate(edited: DataFrame) -> DataFrame:
     """Results of edited chunks (doc_id, draft_no, chunk): separators are replaced, nothing is split again."""
     rows = edited.select("doc_id", "draft_no", F.lit(0).alias("piece"), S.escape_separator(F.col("chunk")).alias("chunk"), S.count_separators(F.col("chunk")).alias("n_collisions"))

@@ -178,3 +178,13 @@ def merged_headers(spark: SparkSession, folder: str) -> DataFrame:
     top = (F.col("c_custkey") - F.col("c_custkey") % 10).cast("int")
     merges = customer.select(F.col("c_nationkey").alias("doc_id"), top.alias("top")).distinct().select("doc_id", F.col("top").alias("merge_no"), "top", F.lit(1).alias("left"), (F.col("top") + 2).alias("bottom"), F.lit(3).alias("right"))
     return settings.containing_merge(cells, merges)
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber * 100000000 + l_partkey AS k, CASE l_returnflag WHEN 'A' THEN '' ELSE l_returnflag || l_linestatus END AS m FROM lineitem),
+f AS (SELECT l_orderkey, m, min(k) AS k FROM l WHERE m <> '' GROUP BY 1, 2)
+SELECT o.l_orderkey, coalesce(string_agg(m, ',' ORDER BY k, m), '') AS marks FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN f ON o.l_orderkey = f.l_orderkey GROUP BY 1""")
+def distinct_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Marks of an order once each, in the order in which its lines name them; one flag counts as empty."""
+    mark = F.when(F.col("l_returnflag") == "A", "").otherwise(F.concat("l_returnflag", "l_linestatus"))
+    rows = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", mark.alias("m")))).alias("l"))
+    return rows.select("l_orderkey", F.array_join(S.ordered_distinct(F.transform("l", lambda x: x["m"])), ",").alias("marks"))

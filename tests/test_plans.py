@@ -153,6 +153,30 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     assert sorted((r.doc_id, r.chunk) for r in got.collect()) == sorted((r.doc_id, r.chunk) for r in batch.collect())
 
 
+def test_one_file_a_document(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 0, "b"), (2, 0, 0, "c")], "doc_id long, draft_no int, piece int, chunk string")
+    names = spark.createDataFrame([(1, "dir/one.txt"), (2, "one.md")], "doc_id long, name string")
+    path = f"file://{tmp_path}/out"
+    drafts.write_texts(chunks, names, path)
+    # A rerun of one document replaces its file and leaves the other.
+    drafts.write_texts(chunks.where("doc_id = 2").withColumn("chunk", F.lit("d")), names, path)
+    found = {p.parent.name: p.read_text() for p in (tmp_path / "out").rglob("part-*.txt")}
+    assert found == {"document=one-1": "a\n@@@\nb\n", "document=one-2": "d\n"}
+
+
+def test_written_results_leave_no_tables(spark, tmp_path):
+    import pathlib
+
+    from quirework.operators import storage
+    from quirework.plans.preprocess import write_results
+
+    storage.cut(spark.range(1), "stays")
+    before = set(pathlib.Path(storage._own[0]).iterdir()) if storage._own else set()
+    write_results(docs_of(spark, "# A\none\n| a |\n| --- |\n| b |"), f"file://{tmp_path}/out")
+    assert spark.read.parquet(f"file://{tmp_path}/out/chunks").count() == 2 and spark.read.parquet(f"file://{tmp_path}/out/results").first().status == "ready"
+    assert not storage._own or set(pathlib.Path(storage._own[0]).iterdir()) == before
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
