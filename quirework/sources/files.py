@@ -117,9 +117,11 @@ def _place(address: str) -> tuple[int, int]:
 
 
 def workbook_parts(raw: bytes) -> list[dict]:
-    """Sheets of an OOXML workbook: cells as they are stored (values, formulas or the group of a shared one, style), comments; merges; print titles; format codes by style."""
+    """Sheets of an OOXML or OpenDocument workbook: cells as they are stored (values, formulas or the group of a shared one, style), comments; merges; print titles; format codes by style."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = set(z.namelist())
+        if "content.xml" in names:
+            return open_parts(raw)
         read = lambda name: ElementTree.fromstring(z.read(name)) if name in names else None
         strings = read("xl/sharedStrings.xml")
         shared = [] if strings is None else ["".join(t.text or "" for t in si.iter(f"{_M}t")) for si in strings]
@@ -167,6 +169,85 @@ def workbook_parts(raw: bytes) -> list[dict]:
         return out
 
 
+_O = {k: "{urn:oasis:names:tc:opendocument:xmlns:" + v + ":1.0}" for k, v in (("table", "table"), ("office", "office"), ("text", "text"))}
+#: Cells that a sheet may hold once its runs are written out.
+MAX_SHEET_CELLS = 300_000
+
+
+def open_formula(formula: str) -> str:
+    """An OpenDocument formula as a workbook writes it: places without brackets, sheets before an exclamation mark."""
+
+    def place(part: str) -> str:
+        sheet, _, at = part.rpartition(".")
+        return f"{sheet.lstrip('$')}!{at}" if sheet else at
+
+    plain = re.sub(r"^[a-z]+:=?|^=", "", formula)
+    texts = re.split(r'("(?:[^"]|"")*")', plain)
+    for k in range(0, len(texts), 2):
+        texts[k] = re.sub(r"\[([^\]]*)\]", lambda m: ":".join(place(p) for p in m[1].split(":")), texts[k]).replace(";", ",")
+    return "".join(texts)
+
+
+def open_parts(raw: bytes) -> list[dict]:
+    """Sheets of an OpenDocument spreadsheet, as workbook_parts gives them; values as their cells show them.
+
+    Runs of repeated rows and cells are counted, and written out only where they hold something.
+    """
+    table, office, text = _O["table"], _O["office"], _O["text"]
+
+    def shown(p) -> str:
+        out = p.text or ""
+        for x in p:
+            if x.tag == f"{text}s":
+                out += " " * int(x.get(f"{text}c", 1))
+            elif x.tag in (f"{text}tab", f"{text}line-break"):
+                out += "\t" if x.tag.endswith("tab") else "\n"
+            else:
+                out += shown(x)
+            out += x.tail or ""
+        return out
+
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        root = ElementTree.fromstring(z.read("content.xml"))
+    out = []
+    for k, sheet in enumerate(root.iter(f"{table}table"), 1):
+        cells, merges, heads, row_no = [], [], [], 1
+
+        def rows_of(node, head: bool = False):
+            for x in node:
+                if x.tag == f"{table}table-row":
+                    yield x, head
+                elif x.tag in (f"{table}table-header-rows", f"{table}table-rows", f"{table}table-row-group"):
+                    yield from rows_of(x, head or x.tag.endswith("header-rows"))
+
+        for row, head in rows_of(sheet):
+            times, col, held = int(row.get(f"{table}number-rows-repeated", 1)), 1, []
+            for cell in row:
+                if cell.tag not in (f"{table}table-cell", f"{table}covered-table-cell"):
+                    continue
+                across = int(cell.get(f"{table}number-columns-repeated", 1))
+                paragraphs = cell.findall(f"{text}p")
+                formula, note = cell.get(f"{table}formula"), cell.find(f"{office}annotation") is not None
+                value = "\n".join(map(shown, paragraphs)) if paragraphs else None
+                wide, down = (int(cell.get(f"{table}number-{n}-spanned", 1)) for n in ("columns", "rows"))
+                if wide > 1 or down > 1:
+                    merges.append({"merge_no": len(merges), "top": row_no, "left": col, "bottom": row_no + down - 1, "right": col + wide - 1})
+                if value is not None or formula or note:
+                    one = {"value": value, "formula": open_formula(formula) if formula else None, "comment": note, "kind": "s", "style": None, "shared": None}
+                    if len(cells) + (len(held) + across) * times > MAX_SHEET_CELLS:
+                        raise ValueError("the sheet holds too many cells")
+                    held += [{"col": c, **one} for c in range(col, col + across)]
+                col += across
+            for r in range(row_no, row_no + times) if held else ():
+                cells += [{"row": r, **x} for x in held]
+            if head:
+                heads += [row_no, row_no + times - 1]
+            row_no += times
+        titles = [f"!${min(heads)}:${max(heads)}"] if heads else []
+        out.append({"sheet_no": k, "sheet": sheet.get(f"{table}name"), "cells": cells, "merges": merges, "titles": titles, "formats": [], "epoch": 1900})
+    return out
+
+
 def cell_formats(styles) -> list[dict]:
     """Format codes of a workbook's cell styles; those without one are General."""
     if styles is None:

@@ -122,3 +122,28 @@ def test_numbers_run_on_over_the_tables_of_a_sheet(spark):
     drafts, _ = workbook.workbook_drafts(spark.createDataFrame(rows, "doc_id long, name string, sheet_no int, sheet string, row_no int, cells array<string>"))
     assert [r.context[1:] for r in drafts.orderBy("draft_no").collect()] == [["[시트] s", "[표] 1"], ["[시트] s", "[표] 2"], ["[시트] s", "[표] 3"], ["[시트] t", "[표] 1"]]
     assert io and zipfile
+
+
+def ods(rows):
+    names = {"table": "table", "office": "office", "text": "text"}
+    spaces = " ".join(f'xmlns:{k}="urn:oasis:names:tc:opendocument:xmlns:{v}:1.0"' for k, v in names.items())
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("content.xml", f'<office:document-content {spaces}><office:body><office:spreadsheet><table:table table:name="S1">{rows}</table:table></office:spreadsheet></office:body></office:document-content>')
+    return out.getvalue()
+
+
+def test_open_document_sheets_equal_workbooks(spark):
+    """The same sheet in both formats gives the same chunks and issues; a million empty rows cost nothing."""
+    one = lambda t, more="": f"<table:table-cell {more}><text:p>{t}</text:p></table:table-cell>"
+    wide, under, blank = 'table:number-columns-spanned="2"', "<table:covered-table-cell/>", "<table:table-cell/>"
+    rows = f"<table:table-row>{one('제목')}</table:table-row><table:table-header-rows><table:table-row>{one('품목')}{one('단가', wide)}{under}</table:table-row><table:table-row>{blank}{one('하한')}{one('상한')}</table:table-row></table:table-header-rows>"
+    rows += f"<table:table-row>{one('펌프')}{one('1', 'table:number-columns-repeated=' + chr(34) + '2' + chr(34))}</table:table-row><table:table-row>{blank}</table:table-row><table:table-row>{one('항목: 밸브')}</table:table-row>"
+    rows += f"<table:table-row table:number-rows-repeated=\"2\">{one('볼')}{one('4', 'table:formula=' + chr(34) + 'of:=SUM([.A1:.B2];[$S1.C$3])' + chr(34))}{one('4')}</table:table-row><table:table-row table:number-rows-repeated=\"1048000\"><table:table-cell table:number-columns-repeated=\"16384\"/></table:table-row>"
+    grid = [["제목", "", ""], ["품목", "단가", ""], ["", "하한", "상한"], ["펌프", "1", "1"], ["", "", ""], ["항목: 밸브", "", ""], ["볼", "4", "4"], ["볼", "4", "4"]]
+    same = rows_of(grid).replace('<c r="B7" t="inlineStr">', '<c r="B7" t="inlineStr"><f>SUM(A1:B2,S1!C$3)</f>').replace('<c r="B8" t="inlineStr">', '<c r="B8" t="inlineStr"><f>SUM(A1:B2,S1!C$3)</f>')
+    found = []
+    for raw in (ods(rows), xlsx(same + '<mergeCells><mergeCell ref="B2:C2"/></mergeCells>')):
+        chunks, issues, _ = preprocess_workbooks(books(spark, raw), formulas=True)
+        found.append((sorted(r.chunk for r in chunks.collect()), sorted((r.code, r.n, tuple(r.locations)) for r in issues.collect())))
+    assert found[0] == found[1] and len(found[0][0]) == 2 and "(수식: =SUM(A1:B2,S1!C$3))" in "".join(found[0][0])
