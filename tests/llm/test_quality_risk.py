@@ -28,8 +28,8 @@ def test_risk_and_gradient(sample, prior):
     x, pos, mean, scale = sample
     rng = np.random.default_rng(3)
     signs = set()
-    for _ in range(12):
-        w = rng.normal(size=6) * rng.choice([0.2, 3.0])
+    # The last weights put the positives far up, where a high prior takes more than there is.
+    for w in [*(rng.normal(size=6) * rng.choice([0.2, 3.0]) for _ in range(12)), np.array([0.0, *[4.0] * 5])]:
         value, negative, gradient, of_negative, _ = q.risk_of(q.risk_sums(w, mean, scale)(x, pos), w, prior)
         assert value == pytest.approx(plain_risk(x, pos, mean, scale, w, prior), rel=1e-9)
         signs.add(negative > 0)
@@ -39,7 +39,51 @@ def test_risk_and_gradient(sample, prior):
         step = 1e-6
         numeric = [(plain_risk(x, pos, mean, scale, w + step * e, prior) - plain_risk(x, pos, mean, scale, w - step * e, prior)) / (2 * step) for e in np.eye(6)]
         assert np.allclose(numeric, expected, atol=1e-5)
-    assert True in signs
+    assert True in signs and (prior < 0.9 or False in signs)
+
+
+@pytest.fixture(scope="module")
+def table(spark, sample):
+    x, pos, _, _ = sample
+    return spark.createDataFrame([(bool(p), [float(v) for v in row]) for row, p in zip(x, pos, strict=True)], "is_pos boolean, x array<float>").repartition(3).cache()
+
+
+def test_prior_by_its_definition(table, sample):
+    """The least ratio, over score bins from the top that hold enough positives, of the corpus's share to the positives' with its slack."""
+    x, pos, mean, scale = sample
+    w = np.array([-0.5, 0.8, 0.6, 0.9, 0.7, 0.5])
+    z = np.concatenate([np.ones((len(x), 1)), np.clip((x - mean) / scale, -8, 8)], 1)
+    score = 1 / (1 + np.exp(-(z @ w)))
+    ratios = []
+    for least in range(q._BINS):
+        above = np.minimum((score * q._BINS).astype(int), q._BINS - 1) >= least
+        share = above[pos].mean()
+        if share >= q.PRIOR_RANGE:
+            ratios.append(above.mean() * (1 + np.sqrt(1 / (pos.sum() * share))) / share)
+    assert q._prior(table, mean, scale, w) == pytest.approx(min(ratios), rel=1e-6)
+    assert 0.3 < min(ratios) < 0.98
+
+
+def test_fit_finds_no_larger_risk_than_any_other_weights(table, sample):
+    x, pos, mean, scale = sample
+    found = q._fit(table, mean, scale, 0.3)
+    rng = np.random.default_rng(1)
+    others = [found + rng.normal(size=6) * s for s in (1e-3, 1e-2, 0.1, 1.0, 3.0) for _ in range(60)]
+    least = min(plain_risk(x, pos, mean, scale, w, 0.3) for w in [np.zeros(6), *others])
+    assert plain_risk(x, pos, mean, scale, found, 0.3) <= least + 2e-3
+
+
+def test_steps_hold_the_negative_part_up(table, sample):
+    """With a prior far above the truth the unclipped risk has no floor; the steps that raise its negative part keep it above where plain Newton steps go."""
+    x, pos, mean, scale = sample
+    found = q._fit(table, mean, scale, 0.9)
+    part = lambda w: q.risk_of(q.risk_sums(w, mean, scale)(x, pos), w, 0.9)[1]
+    w = np.zeros(6)
+    for _ in range(q.STEPS):
+        _, _, gradient, _, h = q.risk_of(q.risk_sums(w, mean, scale)(x, pos), w, 0.9)
+        w = w - np.linalg.solve(h + q.RIDGE * np.eye(6), gradient + q.RIDGE * w)
+    assert part(w) < part(found) and part(w) < 0
+    assert plain_risk(x, pos, mean, scale, found, 0.9) <= plain_risk(x, pos, mean, scale, np.zeros(6), 0.9)
 
 
 def test_sums_of_parts_are_the_sums_of_all(sample):
