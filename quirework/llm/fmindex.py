@@ -304,6 +304,7 @@ def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         size = 0
     if held:
         yield from flush(pa.Table.from_batches(held))
+    text.give_back()
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,12 +8,15 @@ makes byte positions safe to cut at.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 18
+#: Entries of the power tables that a worker keeps.
+KEPT_POWERS = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,13 +40,31 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, PIECE_BYTES + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.cumprod(table)
-    return _powers
+    """Powers of the hash's base and of its inverse. Those of one very long document aren't kept for the next."""
+    if len(_powers[0]) >= n:
+        return _powers
+    size = max(n, PIECE_BYTES + 1)
+    tables = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        table = np.full(size, base, np.uint64)
+        table[0] = 1
+        tables.append(np.cumprod(table))
+    if size <= KEPT_POWERS:
+        _powers[:] = tables
+    return tables
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits for its next task with what it holds, not with what it once held."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +93,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             part = batch.slice(at, to - at)
             yield part, *text_bytes(part.column(k))
             at = to
+    give_back()
 
 
 class Spans:
