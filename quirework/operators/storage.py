@@ -30,6 +30,14 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer files than the session runs tasks at once, dealt by key: a file with one row group is one task else.
+
+    A table of many files is left as it is, so no text is shuffled where the scan is parallel already.
+    """
+    return scan if len(scan.inputFiles()) >= scan.sparkSession.sparkContext.defaultParallelism else scan.repartition(key)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the folder in spark.checkpoint.dir and read it again: later steps plan and run on files.
 

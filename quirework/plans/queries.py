@@ -16,6 +16,7 @@ from quirework.operators import blocks as B
 from quirework.operators import drafts as D
 from quirework.operators import lines as L
 from quirework.operators import manuals, sections, tables, workbook
+from quirework.operators.storage import spread
 from quirework.plans import reports
 from quirework.plans.preprocess import preprocess, preprocess_results, raw_documents
 from quirework.sources import files, statutes
@@ -70,7 +71,7 @@ r AS (SELECT t.doc_id, t.lang, CAST(coalesce(n, 0) AS BIGINT) AS chunk_count, CA
 @query(_PIECES + "SELECT doc_id, 0 AS pos, 0 AS region, 0 AS place, 0 AS part, piece, head || body AS chunk FROM s, p WHERE body IS NOT NULL")
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of all documents as general reports."""
-    chunks, _, _ = preprocess(raw_documents(table(spark, folder, "documents")))
+    chunks, _, _ = preprocess(raw_documents(spread(table(spark, folder, "documents"), "doc_id")))
     return chunks.select("doc_id", F.col("draft_no.pos").alias("pos"), "draft_no.region", "draft_no.place", "draft_no.part", "piece", "chunk")
 
 
@@ -78,20 +79,20 @@ def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
 source_collisions, issues, status, status <> 'blocked' AS can_download FROM r""")
 def document_results(spark: SparkSession, folder: str) -> DataFrame:
     """Counters and status of all documents."""
-    return preprocess_results(raw_documents(table(spark, folder, "documents"))).withColumn("issues", F.to_json("issues"))
+    return preprocess_results(raw_documents(spread(table(spark, folder, "documents"), "doc_id"))).withColumn("issues", F.to_json("issues"))
 
 
 @query(_RESULTS + "SELECT lang, status, count(*) AS documents, CAST(sum(chunk_count) AS BIGINT) AS chunks FROM r GROUP BY ROLLUP (lang, status)")
 def status_report(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and chunks by language and status, with subtotals."""
     docs = table(spark, folder, "documents")
-    return reports.status_by(preprocess_results(raw_documents(docs)), docs, "lang")
+    return reports.status_by(preprocess_results(raw_documents(spread(docs, "doc_id"))), docs, "lang")
 
 
 @query(r"""SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5
 FROM (SELECT doc_id, rtrim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), ' ' || chr(9) || chr(10)) AS t FROM documents)""")
 def prepare_text(spark: SparkSession, folder: str) -> DataFrame:
-    docs = L.prepare(raw_documents(table(spark, folder, "documents")))
+    docs = L.prepare(raw_documents(spread(table(spark, folder, "documents"), "doc_id")))
     return docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
