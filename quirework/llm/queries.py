@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirework.operators.storage import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,6 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, dealt by id where they lie in fewer files than the session runs tasks at once."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -34,14 +41,14 @@ def tokenizer_path(name: str) -> str:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     from quirework.llm.token_store import token_digest
 
-    return token_digest(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_digest(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"))
 
 
 @query("op6_quality_rules")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     from quirework.llm import rules
 
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     trusted = table(spark, folder, "labels").where("quality = 1")
     return rules.judge(docs, rules.fit(docs, trusted))
 
@@ -50,7 +57,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     from quirework.llm.media import media_digest
 
-    return media_digest(table(spark, folder, "documents"))
+    return media_digest(documents(spark, folder))
 
 
 @query("op9_source_mixing")
@@ -79,7 +86,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def _dedup() -> None:
     from quirework.llm.fmindex import DEDUP_SQL, dedup_digest
 
-    query("op8_substring_dedup", DEDUP_SQL)(lambda spark, folder: dedup_digest(table(spark, folder, "documents")))
+    query("op8_substring_dedup", DEDUP_SQL)(lambda spark, folder: dedup_digest(documents(spark, folder)))
 
 
 _dedup()
@@ -88,7 +95,7 @@ _dedup()
 def _jaccard() -> None:
     from quirework.llm.jaccard import JACCARD_SQL, components
 
-    query("op4_jaccard_join", JACCARD_SQL)(lambda spark, folder: components(table(spark, folder, "documents"), n=4, num=85, den=100))
+    query("op4_jaccard_join", JACCARD_SQL)(lambda spark, folder: components(documents(spark, folder), n=4, num=85, den=100))
 
 
 _jaccard()
@@ -98,20 +105,20 @@ _jaccard()
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     from quirework.llm.pieces import sample_segmentations
 
-    return sample_segmentations(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return sample_segmentations(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
 
 
 @query("op3_quality_classifier")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     from quirework.llm.quality_model import classify
 
-    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return classify(documents(spark, folder), table(spark, folder, "labels"))
 
 
 def _middle() -> None:
     from quirework.llm.middle import MIDDLE_SQL, middle_digest
 
-    query("op13_fill_in_middle", MIDDLE_SQL)(lambda spark, folder: middle_digest(table(spark, folder, "documents")))
+    query("op13_fill_in_middle", MIDDLE_SQL)(lambda spark, folder: middle_digest(documents(spark, folder)))
 
 
 _middle()
@@ -128,4 +135,4 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     from quirework.llm.private import private_digest
 
-    return private_digest(table(spark, folder, "documents"))
+    return private_digest(documents(spark, folder))
