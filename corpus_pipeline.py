@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import fmindex, jaccard, mix, pieces, rules
-from quirework.llm.queries import tokenizer_path
+from quirework.llm.queries import documents, tokenizer_path
 from quirework.llm.scratch import release, written
 
 
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name, codec="zstd")
         release(spark)
