@@ -45,6 +45,11 @@ def merge_ranges(merges: DataFrame) -> DataFrame:
     return merges.withColumn("range", F.concat(address(c("top"), c("left")), F.lit(":"), address(c("bottom"), c("right"))))
 
 
+def _matched(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting: cells are estimated by the bytes of the file that they are exploded from, and would be sent whole."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 def _merge_lists(merges: DataFrame) -> DataFrame:
     one = F.struct("merge_no", "top", "left", "bottom", "right")
     return merges.groupBy(*SHEET).agg(F.array_sort(F.collect_list(one)).alias("merges"))
@@ -56,7 +61,7 @@ def used_ranges(cells: DataFrame, merges: DataFrame) -> DataFrame:
     held = cells.where("value is not null or formula is not null")
     box = held.groupBy(*SHEET).agg(F.min("row").alias("top"), F.min("col").alias("left"), F.max("row").alias("bottom"), F.max("col").alias("right"))
     none = F.array().cast("array<struct<merge_no:int,top:int,left:int,bottom:int,right:int>>")
-    rows = box.join(_merge_lists(merges), SHEET, "left").withColumn("merges", F.coalesce("merges", none))
+    rows = _matched(box, _merge_lists(merges), SHEET, "left").withColumn("merges", F.coalesce("merges", none))
     sides = ["top", "left", "bottom", "right"]
     start = F.struct(*[F.col(s).cast("int").alias(s) for s in sides])
 
@@ -70,13 +75,13 @@ def used_ranges(cells: DataFrame, merges: DataFrame) -> DataFrame:
 
 def displayed_rows(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """doc_id, sheet_no, row_no (from 0), cells: all rows of the used range, cells under a merge blank but for its first."""
-    inside = cells.where("value is not null").join(ranges, SHEET)
+    inside = _matched(cells.where("value is not null"), ranges, SHEET)
     c = F.col
     under = F.exists("merges", lambda m: c("row").between(m["top"], m["bottom"]) & c("col").between(m["left"], m["right"]) & ~((c("row") == m["top"]) & (c("col") == m["left"])))
     shown = inside.where(c("row").between(c("top"), c("bottom")) & ~under)
     filled = shown.groupBy(*SHEET, (c("row") - c("top")).cast("int").alias("row_no")).agg(F.map_from_entries(F.collect_list(F.struct((c("col") - c("left")).cast("int"), "value"))).alias("_v"))
     grid = ranges.select(*SHEET, (c("right") - c("left")).cast("int").alias("_w"), F.explode(F.sequence(F.lit(0), (c("bottom") - c("top")).cast("int"))).alias("row_no"))
-    rows = grid.join(filled, [*SHEET, "row_no"], "left")
+    rows = _matched(grid, filled, [*SHEET, "row_no"], "left")
     value = lambda i: F.coalesce(F.try_element_at(c("_v"), i), F.lit(""))
     return rows.select(*SHEET, "row_no", F.transform(F.sequence(F.lit(0), c("_w")), value).alias("cells"))
 
@@ -84,7 +89,7 @@ def displayed_rows(cells: DataFrame, ranges: DataFrame) -> DataFrame:
 def print_titles(names: DataFrame, sheets: DataFrame) -> DataFrame:
     """doc_id, sheet_no, first, last: repeated rows that the workbook itself names, for the sheet or for all."""
     n = names.where(F.col("name") == PRINT_TITLES).select("doc_id", F.col("sheet_no").alias("_s"), "ref", "name_no")
-    both = sheets.select(*SHEET).join(n, "doc_id").where(F.col("_s").isNull() | (F.col("_s") == F.col("sheet_no")))
+    both = _matched(sheets.select(*SHEET), n, ["doc_id"]).where(F.col("_s").isNull() | (F.col("_s") == F.col("sheet_no")))
     ref = both.groupBy(*SHEET).agg(F.min_by("ref", "name_no").alias("ref"))
     found = F.regexp_extract("ref", r"!\$(\d+):\$(\d+)(?:,|$)", 1), F.regexp_extract("ref", r"!\$(\d+):\$(\d+)(?:,|$)", 2)
     rows = ref.select(*SHEET, F.nullif(found[0], F.lit("")).cast("int").alias("first"), F.nullif(found[1], F.lit("")).cast("int").alias("last"))
@@ -121,10 +126,10 @@ def header_rows(ranges: DataFrame, rows: DataFrame, names: DataFrame, cells: Dat
     # Rows that a band may reach: the first ones, and as far down as a merge that begins there goes, and one more.
     reach = F.array_max(F.transform(F.filter("merges", lambda m: m["top"] - F.col("top") < HEADER_ROWS), lambda m: m["bottom"] - F.col("top") + 2))
     far = ranges.select(*SHEET, F.greatest(F.lit(HEADER_ROWS), F.coalesce(reach, F.lit(0))).alias("_far"))
-    early = rows.join(far, SHEET).where("row_no < _far").groupBy(*SHEET).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x["cells"]).alias("rows"))
+    early = _matched(rows, far, SHEET).where("row_no < _far").groupBy(*SHEET).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x["cells"]).alias("rows"))
     formula = cells.where("formula is not null").groupBy(*SHEET).agg(F.min("row").cast("int").alias("_f"))
     titles = print_titles(names, ranges).select(*SHEET, F.struct("first", "last").alias("_p"))
-    found = ranges.join(early, SHEET).join(formula, SHEET, "left").join(titles, SHEET, "left")
+    found = _matched(_matched(_matched(ranges, early, SHEET), formula, SHEET, "left"), titles, SHEET, "left")
     found = found.withColumn("_h", _header_of(F.col("rows"), F.col("top"), F.col("left"), F.col("merges")))
     found = found.withColumn("_r", F.coalesce("_p", "_h", F.when(F.col("_f").isNotNull(), F.struct(F.col("_f").alias("first"), F.col("_f").alias("last")))))
     return found.where("_r is not null").select(*SHEET, "_r.*", F.when(F.col("_p").isNotNull(), "print-titles").otherwise("detected").alias("source"))
@@ -140,7 +145,7 @@ def formula_cells(cells: DataFrame) -> DataFrame:
 def annotate_formulas(rows: DataFrame, ranges: DataFrame, cells: DataFrame) -> DataFrame:
     """rows with each formula after its displayed value, or alone where nothing is displayed."""
     text = F.when(F.startswith("formula", F.lit("=")), F.col("formula")).otherwise(F.concat(F.lit("="), "formula"))
-    at = cells.where("formula is not null and formula <> ''").join(ranges, SHEET)
+    at = _matched(cells.where("formula is not null and formula <> ''"), ranges, SHEET)
     at = at.groupBy(*SHEET, (F.col("row") - F.col("top")).cast("int").alias("row_no")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("col") - F.col("left")).cast("int"), text))).alias("_f"))
 
     def noted(value: Column, i: Column) -> Column:
@@ -148,7 +153,7 @@ def annotate_formulas(rows: DataFrame, ranges: DataFrame, cells: DataFrame) -> D
         note = F.concat(F.lit("(수식: "), f, F.lit(")"))
         return F.when(f.isNull(), value).when(S.is_blank(value), note).otherwise(F.concat(value, F.lit(" "), note))
 
-    joined = rows.join(at, [*SHEET, "row_no"], "left")
+    joined = _matched(rows, at, [*SHEET, "row_no"], "left")
     return joined.withColumn("cells", F.when(F.col("_f").isNull(), F.col("cells")).otherwise(F.transform("cells", noted))).drop("_f")
 
 
@@ -157,22 +162,22 @@ def comment_summary(cells: DataFrame, sheets: DataFrame) -> DataFrame:
 
     sheets: doc_id, sheet_no, sheet.
     """
-    marked = cells.where("comment").join(sheets, SHEET)
+    marked = _matched(cells.where("comment"), sheets, SHEET)
     place = Window.partitionBy(*SHEET).orderBy("row", "col")
     first = marked.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= COMMENT_PLACES)
     named = first.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("sheet_no", "row", "col", F.concat("sheet", F.lit("!"), address(F.col("row"), F.col("col"))).alias("at")))), 1, COMMENT_PLACES).alias("l"))
     counts = marked.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return counts.join(named, "doc_id").select("doc_id", "n", F.transform("l", lambda x: x["at"]).alias("locations"))
+    return _matched(counts, named, ["doc_id"]).select("doc_id", "n", F.transform("l", lambda x: x["at"]).alias("locations"))
 
 
 def workbook_issues(cells: DataFrame, merges: DataFrame, sheets: DataFrame) -> DataFrame:
     """doc_id, code, severity, n, locations: merged cells a sheet, formulas without a stored result, commented cells."""
     warning = F.lit("warning").alias("severity")
     at = lambda: F.concat("sheet", F.lit("!"), address(F.col("row"), F.col("col")))
-    ranges = merge_ranges(merges).join(sheets, SHEET)
+    ranges = _matched(merge_ranges(merges), sheets, SHEET)
     merged = ranges.groupBy(*SHEET).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("merge_no", F.concat("sheet", F.lit("!"), "range").alias("at")))).alias("l"))
     merged = merged.select("doc_id", F.lit("MERGED_CELLS").alias("code"), warning, "n", F.transform("l", lambda x: x["at"]).alias("locations"))
-    missing = cells.where("formula is not null and formula <> '' and value is null").join(sheets, SHEET)
+    missing = _matched(cells.where("formula is not null and formula <> '' and value is null"), sheets, SHEET)
     missing = missing.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("sheet_no", "row", "col", at().alias("at")))).alias("l"))
     missing = missing.select("doc_id", F.lit("FORMULA_RESULT_MISSING").alias("code"), warning, "n", F.transform("l", lambda x: x["at"]).alias("locations"))
     noted = comment_summary(cells, sheets).select("doc_id", F.lit("EXCEL_CELL_COMMENTS_UNSUPPORTED").alias("code"), warning, "n", "locations")
@@ -204,11 +209,11 @@ def layout_heads(ranges: DataFrame, rows: DataFrame, headers: DataFrame) -> Data
     column, merged ones read at their first cell.
     """
     c = F.col
-    span = ranges.join(headers, SHEET).select(*SHEET, "top", "left", "merges", "first", "last", "source")
+    span = _matched(ranges, headers, SHEET).select(*SHEET, "top", "left", "merges", "first", "last", "source")
     span = span.withColumn("_a", (c("first") - c("top")).cast("int")).withColumn("_z", (c("last") - c("top")).cast("int"))
-    above = rows.join(span.select(*SHEET, "_z"), SHEET).where("row_no <= _z")
+    above = _matched(rows, span.select(*SHEET, "_z"), SHEET).where("row_no <= _z")
     heads = above.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("h"))
-    heads = heads.join(span, SHEET).where("_a >= 0 and _z >= _a")
+    heads = _matched(heads, span, SHEET).where("_a >= 0 and _z >= _a")
     band = F.filter("h", lambda x: (x["row_no"] >= c("_a")) & (populated(x["cells"]) > 0))
     heads = heads.withColumn("_band", band).where(F.size("_band") > 0)
     within = F.filter("merges", lambda m: (m["top"] >= c("first")) & (m["bottom"] <= c("last")))
@@ -251,19 +256,19 @@ def layout_tables(ranges: DataFrame, rows: DataFrame, headers: DataFrame, heads:
     """
     c = F.col
     heads = (layout_heads(ranges, rows, headers) if heads is None else heads).select(*SHEET, "_z", "context", "header")
-    data = rows.join(heads.select(*SHEET, "_z"), SHEET).where("row_no > _z")
+    data = _matched(rows, heads.select(*SHEET, "_z"), SHEET).where("row_no > _z")
     upto = Window.partitionBy(*SHEET).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     data = data.withColumn("_item", item_label(c("cells"))).withColumn("_cut", (T.is_empty_row(c("cells")) | c("_item").isNotNull()))
     data = data.withColumn("item", F.last("_item", True).over(upto)).withColumn("_g", F.sum(c("_cut").cast("int")).over(upto)).where("not _cut")
     data = data.withColumn("section", F.dense_rank().over(Window.partitionBy(*SHEET).orderBy("_g")))
-    out = heads.join(data.select(*SHEET, "section", "item", "row_no", "cells"), SHEET, "left")
+    out = _matched(heads, data.select(*SHEET, "section", "item", "row_no", "cells"), SHEET, "left")
     return out.withColumn("section", F.coalesce("section", F.lit(1))).select(*SHEET, "section", "item", "context", "header", "row_no", "cells")
 
 
 def layout_drafts(tables: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drafts (doc_id, draft_no, context, body) and issues of layout tables; sheets: doc_id, sheet_no, name, sheet."""
     c = F.col
-    keyed = tables.join(sheets, SHEET).withColumn("table_no", F.struct("sheet_no", "section"))
+    keyed = _matched(tables, sheets, SHEET).withColumn("table_no", F.struct("sheet_no", "section"))
     lines = F.concat(F.array(F.concat(F.lit("[파일] "), "name"), F.concat(F.lit("[시트] "), "sheet")), F.transform("context", lambda x: F.concat(F.lit("[머리행] "), x)), F.array(F.coalesce(F.concat(F.lit("[항목] "), "item"), F.concat(F.lit("[표] "), c("section").cast("string")))))
     keyed = cut(keyed.withColumn("_lines", lines), "layout-rows")
     framed = keyed.groupBy("doc_id", "table_no").agg(F.first("_lines").alias("context"), F.first("header").alias("cells"))
@@ -277,7 +282,7 @@ def layout_drafts(tables: DataFrame, sheets: DataFrame) -> tuple[DataFrame, Data
 def layout_issues(heads: DataFrame, sheets: DataFrame) -> DataFrame:
     """doc_id, code, severity, n, locations of layout heads: headers of several rows or with merges, and columns without a title."""
     c = F.col
-    named = heads.join(sheets.select(*SHEET, "sheet"), SHEET)
+    named = _matched(heads, sheets.select(*SHEET, "sheet"), SHEET)
     corner = lambda row, col: F.concat(column_label(col), row.cast("string"))
     areas = F.transform("header_merges", lambda m: F.concat("sheet", F.lit("!"), corner(m["top"], m["left"]), F.lit(":"), corner(m["bottom"], m["right"])))
     columns = F.transform("bare", lambda k: F.concat("sheet", F.lit("!"), column_label(k), F.lit(":"), column_label(k)))
