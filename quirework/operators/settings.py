@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,9 +27,29 @@ def rejected_updates(blocks: DataFrame, updates: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).where("reason is not null").select("doc_id", "block_id", "reason")
 
 
+def _level(span: Column) -> Column:
+    """The least power of two above a span: areas of that side meet two of its blocks at most."""
+    return F.when(span > 0, F.length(F.bin(span))).otherwise(0).cast("int")
+
+
 def containing_merge(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Each header cell (doc_id, row, col) with the first merge (merge_no, top, left, bottom, right) of its document that holds it."""
-    c, m = cells.alias("c"), merges.alias("m")
-    inside = (F.col("c.doc_id") == F.col("m.doc_id")) & F.col("c.row").between(F.col("m.top"), F.col("m.bottom")) & F.col("c.col").between(F.col("m.left"), F.col("m.right"))
-    found = c.join(m, inside, "left").groupBy("c.doc_id", "c.row", "c.col").agg(F.min(F.struct("m.merge_no", "m.top", "m.left")).alias("anchor"))
+    """Each header cell (doc_id, row, col) with the first merge (merge_no, top, left, bottom, right) of its document that holds it.
+
+    A merge lies in up to four blocks of its own height and width, each rounded up to a power of two; a cell asks the one
+    block that holds it of each such size in its document.
+    """
+    c = F.col
+    sides = [c(s).cast("long").alias(s) for s in ("top", "left", "bottom", "right")]
+    areas = merges.select("doc_id", F.struct("merge_no", "top", "left").alias("anchor"), *sides).where("bottom >= top and right >= left")
+    areas = areas.withColumn("_size", F.struct(_level(c("bottom") - c("top")).alias("h"), _level(c("right") - c("left")).alias("w")))
+    sizes = areas.groupBy("doc_id").agg(F.collect_set("_size").alias("_sizes"))
+    for block, low, high, level in (("_y", "top", "bottom", "h"), ("_x", "left", "right", "w")):
+        ends = F.expr(f"array_distinct(array(shiftright({low}, _size.{level}), shiftright({high}, _size.{level})))")
+        areas = areas.withColumn(block, F.explode(ends))
+    own = cells.select("doc_id", "row", "col").distinct()
+    asked = own.join(sizes.hint("merge"), "doc_id").select("doc_id", "row", "col", F.explode("_sizes").alias("_size"))
+    asked = asked.withColumns({"_y": F.expr("shiftright(cast(row as long), _size.h)"), "_x": F.expr("shiftright(cast(col as long), _size.w)")})
+    held = asked.join(areas.hint("merge"), ["doc_id", "_size", "_y", "_x"]).where("row between top and bottom and col between left and right")
+    first = held.groupBy("doc_id", "row", "col").agg(F.min("anchor").alias("anchor"))
+    found = own.join(first.hint("merge"), ["doc_id", "row", "col"], "left")
     return found.select("doc_id", "row", "col", F.coalesce("anchor.top", "row").alias("anchor_row"), F.coalesce("anchor.left", "col").alias("anchor_col"))

@@ -1,5 +1,6 @@
 """Plans and steps whose memory or rows must grow no faster than their input."""
 
+from quirework.operators import settings
 from quirework.plans import structured_queries
 
 
@@ -11,3 +12,19 @@ def test_cells_are_not_sent_whole(spark):
     """Cells are exploded from a small file: a join that sends them to the driver grows with the table."""
     got = structured_queries.densest_header(spark, "/root/testdata/sf0.001")
     assert "BroadcastHashJoin" not in _plan(got)
+
+
+def test_merges_meet_cells_near_them_only(spark):
+    """Each column of a sheet has its own small merge; tall, wide and overlapping ones hold cells as plain loops say."""
+    cells = [(d, r, c) for d in (1, 2) for r in range(1, 41) for c in range(1, 8)]
+    merges = [(1, k, k, 1, k + 1, 2) for k in range(1, 40, 3)] + [(1, 90, 5, 1, 37, 1), (1, 0, 9, 2, 9, 7), (1, 91, 4, 4, 3, 9), (3, 1, 1, 1, 40, 7)]
+    want = set()
+    for d, r, c in cells:
+        at = min((m[1:4] for m in merges if m[0] == d and m[2] <= r <= m[4] and m[3] <= c <= m[5]), default=(0, r, c))
+        want.add((d, r, c, at[1], at[2]))
+    shape = "doc_id int, merge_no int, top int, left int, bottom int, right int"
+    frames = spark.createDataFrame(cells, "doc_id int, row int, col int"), spark.createDataFrame(merges, shape)
+    assert set(map(tuple, settings.containing_merge(*frames).collect())) == want
+    rows = spark.range(200_000).selectExpr("1 as doc_id", "cast(id as int) as row", "1 as col")
+    many = rows.where("row % 4 = 0").selectExpr("doc_id", "row as merge_no", "row as top", "1 as left", "row + 2 as bottom", "3 as right")
+    assert settings.containing_merge(rows, many).where("row <> anchor_row").count() == 100_000
