@@ -258,7 +258,7 @@ def shared_formulas(spark: SparkSession, folder: str) -> DataFrame:
     place = F.explode(F.array(*[F.struct(r.cast("int").alias("row"), k.cast("int").alias("col"), F.lit(f).alias("formula")) for r, k, f in ((F.lit(10), F.lit(10), first), (F.col("l_linenumber") + 10, F.lit(10), ""), (F.lit(10), F.col("l_linenumber") + 10, ""))])).alias("x")
     keyed = lines.withColumn("_id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
     cells = keyed.select(F.col("_id").alias("doc_id"), F.lit(1).alias("sheet_no"), place).select("doc_id", "sheet_no", "x.*", F.lit(1).alias("shared"))
-    rows = stored.share_formulas(cells).where("row > 10 or col > 10").groupBy("doc_id").agg(F.max(F.when(F.col("row") > 10, F.col("formula"))).alias("down"), F.max(F.when(F.col("col") > 10, F.col("formula"))).alias("across"))
+    rows = stored.share_formulas(cells).where("row > 10 or col > 10").groupBy(F.xxhash64("doc_id").alias("_hash"), "doc_id").agg(F.max(F.when(F.col("row") > 10, F.col("formula"))).alias("down"), F.max(F.when(F.col("col") > 10, F.col("formula"))).alias("across"))
     return rows.select("doc_id.l_orderkey", "doc_id.l_linenumber", "doc_id.l_partkey", "doc_id.l_suppkey", "down", "across")
 
 

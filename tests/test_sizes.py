@@ -1,6 +1,6 @@
 """Plans and steps whose memory or rows must grow no faster than their input."""
 
-from quirework.operators import settings
+from quirework.operators import settings, stored
 from quirework.plans import structured_queries
 
 
@@ -28,3 +28,13 @@ def test_merges_meet_cells_near_them_only(spark):
     rows = spark.range(200_000).selectExpr("1 as doc_id", "cast(id as int) as row", "1 as col")
     many = rows.where("row % 4 = 0").selectExpr("doc_id", "row as merge_no", "row as top", "1 as left", "row + 2 as bottom", "3 as right")
     assert settings.containing_merge(rows, many).where("row <> anchor_row").count() == 100_000
+
+
+def test_only_cells_without_a_text_meet_their_group(spark):
+    """One sort of the cells, by a number first, and a formula that is read once for all its cells."""
+    stored_rows = spark.createDataFrame([(1, 1, r, c, "=A1+$B2" if (r, c) == (1, 1) else "", 5) for r in range(1, 4) for c in (1, 2)] + [(1, 1, 9, 9, "", 6), (1, 1, 9, 8, "=X", None)], "doc_id int, sheet_no int, row int, col int, formula string, shared int")
+    got = stored.share_formulas(stored_rows)
+    plan = _plan(got)
+    assert "ArrowEvalPython" in plan and plan.count("regexp_extract") == 0 and "BroadcastHashJoin" not in plan
+    found = {(r.row, r.col): r.formula for r in got.collect()}
+    assert found == {(1, 1): "=A1+$B2", (1, 2): "=B1+$B2", (2, 1): "=A2+$B3", (2, 2): "=B2+$B3", (3, 1): "=A3+$B4", (3, 2): "=B3+$B4", (9, 9): "", (9, 8): "=X"}
