@@ -122,8 +122,12 @@ def _valid_block(v: Column) -> Column:
     return F.coalesce(ok & (_absent(v, "$.merges") | (_is(v, "$.merges", _LIST) & F.forall(_list(v, "$.merges"), _valid_merge))), F.lit(False))
 
 
-def _measures(v: Column) -> Column:
-    """struct<text, items, over>: UTF-16 units of all strings, members of all lists, and whether a list alone is too long."""
+def _measured(rows: DataFrame) -> DataFrame:
+    """rows (_v) with _m, struct<text, items, over>: UTF-16 units of all strings, members of all lists, and whether a list alone is too long.
+
+    Blocks are measured once, into a column; an expression used several times would be read from the record each time.
+    """
+    v = F.col("_v")
     plus = lambda a, b: a + b
     long = lambda x: F.coalesce(S.u16_length(x), F.lit(0)).cast("bigint")
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), plus)
@@ -143,16 +147,18 @@ def _measures(v: Column) -> Column:
         return F.struct(text.alias("t"), (F.size(path) + F.size(rows) + cells + F.size(merges) + F.size(formulas)).cast("bigint").alias("i"), over.alias("o"))
 
     blocks, warnings = _list(v, "$.blocks"), _list(v, "$.warnings")
-    parts = F.concat(F.transform(warnings, warning), F.transform(blocks, block))
+    rows = rows.withColumn("_p", F.concat(F.transform(warnings, warning), F.transform(blocks, block)))
+    parts = F.col("_p")
     text = total(F.transform(parts, lambda p: p["t"])) + long(_text(v, "$.fileName")) + long(_text(v, "$.sourceFormat"))
     items = total(F.transform(parts, lambda p: p["i"])) + F.size(blocks) + F.size(warnings)
-    over = (F.size(blocks) > MAX_BLOCKS) | (F.size(warnings) > MAX_WARNINGS) | F.exists(parts, lambda p: p["o"]) | (text > MAX_TEXT) | (items > MAX_ITEMS)
-    return F.struct(text.alias("text"), items.cast("bigint").alias("items"), over.alias("over"))
+    rows = rows.withColumns({"_t": text, "_i": items.cast("bigint")})
+    over = (F.size(blocks) > MAX_BLOCKS) | (F.size(warnings) > MAX_WARNINGS) | F.exists(parts, lambda p: p["o"]) | (F.col("_t") > MAX_TEXT) | (F.col("_i") > MAX_ITEMS)
+    return rows.withColumn("_m", F.struct(F.col("_t").alias("text"), F.col("_i").alias("items"), over.alias("over"))).drop("_p", "_t", "_i")
 
 
 def document_sums(records: DataFrame, json: str = "json") -> DataFrame:
     """doc_id, n_text, n_items, over_budget of records (doc_id, json)."""
-    rows = records.select("doc_id", F.try_parse_json(json).alias("_v")).withColumn("_m", _measures(F.col("_v")))
+    rows = _measured(records.select("doc_id", F.try_parse_json(json).alias("_v")))
     return rows.select("doc_id", F.col("_m.text").alias("n_text"), F.col("_m.items").alias("n_items"), F.col("_m.over").alias("over_budget"))
 
 
@@ -174,14 +180,15 @@ def validate(records: DataFrame, json: str = "json") -> DataFrame:
     ids = F.transform(blocks, lambda b: _text(b, "$.id"))
     error = (
         F.when(~F.coalesce(shape, F.lit(False)), "INVALID_DOCUMENT")
-        .when(_measures(v)["over"], "INPUT_TOO_LARGE")
+        .when(F.col("_m.over"), "INPUT_TOO_LARGE")
         .when(~F.forall(_list(v, "$.warnings"), _valid_issue), "INVALID_DOCUMENT")
         .when(~F.forall(blocks, _valid_block), "INVALID_BLOCK")
         .when(F.size(F.array_distinct(ids)) != F.size(ids), "INVALID_BLOCK")
         .when(~F.exists(blocks, _has_content), "EMPTY_INPUT")
     )
-    rows = records.select("doc_id", F.try_parse_json(json).alias("_v"))
-    return rows.select("doc_id", error.alias("error"), F.when(error.isNull(), S.safe_file_name(_text(v, "$.fileName"))).alias("file_name"))
+    rows = _measured(records.select("doc_id", F.try_parse_json(json).alias("_v")))
+    judged = rows.select("doc_id", error.alias("error"), _text(v, "$.fileName").alias("_n"))
+    return judged.select("doc_id", "error", F.when(F.col("error").isNull(), S.safe_file_name(F.col("_n"))).alias("file_name"))
 
 
 BLOCK = "block_id string, `order` int, kind string, depth int, ordered boolean, text string, rows array<array<string>>"

@@ -30,12 +30,16 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
+def spread(scan: DataFrame, key: str, rounds: int = 0) -> DataFrame:
     """A scan of fewer files than the session runs tasks at once, dealt by key: a file with one row group is one task else.
 
-    A table of many files is left as it is, so no text is shuffled where the scan is parallel already.
+    A table of many files is left as it is, so no text is shuffled where the scan is parallel already. Small rows that take
+    long are dealt into so many tasks a core, which aren't joined again for their few bytes.
     """
-    return scan if len(scan.inputFiles()) >= scan.sparkSession.sparkContext.defaultParallelism else scan.repartition(key)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if len(scan.inputFiles()) >= cores:
+        return scan
+    return scan.repartition(rounds * cores, key) if rounds else scan.repartition(key)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quirework.functions import strings as S
 from quirework.operators import cells as C
 from quirework.operators import claims, contracts, delegation, documents, drafts, sections, spans, stored
+from quirework.operators.storage import spread
 from quirework.plans.queries import table, text_of
 from quirework.plans import workbooks
 from quirework.plans.preprocess import preprocess, raw_documents
@@ -216,7 +217,7 @@ def workbook_texts(spark: SparkSession, folder: str) -> DataFrame:
     flat = F.concat(F.lit("name,note\n"), "c_name", F.lit(',"a,b"\nlast'))
     two = F.concat(F.lit("| k | v |" + rule + "| "), "c_name", F.lit(" | x |\n\n| q | r |" + rule + "| z | "), "c_name", F.lit(" |"))
     text = F.when(k == 0, mixed).when(k == 1, flat).otherwise(two)
-    docs = raw_documents(table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"), F.lit("b.xlsx").alias("name")), name="name")
+    docs = raw_documents(spread(table(spark, folder, "customer"), "c_custkey", 4).select(F.col("c_custkey").alias("doc_id"), text.alias("text"), F.lit("b.xlsx").alias("name")), name="name")
     return preprocess(docs, "excel")[0].select("doc_id", "chunk")
 
 
@@ -466,7 +467,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
     parts = {"version": F.when(kind == 4, 2).otherwise(1), "fileName": F.concat(F.lit("dir/"), "c_name", F.lit(".txt")), "sourceFormat": F.lit("txt"), "extractionMethod": F.lit("local-text")}
     json = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), F.when(F.lit(k == "version"), v.cast("string")).otherwise(F.concat(F.lit('"'), v.cast("string"), F.lit('"')))) for k, v in parts.items()]), F.lit(',"blocks":['), F.concat_ws(",", F.to_json(block), F.to_json(head), F.when(kind != 2, F.to_json(wide))), F.lit('],"warnings":['), F.to_json(warning), F.lit("]}"))
     json = F.when(kind == 7, F.concat(F.lit('{"version":1,"blocks":"'), "c_name", F.lit('"}'))).otherwise(json)
-    return table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), json.alias("json"))
+    return spread(table(spark, folder, "customer"), "c_custkey", 4).select(F.col("c_custkey").alias("doc_id"), json.alias("json"))
 
 
 @query("""SELECT c_custkey AS doc_id, CASE c_custkey % 8 WHEN 1 THEN 'INVALID_BLOCK' WHEN 2 THEN 'EMPTY_INPUT' WHEN 3 THEN 'INVALID_BLOCK' WHEN 4 THEN 'INVALID_DOCUMENT' WHEN 5 THEN 'INPUT_TOO_LARGE' WHEN 6 THEN 'INVALID_DOCUMENT' WHEN 7 THEN 'INVALID_DOCUMENT' END AS error,

@@ -38,3 +38,9 @@ def test_only_cells_without_a_text_meet_their_group(spark):
     assert "ArrowEvalPython" in plan and plan.count("regexp_extract") == 0 and "BroadcastHashJoin" not in plan
     found = {(r.row, r.col): r.formula for r in got.collect()}
     assert found == {(1, 1): "=A1+$B2", (1, 2): "=B1+$B2", (2, 1): "=A2+$B3", (2, 2): "=B2+$B3", (3, 1): "=A3+$B4", (3, 2): "=B3+$B4", (9, 9): "", (9, 8): "=X"}
+
+
+def test_small_rows_that_take_long_are_dealt(spark):
+    """A small file is one task else, and its few bytes would be joined into one again."""
+    for f in (structured_queries.record_faults, structured_queries.record_sums):
+        assert f(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 16
