@@ -15,7 +15,7 @@ from quirework.operators import claims as C
 from quirework.operators import lines as L
 from quirework.operators import tables as T
 from quirework.operators.split import greedy_groups, split_text
-from quirework.operators.storage import cut
+from quirework.operators.storage import cut, parts
 
 # The manual's title and its categories.
 TITLE = "[위임전결규정 매뉴얼]"
@@ -53,6 +53,9 @@ def delegation_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     """Drafts and issues of the documents that count, and their doc_ids."""
     c = F.col
     lines = cut(delegation_lines(docs), "delegation-lines")
+    # Each step below is dealt by a count that grows with the lines, whatever few bytes they take.
+    n = parts(lines)
+    lines = lines.repartition(n, "doc_id")
     names = F.max(F.when(c("_letter").isNotNull(), S.trim(c("line")))).over(Window.partitionBy("doc_id", "category"))
     marks = lines.where("_letter is not null").select("doc_id", c("category").alias("_group"), F.concat(F.lit(TITLE + "\n"), S.trim(c("line"))).alias("prefix"), "pos")
     lines = lines.withColumn("_name", names).where("_letter is null and pos <> _title")
@@ -77,17 +80,17 @@ def delegation_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     held = C.split_sources(long.where("size(sources) > 0"), ["doc_id", "pos"])
     long = long.select(*keys, "pos", F.posexplode("parts").alias("part", "body")).join(held.withColumnRenamed("piece_no", "part"), ["doc_id", "pos", "part"], "left")
     text = short.unionByName(long.select(*keys, *place, "part", "body", F.coalesce("sources", C.no_sources()).alias("sources")))
-    rows = T.markdown_rows(lines.where("table_no is not null"))
+    rows = T.markdown_rows(lines.where("table_no is not null")).repartition(n, *T.TABLE)
     owners = lines.where("pos = table_no").select("table_no", *keys)
     lengths = owners.select("doc_id", "table_no", (S.u16_length(c("prefix")) + 1).alias("context_length"))
     packed = cut(T.table_drafts(rows, lengths), "delegation-tables")
     issues = T.table_issues(rows).select("doc_id", "code", F.lit("warning").alias("severity"), "n")
     issues = issues.unionByName(packed.where("blocked").select("doc_id", F.lit("TABLE_FRAMING_EXCEEDS_LIMIT").alias("code"), F.lit("error").alias("severity"), F.lit(1).cast("long").alias("n")))
-    tables = packed.where("not blocked").join(owners, ["doc_id", "table_no"]).select(*keys, c("table_no").cast("int").alias("pos"), *[c(k).cast("int").alias(k) for k in ("region", "place", "part")], "body", T.line_numbers(c("table_no"), c("row_nos")).alias("sources"))
+    tables = packed.where("not blocked").repartition(n, *T.TABLE).join(owners, ["doc_id", "table_no"]).select(*keys, c("table_no").cast("int").alias("pos"), *[c(k).cast("int").alias(k) for k in ("region", "place", "part")], "body", T.line_numbers(c("table_no"), c("row_nos")).alias("sources"))
     # A category without content is its title alone.
     heads = _bare_categories(marks, lines).select("doc_id", "_group", F.lit("").alias("prefix"), c("pos").cast("int").alias("pos"), zero.alias("region"), zero.alias("place"), zero.alias("part"), c("prefix").alias("body"), C.no_sources().alias("sources"))
     pieces = text.where(F.when(c("_group") == 0, ~S.is_blank(c("body"))).otherwise(c("body") != "")).unionByName(tables)
-    drafts = _joined(pieces).unionByName(heads)
+    drafts = _joined(pieces, n).unionByName(heads)
     context = F.when(c("prefix") == "", F.array().cast("array<string>")).otherwise(F.array("prefix"))
     drafts = cut(drafts.select("doc_id", F.struct("pos", "region", "place", "part").alias("draft_no"), context.alias("context"), "body", "sources"), "delegation-drafts")
     blocked = packed.where("blocked").select("doc_id", "table_no").distinct()
@@ -102,11 +105,11 @@ def _bare_categories(marks: DataFrame, lines: DataFrame) -> DataFrame:
     return marks.join(filled.union(several).distinct(), ["doc_id", "_group"], "left_anti")
 
 
-def _joined(pieces: DataFrame) -> DataFrame:
+def _joined(pieces: DataFrame, n: int) -> DataFrame:
     """Pieces of a category joined by line ends as long as they fit one chunk under its title; others stay as they are."""
     c = F.col
     order = F.struct("pos", "region", "place", "part")
-    own = pieces.where("_group > 0").groupBy("doc_id", "_group", "prefix").agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), S.u16_length(c("body")).alias("n"), c("body").alias("t"), "sources"))).alias("r"))
+    own = pieces.where("_group > 0").repartition(n, "doc_id", "_group").groupBy("doc_id", "_group", "prefix").agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), S.u16_length(c("body")).alias("n"), c("body").alias("t"), "sources"))).alias("r"))
     own = own.withColumn("g", greedy_groups(F.transform("r", lambda x: (x["n"] + 1).cast("int")), (F.lit(S.CHUNK_LIMIT) - S.u16_length(c("prefix"))).cast("int")))
     own = own.select("doc_id", "_group", "prefix", F.explode(F.arrays_zip("r", "g")).alias("x"))
     own = own.groupBy("doc_id", "_group", "prefix", c("x.g").alias("g")).agg(F.array_sort(F.collect_list("x.r")).alias("r"))

@@ -42,6 +42,15 @@ def spread(scan: DataFrame, key: str, rounds: int = 0) -> DataFrame:
     return scan.repartition(rounds * cores, key) if rounds else scan.repartition(key)
 
 
+def parts(rows: DataFrame, each: int = 200_000) -> int:
+    """In how many partitions rows of a stored table are dealt, so many rows to each; Parquet counts them in its footers.
+
+    Spark joins shuffled partitions by their compressed bytes, and rows that compress well make a task as large as its
+    share of the table. A count that is given isn't joined, so a task's memory stays as tables grow.
+    """
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the folder in spark.checkpoint.dir and read it again: later steps plan and run on files.
 

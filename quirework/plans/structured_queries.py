@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirework.functions import strings as S
 from quirework.operators import cells as C
 from quirework.operators import claims, contracts, delegation, documents, drafts, sections, spans, stored
-from quirework.operators.storage import spread
+from quirework.operators.storage import parts, spread
 from quirework.plans.queries import table, text_of
 from quirework.plans import workbooks
 from quirework.plans.preprocess import preprocess, raw_documents
@@ -350,11 +350,13 @@ def delegation_chunks(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     orders = table(spark, folder, "orders")
+    # An order is five lines.
+    n = parts(orders, 40_000)
     k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    rows = orders.select("o_custkey", F.col("o_orderkey").cast("string").alias("key"), k.alias("i"))
+    rows = orders.repartition(n, "o_custkey").select("o_custkey", F.col("o_orderkey").cast("string").alias("key"), k.alias("i"))
     rows = rows.select((F.col("o_custkey") * 1000 + F.floor(F.col("i") / 9)).cast("long").alias("doc_id"), "key", (F.col("i") % 9).alias("k"))
     line = F.concat(F.char(65 + F.col("k")), F.lit(". order "), "key", F.lit("\nabout "), "key", F.lit("\n| task | who |\n| --- | --- |\n| t | "), F.col("k").cast("string"), F.lit(" |"))
-    text = text_of(rows, line)
+    text = text_of(rows.repartition(n, "doc_id"), line)
     docs = raw_documents(text.select("doc_id", F.concat(F.lit("before\n" + delegation.TITLE + "\nlegend\n"), "text").alias("text")))
     found, _, _ = delegation.delegation_drafts(docs)
     lines = F.concat(F.array_join("context", "\n"), F.when(F.size("context") > 0, "\n").otherwise(""), "body")

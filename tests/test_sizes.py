@@ -1,6 +1,7 @@
 """Plans and steps whose memory or rows must grow no faster than their input."""
 
-from quirework.operators import settings, stored
+from quirework.operators import delegation, settings, stored
+from quirework.operators.storage import parts
 from quirework.plans import structured_queries
 
 
@@ -44,3 +45,22 @@ def test_small_rows_that_take_long_are_dealt(spark):
     """A small file is one task else, and its few bytes would be joined into one again."""
     for f in (structured_queries.record_faults, structured_queries.record_sums):
         assert f(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 16
+
+
+def test_parts_grow_with_rows(spark):
+    assert [parts(spark.range(n)) for n in (0, 800_000, 800_001, 2_000_000)] == [4, 4, 5, 10]
+
+
+def test_delegation_is_dealt_by_its_lines(spark, monkeypatch):
+    """Lines compress to few bytes, by which Spark would join them into few tasks."""
+    seen = []
+
+    def some(rows, *each):
+        seen.append(rows.count())
+        return 7
+
+    for module in (structured_queries, delegation):
+        monkeypatch.setattr(module, "parts", some)
+    got = structured_queries.delegation_chunks(spark, "/root/testdata/sf0.001")
+    orders, lines = seen
+    assert orders == 1500 and lines > 5 * orders and got.count() > orders
