@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 # The largest grid.
 MAX_ROWS, MAX_COLUMNS, MAX_CELLS = 5_000, 512, 100_000
 
-PLACED = "array<struct<row:int,col:int,bottom:int,right:int,text:string>>"
-
 
 def place(rows: list[list[tuple[str, int, int]]]) -> list[tuple[int, int, int, int, str]] | None:
     """row, col, bottom, right, text of each cell, from 0; None if the grid would be too large.
@@ -45,24 +43,34 @@ def place(rows: list[list[tuple[str, int, int]]]) -> list[tuple[int, int, int, i
     return out if height <= MAX_ROWS else None
 
 
-_CELL = pa.struct([*((n, pa.int32()) for n in ("row", "col", "bottom", "right")), ("text", pa.string())])
+_NAMES = ("row", "col", "bottom", "right")
+_PLACE = pa.list_(pa.struct([(n, pa.int32()) for n in _NAMES]))
 
 
 def _place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, the cells' spans, replaced by their places: tables of one shape in a batch are placed once."""
     for batch in batches:
+        shapes = batch.column(batch.num_columns - 1).dictionary_encode()
         out = []
-        for rows in batch.column(batch.num_columns - 1).to_pylist():
-            cells = place([[(c["text"], c["rowspan"], c["colspan"]) for c in row or []] for row in rows or []])
-            out.append(None if cells is None else [dict(zip(("row", "col", "bottom", "right", "text"), c, strict=True)) for c in cells])
-        columns = [*batch.columns[:-1], pa.array(out, pa.list_(_CELL))]
-        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "placed"])
+        for shape in shapes.dictionary.to_pylist():
+            rows = [[("", *map(int, cell.split("x"))) for cell in row.split()] for row in shape.split("/")[:-1]]
+            places = place(rows)
+            out.append(None if places is None else [dict(zip(_NAMES, at[:4], strict=True)) for at in places])
+        columns = [*batch.columns[:-1], pa.array(out, _PLACE).take(shapes.indices)]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "_places"])
 
 
 def placed_cells(tables: DataFrame) -> DataFrame:
     """doc_id, table_no, n_rows, placed of span tables; placed is null where the grid would be too large."""
-    rows = tables.select("doc_id", "table_no", F.size("rows").alias("n_rows"), "rows")
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:3]]
-    return rows.mapInArrow(_place_all, ", ".join([*kinds, f"placed {PLACED}"]))
+    # A table's shape, such as "2x1 1x2 /1x1 /", decides where its cells stand; their texts needn't be read for it.
+    filled = F.transform(F.coalesce("rows", F.array().cast(tables.schema["rows"].dataType)), lambda r: F.coalesce(r, F.array().cast(tables.schema["rows"].dataType.elementType)))
+    texts = F.transform(F.flatten(filled), lambda c: c["text"])
+    shape = F.array_join(F.transform(filled, lambda r: F.concat(F.array_join(F.transform(r, lambda c: F.concat(c["rowspan"].cast("string"), F.lit("x"), c["colspan"].cast("string"))), " ", "0x0"), F.lit("/"))), "")
+    rows = tables.select("doc_id", "table_no", F.size("rows").alias("n_rows"), texts.alias("_texts"), shape.alias("_shape"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:4]]
+    found = rows.mapInArrow(_place_all, ", ".join([*kinds, f"_places array<struct<{','.join(f'{n}:int' for n in _NAMES)}>>"]))
+    placed = F.transform("_places", lambda c, i: F.struct(*[c[n].alias(n) for n in _NAMES], F.get("_texts", i).alias("text")))
+    return found.select("doc_id", "table_no", "n_rows", placed.alias("placed"))
 
 
 def grid_rows(placed: DataFrame) -> DataFrame:

@@ -288,11 +288,13 @@ def span_grids(spark: SparkSession, folder: str) -> DataFrame:
     cell = lambda text, down=1, across=1: F.struct(text.alias("text"), F.lit(down).alias("rowspan"), F.lit(across).alias("colspan"))
     key = F.concat(F.lit("k"), F.col("o_orderkey").cast("string"))
     rows = F.array(F.array(cell(key, 2), cell(F.col("o_orderstatus"), 1, 2), cell(F.lit("x"))), F.array(cell(F.lit("a")), cell(F.lit("b")), cell(F.lit("x2"))), F.array(cell(F.lit("c"), 1, 2), cell(F.lit("d"), 1, 2)))
-    tables = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("table_no"), rows.alias("rows"))
-    placed = spans.placed_cells(tables)
+    orders = table(spark, folder, "orders")
+    tables = orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("table_no"), rows.alias("rows"))
+    # Grids and merges of a document are made where its cells lie.
+    placed = spans.placed_cells(tables).repartition(parts(orders), "doc_id")
     grid = spans.grid_rows(placed).groupBy("doc_id").agg(*[F.max(F.when(F.col("row_no") == k, F.array_join("cells", "|"))).alias(f"row_{k}") for k in range(3)])
     merges = C.merge_ranges(spans.grid_merges(placed)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("merge_no", "range"))).alias("m"))
-    return grid.join(merges, "doc_id").select("doc_id", "row_0", "row_1", "row_2", F.array_join(F.transform("m", lambda x: x["range"]), ",").alias("merges"))
+    return grid.join(merges.hint("merge"), "doc_id").select("doc_id", "row_0", "row_1", "row_2", F.array_join(F.transform("m", lambda x: x["range"]), ",").alias("merges"))
 
 
 _CONTRACT = "WITH p AS (SELECT p_partkey // 5 AS doc_id, row_number() OVER (PARTITION BY p_partkey // 5 ORDER BY p_partkey) AS k, p_name, p_brand, p_size FROM part) "

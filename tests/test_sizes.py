@@ -1,6 +1,6 @@
 """Plans and steps whose memory or rows must grow no faster than their input."""
 
-from quirework.operators import delegation, settings, stored
+from quirework.operators import delegation, settings, spans, stored
 from quirework.operators.storage import parts
 from quirework.plans import structured_queries
 
@@ -64,3 +64,16 @@ def test_delegation_is_dealt_by_its_lines(spark, monkeypatch):
     got = structured_queries.delegation_chunks(spark, "/root/testdata/sf0.001")
     orders, lines = seen
     assert orders == 1500 and lines > 5 * orders and got.count() > orders
+
+
+def test_tables_of_one_shape_are_placed_once(spark, monkeypatch):
+    """Their texts don't matter; a missing row is an empty one, a span of 0 has no place."""
+    import pyarrow as pa
+
+    calls, place = [], spans.place
+    monkeypatch.setattr(spans, "place", lambda rows: calls.append(rows) or place(rows))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "_shape": ["2x1 1x2 /1x1 /"] * 200 + ["0x1 /"] * 100})
+    (out,) = spans._place_all([batch])
+    assert len(calls) == 2 and out.column(1).to_pylist()[199:201] == [[{"row": r, "col": c, "bottom": b, "right": e} for r, c, b, e in ((0, 0, 1, 0), (0, 1, 0, 2), (1, 1, 1, 1))], None]
+    rows = spark.sql("SELECT 1 AS doc_id, 0 AS table_no, array(null, array(named_struct('text', 'a', 'rowspan', 1, 'colspan', 2))) AS rows")
+    assert [tuple(r) for r in spans.grid_rows(spans.placed_cells(rows)).orderBy("row_no").collect()] == [(1, 0, 0, ["", ""]), (1, 0, 1, ["a", ""])]
