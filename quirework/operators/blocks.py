@@ -17,17 +17,19 @@ def list_ordinals(blocks: DataFrame) -> DataFrame:
     """
     item = F.col("kind") == "list-item"
     depth = F.greatest(F.coalesce("depth", F.lit(0)), F.lit(0))
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("order", "block_id"))
-    rows = blocks.withColumn("_d", F.when(item, depth).otherwise(-1)).withColumn("_on", item & F.coalesce("ordered", F.lit(False))).withColumn("_pos", pos)
+    rows = blocks.select(F.struct(*blocks.columns).alias("_row"), "doc_id", "order", "block_id", F.when(item, depth).otherwise(-1).alias("_d"), (item & F.coalesce("ordered", F.lit(False))).alias("_on"))
     # Each depth that a document numbers sees the blocks at or above it; those that aren't its own ordered items reset it.
-    levels = rows.where("_on").select("doc_id", F.col("_d").alias("_level")).distinct()
-    seen = rows.select("doc_id", "_pos", "_d", "_on").join(levels, "doc_id").where("_d <= _level")
-    own = (F.col("_d") == F.col("_level")) & F.col("_on")
-    upto = Window.partitionBy("doc_id", "_level").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    seen = seen.withColumn("_own", own).withColumn("_run", F.count_if(~F.col("_own")).over(upto))
-    run = Window.partitionBy("doc_id", "_level", "_run").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = seen.withColumn("ordinal", F.count_if("_own").over(run)).where("_own").select("doc_id", "_pos", "ordinal")
-    return rows.join(numbered, ["doc_id", "_pos"], "left").select(*blocks.columns, "ordinal")
+    # A block stands once for itself, and with no more than its place for each deeper one: nothing is joined back.
+    levels = F.collect_set(F.when(F.col("_on"), F.col("_d"))).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("_levels", levels).withColumn("_level", F.explode(F.array_union(F.array("_d"), F.filter("_levels", lambda x: x > F.col("_d")))))
+    self = F.col("_level") == F.col("_d")
+    own = self & F.col("_on")
+    seen = rows.select("doc_id", "order", "block_id", "_level", self.alias("_self"), own.alias("_own"), F.when(self, F.col("_row")).alias("_row"))
+    upto = Window.partitionBy("doc_id", "_level").orderBy("order", "block_id").rowsBetween(Window.unboundedPreceding, 0)
+    # Own items so far, less those at the last reset: both windows share one sort.
+    seen = seen.withColumn("_n", F.count_if("_own").over(upto))
+    seen = seen.withColumn("_before", F.coalesce(F.max(F.when(~F.col("_own"), F.col("_n"))).over(upto), F.lit(0)))
+    return seen.where("_self").select("_row.*", F.when(F.col("_own"), F.col("_n") - F.col("_before")).alias("ordinal"))
 
 
 def render_item(text: Column, depth: Column, ordered: Column, ordinal: Column) -> Column:
@@ -45,7 +47,8 @@ def first_claims(claims: DataFrame) -> DataFrame:
 
 def claim_mismatches(expected: DataFrame, consumed: DataFrame) -> DataFrame:
     """doc_id, n: source ids whose expected and consumed counts differ or exceed one."""
-    e = expected.groupBy("doc_id", "source_id").agg(F.count("*").alias("e"))
-    c = consumed.groupBy("doc_id", "source_id").agg(F.count("*").alias("c"))
-    both = e.join(c, ["doc_id", "source_id"], "full").na.fill(0, ["e", "c"])
+    # Counted side by side: no row is joined to another.
+    e = expected.select("doc_id", "source_id", F.lit(1).alias("e"), F.lit(0).alias("c"))
+    c = consumed.select("doc_id", "source_id", F.lit(0).alias("e"), F.lit(1).alias("c"))
+    both = e.unionByName(c).groupBy("doc_id", "source_id").agg(F.sum("e").alias("e"), F.sum("c").alias("c"))
     return both.where("e <> c or e > 1 or c > 1").groupBy("doc_id").agg(F.count("*").alias("n"))

@@ -16,7 +16,7 @@ from quirework.operators import blocks as B
 from quirework.operators import drafts as D
 from quirework.operators import lines as L
 from quirework.operators import manuals, sections, tables, workbook
-from quirework.operators.storage import spread
+from quirework.operators.storage import parts, spread
 from quirework.plans import reports
 from quirework.plans.preprocess import preprocess, preprocess_results, raw_documents
 from quirework.sources import files, statutes
@@ -213,17 +213,20 @@ def list_ordinals(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), k.alias("k"))
-    top = lines.select("doc_id", (F.col("k") * 2).alias("block_id"), F.when(F.col("k") % 3 == 0, 0).otherwise(9).alias("depth"))
-    deep = lines.select("doc_id", (F.col("k") * 2 + 1).alias("block_id"), F.lit(12).alias("depth"))
-    blocks = top.unionByName(deep).withColumn("order", F.col("block_id")).withColumn("kind", F.lit("list-item")).withColumn("ordered", F.lit(True))
+    lineitem = table(spark, folder, "lineitem")
+    # A line is two blocks, which stay where its order lies.
+    lines = lineitem.repartition(parts(lineitem), "l_orderkey").select(F.col("l_orderkey").alias("doc_id"), k.alias("k"))
+    top = F.struct((F.col("k") * 2).alias("block_id"), F.when(F.col("k") % 3 == 0, 0).otherwise(9).alias("depth"))
+    deep = F.struct((F.col("k") * 2 + 1).alias("block_id"), F.lit(12).alias("depth"))
+    blocks = lines.select("doc_id", F.explode(F.array(top, deep)).alias("b")).select("doc_id", "b.*", F.col("b.block_id").alias("order"), F.lit("list-item").alias("kind"), F.lit(True).alias("ordered"))
     return B.list_ordinals(blocks).select("doc_id", "block_id", "ordinal")
 
 
 @query("""SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_suppkey AS doc_id, l_partkey, count(*) AS c FROM lineitem GROUP BY 1, 2) WHERE c > 1 GROUP BY 1""")
 def claim_mismatches(spark: SparkSession, folder: str) -> DataFrame:
     """Parts that a supplier's lines claim more often than once."""
-    claims = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").alias("source_id"))
+    lineitem = table(spark, folder, "lineitem")
+    claims = lineitem.select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").alias("source_id")).repartition(parts(lineitem), "doc_id", "source_id")
     return B.claim_mismatches(claims.distinct(), claims)
 
 

@@ -2,7 +2,7 @@
 
 from quirework.operators import delegation, settings, spans, stored
 from quirework.operators.storage import parts
-from quirework.plans import structured_queries
+from quirework.plans import queries, structured_queries
 
 
 def _plan(df) -> str:
@@ -77,3 +77,10 @@ def test_tables_of_one_shape_are_placed_once(spark, monkeypatch):
     assert len(calls) == 2 and out.column(1).to_pylist()[199:201] == [[{"row": r, "col": c, "bottom": b, "right": e} for r, c, b, e in ((0, 0, 1, 0), (0, 1, 0, 2), (1, 1, 1, 1))], None]
     rows = spark.sql("SELECT 1 AS doc_id, 0 AS table_no, array(null, array(named_struct('text', 'a', 'rowspan', 1, 'colspan', 2))) AS rows")
     assert [tuple(r) for r in spans.grid_rows(spans.placed_cells(rows)).orderBy("row_no").collect()] == [(1, 0, 0, ["", ""]), (1, 0, 1, ["a", ""])]
+
+
+def test_numbers_and_counts_need_no_join(spark):
+    """Blocks see resets, and claims are counted, where their key lies; the partitions are given, so small bytes aren't joined into few tasks."""
+    for f in (queries.list_ordinals, queries.claim_mismatches):
+        plan = _plan(f(spark, "/root/testdata/sf0.001"))
+        assert "Join" not in plan and "REPARTITION_BY_NUM" in plan
