@@ -25,7 +25,7 @@ from quirework.operators import claims as C
 from quirework.operators import lines as L
 from quirework.operators.sections import context_lines, drafts_with_tables, lost_issues, numbered, with_units
 from quirework.operators.split import pieces_of
-from quirework.operators.storage import cut
+from quirework.operators.storage import cut, parts
 
 NO_SECTION = "전체"
 # What sections on safety are about.
@@ -173,7 +173,10 @@ def manual_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     c = F.col
     none = F.array().cast("array<string>")
     lines = cut(with_units(manual_lines(L.explode_lines(docs, ["name"]))), "manual-lines")
-    rows = cut(with_labels(lines), "manual-roles")
+    # Steps by document stay where its lines lie, in parts that grow with the lines.
+    n = parts(lines)
+    lines = lines.repartition(n, "doc_id")
+    rows = cut(with_labels(lines), "manual-roles").repartition(n, "doc_id")
     keys = ["name", "section", "path"]
     own = context_lines(c("name"), "섹션", c("path"), NO_SECTION)
     limit = F.greatest(F.lit(1), F.lit(S.CHUNK_LIMIT) - S.u16_length(F.array_join(own, "\n")) - 1).cast("int")
@@ -185,10 +188,10 @@ def manual_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     split = long.where("_f.texts is not null")
     held = C.split_sources(split.select(*one, c("text").alias("body"), "sources", c("_f.texts").alias("parts")), one).withColumnRenamed("piece_no", "k")
     columns = ["doc_id", *keys, "unit", "unit_no", "pos", "limit", "k", "text", "sources"]
-    parts = split.drop("text", "sources").select("*", F.posexplode("_f.texts").alias("k", "text")).join(held, [*one, "k"], "left")
-    each = found.where(fits).withColumn("k", F.lit(0)).select(*columns).unionByName(parts.select(*columns))
+    fragments = split.drop("text", "sources").select("*", F.posexplode("_f.texts").alias("k", "text")).join(held, [*one, "k"], "left")
+    each = found.where(fits).withColumn("k", F.lit(0)).select(*columns).unionByName(fragments.select(*columns))
     first = F.coalesce("sources", C.no_sources()).alias("sources")
-    packed = each.groupBy("doc_id", *keys, "unit", "limit").agg(F.array_sort(F.collect_list(F.struct("unit_no", "k", "pos", "text", first))).alias("r"))
+    packed = each.repartition(n, "doc_id").groupBy("doc_id", *keys, "unit", "limit").agg(F.array_sort(F.collect_list(F.struct("unit_no", "k", "pos", "text", first))).alias("r"))
     packed = packed.withColumn("g", _packs(F.transform("r", lambda x: S.u16_length(x["text"]).cast("int")), c("limit")))
     packed = packed.select("doc_id", *keys, "unit", F.posexplode(F.arrays_zip("r", "g")).alias("i", "x"))
     packed = packed.groupBy("doc_id", *keys, "unit", c("x.g").alias("part")).agg(F.array_sort(F.collect_list(F.struct("i", c("x.r.text").alias("text"), c("x.r.sources").alias("sources"), c("x.r.pos").alias("pos")))).alias("r"))
@@ -201,7 +204,7 @@ def manual_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bare = lines.withColumn("_k", F.row_number().over(tail)).where("_k = 1 and heading").select("doc_id", *keys, F.lit(0).alias("part"), "pos", F.lit("").alias("body"), F.array().cast("array<int>").alias("sources"), none.alias("frame"))
     frames = rows.where("fate = 'table'").groupBy("doc_id", c("target").alias("table_no")).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_fr"))
     framed = lines.join(frames, ["doc_id", "table_no"], "left").withColumn("frame", F.coalesce(F.transform("_fr", lambda x: x["line"]), none))
-    drafts, issues, blocked = drafts_with_tables(framed, text.unionByName(bare), F.concat(own, c("frame")), [*keys, "frame"])
+    drafts, issues, blocked = drafts_with_tables(framed, text.unionByName(bare), F.concat(own, c("frame")), [*keys, "frame"], n)
     done = cut(numbered(drafts), "manual-drafts")
 
     def issue(found: DataFrame, code: Column, severity: str) -> DataFrame:

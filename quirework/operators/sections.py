@@ -52,16 +52,17 @@ def _text_drafts(lines: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("body", _trimmed(F.array_join(F.transform("_l", lambda x: x["body_line"]), "\n"))).withColumn("sources", own).drop("_l")
 
 
-def drafts_with_tables(lines: DataFrame, text: DataFrame, context: Column, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def drafts_with_tables(lines: DataFrame, text: DataFrame, context: Column, keys: list[str], n: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drafts (doc_id, pos, region, place, part, kind, context, body, sources) of text units and tables, the tables' issues, and the blocked tables (doc_id, table_no).
 
-    text: doc_id, keys, pos, body, sources[, part].
+    text: doc_id, keys, pos, body, sources[, part]. n: in how many partitions tables are dealt, if Spark is not to choose.
     """
     number = ["pos", "region", "place", "part"]
     tables = lines.where("pos = table_no").select("doc_id", "table_no", *keys).withColumn("context", context)
-    rows = T.markdown_rows(lines)
+    deal = lambda df: df.repartition(n, *T.TABLE) if n else df
+    rows = deal(T.markdown_rows(lines))
     lengths = tables.select("doc_id", "table_no", (S.u16_length(F.array_join("context", "\n")) + 1).alias("context_length"))
-    packed = cut(T.table_drafts(rows, lengths), "table-drafts").join(tables.select("doc_id", "table_no", "context"), ["doc_id", "table_no"])
+    packed = deal(cut(T.table_drafts(rows, lengths), "table-drafts")).join(tables.select("doc_id", "table_no", "context"), ["doc_id", "table_no"])
     issues = T.table_issues(rows).select("doc_id", "code", F.lit("warning").alias("severity"), "n")
     issues = issues.unionByName(packed.where("blocked").select("doc_id", F.lit("TABLE_FRAMING_EXCEEDS_LIMIT").alias("code"), F.lit("error").alias("severity"), F.lit(1).cast("long").alias("n")))
     drafts = packed.select("doc_id", F.col("table_no").alias("pos"), "region", "place", "part", F.lit("table").alias("kind"), "context", "body", T.line_numbers(F.col("table_no"), F.col("row_nos")).alias("sources"))

@@ -142,10 +142,11 @@ def general_sections(spark: SparkSession, folder: str) -> DataFrame:
 def manual_steps(spark: SparkSession, folder: str) -> DataFrame:
     """A manual for each customer: order priorities are sections, orders are steps; a safety line opens each section."""
     orders = table(spark, folder, "orders").withColumnRenamed("o_custkey", "doc_id")
+    n_parts = parts(orders, 100_000)
     key = lambda n: F.struct("o_orderpriority", n.cast("long").alias("n")).alias("k")
     step = orders.select("doc_id", key(F.col("o_orderkey")), F.concat(F.lit("주문 "), F.col("o_orderkey").cast("string"), F.lit(" 처리한다.")).alias("line"))
     head = orders.select("doc_id", "o_orderpriority").distinct().select("doc_id", key(F.lit(-1)), F.concat(F.lit("# "), "o_orderpriority", F.lit("\n※ 주의")).alias("line"))
-    drafts, _ = manuals.manual_drafts(raw_documents(text_of(step.unionByName(head), F.col("line"))))
+    drafts, _ = manuals.manual_drafts(raw_documents(text_of(step.unionByName(head).repartition(n_parts, "doc_id"), F.col("line"))))
     return drafts.select("doc_id", F.regexp_replace(F.col("context")[1], r"^\[섹션\] ", "").alias("section"), "body")
 
 

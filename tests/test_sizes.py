@@ -1,6 +1,6 @@
 """Plans and steps whose memory or rows must grow no faster than their input."""
 
-from quirework.operators import delegation, settings, spans, stored
+from quirework.operators import delegation, manuals, settings, spans, stored
 from quirework.operators.storage import parts
 from quirework.plans import queries, structured_queries
 
@@ -84,3 +84,11 @@ def test_numbers_and_counts_need_no_join(spark):
     for f in (queries.list_ordinals, queries.claim_mismatches):
         plan = _plan(f(spark, "/root/testdata/sf0.001"))
         assert "Join" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_manuals_are_dealt_by_their_lines(spark, monkeypatch):
+    """A manual's line table compresses to few bytes, by which Spark would join it into few tasks."""
+    seen = []
+    monkeypatch.setattr(manuals, "parts", lambda rows, *each: seen.append(rows.count()) or 5)
+    assert queries.manual_steps(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 1 and seen[0] > 1500
