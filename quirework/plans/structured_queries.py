@@ -422,9 +422,10 @@ def _label_manual(spark: SparkSession, folder: str) -> DataFrame:
     t = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))
     kind = F.pmod("o_orderkey", F.lit(6))
     label, step, cells = F.concat(F.lit("[주의] "), t), F.concat(F.lit("2) "), t, F.lit(" 처리한다.")), F.concat(F.lit("| k | v |\n| --- | --- |\n| "), t, F.lit(" | x |"))
-    parts = F.when(kind == 0, F.array(label, step)).when(kind == 1, F.array(step, label)).when(kind == 2, F.array(label, cells)).when(kind == 3, F.array(cells, label)).otherwise(F.array(label))
-    text = F.concat(F.when(kind == 5, "안전 수칙").otherwise("점검"), F.lit("\n"), F.array_join(parts, "\n"))
-    return raw_documents(table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    body = F.when(kind == 0, F.array(label, step)).when(kind == 1, F.array(step, label)).when(kind == 2, F.array(label, cells)).when(kind == 3, F.array(cells, label)).otherwise(F.array(label))
+    text = F.concat(F.when(kind == 5, "안전 수칙").otherwise("점검"), F.lit("\n"), F.array_join(body, "\n"))
+    orders = table(spark, folder, "orders")
+    return raw_documents(orders.repartition(parts(orders, 50_000), "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
 
 
 @query(_ORDERS + """SELECT o_orderkey AS doc_id, '[문서] 텍스트 문서.txt' || chr(10) || CASE kind WHEN 5 THEN '[섹션] 안전 수칙' ELSE '[섹션] 점검' END || chr(10) || CASE kind

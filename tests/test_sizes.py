@@ -92,3 +92,8 @@ def test_manuals_are_dealt_by_their_lines(spark, monkeypatch):
     monkeypatch.setattr(manuals, "parts", lambda rows, *each: seen.append(rows.count()) or 5)
     assert queries.manual_steps(spark, "/root/testdata/sf0.001").count() > 0
     assert len(seen) == 1 and seen[0] > 1500
+
+
+def test_labelled_manuals_are_dealt(spark):
+    """A small file of orders is one task else, and preparing texts takes far longer than reading them."""
+    assert structured_queries._label_manual(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
