@@ -66,12 +66,13 @@ def is_decoration_candidate(line: Column) -> Column:
 
 
 def is_pipe_line(line: Column) -> Column:
-    return line.rlike(f"^{SPACE}*\\|.*\\|{SPACE}*\\z")
+    # A search for one character keeps ordinary lines from the pattern.
+    return F.contains(line, F.lit("|")) & line.rlike(f"^{SPACE}*\\|.*\\|{SPACE}*\\z")
 
 
 def is_separator_line(line: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(trim(line), r"^\|", ""), r"\|\z", "")
-    return body.rlike(f"^{SPACE}*:?-{{3,}}:?{SPACE}*(?:\\|{SPACE}*:?-{{3,}}:?{SPACE}*)*\\z")
+    return F.contains(line, F.lit("---")) & body.rlike(f"^{SPACE}*:?-{{3,}}:?{SPACE}*(?:\\|{SPACE}*:?-{{3,}}:?{SPACE}*)*\\z")
 
 
 def escape_cell(cell: Column) -> Column:

@@ -62,9 +62,9 @@ def split_sources(split: DataFrame, keys: list[str]) -> DataFrame:
     return first.groupBy(*keys, "piece_no").agg(F.array_sort(F.collect_list("source_id")).alias("sources"))
 
 
-def claims(drafts: DataFrame) -> DataFrame:
-    """doc_id, draft_no, source_id of drafts with sources; where several name a line, the first draft's claim counts."""
-    rows = drafts.select("doc_id", "draft_no", F.explode("sources").alias("source_id"))
+def claims(drafts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, draft_no, kept columns, source_id of drafts with sources; where several name a line, the first draft's claim counts."""
+    rows = drafts.select("doc_id", "draft_no", *(keep or []), F.explode("sources").alias("source_id"))
     return first_claims(rows)
 
 

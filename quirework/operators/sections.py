@@ -151,17 +151,24 @@ ROOTS = ["addendum", "appendix", "form"]
 
 
 def law_lines(lines: DataFrame) -> DataFrame:
-    """Line table with kind, location (an array) and body_line of each line.
+    """Line table with kind and heading of lines that open a section, and section and body_line of each line."""
+    lines = H.with_legal_heading(L.mark_tables(lines), "_h")
+    lines = lines.withColumn("kind", F.when(F.col("table_no").isNull(), F.col("_h.kind")))
+    opens = F.col("kind").isNotNull()
+    lines = lines.withColumn("heading", F.when(opens, F.col("_h.heading"))).withColumn("section", F.sum(opens.cast("int")).over(L.upto()))
+    return lines.withColumn("body_line", F.when(opens, F.nullif(F.col("_h.inline"), F.lit(""))).otherwise(F.col("line"))).drop("_h")
+
+
+def with_location(units: DataFrame) -> DataFrame:
+    """Units (doc_id, pos, kind, heading: of the line that opens a section) with location (an array) and opened_by.
 
     A level holds until a level above it or a special root comes; a root until a level comes; an article until any.
     """
-    lines = H.with_legal_heading(L.mark_tables(lines), "_h")
-    lines = lines.withColumn("kind", F.when(F.col("table_no").isNull(), F.col("_h.kind")))
 
     def last(kinds: list[str]) -> Column:
-        return F.last(F.when(F.col("kind").isin(kinds), F.struct("pos", F.col("_h.heading").alias("text"))), True).over(L.upto())
+        return F.last(F.when(F.col("kind").isin(kinds), F.struct("pos", F.col("heading").alias("text"))), True).over(L.upto())
 
-    lines = lines.withColumns({f"_{k}": last([k]) for k in LEVELS} | {"_root": last(ROOTS), "_article": last(["article"])})
+    units = units.withColumns({f"_{k}": last([k]) for k in LEVELS} | {"_root": last(ROOTS), "_article": last(["article"]), "opened_by": F.last("kind", True).over(L.upto())})
     at = lambda k: F.coalesce(F.col(f"_{k}.pos"), F.lit(-1))
     parts = []
     for i, k in enumerate(LEVELS):
@@ -170,22 +177,23 @@ def law_lines(lines: DataFrame) -> DataFrame:
     levels = F.greatest(*[at(k) for k in LEVELS])
     parts.append(F.when(at("root") > levels, F.col("_root.text")))
     parts.append(F.when(at("article") > F.greatest(levels, at("root")), F.col("_article.text")))
-    heading = F.col("kind").isNotNull()
-    lines = lines.withColumn("location", F.filter(F.array(*parts), lambda x: x.isNotNull())).withColumn("section", F.sum(heading.cast("int")).over(L.upto()))
-    lines = lines.withColumn("opened_by", F.last("kind", True).over(L.upto()))
-    return lines.withColumn("body_line", F.when(heading, F.nullif(F.col("_h.inline"), F.lit(""))).otherwise(F.col("line"))).drop("_h", *[f"_{k}" for k in [*LEVELS, "root", "article"]])
+    return units.withColumn("location", F.filter(F.array(*parts), lambda x: x.isNotNull())).drop("kind", "heading", *[f"_{k}" for k in [*LEVELS, "root", "article"]])
 
 
 # Starts of 항, 호 and 목, the levels at which a long article breaks.
 BREAKS = [r"(?m)(?=^[①-⑳]\s*)", r"(?m)(?=^\d+[.)]\s*)", r"(?m)(?=^[가-힣][.)]\s*)"]
 
 
-def split_article(drafts: DataFrame, limit: int = S.CHUNK_LIMIT) -> DataFrame:
-    """Drafts longer than the limit broken at 항, then 호, then 목, then anywhere; neighbours that fit are joined again."""
+def with_room(drafts: DataFrame, limit: int = S.CHUNK_LIMIT) -> DataFrame:
+    """Drafts with _room, the units that their context leaves, and _fits: whether a body fits or there is no room at all."""
     rows = drafts.withColumn("_room", (F.lit(limit) - S.u16_length(F.array_join("context", "\n")) - 1).cast("int"))
-    fits = S.u16_length(F.col("body")) <= F.col("_room")
-    short = rows.where(fits | (F.col("_room") < 1)).withColumn("part", F.col("part"))
-    long = rows.where(~fits & (F.col("_room") >= 1)).withColumn("_p", F.array("body"))
+    return rows.withColumn("_fits", (S.u16_length(F.col("body")) <= F.col("_room")) | (F.col("_room") < 1))
+
+
+def split_article(rows: DataFrame) -> DataFrame:
+    """Drafts of with_room that don't fit broken at 항, then 호, then 목, then anywhere; neighbours that fit are joined again."""
+    drafts, short = rows.drop("_room", "_fits"), rows.where("_fits")
+    long = rows.where("not _fits").drop("_fits").withColumn("_p", F.array("body"))
     for pattern in BREAKS:
         long = long.withColumn("_p", F.flatten(F.transform("_p", lambda x, p=pattern: F.when(S.u16_length(x) > F.col("_room"), F.filter(F.split(x, p, -1), lambda y: y != "")).otherwise(F.array(x)))))
     long = long.select("*", F.posexplode("_p").alias("_i", "_x"))
@@ -202,22 +210,40 @@ def split_article(drafts: DataFrame, limit: int = S.CHUNK_LIMIT) -> DataFrame:
     parts = packed.groupBy(*first).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "body"))), lambda x: x["body"]).alias("parts"))
     held = C.split_sources(whole.join(parts, first), first).withColumnRenamed("piece_no", "part")
     packed = packed.join(held, [*first, "part"], "left").withColumn("sources", F.coalesce("sources", C.no_sources()))
-    return short.select(*drafts.columns).unionByName(packed.select(*drafts.columns))
+    return short.select(*drafts.columns).unionByName(cut(packed.select(*drafts.columns), "article-sources"))
+
+
+def law_units(lines: DataFrame) -> DataFrame:
+    """Units (doc_id, section, unit, name, location, opened_by, pos, table_no, held) of law_lines: a line table with a row a unit.
+
+    held: the unit's lines in order. A document's lines already lie together, so that they are grouped where they are.
+    Text units have body and sources; bare marks a title's unit in a section without text and without a table.
+    """
+    c = F.col
+    line = F.struct("pos", "line", "body_line")
+    # A line that opens a section is its unit's first; what holds there holds for the unit, so fewer rows are looked through.
+    own = [F.first("name").alias("name"), F.first("kind", True).alias("kind"), F.first("heading", True).alias("heading")]
+    units = with_units(lines).groupBy("doc_id", "section", "unit").agg(*own, F.min("pos").alias("pos"), F.min("table_no").alias("table_no"), F.array_sort(F.collect_list(line)).alias("held"))
+    units = with_location(units)
+    text = F.filter("held", lambda x: x["body_line"].isNotNull())
+    units = units.withColumn("body", F.when(c("table_no").isNull(), _trimmed(F.array_join(F.transform(text, lambda x: x["body_line"]), "\n"))))
+    units = units.withColumn("sources", F.when(c("table_no").isNull(), F.transform(F.filter(text, lambda x: ~S.is_blank(x["body_line"])), lambda x: x["pos"])))
+    in_section = Window.partitionBy("doc_id", "section")
+    first = F.row_number().over(in_section.orderBy(c("table_no").isNotNull(), "pos")) == 1
+    empty = (F.max(F.size("sources")).over(in_section) <= 0) & F.min("table_no").over(in_section).isNull()
+    return units.withColumn("bare", first & empty)
 
 
 def law_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One draft an article or special root of prepared docs; blank ones fold into later drafts of their location."""
-    lines = cut(with_units(law_lines(L.explode_lines(docs, ["name"]))), "law-lines")
+    units = cut(law_units(law_lines(L.explode_lines(docs, ["name"]))), "law-units")
     keys = ["name", "section", "location", "opened_by"]
-    text = _text_drafts(lines, keys)
     strong = F.col("opened_by").isin("article", *ROOTS)
-    first = F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("pos")) == 1
-    tabled = lines.groupBy("doc_id", "section").agg(F.min("table_no").alias("_table"), F.max(F.col("table_no").isNull() & F.coalesce(~S.is_blank(F.col("body_line")), F.lit(False))).alias("_texts"))
-    text = text.withColumn("_first", first).join(tabled, ["doc_id", "section"])
-    text = text.where(~S.is_blank(F.col("body")) | (F.col("_first") & strong & F.col("_table").isNull() & ~F.col("_texts")))
+    text = units.where(F.col("table_no").isNull() & (~S.is_blank(F.col("body")) | (F.col("bare") & strong)))
     context = context_lines(F.col("name"), "위치", F.col("location"), NO_PATH)
-    drafts, issues, blocked = drafts_with_tables(lines, text, context, keys)
-    drafts = cut(drafts, "law-units").withColumn("_loc", F.col("context")[1])
+    opened = lambda rows: rows.select("doc_id", *keys, "table_no", F.explode("held").alias("_x")).select("doc_id", *keys, "table_no", "_x.*")
+    drafts, issues, blocked = drafts_with_tables(opened(units.where("table_no is not null")), text, context, keys)
+    drafts = drafts.withColumn("_loc", F.col("context")[1])
     order = Window.partitionBy("doc_id").orderBy("pos", "region", "place", "part")
     after = F.lead("_loc").over(order)
     near = (after == F.col("_loc")) | F.startswith(after, F.concat("_loc", F.lit(" > ")))
@@ -228,7 +254,8 @@ def law_drafts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     drafts = drafts.withColumn("_leaf", leaf)
     later = F.max(F.when(~F.col("_blank"), F.col("pos"))).over(Window.partitionBy("doc_id", "_leaf"))
     drafts = drafts.withColumn("_later", later).where("not (_blank and coalesce(_later > pos, false))")
-    plain = drafts.where("kind = 'text'").drop("kind", "_loc", "_blank", "_near", "_leaf", "_later")
-    rest = drafts.where("kind = 'table'").select(*plain.columns)
-    done = cut(numbered(split_article(plain).unionByName(rest)), "law-drafts")
-    return done, issues.unionByName(lost_issues(lines, done, blocked))
+    # Stored once, since what is short, what is long and what is a table are read from it apart.
+    drafts = cut(with_room(drafts.drop("_loc", "_blank", "_near", "_leaf", "_later")), "law-folded")
+    text, rest = drafts.where("kind = 'text'").drop("kind"), drafts.where("kind = 'table'").drop("kind", "_room", "_fits")
+    done = numbered(split_article(text).unionByName(rest))
+    return done, issues.unionByName(lost_issues(opened(units), done, blocked))

@@ -447,15 +447,16 @@ def line_claims(spark: SparkSession, folder: str) -> DataFrame:
     """The draft that holds each filled line of a statute, orders being its articles of two lines with an empty one between."""
     from pyspark.sql.window import Window
 
-    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("k"), F.col("o_orderkey").cast("string").alias("key"), "o_orderpriority")
+    # Named before they are numbered: Spark would deal the rows again for a key that is renamed after.
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", "o_orderpriority")
+    rows = orders.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("o_orderkey"))).withColumn("key", F.col("o_orderkey").cast("string"))
     line = F.concat(F.lit("제"), F.col("k").cast("string"), F.lit("조("), "o_orderpriority", F.lit(")\nline "), "key", F.lit("\n\nlast "), "key")
     docs = raw_documents(text_of(rows, line))
     found, _ = sections.law_drafts(docs)
-    where = found.select("doc_id", "draft_no", F.col("context")[1].alias("location"))
     lines = docs.select(F.col("doc_id").alias("_d"), F.posexplode(F.split("text", "\n", -1)).alias("_k", "line"))
-    held = claims.claims(found).join(where, ["doc_id", "draft_no"])
-    return held.join(lines, (F.col("doc_id") == F.col("_d")) & (F.col("source_id") == F.col("_k"))).select("doc_id", "source_id", "location", "line")
+    held = claims.claims(found.withColumn("location", F.col("context")[1]), ["location"])
+    # Lines are judged by the stored table's few bytes and would be sent whole; they are sorted instead.
+    return held.join(lines.hint("merge"), (F.col("doc_id") == F.col("_d")) & (F.col("source_id") == F.col("_k"))).select("doc_id", "source_id", "location", "line")
 
 
 # --- structured records, issues, sources ---

@@ -1,6 +1,6 @@
 """Plans and steps whose memory or rows must grow no faster than their input."""
 
-from quirework.operators import delegation, manuals, settings, spans, stored
+from quirework.operators import delegation, manuals, sections, settings, spans, stored
 from quirework.operators.storage import parts
 from quirework.plans import queries, structured_queries
 
@@ -97,3 +97,22 @@ def test_manuals_are_dealt_by_their_lines(spark, monkeypatch):
 def test_labelled_manuals_are_dealt(spark):
     """A small file of orders is one task else, and preparing texts takes far longer than reading them."""
     assert structured_queries._label_manual(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_statutes_are_stored_by_units(spark, monkeypatch):
+    """Lines are grouped in the document's own task, before anything is written, and never sent whole; titles keep their places."""
+    seen, write = {}, sections.cut
+    monkeypatch.setattr(sections, "cut", lambda df, name: seen.setdefault(name, (_plan(df), write(df, name)))[1])
+    got = structured_queries.line_claims(spark, "/root/testdata/sf0.001")
+    plan, units = seen["law-units"]
+    assert plan.count("Exchange hashpartitioning") == 1 and units.count() == 1500
+    assert "BroadcastHashJoin" not in _plan(got)
+    monkeypatch.undo()
+    text = "제1장 총칙\n제1조(목적)\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n뒤\n제2조(정의)\n부칙\n끝"
+    found, issues = sections.law_drafts(spark.createDataFrame([(1, "n", text)], "doc_id int, name string, text string"))
+    rows = [(r.context[1], r.body, r.sources) for r in found.orderBy("draft_no").collect()]
+    assert rows == [
+        ("[위치] 제1장 총칙 > 제1조(목적)", "| a | b |\n| --- | --- |\n| 1 | 2 |", [3, 5]), ("[위치] 제1장 총칙 > 제1조(목적)", "뒤", [6]),
+        ("[위치] 제1장 총칙 > 제2조(정의)", "", []), ("[위치] 부칙", "끝", [9]),
+    ]
+    assert issues.count() == 0
