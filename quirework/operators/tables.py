@@ -20,10 +20,10 @@ def is_empty_row(cells: Column) -> Column:
     return ~F.exists(cells, lambda c: ~S.is_blank(F.coalesce(c, F.lit(""))))
 
 
-def markdown_rows(lines: DataFrame) -> DataFrame:
-    """Rows of the tables marked in a line table; the separator line is no row."""
+def markdown_rows(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Rows of the tables marked in a line table, with kept columns; the separator line is no row."""
     rows = lines.where(F.col("table_no").isNotNull() & (F.col("pos") != F.col("table_no") + 1))
-    return rows.select(*TABLE, F.when(F.col("pos") == F.col("table_no"), 0).otherwise(F.col("pos") - F.col("table_no") - 1).alias("row_no"), S.row_cells(F.col("line")).alias("cells"))
+    return rows.select(*TABLE, *(keep or []), F.when(F.col("pos") == F.col("table_no"), 0).otherwise(F.col("pos") - F.col("table_no") - 1).alias("row_no"), S.row_cells(F.col("line")).alias("cells"))
 
 
 def line_numbers(table_no: Column, row_nos: Column) -> Column:
@@ -57,28 +57,38 @@ def table_drafts(rows: DataFrame, context_length: DataFrame, limit: int = S.CHUN
     cell. A table whose frame leaves no space is one blocked draft without body. row_nos names the rows that a draft is
     the first to hold: a region's header in its first draft, a row in its own or in its first fragment's.
     """
+    return packed_drafts(framed_rows(rows.join(context_length, TABLE), limit), limit)
+
+
+def framed_rows(rows: DataFrame, limit: int = S.CHUNK_LIMIT) -> DataFrame:
+    """Rows (doc_id, table_no, row_no, cells, context_length, ...) with what their region's frame is and leaves: the input of packed_drafts."""
     found = regions(rows)
     region = Window.partitionBy(*TABLE, "region").orderBy("place")
-    found = found.withColumn("header", F.first("cells").over(region)).withColumn("head_no", F.first("row_no").over(region)).join(context_length, TABLE)
+    found = found.withColumn("header", F.first("cells").over(region)).withColumn("head_no", F.first("row_no").over(region))
     found = found.withColumn("start", S.render_table_start(F.col("header")))
     found = found.withColumn("room", F.lit(limit) - F.col("context_length") - S.u16_length(F.col("start")))
     has_rows = F.max("place").over(Window.partitionBy(*TABLE, "region")) > 0
     found = found.withColumn("_bad", (F.col("room") < 0) | (has_rows & (F.col("room") < 2))).withColumn("blocked", F.max("_bad").over(Window.partitionBy(*TABLE)))
     found = found.withColumn("row", S.render_row(F.col("cells"))).withColumn("_n", S.u16_length(F.col("row")) + 1)
-    single = ~has_rows
-    alone = found.withColumn("_single", single)
-    heads = alone.where("_single and not blocked").select(*TABLE, "region", F.lit(0).alias("place"), F.lit(0).alias("part"), F.col("start").alias("body"), "head_no", F.array().cast("array<int>").alias("row_nos"))
+    return found.withColumn("_single", ~has_rows)
+
+
+def packed_drafts(alone: DataFrame, limit: int = S.CHUNK_LIMIT, keep: list[str] | None = None) -> DataFrame:
+    """table_drafts of framed_rows, with kept columns of their tables. Rows of each kind are read apart: store many of them first."""
+    keys = [*TABLE, *(keep or [])]
+    region = Window.partitionBy(*TABLE, "region").orderBy("place")
+    heads = alone.where("_single and not blocked").select(*keys, "region", F.lit(0).alias("place"), F.lit(0).alias("part"), F.col("start").alias("body"), "head_no", F.array().cast("array<int>").alias("row_nos"))
     data = alone.where("place > 0 and not blocked")
     # Runs of rows that fit, between rows that don't.
     run = F.sum(F.when(F.col("_n") > F.col("room"), 1).otherwise(0)).over(region.rowsBetween(Window.unboundedPreceding, 0))
     short = data.withColumn("_run", run).where("_n <= room")
-    packed = short.groupBy(*TABLE, "region", "_run", "start", "room", "head_no").agg(F.array_sort(F.collect_list(F.struct("place", "row", "_n", F.col("row_no").cast("int").alias("row_no")))).alias("r"))
+    packed = short.groupBy(*keys, "region", "_run", "start", "room", "head_no").agg(F.array_sort(F.collect_list(F.struct("place", "row", "_n", F.col("row_no").cast("int").alias("row_no")))).alias("r"))
     packed = packed.withColumn("g", greedy_groups(F.transform("r", lambda x: x["_n"]), F.col("room")))
-    packed = packed.select(*TABLE, "region", "_run", "start", "head_no", F.explode(F.arrays_zip("r", "g")).alias("x"))
-    packed = packed.groupBy(*TABLE, "region", "_run", "start", "head_no", F.col("x.g").alias("g")).agg(F.min("x.r.place").alias("place"), F.array_sort(F.collect_list("x.r")).alias("r"))
-    packed = packed.select(*TABLE, "region", "place", F.lit(0).alias("part"), F.concat("start", F.lit("\n"), F.array_join(F.transform("r", lambda x: x["row"]), "\n")).alias("body"), "head_no", F.transform("r", lambda x: x["row_no"]).alias("row_nos"))
-    drafts = heads.unionByName(packed).unionByName(_fragments(data.where("_n > room"), limit))
-    framed = alone.where("blocked").select(*TABLE).distinct().select(*TABLE, F.lit(0).alias("region"), F.lit(0).alias("place"), F.lit(0).alias("part"), F.lit(None).cast("string").alias("body"), F.lit(None).cast("int").alias("head_no"), F.array().cast("array<int>").alias("row_nos"))
+    packed = packed.select(*keys, "region", "_run", "start", "head_no", F.explode(F.arrays_zip("r", "g")).alias("x"))
+    packed = packed.groupBy(*keys, "region", "_run", "start", "head_no", F.col("x.g").alias("g")).agg(F.min("x.r.place").alias("place"), F.array_sort(F.collect_list("x.r")).alias("r"))
+    packed = packed.select(*keys, "region", "place", F.lit(0).alias("part"), F.concat("start", F.lit("\n"), F.array_join(F.transform("r", lambda x: x["row"]), "\n")).alias("body"), "head_no", F.transform("r", lambda x: x["row_no"]).alias("row_nos"))
+    drafts = heads.unionByName(packed).unionByName(_fragments(data.where("_n > room"), limit, keys))
+    framed = alone.where("blocked").select(*keys).distinct().select(*keys, F.lit(0).alias("region"), F.lit(0).alias("place"), F.lit(0).alias("part"), F.lit(None).cast("string").alias("body"), F.lit(None).cast("int").alias("head_no"), F.array().cast("array<int>").alias("row_nos"))
     drafts = drafts.unionByName(framed).withColumn("blocked", F.max(F.col("body").isNull()).over(Window.partitionBy(*TABLE)))
     first = F.row_number().over(Window.partitionBy(*TABLE).orderBy(F.col("body").isNotNull(), "region", "place", "part"))
     drafts = drafts.withColumn("_k", first).where("not blocked or _k = 1").drop("_k")
@@ -87,7 +97,7 @@ def table_drafts(rows: DataFrame, context_length: DataFrame, limit: int = S.CHUN
     return drafts.withColumn("row_nos", own).drop("head_no")
 
 
-def _fragments(rows: DataFrame, limit: int) -> DataFrame:
+def _fragments(rows: DataFrame, limit: int, columns: list[str]) -> DataFrame:
     """Drafts of rows too long for one chunk; body is null where even a fragment's frame doesn't fit."""
     cells = F.transform(F.col("cells"), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
     filled = F.filter(cells, lambda x: ~S.is_blank(F.coalesce(x["c"], F.lit(""))))
@@ -96,7 +106,7 @@ def _fragments(rows: DataFrame, limit: int) -> DataFrame:
     rows = rows.withColumn("_id", name).withColumn("_use", S.u16_length(name) + 2 <= F.col("_room"))
     rows = rows.withColumn("_limit", F.when(F.col("_use"), F.greatest(F.lit(1), F.col("_room") - S.u16_length(F.col("_id")) - 1)).otherwise(F.col("_room")))
     rest = F.when(F.col("_use"), F.slice("_f", 2, F.greatest(F.size("_f") - 1, F.lit(0)))).otherwise(F.col("_f"))
-    each = rows.select(*TABLE, "region", "place", "start", "header", "context_length", "head_no", "row_no", "_id", "_use", "_limit", F.explode_outer(rest).alias("x"))
+    each = rows.select(*columns, "region", "place", "start", "header", "context_length", "head_no", "row_no", "_id", "_use", "_limit", F.explode_outer(rest).alias("x"))
     head = S.trim(F.coalesce(F.get("header", F.col("x.i")), F.lit("")))
     label = F.concat(F.lit("행 분할: "), S.escape_cell(F.when(head == "", F.concat(F.lit("열 "), (F.col("x.i") + 1).cast("string"))).otherwise(head)), F.lit(": "))
     each = each.withColumn("_label", label)
@@ -107,11 +117,11 @@ def _fragments(rows: DataFrame, limit: int) -> DataFrame:
     line = F.when(F.col("x.i").isNull(), F.col("_id")).otherwise(F.concat("_label", S.escape_cell(F.coalesce("_part", F.lit("")))))
     base = F.when(F.col("_use") & F.col("x.i").isNotNull(), F.concat("start", F.lit("\n"), "_id")).otherwise(F.col("start"))
     each = each.withColumn("_line", line).withColumn("_base", base).withColumn("_room", F.lit(limit) - F.col("context_length") - S.u16_length(base))
-    keys = [*TABLE, "region", "place", "_base", "head_no", "row_no"]
+    keys = [*columns, "region", "place", "_base", "head_no", "row_no"]
     packed = each.groupBy(*keys, "_room").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("x.i", F.lit(0)).alias("i"), F.coalesce("_k", F.lit(0)).alias("k"), F.col("_line").alias("line")))).alias("r"))
     packed = packed.withColumn("_sizes", F.transform("r", lambda x: S.u16_length(x["line"]) + 1))
     packed = packed.withColumn("g", greedy_groups(F.col("_sizes"), F.col("_room"))).withColumn("_over", F.exists("_sizes", lambda n: n > F.col("_room")))
     packed = packed.select(*keys, "_over", F.posexplode(F.arrays_zip("r", "g")).alias("k", "x"))
     packed = packed.groupBy(*keys, "_over", F.col("x.g").alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x.r.line"))), lambda x: x["line"]), "\n").alias("lines"))
     rows = F.when(F.col("part") == 0, F.array(F.col("row_no").cast("int"))).otherwise(F.array().cast("array<int>"))
-    return packed.select(*TABLE, "region", "place", "part", F.when(~F.col("_over"), F.concat("_base", F.lit("\n"), "lines")).alias("body"), "head_no", rows.alias("row_nos"))
+    return packed.select(*columns, "region", "place", "part", F.when(~F.col("_over"), F.concat("_base", F.lit("\n"), "lines")).alias("body"), "head_no", rows.alias("row_nos"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirework.functions import strings as S
 from quirework.operators import cells as C
 from quirework.operators import claims, contracts, delegation, documents, drafts, sections, spans, stored
-from quirework.operators.storage import parts, spread
+from quirework.operators.storage import cut, parts, spread
 from quirework.plans.queries import table, text_of
 from quirework.plans import workbooks
 from quirework.plans.preprocess import preprocess, raw_documents
@@ -217,7 +217,9 @@ def workbook_texts(spark: SparkSession, folder: str) -> DataFrame:
     flat = F.concat(F.lit("name,note\n"), "c_name", F.lit(',"a,b"\nlast'))
     two = F.concat(F.lit("| k | v |" + rule + "| "), "c_name", F.lit(" | x |\n\n| q | r |" + rule + "| z | "), "c_name", F.lit(" |"))
     text = F.when(k == 0, mixed).when(k == 1, flat).otherwise(two)
-    docs = raw_documents(spread(table(spark, folder, "customer"), "c_custkey", 4).select(F.col("c_custkey").alias("doc_id"), text.alias("text"), F.lit("b.xlsx").alias("name")), name="name")
+    dealt = spread(table(spark, folder, "customer"), "c_custkey", 4).select(F.col("c_custkey").alias("doc_id"), text.alias("text"), F.lit("b.xlsx").alias("name"))
+    # Stored where they were dealt: Spark would push the tests of their texts below the dealing, into the few tasks of the scan.
+    docs = cut(raw_documents(dealt, name="name"), "workbook-docs")
     return preprocess(docs, "excel")[0].select("doc_id", "chunk")
 
 

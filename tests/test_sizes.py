@@ -1,8 +1,8 @@
 """Plans and steps whose memory or rows must grow no faster than their input."""
 
-from quirework.operators import delegation, manuals, sections, settings, spans, stored
+from quirework.operators import delegation, manuals, sections, settings, spans, storage, stored, workbook
 from quirework.operators.storage import parts
-from quirework.plans import queries, structured_queries
+from quirework.plans import preprocess, queries, structured_queries
 
 
 def _plan(df) -> str:
@@ -116,3 +116,20 @@ def test_statutes_are_stored_by_units(spark, monkeypatch):
         ("[위치] 제1장 총칙 > 제2조(정의)", "", []), ("[위치] 부칙", "끝", [9]),
     ]
     assert issues.count() == 0
+
+
+def test_workbook_texts_are_joined_to_nothing(spark, monkeypatch):
+    """Texts are tested after they are dealt, and rows find their tables' numbers, frames and contexts where they lie."""
+    seen = {}
+
+    def cut(df, name):
+        seen[name] = _plan(df)
+        return storage.cut(df, name)
+
+    for module in (structured_queries, preprocess, workbook):
+        monkeypatch.setattr(module, "cut", cut)
+    got = structured_queries.workbook_texts(spark, "/root/testdata/sf0.001")
+    assert got.count() == 300 and "RLike" not in seen["workbook-docs"] and "workbook-docs" in seen["prepared"]
+    assert not [name for name in ("segment-lines", "sheet-rows", "sheet-drafts", "workbook-drafts") if "Join" in seen[name]]
+    # One deal for the rows of tables; two more for texts that hold none: their lines are joined, their rows widened.
+    assert seen["sheet-rows"].count("Exchange hashpartitioning") == 3
