@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _own: list[str] = []
+#: The driver's folder of files that are sent to executors.
+_sent: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,6 +62,30 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def sent_file(spark: SparkSession, name: str, size: int, parts: Iterable[tuple[int, bytes]]) -> str:
+    """Send a file of size bytes to all executors, with each part (place, bytes) where it belongs and zeros elsewhere.
+
+    Parts pass the driver one by one and lie on its disk. Spark keeps such a file until the session ends, since executors
+    that start later fetch it too.
+    """
+    if not _sent:
+        _sent.append(tempfile.mkdtemp(prefix="quirework-sent-"))
+        atexit.register(shutil.rmtree, _sent[0], ignore_errors=True)
+    path = os.path.join(os.path.realpath(_sent[0]), f"{name}-{uuid.uuid4().hex}")
+    with open(path, "wb") as file:
+        file.truncate(size)
+        for at, part in parts:
+            file.seek(at)
+            file.write(part)
+    spark.sparkContext.addFile(f"file://{path}")
+    return os.path.basename(path)
+
+
+def mapped(name: str, kind: str) -> np.ndarray:
+    """In a task: a sent file as an array, whose pages the workers of an executor share."""
+    return np.asarray(np.memmap(SparkFiles.get(name), kind, "r"))
+
+
 def running_total(df: DataFrame, keys: list[str], block: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """Add the sum of value over the rows before each row, within keys, ordered by (block, *order).
 
